@@ -95,9 +95,12 @@ def fit_preprocessor(df: DataFrame, features: list[str], group_cols: list[str] |
         med_long = exact_medians_distributed(df, features, group_cols, max_groups)
         med_wide = med_long.groupBy(*group_cols).pivot("feature", features).agg(F.first("median"))
         med_wide = med_wide.select(*group_cols, *[F.col(c).alias(f"med_{c}") for c in features])
-        moments = (moments.join(med_wide, group_cols) if group_cols
-                   else moments.select("*", *[F.lit(med_wide.first()[f"med_{c}"]).cast("double").alias(f"med_{c}")
-                                              for c in features]))
+        if group_cols:
+            moments = moments.join(bounded_broadcast(med_wide, max_groups), group_cols)
+        else:
+            med_row = med_wide.first()  # one row of len(features) numbers
+            moments = moments.select("*", *[F.lit(med_row[f"med_{c}"]).cast("double").alias(f"med_{c}")
+                                            for c in features])
     out = [F.col(g) for g in group_cols]
     for c in features:
         n1 = F.col(f"_n_{c}").cast("double")
