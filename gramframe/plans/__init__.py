@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_profile, queries_sampling  # noqa: F401  (registers)
+from . import queries_kernels, queries_profile, queries_sampling  # noqa: F401  (registers)
+from . import oracle_kernels  # noqa: F401  (registers)
 from .oracle import ORACLE
 from .registry import QUERIES
 
