@@ -87,34 +87,36 @@ def creal(x):
 
 
 # ---------------------------------------------------------------- product kernels
-def pauli_sql(src_pairs: str) -> str:
-    """Bloch vectors through two repetitions, per feature, then the product of fidelities."""
+def pauli_sql(src_pairs: str, reps: int = 2, round_k: bool = True) -> str:
+    """Bloch vectors gate by gate (Rz(a), Rx(theta) per repetition, H in between), per feature,
+    then the product of single-qubit fidelities."""
     def bloch(v: str, q: int):
         a = f"{v}{q}"
         th = f"({a} / 2 + ({v}{q - 1} + {a}) / 2)" if q > 0 else f"({a} / 2)"
-        x1, y1, z1 = f"cos({a})", f"sin({a})", "0.0"
-        x2, y2, z2 = x1, f"({y1}) * cos({th})", f"({y1}) * sin({th})"
-        x3, y3, z3 = z2, f"(-({y2}))", x2                      # Hadamard between repetitions
-        x4 = f"(({x3}) * cos({a}) - ({y3}) * sin({a}))"
-        y4 = f"(({x3}) * sin({a}) + ({y3}) * cos({a}))"
-        z4 = z3
-        x5, y5, z5 = x4, f"(({y4}) * cos({th}) - ({z4}) * sin({th}))", f"(({y4}) * sin({th}) + ({z4}) * cos({th}))"
-        return x5, y5, z5
+        x, y, z = "1.0", "0.0", "0.0"
+        for rep in range(reps):
+            x, y = f"(({x}) * cos({a}) - ({y}) * sin({a}))", f"(({x}) * sin({a}) + ({y}) * cos({a}))"
+            y, z = f"(({y}) * cos({th}) - ({z}) * sin({th}))", f"(({y}) * sin({th}) + ({z}) * cos({th}))"
+            if rep + 1 < reps:
+                x, y, z = z, f"(-({y}))", x                  # Hadamard between repetitions
+        return x, y, z
 
     factors = []
     for q in range(N):
         bx, bz = bloch("x", q), bloch("z", q)
         factors.append(f"((1 + ({bx[0]})*({bz[0]}) + ({bx[1]})*({bz[1]}) + ({bx[2]})*({bz[2]})) / 2)")
-    return f"SELECT i_key, j_key, {r6(' * '.join(factors))} AS k FROM {src_pairs}"
+    k = " * ".join(factors)
+    return f"SELECT i_key, j_key, {r6(k) if round_k else k} AS k FROM {src_pairs}"
 
 
-def custom1_sql(src_pairs: str) -> str:
+def custom1_sql(src_pairs: str, round_k: bool = True) -> str:
     factors = []
     for q in range(N):
         a, b = f"x{q}", f"z{q}"
         d = f"(({a}*{a} - {b}*{b}) / (2 * {PI}))"
         factors.append(f"(pow(cos(({a} - {b}) / 2), 2) * pow(cos({d}), 2) + pow(cos(({a} + {b}) / 2), 2) * pow(sin({d}), 2))")
-    return f"SELECT i_key, j_key, {r6(' * '.join(factors))} AS k FROM {src_pairs}"
+    k = " * ".join(factors)
+    return f"SELECT i_key, j_key, {r6(k) if round_k else k} AS k FROM {src_pairs}"
 
 
 # ---------------------------------------------------------------- recursions as chained CTEs
@@ -141,7 +143,7 @@ def _u_custom(a: str):
     return [[cmul(em, creal(c)), cmul(em, creal(f"-{s}"))], [cmul(ep, creal(s)), cmul(ep, creal(c))]]
 
 
-def custom2_sql(src_pairs: str) -> str:
+def custom2_sql(src_pairs: str, round_k: bool = True) -> str:
     keep = "i_key, j_key, " + ", ".join(f"x{t}, z{t}" for t in range(N))
     names = {(p, pp): (f"t{p}{pp}r", f"t{p}{pp}i") for p in (0, 1) for pp in (0, 1)}
     ctes = []
@@ -162,7 +164,8 @@ def custom2_sql(src_pairs: str) -> str:
         ctes.append(f"C{q} AS (SELECT {keep}, {', '.join(cols)} FROM {src})")
     tot_r = " + ".join(v[0] for v in names.values())
     tot_i = " + ".join(v[1] for v in names.values())
-    return ",\n" + ",\n".join(ctes) + f"\nSELECT i_key, j_key, {r6(f'pow({tot_r}, 2) + pow({tot_i}, 2)')} AS k FROM C{N - 1}"
+    kk = f"pow({tot_r}, 2) + pow({tot_i}, 2)"
+    return ",\n" + ",\n".join(ctes) + f"\nSELECT i_key, j_key, {r6(kk) if round_k else kk} AS k FROM C{N - 1}"
 
 
 def zz2_sql(src_pairs: str) -> str:
@@ -299,3 +302,101 @@ SELECT {r6('max(abs(a.k - b.k))')} AS max_asymmetry,
 FROM KF a JOIN KF b ON a.i_key = b.j_key AND a.j_key = b.i_key""")
 
 _ = math
+
+# ---------------------------------------------------------------- phase 4
+from .oracle_fixtures import C as C_FIX  # noqa: E402
+
+sql("q_outcome_probability", with_(C_FIX) + f"""
+SELECT i, j, {r6("CAST(coalesce(sum(n) FILTER (WHERE outcome = 'view'), 0) AS DOUBLE) / sum(n)")} AS p,
+       CAST(sum(n) AS BIGINT) AS shots
+FROM C GROUP BY i, j""")
+
+sql("q_kernel_mirror", with_(C_FIX) + f"""
+, P AS (SELECT i, j, CAST(coalesce(sum(n) FILTER (WHERE outcome = 'view'), 0) AS DOUBLE) / sum(n) AS p FROM C GROUP BY i, j),
+G AS (SELECT CAST(a.r AS INTEGER) AS i, CAST(b.r AS INTEGER) AS j
+      FROM range(0, (SELECT greatest(max(i), max(j)) + 1 FROM P)) a(r), range(0, (SELECT greatest(max(i), max(j)) + 1 FROM P)) b(r))
+SELECT G.i, G.j, {r6('coalesce(P.p, 0)')} AS k, P.p IS NOT NULL AS present
+FROM G LEFT JOIN P ON P.i = least(G.i, G.j) AND P.j = greatest(G.i, G.j) AND P.i <= P.j""")
+
+sql("q_kernel_compare", with_(*BASE64, FULL) + f"""
+, KP AS ({pauli_sql('PF', 1, False)}),
+KC AS ({custom1_sql('PF', False)})
+SELECT count(*) AS entries, {r6('avg(abs(KP.k - KC.k))')} AS mean_abs_diff, {r6('max(abs(KP.k - KC.k))')} AS max_abs_diff,
+       {r6('avg(CASE WHEN KC.i_key = KC.j_key THEN abs(KC.k - 1) END)')} AS diagonal_deviation,
+       count(*) FILTER (WHERE KP.k IS NULL) AS only_first, count(*) FILTER (WHERE KC.k IS NULL) AS only_second
+FROM KP FULL OUTER JOIN KC ON KP.i_key = KC.i_key AND KP.j_key = KC.j_key""")
+
+FOLDS_SUB = f"""FS AS (
+  SELECT row_key, CAST((coalesce((SELECT count(*) FROM ENC e2 WHERE e2.y < e.y), 0)
+             + row_number() OVER (PARTITION BY y ORDER BY {_h('folds')}, row_key) - 1) % 5 AS INTEGER) AS fold
+  FROM ENC e)"""
+sql("q_kernel_fold_slice", with_(*BASE64, FULL, FOLDS_SUB) + f"""
+, KF AS ({pauli_sql('PF', 2, False)})
+SELECT CAST(f.r AS INTEGER) AS fold, CASE WHEN fi.fold <> f.r THEN 'train' ELSE 'validate' END AS block,
+       KF.i_key, KF.j_key, {r6('KF.k')} AS k
+FROM KF JOIN FS fi ON fi.row_key = KF.i_key JOIN FS fj ON fj.row_key = KF.j_key, range(5) f(r)
+WHERE fj.fold <> f.r""")
+
+SYM_LAB = "LAB AS (SELECT K.*, a.y AS yi, b.y AS yj FROM K JOIN ENC a ON a.row_key = K.i_key JOIN ENC b ON b.row_key = K.j_key)"
+
+
+def diag_sql() -> str:
+    """Definitions over the full matrix (both triangles from the i <= j half)."""
+    return f"""
+, FULLK AS (SELECT i_key, j_key, k, yi, yj FROM LAB UNION ALL
+            SELECT j_key, i_key, k, yj, yi FROM LAB WHERE i_key <> j_key)
+SELECT CAST(count(*) FILTER (WHERE i_key = j_key) AS BIGINT) AS n,
+  {r6('coalesce(avg(k) FILTER (WHERE i_key <> j_key AND yi = yj), 0)')} AS within_class_mean,
+  {r6('coalesce(avg(k) FILTER (WHERE i_key <> j_key AND yi <> yj), 0)')} AS between_class_mean,
+  {r6('coalesce(avg(k) FILTER (WHERE i_key <> j_key AND yi = yj), 0) - coalesce(avg(k) FILTER (WHERE i_key <> j_key AND yi <> yj), 0)')} AS separation,
+  {r6('avg(k) FILTER (WHERE i_key <> j_key)')} AS off_diagonal_mean,
+  {r6('sum(k * CASE WHEN yi = yj THEN 1 ELSE -1 END) / (sqrt(sum(k * k)) * count(*) FILTER (WHERE i_key = j_key))')} AS kernel_target_alignment
+FROM FULLK"""
+
+
+sql("q_kernel_diagnostics", with_(*BASE64, SYM) + f", K AS ({custom2_sql('PW')[2:].split(chr(10) + 'SELECT')[0]}" if False else
+    with_(*BASE64, SYM) + custom2_sql("PW", False).replace("\nSELECT i_key, j_key, ", ",\nK AS (SELECT i_key, j_key, ", 1)
+    .rstrip() + ")," + SYM_LAB + "\nSELECT n, within_class_mean, between_class_mean, separation, off_diagonal_mean FROM (" +
+    diag_sql().replace("\n, FULLK", "WITH FULLK", 1) + ")")
+
+sql("q_kernel_alignment", with_(*BASE64, SYM) + f", K AS ({pauli_sql('PW', 2, False)}), {SYM_LAB}"
+    + "\nSELECT kernel_target_alignment FROM (" + diag_sql().replace("\n, FULLK", "WITH FULLK", 1) + ")")
+
+sql("q_kernel_participation", with_(*BASE64, SYM) + f""", K AS ({pauli_sql('PW', 2, False)})
+SELECT {r6('sum(k) FILTER (WHERE i_key = j_key)')} AS trace,
+       {r6('sum(CASE WHEN i_key = j_key THEN 1 ELSE 2 END * k * k)')} AS frobenius2,
+       {r6('pow(sum(k) FILTER (WHERE i_key = j_key), 2) / sum(CASE WHEN i_key = j_key THEN 1 ELSE 2 END * k * k)')} AS participation_ratio
+FROM K""")
+
+sql("q_kernel_reorder", with_(*BASE64, FULL) + f""", KF AS ({pauli_sql('PF', 2, False)}),
+O AS (SELECT row_key, CAST(row_number() OVER (ORDER BY y, position) - 1 AS INTEGER) AS new_index FROM ENC)
+SELECT a.new_index AS i_new, b.new_index AS j_new, {r6('KF.k')} AS k,
+       (SELECT count(*) FROM ENC WHERE y = 0) AS boundary
+FROM KF JOIN O a ON a.row_key = KF.i_key JOIN O b ON b.row_key = KF.j_key""")
+
+SCORE = f""", PT AS (SELECT i.row_key AS i_key, j.row_key AS j_key, i.y AS yi,
+      CASE WHEN j.y = 1 THEN 1.0 / (SELECT count(*) FROM ENC WHERE y = 1) ELSE -1.0 / (SELECT count(*) FROM ENC WHERE y = 0) END AS coef,
+      {', '.join(f'i.a{q} AS x{q}' for q in range(N))}, {', '.join(f'j.a{q} AS z{q}' for q in range(N))}
+    FROM TENC i, ENC j),
+KS AS (SELECT i_key, yi, coef, {pauli_sql('PT', 2, False).split('SELECT i_key, j_key, ')[1].split(' AS k FROM')[0]} AS k FROM PT),
+S AS (SELECT i_key AS row_key, yi AS y, sum(coef * k) AS score FROM KS GROUP BY i_key, yi)"""
+
+sql("q_kernel_score", with_(*BASE64).rstrip() + SCORE + f"""
+SELECT row_key, y, {r6('score')} AS score, CAST(score > 0 AS INTEGER) AS pred FROM S""")
+
+from .oracle import _ap_sql, _auc_sql  # noqa: E402
+
+sql("q_kernel_score_metrics", with_(*BASE64).rstrip() + SCORE + f""",
+SR AS (SELECT row_key, y, round(score, 9) AS score, CAST(round(score, 9) > 0 AS INTEGER) AS pred FROM S),
+CM AS (SELECT count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+              count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp FROM SR)
+SELECT tn, fp, fn, tp,
+  {r6('CAST(tp + tn AS DOUBLE) / (tn + fp + fn + tp)')} AS accuracy,
+  {r6('CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) ELSE 0 END')} AS balanced_accuracy,
+  {r6('CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END')} AS precision,
+  {r6('CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END')} AS recall,
+  {r6('CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END')} AS f1,
+  {r6('CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) ELSE 0 END')} AS specificity,
+  {r6('CASE WHEN tn + fp > 0 THEN CAST(fp AS DOUBLE) / (tn + fp) ELSE 0 END')} AS false_positive_rate,
+  {r6(_auc_sql('SR'))} AS roc_auc, {r6(_ap_sql('SR'))} AS average_precision
+FROM CM""")
