@@ -75,25 +75,37 @@ def kernel_custom_r1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def kernel_custom_r2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """custom map, two repetitions: T[p, p'] carried over features, K = |sum T|^2."""
+    """custom map, two repetitions: 2x2 complex state T[p, p'] per pair, carried over features.
+
+    T_0[p, p'] = A_0[p, p'] f_0[p]* g_0[p'];  T_q[p, p'] = A_q[p, p'] sum_{o, o'} T_{q-1}[o, o']
+    f_q[p xor o]* g_q[p' xor o'];  K = |sum T|^2, with U(a) = Rz(a^2/pi) Ry(a), f = U(a)[:, 0],
+    g = U(b)[:, 0], A = U(a)^dagger U(b). All updates are elementwise on pair-shaped arrays.
+    """
     ua, ub = _site_custom(a), _site_custom(b)
-    f = ua[..., 0]                      # U(a)|0>, shape (..., n, 2)
-    g = ub[..., 0]
-    amat = np.einsum("...ji,...jk->...ik", np.conj(ua), ub)   # U(a)^dagger U(b), (..., n, 2, 2)
-    fc = np.conj(f)
-    shape = np.broadcast_shapes(a.shape, b.shape)[:-1]
     n = a.shape[-1]
-    t = np.broadcast_to(amat[..., 0, :, :] * fc[..., 0, :, None] * g[..., 0, None, :], shape + (2, 2))
-    for q in range(1, n):
-        fq, gq = fc[..., q, :], g[..., q, :]
-        # s1[o, p'] = sum_o' T[o, o'] g[p' xor o']
-        s1 = np.stack([t[..., :, 0] * gq[..., None, 0] + t[..., :, 1] * gq[..., None, 1],
-                       t[..., :, 0] * gq[..., None, 1] + t[..., :, 1] * gq[..., None, 0]], axis=-1)
-        # s2[p, p'] = sum_o f*[p xor o] s1[o, p']
-        s2 = np.stack([fq[..., None, 0] * s1[..., 0, :] + fq[..., None, 1] * s1[..., 1, :],
-                       fq[..., None, 1] * s1[..., 0, :] + fq[..., None, 0] * s1[..., 1, :]], axis=-2)
-        t = amat[..., q, :, :] * s2
-    return np.abs(t.sum(axis=(-1, -2))) ** 2
+    t00 = t01 = t10 = t11 = None
+    for q in range(n):
+        xa, xb = ua[..., q, :, :], ub[..., q, :, :]
+        ca = np.conj(xa)
+        # A[p, p'] = sum_r conj(Ua[r, p]) Ub[r, p']
+        a00 = ca[..., 0, 0] * xb[..., 0, 0] + ca[..., 1, 0] * xb[..., 1, 0]
+        a01 = ca[..., 0, 0] * xb[..., 0, 1] + ca[..., 1, 0] * xb[..., 1, 1]
+        a10 = ca[..., 0, 1] * xb[..., 0, 0] + ca[..., 1, 1] * xb[..., 1, 0]
+        a11 = ca[..., 0, 1] * xb[..., 0, 1] + ca[..., 1, 1] * xb[..., 1, 1]
+        f0, f1 = ca[..., 0, 0], ca[..., 1, 0]      # conj(f)
+        g0, g1 = xb[..., 0, 0], xb[..., 1, 0]
+        if q == 0:
+            t00, t01, t10, t11 = a00 * (f0 * g0), a01 * (f0 * g1), a10 * (f1 * g0), a11 * (f1 * g1)
+            continue
+        u00 = t00 * g0 + t01 * g1      # u[o, p'] = sum_o' T[o, o'] g[p' xor o']
+        u01 = t00 * g1 + t01 * g0
+        u10 = t10 * g0 + t11 * g1
+        u11 = t10 * g1 + t11 * g0
+        t00 = a00 * (f0 * u00 + f1 * u10)
+        t01 = a01 * (f0 * u01 + f1 * u11)
+        t10 = a10 * (f1 * u00 + f0 * u10)
+        t11 = a11 * (f1 * u01 + f0 * u11)
+    return np.abs(t00 + t01 + t10 + t11) ** 2
 
 
 def kernel_zz_r1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,32 +123,62 @@ def kernel_zz_r1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def kernel_zz_r2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """zz map, two repetitions: T[s, t, u] (s, t, u in {+1, -1}) carried over features."""
+    """zz map, two repetitions: path sum over three sign chains (s: first layer of x, t: shared
+    middle layer, u: first layer of y), an 8-entry complex state per pair.
+
+    site_q[s, t, u] = 1/4 (-1)^(z.w + w.z') e^{i a s/2} e^{i (a-b) t/2} e^{-i b u/2} (bits z, w, z'
+    of the signs s, t, u); between features the state is mixed per chain by
+    [[e^{i c/2}, e^{-i c/2}], [e^{-i c/2}, e^{i c/2}]] with c = alpha, alpha - beta, -beta,
+    alpha = a_q a_{q+1} / pi, beta = b_q b_{q+1} / pi.  K = |sum T|^2.
+    """
     n = a.shape[-1]
-    sig = np.array([1.0, -1.0])
-    shape = np.broadcast_shapes(a.shape, b.shape)[:-1]
-    s_, t_, u_ = np.meshgrid(sig, sig, sig, indexing="ij")          # (2, 2, 2)
-    bs, bt, bu = s_ < 0, t_ < 0, u_ < 0                              # bit value 1 <-> sign -1
-    sign = np.where((bs & bt) ^ (bt & bu), -1.0, 1.0)                # (-1)^(z.w + w.z') per site
+    states = [(s_, t_, u_) for s_ in (0, 1) for t_ in (0, 1) for u_ in (0, 1)]   # bits; sign = 1 - 2 bit
+    par = {st: -0.25 if ((st[0] & st[1]) ^ (st[1] & st[2])) else 0.25 for st in states}
+
+    def site_factors(q):
+        ar, br = a[..., q], b[..., q]
+        er = np.exp(0.5j * ar)      # e^{i a s/2}: s=+1 -> er, s=-1 -> conj(er)
+        ep = np.exp(0.5j * (ar - br))
+        el = np.exp(-0.5j * br)
+        return (er, np.conj(er)), (ep, np.conj(ep)), (el, np.conj(el))
 
     def site(q):
-        aq, bq = a[..., q][..., None, None, None], b[..., q][..., None, None, None]
-        return 0.25 * sign * np.exp(0.5j * (aq * s_ + (aq - bq) * t_ - bq * u_))
+        r, p, l_ = site_factors(q)
+        return {st: par[st] * r[st[0]] * p[st[1]] * l_[st[2]] for st in states}
 
-    def mix(coef):
-        # 2x2 matrix over (new sign, old sign): exp(+i coef/2) for equal signs, exp(-i coef/2) otherwise
-        p, m = np.exp(0.5j * coef), np.exp(-0.5j * coef)
-        return np.stack([np.stack([p, m], axis=-1), np.stack([m, p], axis=-1)], axis=-2)
+    t = site(0)
+    for q in range(1, n):
+        alpha = a[..., q - 1] * a[..., q] / np.pi
+        beta = b[..., q - 1] * b[..., q] / np.pi
+        for axis, c in ((0, alpha), (1, alpha - beta), (2, -beta)):
+            pp, mm = np.exp(0.5j * c), np.exp(-0.5j * c)
+            new = {}
+            for st in states:
+                if st[axis]:
+                    continue
+                other = list(st)
+                other[axis] = 1
+                other = tuple(other)
+                x0, x1 = t[st], t[other]
+                new[st] = pp * x0 + mm * x1
+                new[other] = mm * x0 + pp * x1
+            t = new
+        sq = site(q)
+        t = {st: sq[st] * t[st] for st in states}
+    total = sum(t[st] for st in states)
+    shape = np.broadcast_shapes(a.shape, b.shape)[:-1]
+    return np.broadcast_to(np.abs(total) ** 2, shape)
 
-    def couple(x, alpha, beta):
-        return np.einsum("...ai,...bj,...ck,...ijk->...abc", mix(alpha), mix(alpha - beta), mix(-beta), x)
 
-    alpha = a[..., :-1] * a[..., 1:] / np.pi
-    beta = b[..., :-1] * b[..., 1:] / np.pi
-    t = np.broadcast_to(site(0), shape + (2, 2, 2))
-    for q in range(1, n):
-        t = site(q) * couple(t, alpha[..., q - 1], beta[..., q - 1])
-    return np.abs(t.sum(axis=(-1, -2, -3))) ** 2
+CHUNK_ROWS = 1024   # rows per numpy call: keeps the (rows x landmarks) work arrays in cache
+
+
+def rows_x_landmarks(fn, x: np.ndarray, lm: np.ndarray, chunk: int = CHUNK_ROWS) -> np.ndarray:
+    """K (rows, landmarks) for row values x (R, n) and landmark values lm (L, n), in row chunks."""
+    out = np.empty((x.shape[0], lm.shape[0]))
+    for s in range(0, x.shape[0], chunk):
+        out[s:s + chunk] = fn(x[s:s + chunk, None, :], lm[None, :, :])
+    return out
 
 
 KERNELS = {

@@ -203,8 +203,7 @@ def _arrow_rows_x_landmarks(rows: DataFrame, fn, lsets: dict, group_col: str | N
     if group_col is None:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def k_single(x: pd.DataFrame) -> pd.Series:
-            lm = bc.value[None]
-            mat = fn(x.to_numpy(dtype=float)[:, None, :], lm[None, :, :])
+            mat = rec.rows_x_landmarks(fn, x.to_numpy(dtype=float), bc.value[None])
             return pd.Series(list(mat))
         return k_single(F.struct(*cols))
 
@@ -215,8 +214,7 @@ def _arrow_rows_x_landmarks(rows: DataFrame, fn, lsets: dict, group_col: str | N
         out = np.empty(len(g), dtype=object)
         for gid in pd.unique(g):
             idx = np.flatnonzero(g.to_numpy() == gid)
-            lm = sets[int(gid)]
-            mat = fn(vals[idx][:, None, :], lm[None, :, :])
+            mat = rec.rows_x_landmarks(fn, vals[idx], sets[int(gid)])
             for t, i in enumerate(idx):
                 out[i] = mat[t]
         return pd.Series(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_kernels, queries_profile, queries_sampling, queries_stats  # noqa: F401  (registers)
+from . import queries_kernels, queries_profile, queries_models, queries_sampling, queries_stats  # noqa: F401  (registers)
 from . import oracle_kernels  # noqa: F401  (registers)
 from .oracle import ORACLE
 from .registry import QUERIES

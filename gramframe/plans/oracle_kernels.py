@@ -400,3 +400,110 @@ SELECT tn, fp, fn, tp,
   {r6('CASE WHEN tn + fp > 0 THEN CAST(fp AS DOUBLE) / (tn + fp) ELSE 0 END')} AS false_positive_rate,
   {r6(_auc_sql('SR'))} AS roc_auc, {r6(_ap_sql('SR'))} AS average_precision
 FROM CM""")
+
+# ---------------------------------------------------------------- phase 5/6: run grids, bench
+def bloch_select(reps: int = 2, src_prefix: str = "a") -> str:
+    """Per-row Bloch vectors b{x,y,z}{q} of the pauli map (gate by gate)."""
+    cols = []
+    for q in range(N):
+        a = f"{src_prefix}{q}"
+        th = f"({a} / 2 + ({src_prefix}{q - 1} + {a}) / 2)" if q > 0 else f"({a} / 2)"
+        x, y, z = "1.0", "0.0", "0.0"
+        for rep in range(reps):
+            x, y = f"(({x}) * cos({a}) - ({y}) * sin({a}))", f"(({x}) * sin({a}) + ({y}) * cos({a}))"
+            y, z = f"(({y}) * cos({th}) - ({z}) * sin({th}))", f"(({y}) * sin({th}) + ({z}) * cos({th}))"
+            if rep + 1 < reps:
+                x, y, z = z, f"(-({y}))", x
+        cols += [f"{x} AS bx{q}", f"{y} AS by{q}", f"{z} AS bz{q}"]
+    return ", ".join(cols)
+
+
+def pauli_pair_expr(li: str = "i", lj: str = "j") -> str:
+    return " * ".join(f"((1 + {li}.bx{q} * {lj}.bx{q} + {li}.by{q} * {lj}.by{q} + {li}.bz{q} * {lj}.bz{q}) / 2)"
+                      for q in range(N))
+
+
+ANG = ", ".join(f"least(greatest(f{q}, -3), 3) / 3 * {PI} AS a{q}" for q in range(N))
+
+RUNS5 = """RUNS AS (
+  SELECT CAST(si * 5 + r AS INTEGER) AS run_id, CAST(size AS INTEGER) AS size, CAST(r AS INTEGER) AS repeat,
+         CAST(20260802 + 100 * size + r AS INTEGER) AS seed
+  FROM (VALUES (0, 16), (1, 32), (2, 64)) s(si, size), range(5) t(r)
+)"""
+
+GRID_CTES = [RUNS5, f"""SUBR AS (
+  SELECT * FROM (SELECT RUNS.run_id, RUNS.size, RUNS.seed, WT.*,
+                        row_number() OVER (PARTITION BY run_id, WT.y ORDER BY {_h('subset', 'CAST(seed AS VARCHAR)')}, row_key) AS rn
+                 FROM RUNS, WT) WHERE rn <= size / 2)""",
+    "MED AS (SELECT run_id, " + ", ".join(f"median(f{q}) AS m{q}" for q in range(N)) + " FROM SUBR GROUP BY run_id)",
+    "STR AS (SELECT s.run_id, " + ", ".join(
+        f"any_value(m{q}) AS m{q}, avg(coalesce(f{q}, m{q})) AS u{q}, "
+        f"CASE WHEN stddev_pop(coalesce(f{q}, m{q})) = 0 THEN 1.0 ELSE stddev_pop(coalesce(f{q}, m{q})) END AS d{q}"
+        for q in range(N)) + " FROM SUBR s JOIN MED USING (run_id) GROUP BY s.run_id)",
+    "SUBS AS (SELECT run_id, row_key, y, " + ", ".join(f"(coalesce(f{q}, m{q}) - u{q}) / d{q} AS f{q}" for q in range(N))
+    + " FROM SUBR JOIN STR USING (run_id))",
+    "TES AS (SELECT run_id, row_key, y, " + ", ".join(f"(coalesce(f{q}, m{q}) - u{q}) / d{q} AS f{q}" for q in range(N))
+    + " FROM WE, STR)",
+    f"SUBB AS (SELECT *, {bloch_select()} FROM (SELECT *, {ANG} FROM SUBS))",
+    f"TEB AS (SELECT *, {bloch_select()} FROM (SELECT *, {ANG} FROM TES))",
+    "COEF AS (SELECT run_id, row_key, CASE WHEN y = 1 THEN 1.0 / count(*) OVER (PARTITION BY run_id, y) "
+    "ELSE -1.0 / count(*) OVER (PARTITION BY run_id, y) END AS coef FROM SUBS)",
+    "GAMMA AS (SELECT run_id, 1.0 / (9 * var_pop(v)) AS g FROM (" + " UNION ALL ".join(
+        f"SELECT run_id, f{q} AS v FROM SUBS" for q in range(N)) + ") GROUP BY run_id)",
+    f"""SCORES AS (
+  SELECT 'QSVM' AS model, i.run_id, i.row_key, i.y, sum(c.coef * {pauli_pair_expr()}) AS score
+  FROM TEB i JOIN SUBB j ON i.run_id = j.run_id JOIN COEF c ON c.run_id = j.run_id AND c.row_key = j.row_key
+  GROUP BY i.run_id, i.row_key, i.y
+  UNION ALL
+  SELECT 'SVM-RBF', i.run_id, i.row_key, i.y,
+         sum(c.coef * exp(-g.g * ({' + '.join(f'pow(i.f{q} - j.f{q}, 2)' for q in range(N))})))
+  FROM TES i JOIN SUBS j ON i.run_id = j.run_id JOIN COEF c ON c.run_id = j.run_id AND c.row_key = j.row_key
+       JOIN GAMMA g ON g.run_id = i.run_id
+  GROUP BY i.run_id, i.row_key, i.y)""",
+    """CMR AS (SELECT model, run_id,
+    count(*) FILTER (WHERE y = 0 AND score <= 0) AS tn, count(*) FILTER (WHERE y = 0 AND score > 0) AS fp,
+    count(*) FILTER (WHERE y = 1 AND score <= 0) AS fn, count(*) FILTER (WHERE y = 1 AND score > 0) AS tp
+  FROM SCORES GROUP BY model, run_id)""",
+    """MR AS (SELECT model, size AS subset_size, repeat,
+    CAST(tp + tn AS DOUBLE) / (tn + fp + fn + tp) AS accuracy,
+    CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2
+         WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) ELSE 0 END
+      AS balanced_accuracy,
+    CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS recall,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END AS f1,
+    CASE WHEN tn + fp > 0 THEN CAST(fp AS DOUBLE) / (tn + fp) ELSE 0 END AS false_positive_rate
+  FROM CMR JOIN RUNS USING (run_id))"""]
+
+SIX_SQL = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "false_positive_rate"]
+sql("q_compare_models_pauli", with_(W, *SPLIT_W, *GRID_CTES)
+    + f"SELECT model, subset_size, repeat, {', '.join(r6(m) + ' AS ' + m for m in SIX_SQL)} FROM MR")
+sql("q_comparison_mean", with_(W, *SPLIT_W, *GRID_CTES) + "SELECT model, subset_size, " + ", ".join(
+    f"{r6(f'avg({m})')} AS {m}" for m in ["accuracy", "balanced_accuracy", "f1", "false_positive_rate"])
+    + " FROM MR GROUP BY model, subset_size")
+sql("q_comparison_spread", with_(W, *SPLIT_W, *GRID_CTES) + f"""
+SELECT model, subset_size, {r6('avg(f1)')} AS mean, {r6('coalesce(stddev_samp(f1), 0)')} AS std, count(*) AS runs
+FROM MR GROUP BY model, subset_size""")
+
+# bench queries over all W rows
+WALL = [f"WS0 AS (SELECT row_key, y, " + ", ".join(
+    f"(coalesce(f{q}, (SELECT median FROM SS WHERE feature = 'f{q}')) - (SELECT mean FROM SS WHERE feature = 'f{q}'))"
+    f" / (SELECT sd FROM SS WHERE feature = 'f{q}') AS f{q}" for q in range(N)) + " FROM W)",
+    f"WB AS (SELECT *, {bloch_select()} FROM (SELECT *, {ANG} FROM WS0))",
+    f"LB AS (SELECT *, {bloch_select()} FROM ENC)",
+    "LC AS (SELECT row_key, CASE WHEN y = 1 THEN 1.0 / count(*) OVER (PARTITION BY y) "
+    "ELSE -1.0 / count(*) OVER (PARTITION BY y) END AS coef FROM ENC)"]
+
+sql("q_bench_kernel_pauli", with_(*BASE64, *WALL) + f"""
+SELECT count(*) AS entries, {r6('avg(k)')} AS mean_k, {r6('min(k)')} AS min_k, {r6('max(k)')} AS max_k
+FROM (SELECT {pauli_pair_expr()} AS k FROM WB i, LB j)""")
+
+sql("q_bench_ranking_metrics", with_(*BASE64, *WALL) + f""",
+SB AS (SELECT i.row_key, i.y, round(sum(c.coef * {pauli_pair_expr()}), 9) AS score
+       FROM WB i, LB j JOIN LC c ON c.row_key = j.row_key GROUP BY i.row_key, i.y)
+SELECT {r6(_auc_sql('SB'))} AS roc_auc, {r6(_ap_sql('SB'))} AS average_precision""")
+
+sql("q_bench_preprocess", with_(W, f"SW AS ({_stats_sql('W')})") + "\nUNION ALL\n".join(
+    f"""SELECT 'f{q}' AS feature, {r6('avg(v)')} AS mean, {r6('var_pop(v)')} AS var, count(*) AS rows FROM (
+  SELECT (coalesce(f{q}, (SELECT median FROM SW WHERE feature = 'f{q}')) - (SELECT mean FROM SW WHERE feature = 'f{q}'))
+         / (SELECT sd FROM SW WHERE feature = 'f{q}') AS v FROM W)""" for q in range(N)))
