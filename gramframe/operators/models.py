@@ -26,6 +26,7 @@ from . import kernel_stats as ks
 from . import metrics as met
 from . import prep, sampling
 from .encode import encode_angles
+from ..session import cut_lineage
 from .ranking import bounded_broadcast
 
 SIX = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "false_positive_rate"]
@@ -177,36 +178,39 @@ class CVResult:
 
 
 def rbf_svm_cv(train: DataFrame, features: list[str], key: str, target: str, seed: int, k: int,
-               c_grid: list[float], gamma_grid: list, dim: int = 64, max_iter: int = 50,
-               parallelism: int = 4) -> CVResult:
-    """Baseline: impute -> scale -> undersample -> RBF (random features) + LinearSVC, all fitted
-    inside each fold's training part; scored by F1 on the untouched validation fold."""
+               c_grid: list[float], gamma_grid: list, dim: int = 64, iters: int = 60) -> CVResult:
+    """Baseline: impute -> scale -> undersample -> RBF (random features) + linear margin model,
+    all fitted inside each fold's training part; scored by F1 on the untouched validation fold.
+    The 5 folds x 3 gamma x 3 C models train together (one pass over the data per step)."""
+    from . import margin
     spark = train.sparkSession
-    folded = sampling.stratified_folds(train, target, key, seed, k)
-    jobs = []
+    folded = cut_lineage(sampling.stratified_folds(train, target, key, seed, k))
+    train_parts, val_parts, gammas = [], [], {}
     for f in range(k):
         tr = folded.where(F.col("fold") != f)
         va = folded.where(F.col("fold") == f)
         pre = prep.fit_preprocessor(tr, features)
-        tr_s, va_s = pre.transform(tr), pre.transform(va)
-        bal = sampling.undersample(tr_s, target, key, seed)
+        bal = sampling.undersample(pre.transform(tr), target, key, seed)
+        train_parts.append(bal.select(F.lit(f).alias("grp"), key, target, *features))
+        val_parts.append(pre.transform(va).select(F.lit(f).alias("grp"), key, target, *features))
+    tr_all = cut_lineage(_union(train_parts))
+    va_all = cut_lineage(_union(val_parts))
+    for f in range(k):
+        part = tr_all.where(F.col("grp") == f)
+        for g in gamma_grid:
+            gammas[(f, str(g))] = _gamma(part, features, g)
+    specs, names = [], {}
+    for f in range(k):
         for c in c_grid:
             for g in gamma_grid:
-                jobs.append((f, c, g, bal, va_s))
-
-    def run(job):
-        f, c, g, bal, va_s = job
-        gamma = _gamma(bal, features, g)
-        tr_z = random_fourier_features(bal, features, gamma, dim, seed)
-        va_z = random_fourier_features(va_s, features, gamma, dim, seed)
-        n_tr = tr_z.count()
-        model = _linear_svc(tr_z, c, n_tr, "rff", target, max_iter)
-        pred = model.transform(va_z).withColumn("pred", F.col("prediction").cast("int"))
-        f1 = met.threshold_metrics(pred, target, "pred").first()["f1"]
-        return (f"C={c},gamma={g}", float(c), str(g), f, float(f1))
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, jobs))
+                mid = len(specs)
+                fmap = margin.FeatureMap(gammas[(f, str(g))], dim, seed, len(features))
+                specs.append(margin.ModelSpec(mid, f, fmap, float(c)))
+                names[mid] = (f"C={c},gamma={g}", float(c), str(g), f)
+    weights = margin.train_grid(tr_all, "grp", features, target, specs, iters)
+    pred = margin.predict_grid(va_all, "grp", features, target, key, specs, weights)
+    f1 = met.threshold_metrics(pred, target, "pred", ["model_id"]).select("model_id", "f1").collect()
+    rows = [(*names[r["model_id"]], float(r["f1"])) for r in f1]
     scores = spark.createDataFrame(rows, "params string, C double, gamma string, fold int, f1 double")
     from .report import cv_summary
     summary = cv_summary(scores, [f"C={c},gamma={g}" for c in c_grid for g in gamma_grid])
@@ -214,6 +218,13 @@ def rbf_svm_cv(train: DataFrame, features: list[str], key: str, target: str, see
     return CVResult(scores, summary, best)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _gamma(scaled: DataFrame, features: list[str], gamma) -> float:
     if gamma == "auto":
         return 1.0 / len(features)
@@ -226,21 +237,20 @@ def _gamma(scaled: DataFrame, features: list[str], gamma) -> float:
 
 
 def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str], key: str, target: str,
-                         seed: int, cv: CVResult, dim: int = 64, max_iter: int = 50) -> DataFrame:
+                         seed: int, cv: CVResult, dim: int = 64, iters: int = 60) -> DataFrame:
     """Refit the best parameters on the whole training split, score the test split: the metrics
     record with confusion matrix, AUC, AP, best parameters and the CV mean/std (M2)."""
+    from . import margin
     best = cv.best
     pre = prep.fit_preprocessor(train, features)
-    tr_s, te_s = pre.transform(train), pre.transform(test)
-    bal = sampling.undersample(tr_s, target, key, seed)
-    gamma = _gamma(bal, features, best["gamma"] if best["gamma"] in ("scale", "auto") else float(best["gamma"]))
-    tr_z = random_fourier_features(bal, features, gamma, dim, seed)
-    te_z = random_fourier_features(te_s, features, gamma, dim, seed)
-    model = _linear_svc(tr_z, best["C"], tr_z.count(), "rff", target, max_iter)
-    from pyspark.ml.functions import vector_to_array
-    pred = model.transform(te_z).select(
-        key, target, F.col("prediction").cast("int").alias("pred"),
-        vector_to_array("rawPrediction").getItem(1).alias("score"))
+    bal = cut_lineage(sampling.undersample(pre.transform(train), target, key, seed)
+                      .select(F.lit(0).alias("grp"), key, target, *features))
+    te = pre.transform(test).select(F.lit(0).alias("grp"), key, target, *features)
+    g = best["gamma"]
+    gamma = _gamma(bal, features, g if g in ("scale", "auto") else float(g))
+    spec = margin.ModelSpec(0, 0, margin.FeatureMap(gamma, dim, seed, len(features)), float(best["C"]))
+    weights = margin.train_grid(bal, "grp", features, target, [spec], iters)
+    pred = margin.predict_grid(te, "grp", features, target, key, [spec], weights)
     rec_ = met.metrics_record(pred, target, "pred", "score")
     return rec_.select("*", F.struct(F.lit(best["C"]).alias("C"), F.lit(best["gamma"]).alias("gamma"))
                        .alias("best_parameters"),
@@ -248,32 +258,38 @@ def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str],
 
 
 def kernel_svm_cv(subset_enc: DataFrame, feature_map: str, repetitions: int, n: int, key: str, target: str,
-                  seed: int, k: int, c_grid: list[float], max_iter: int = 50) -> CVResult:
-    """M3: kernel rows against all subset landmarks as features (Nystrom-style), LinearSVC per
-    C and fold. Preprocessing was fitted on the whole subset before CV, as in the study."""
-    from pyspark.ml.functions import array_to_vector
+                  seed: int, k: int, c_grid: list[float], iters: int = 60) -> CVResult:
+    """M3: each subset row's kernel values against all subset landmarks as features
+    (Nystrom-style), linear margin model per C and fold, all trained together. Preprocessing
+    was fitted on the whole subset before CV, as in the study."""
+    from . import margin
     spark = subset_enc.sparkSession
     angles = [f"a{q}" for q in range(n)]
     lsets = ks.collect_landmarks(subset_enc, key, angles, "position")
-    lm = lsets[None].values
+    n_lm = len(lsets[None].keys)
     fn = rec.fidelity_kernel(feature_map, repetitions)
-    bc = spark.sparkContext.broadcast(lm)
+    bc = spark.sparkContext.broadcast(lsets[None].values)
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def feats(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(fn(x.to_numpy(dtype=float)[:, None, :], bc.value[None, :, :])))
-
-    with_k = subset_enc.withColumn("kf", array_to_vector(feats(F.struct(*angles))))
-    folded = sampling.stratified_folds(with_k, target, key, seed, k)
-    rows = []
+        return pd.Series(list(rec.rows_x_landmarks(fn, x.to_numpy(dtype=float), bc.value)))
+
+    with_k = subset_enc.select(key, target, feats(F.struct(*angles)).alias("kf"))
+    folded = cut_lineage(sampling.stratified_folds(with_k, target, key, seed, k))
+    tr = cut_lineage(folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp"))
+                     .where(F.col("grp") != F.col("fold")))
+    va = folded.withColumn("grp", F.col("fold"))
+    specs, names = [], {}
     for f in range(k):
-        tr, va = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-        n_tr = tr.count()
         for c in c_grid:
-            model = _linear_svc(tr, c, n_tr, "kf", target, max_iter)
-            p = model.transform(va).withColumn("pred", F.col("prediction").cast("int"))
-            rows.append((f"C={c}", float(c), "precomputed", f, float(met.threshold_metrics(p, target, "pred").first()["f1"])))
+            mid = len(specs)
+            specs.append(margin.ModelSpec(mid, f, margin.FeatureMap(None, n_lm, seed, n_lm), float(c)))
+            names[mid] = (f"C={c}", float(c), "precomputed", f)
+    weights = margin.train_grid(tr, "grp", ["kf"], target, specs, iters)
+    pred = margin.predict_grid(va, "grp", ["kf"], target, key, specs, weights)
+    f1 = met.threshold_metrics(pred, target, "pred", ["model_id"]).select("model_id", "f1").collect()
+    rows = [(*names[r["model_id"]], float(r["f1"])) for r in f1]
     scores = spark.createDataFrame(rows, "params string, C double, gamma string, fold int, f1 double")
     from .report import cv_summary
     summary = cv_summary(scores, [f"C={c}" for c in c_grid])
