@@ -80,18 +80,18 @@ def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score",
         cum = cum.join(bounded_broadcast(totals, max_groups), group_cols)
     else:
         t = totals.first()
-        cum = cum.withColumn("P", F.lit(t["P"])).withColumn("N", F.lit(t["N"]))
+        cum = cum.withColumn("P", F.lit(t["P"]).cast("long")).withColumn("N", F.lit(t["N"]).cast("long"))
     neg_below = F.col("cum_neg") - F.col("neg")
     pos_at_or_above = F.col("P") - (F.col("cum_pos") - F.col("pos"))
     rows_at_or_above = pos_at_or_above + F.col("N") - neg_below
     agg = cum.groupBy(*group_cols).agg(
-        F.sum(F.col("pos") * (neg_below + F.col("neg") * 0.5)).alias("_auc_num"),
-        F.sum(F.col("pos") * pos_at_or_above / rows_at_or_above).alias("_ap_num"),
+        F.sum(F.col("pos").cast("double") * (neg_below + F.col("neg") * 0.5)).alias("_auc_num"),
+        F.sum(F.col("pos").cast("double") * pos_at_or_above / rows_at_or_above).alias("_ap_num"),
         F.first("P").alias("P"), F.first("N").alias("N"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(
         *group_cols,
-        F.when(both, F.col("_auc_num") / (F.col("P") * F.col("N")).cast("double")).alias("roc_auc"),
+        F.when(both, F.col("_auc_num") / (F.col("P").cast("double") * F.col("N").cast("double"))).alias("roc_auc"),
         F.when(both, F.col("_ap_num") / F.col("P").cast("double")).alias("average_precision"))
 
 

@@ -507,3 +507,75 @@ sql("q_bench_preprocess", with_(W, f"SW AS ({_stats_sql('W')})") + "\nUNION ALL\
     f"""SELECT 'f{q}' AS feature, {r6('avg(v)')} AS mean, {r6('var_pop(v)')} AS var, count(*) AS rows FROM (
   SELECT (coalesce(f{q}, (SELECT median FROM SW WHERE feature = 'f{q}')) - (SELECT mean FROM SW WHERE feature = 'f{q}'))
          / (SELECT sd FROM SW WHERE feature = 'f{q}') AS v FROM W)""" for q in range(N)))
+
+# ---------------------------------------------------------------- M4 map study, A19, A20
+def _split_kernel(chain_sql: str, name: str) -> str:
+    """',\\nC0 AS (...)...\\nSELECT i_key, j_key, k FROM C8' -> ',\\nC0 ...,\\nname AS (SELECT ...)'."""
+    head, _, tail = chain_sql.rpartition("\nSELECT ")
+    return f"{head},\n{name} AS (SELECT {tail})"
+
+
+STUDY_CTES = [
+    "MRUNS AS (SELECT CAST(r AS INTEGER) AS run_id, CAST(20260802 + 1000 + r AS INTEGER) AS seed FROM range(3) t(r))",
+    f"""MSUB AS (SELECT * FROM (SELECT MRUNS.run_id, MRUNS.seed, WT.*,
+        row_number() OVER (PARTITION BY run_id, WT.y ORDER BY {_h('subset', 'CAST(seed AS VARCHAR)')}, row_key) AS rn
+      FROM MRUNS, WT) WHERE rn <= 32)""",
+    "MMED AS (SELECT run_id, " + ", ".join(f"median(f{q}) AS m{q}" for q in range(N)) + " FROM MSUB GROUP BY run_id)",
+    "MSTR AS (SELECT s.run_id, " + ", ".join(
+        f"any_value(m{q}) AS m{q}, avg(coalesce(f{q}, m{q})) AS u{q}, "
+        f"CASE WHEN stddev_pop(coalesce(f{q}, m{q})) = 0 THEN 1.0 ELSE stddev_pop(coalesce(f{q}, m{q})) END AS d{q}"
+        for q in range(N)) + " FROM MSUB s JOIN MMED USING (run_id) GROUP BY s.run_id)",
+    "MSS AS (SELECT run_id, seed, row_key, y, " + ", ".join(
+        f"(coalesce(f{q}, m{q}) - u{q}) / d{q} AS f{q}" for q in range(N)) + " FROM MSUB JOIN MSTR USING (run_id))",
+    f"MENC AS (SELECT run_id, seed, row_key, y, {ANG} FROM MSS)",
+    f"""MFOLD AS (SELECT run_id, row_key, y, {', '.join(f'a{q}' for q in range(N))},
+      CAST((coalesce((SELECT count(*) FROM MENC e2 WHERE e2.run_id = e.run_id AND e2.y < e.y), 0)
+            + row_number() OVER (PARTITION BY run_id, y ORDER BY {_h('folds', 'CAST(seed AS VARCHAR)')}, row_key) - 1) % 5
+           AS INTEGER) AS fold
+    FROM MENC e)""",
+    f"""MPAIRS AS (SELECT concat(v.run_id, '|', v.row_key) AS i_key, concat(t.run_id, '|', t.row_key) AS j_key,
+      {', '.join(f'v.a{q} AS x{q}' for q in range(N))}, {', '.join(f't.a{q} AS z{q}' for q in range(N))}
+    FROM MFOLD v JOIN MFOLD t ON v.run_id = t.run_id AND t.fold <> v.fold)""",
+    """MCNT AS (SELECT f.run_id, f.fold, count(*) FILTER (WHERE t.y = 1) AS n1, count(*) FILTER (WHERE t.y = 0) AS n0
+    FROM (SELECT DISTINCT run_id, fold FROM MFOLD) f JOIN MFOLD t ON t.run_id = f.run_id AND t.fold <> f.fold
+    GROUP BY f.run_id, f.fold)""",
+    f"KP AS ({pauli_sql('MPAIRS', 2, False)})",
+]
+STUDY_KERNELS = ",\n".join(STUDY_CTES) + _split_kernel(custom2_sql("MPAIRS", False), "KC") \
+    + _split_kernel(zz2_sql("MPAIRS"), "KZ0") + ",\nKZ AS (SELECT i_key, j_key, k FROM KZ0)"
+
+
+def _fold_f1(kernel: str, name: str) -> str:
+    return f"""SELECT '{name}' AS feature_map, run_id, fold,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END AS f1
+  FROM (SELECT run_id, fold, count(*) FILTER (WHERE y = 1 AND score > 0) AS tp,
+               count(*) FILTER (WHERE y = 0 AND score > 0) AS fp, count(*) FILTER (WHERE y = 1 AND score <= 0) AS fn
+        FROM (SELECT v.run_id, v.fold, v.row_key, v.y,
+                     sum(CASE WHEN t.y = 1 THEN 1.0 / c.n1 ELSE -1.0 / c.n0 END * K.k) AS score
+              FROM {kernel} K JOIN MFOLD v ON concat(v.run_id, '|', v.row_key) = K.i_key
+                   JOIN MFOLD t ON concat(t.run_id, '|', t.row_key) = K.j_key
+                   JOIN MCNT c ON c.run_id = v.run_id AND c.fold = v.fold
+              GROUP BY v.run_id, v.fold, v.row_key, v.y)
+        GROUP BY run_id, fold)"""
+
+
+# zz2_sql rounds its output; the study needs the raw value
+STUDY_KERNELS = STUDY_KERNELS.replace(
+    _split_kernel(zz2_sql("MPAIRS"), "KZ0"), _split_kernel(zz2_sql("MPAIRS").replace(
+        "SELECT i_key, j_key, round(", "SELECT i_key, j_key, (").replace(", 6) + 0.0 AS k FROM Q8", ") AS k FROM Q8"), "KZ0"))
+
+FOLD_F1 = f"FF AS ({_fold_f1('KZ', 'zz')} UNION ALL {_fold_f1('KP', 'pauli')} UNION ALL {_fold_f1('KC', 'custom')})"
+_STUDY = with_(W, *SPLIT_W, STUDY_KERNELS, FOLD_F1)
+
+sql("q_map_study", _STUDY + f"SELECT feature_map, run_id AS repeat, {r6('avg(f1)')} AS cv_f1 FROM FF GROUP BY feature_map, run_id")
+
+sql("q_choose_map", _STUDY + f""", CV AS (SELECT feature_map, run_id, avg(f1) AS cv_f1 FROM FF GROUP BY feature_map, run_id)
+SELECT feature_map, {r6('avg(cv_f1)')} AS mean,
+       CAST(row_number() OVER (ORDER BY avg(cv_f1) DESC, feature_map) AS INTEGER) AS rank
+FROM CV GROUP BY feature_map""")
+
+sql("q_cv_summary", _STUDY + f"""
+SELECT feature_map AS params, {r6('avg(f1)')} AS mean_f1, {r6('stddev_pop(f1)')} AS std_f1, count(*) AS folds,
+       CAST(row_number() OVER (ORDER BY avg(f1) DESC,
+            CASE feature_map WHEN 'zz' THEN 1 WHEN 'pauli' THEN 2 ELSE 3 END) AS INTEGER) AS rank
+FROM FF WHERE run_id = 0 GROUP BY feature_map""")
