@@ -74,8 +74,9 @@ def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score",
     group_cols = group_cols or []
     per_score = df.groupBy(*group_cols, score).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    totals = per_score.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     cum = ordered_prefix(per_score, group_cols, score, ["pos", "neg"], max_groups=max_groups)
+    # totals from the running sums (read from the checkpoint: the scores are computed once)
+    totals = cum.groupBy(*group_cols).agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
     if group_cols:
         cum = cum.join(bounded_broadcast(totals, max_groups), group_cols)
     else:

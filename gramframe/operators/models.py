@@ -49,9 +49,12 @@ def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.R
                  key: str = "row_key", target: str = "y") -> RunData:
     """Subsets for every run, preprocessing fitted on each subset, applied to the subset and
     to the whole test split (one copy per run), angles for the fidelity kernels."""
-    subsets = sampling.balanced_subsets(train, target, key, runs)
+    # small derived tables (sum of subset sizes rows, one stats row per run) are materialised
+    # once: the fits, landmark collections and both models read them
+    subsets = cut_lineage(sampling.balanced_subsets(train, target, key, runs))
     pre = prep.fit_preprocessor(subsets, features, ["run_id"], max_groups=len(runs),
                                 rows_per_group=max(r.size for r in runs))
+    pre.stats = cut_lineage(pre.stats)
     sub_s = pre.transform(subsets)
     test_s = None
     if test is not None:
@@ -61,8 +64,8 @@ def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.R
     n = len(features)
     pairs = ", ".join(f"`{c}`" for c in features)
     cells = sub_s.selectExpr("run_id", f"stack({n}, {pairs}) as (v)")
-    gammas = cells.groupBy("run_id").agg((F.lit(1.0) / (F.lit(float(n)) * F.var_pop("v"))).alias("gamma"))
-    return RunData(encode_angles(sub_s, features, keep=True), test_s, gammas)
+    gammas = cut_lineage(cells.groupBy("run_id").agg((F.lit(1.0) / (F.lit(float(n)) * F.var_pop("v"))).alias("gamma")))
+    return RunData(cut_lineage(encode_angles(sub_s, features, keep=True)), test_s, gammas)
 
 
 def _scaled_by_gamma(df: DataFrame, gammas: DataFrame, features: list[str], n_runs: int) -> DataFrame:

@@ -42,7 +42,12 @@ def test_w(spark, sf_dir):
 
 
 def subset_w(spark, sf_dir, size=SUBSET, seed=SEED):
-    return sampling.balanced_subset(train_w(spark, sf_dir), TARGET, KEY, size, seed)
+    """Balanced subset of the training split, checkpointed (at most `size` rows): the fit, the
+    landmark collection and the queries read it without re-running the window."""
+    key = (spark.sparkContext.applicationId, sf_dir, "subset", size, seed)
+    if key not in _MATERIALIZED:
+        _MATERIALIZED[key] = cut_lineage(sampling.balanced_subset(train_w(spark, sf_dir), TARGET, KEY, size, seed))
+    return _MATERIALIZED[key]
 
 
 @query("q_stratified_split")
