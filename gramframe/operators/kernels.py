@@ -158,7 +158,9 @@ def _long_form(scored: DataFrame, group_col: str | None, lsets: dict, symmetric:
                i_pos: str | None) -> DataFrame:
     """Explode a per-row kernel array into (group, i_key, j_key, k); keys from literals."""
     base = ([group_col] if group_col else []) + ["i_key"] + (["i_pos"] if i_pos else [])
-    ex = scored.select(*base, F.posexplode("_k").alias("_j", "k"))
+    # outer form: the arrays are never null or empty, and a non-outer generator makes the
+    # optimizer infer a size(_k) > 0 filter that evaluates the Python UDF a second time
+    ex = scored.select(*base, F.posexplode_outer("_k").alias("_j", "k"))
     if group_col is None:
         ls = lsets[None]
         keys, poss = F.lit(ls.keys), F.lit(ls.positions)

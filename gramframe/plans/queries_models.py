@@ -186,3 +186,11 @@ def q_bench_ranking_metrics(spark, sf_dir):
 
 
 import numpy as np  # noqa: E402
+
+
+@query("q_summary")
+def q_summary(spark, sf_dir):
+    """M7: the whole study (baseline, map study, comparison, kernel diagnostics) as one nested
+    summary row."""
+    from .study import run_study
+    return run_study(spark, sf_dir)
