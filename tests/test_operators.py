@@ -236,3 +236,18 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     batch = score_stream(df, pre, lm, "pauli", 2, feats)
     for r in batch.collect():
         assert got[r["row_key"]] == pytest.approx(r["score"], abs=1e-12)
+
+
+def test_skewed_class_and_hot_score(spark):
+    """One class holds 90% of the rows and one score a third of them: ranks, split and AUC stay exact."""
+    rows = [(f"k{i}", 0 if i % 10 else 1, 0.5 if i % 3 == 0 else (i % 97) / 97.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_key string, y int, score double")
+    s = sampling.stratified_split(df, "y", "row_key", 9, 0.2)
+    c = {(r["y"], r["split"]): r["count"] for r in s.groupBy("y", "split").count().collect()}
+    assert c[(0, "test")] + c[(1, "test")] == 600 and c[(1, "test")] == 60
+    r = metrics.ranking_metrics(df, "y", "score").first()
+    y = np.array([t[1] for t in rows])
+    sc = np.array([t[2] for t in rows])
+    pos, neg = sc[y == 1], sc[y == 0]
+    auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert r["roc_auc"] == pytest.approx(auc)
