@@ -27,13 +27,24 @@ def bounded_broadcast(df: DataFrame, row_bound: int) -> DataFrame:
     return F.broadcast(df) if row_bound <= BROADCAST_ROW_LIMIT else df
 
 
+def bucket_digits(df: DataFrame, minimum: int = 3) -> int:
+    """Hex digits of the hash prefix: at least 4 buckets per shuffle partition (4096 minimum),
+    so (group, bucket) windows stay small as the cluster and the data grow."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = minimum
+    while 16 ** digits < 4 * parts and digits < 6:
+        digits += 1
+    return digits
+
+
 def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, tie_col: str,
-              *, max_groups: int, prefix_hex: int = 3, rank_col: str = "rank") -> DataFrame:
+              *, max_groups: int, prefix_hex: int | None = None, rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col``: exact 1-based rank of each row within ``group_cols`` ordered by (hash, tie).
 
     ``hash_col`` must be a lowercase hex digest (uniform). ``max_groups`` bounds the number of
     groups (e.g. classes x runs); the offsets table has at most max_groups * 16**prefix_hex rows.
     """
+    prefix_hex = prefix_hex or bucket_digits(df)
     n_buckets = 16 ** prefix_hex
     bucketed = df.withColumn(
         "_bucket", F.conv(F.substring(F.col(hash_col), 1, prefix_hex), 16, 10).cast("int"))

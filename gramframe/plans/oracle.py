@@ -212,3 +212,9 @@ sql("q_average_precision", with_(W, *SPLIT_W, SCORED_LINES)
     + f"SELECT round({_ap_sql('SL')}, 6) + 0.0 AS average_precision")
 sql("q_ranking_metrics_docs", with_(D, SCORED_DOCS)
     + f"SELECT round({_auc_sql('SD')}, 6) + 0.0 AS roc_auc, round({_ap_sql('SD')}, 6) + 0.0 AS average_precision")
+
+from ..sources.csv_io import CONTRACT_FEATURES  # noqa: E402
+
+sql("q_csv_contract", with_(W) + "SELECT count(*) AS rows, count(*) FILTER (WHERE y = 0) AS n0, "
+    "count(*) FILTER (WHERE y = 1) AS n1, " + ", ".join(
+        f"count(*) FILTER (WHERE {f} IS NULL) AS missing_{c}" for f, c in zip(FEATS, CONTRACT_FEATURES)) + " FROM W")

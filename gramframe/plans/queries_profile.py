@@ -61,3 +61,26 @@ def q_head(spark, sf_dir):
     w = fixture_w(spark, sf_dir).withColumn("_h", order_hash(SEED, "order", KEY))
     return (w.orderBy("_h", KEY).limit(16)
             .select(KEY, *FEATURES, TARGET))
+
+
+@query("q_csv_contract")
+def q_csv_contract(spark, sf_dir):
+    """W written as a CSV under the input contract (fixed names and order, blank =
+    missing), read back with a declared schema and header check, label domain validated,
+    then profiled (rows, class counts, missing per feature)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv_io import CONTRACT_FEATURES, CONTRACT_TARGET, read_feature_csv
+
+    w = fixture_w(spark, sf_dir)
+    named = w.select(*[F.col(f).alias(c) for f, c in zip(FEATURES, CONTRACT_FEATURES)],
+                     F.col(TARGET).alias(CONTRACT_TARGET))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    named.write.mode("overwrite").option("header", True).csv(path)
+    back = read_feature_csv(spark, path, CONTRACT_FEATURES, CONTRACT_TARGET)
+    counts = back.agg(F.count(F.lit(1)).alias("rows"),
+                      F.count_if(F.col(CONTRACT_TARGET) == 0).alias("n0"),
+                      F.count_if(F.col(CONTRACT_TARGET) == 1).alias("n1"),
+                      *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in CONTRACT_FEATURES])
+    return counts

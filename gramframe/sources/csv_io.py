@@ -15,6 +15,12 @@ from ..functions.columns import nan_to_null
 from ..operators.profile import validate_columns, validate_labels
 
 
+# The column contract of the studied input table (names and order).
+CONTRACT_FEATURES = ["ph", "Hardness", "Solids", "Chloramines", "Sulfate", "Conductivity",
+                     "Organic_carbon", "Trihalomethanes", "Turbidity"]
+CONTRACT_TARGET = "Potability"
+
+
 def feature_schema(features: list[str], target: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.DoubleType(), True) for c in features]
                         + [T.StructField(target, T.DoubleType(), True)])
