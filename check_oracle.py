@@ -14,7 +14,8 @@ from gramframe.session import local_session
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or sorted(QUERIES)
-    spark = local_session()
+    import os
+    spark = local_session(shuffle_partitions=int(os.environ.get("CHECK_SHUFFLE_PARTITIONS", "8")))
     bad = 0
     for name in names:
         if name not in ORACLE:

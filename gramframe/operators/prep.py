@@ -68,7 +68,12 @@ class Preprocessor:
             cols = [scaled(c, F.col(f"med_{c}"), F.col(f"mu_{c}"), F.col(f"sd_{c}")) for c in self.features]
             return joined.select(*[F.col(c) for c in keep], *cols)
         # one group: the statistics are a handful of numbers, applied as literals (like a fitted model)
-        row = self.stats.first().asDict()
+        if getattr(self, "_row", None) is None:
+            self._row = self.stats.first().asDict()
+            empty = [c for c in self.features if self._row[f"med_{c}"] is None]
+            if empty:
+                raise ValueError(f"features without any observed value cannot be imputed: {empty}")
+        row = self._row
         cols = [scaled(c, F.lit(row[f"med_{c}"]), F.lit(row[f"mu_{c}"]), F.lit(row[f"sd_{c}"]))
                 for c in self.features]
         return df.select(*[F.col(c) for c in keep], *cols)

@@ -251,3 +251,9 @@ def test_skewed_class_and_hot_score(spark):
     pos, neg = sc[y == 1], sc[y == 0]
     auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert r["roc_auc"] == pytest.approx(auc)
+
+
+def test_all_missing_feature_is_an_error(spark):
+    df = spark.createDataFrame([(0, None, 1.0), (1, None, 2.0)], "y int, x double, z double")
+    with pytest.raises(ValueError):
+        prep.fit_preprocessor(df, ["x", "z"], rows_per_group=10).transform(df)
