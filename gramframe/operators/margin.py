@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -67,14 +68,23 @@ def train_grid(data: DataFrame, group_col: str, cols: list[str], label: str, spe
                iters: int = 60) -> dict[int, tuple[np.ndarray, float]]:
     """Weights (w, b) per model. ``data`` should be materialised (it is read once per step)."""
     spark = data.sparkSession
-    counts = {r[group_col]: r["n"] for r in data.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(cols) == 1 and isinstance(data.schema[cols[0]].dataType, T.ArrayType):
+        sq = F.aggregate(F.col(cols[0]), F.lit(0.0), lambda acc, v: acc + v * v)
+    else:
+        sq = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+    stats = data.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.max(sq).alias("sq")).collect()
+    counts = {r[group_col]: r["n"] for r in stats}
+    max_sq = {r[group_col]: float(r["sq"] or 0.0) for r in stats}
     by_group: dict[int, list[ModelSpec]] = {}
     for s in specs:
         by_group.setdefault(s.group, []).append(s)
     theta = {s.model_id: np.zeros(s.fmap.out_dim + 1) for s in specs}
     prev = {k: v.copy() for k, v in theta.items()}
     lam = {s.model_id: 1.0 / (s.C * max(counts.get(s.group, 1), 1)) for s in specs}
-    step = {s.model_id: 1.0 / (lam[s.model_id] + 4.0) for s in specs}   # Lipschitz bound, |z|^2 <= 2
+    # Lipschitz bound of the mean squared hinge gradient: 2 max |(z, 1)|^2 (+ lambda);
+    # random Fourier features have |z|^2 <= 2, the identity map the largest row norm seen
+    zmax = {s.model_id: (2.0 if s.fmap.gamma is not None else max_sq.get(s.group, 0.0)) for s in specs}
+    step = {s.model_id: 1.0 / (lam[s.model_id] + 2.0 * (zmax[s.model_id] + 1.0)) for s in specs}
     sc = spark.sparkContext
     schema = "model_id int, grad array<double>"
     for t in range(1, iters + 1):
