@@ -41,5 +41,9 @@ def read_feature_csv(spark: SparkSession, path: str, features: list[str], target
 
 
 def with_row_key(df: DataFrame, key: str = "row_key") -> DataFrame:
-    """A stable row identity for a table without one (the CSV has only an implicit index)."""
-    return df.withColumn(key, F.monotonically_increasing_id().cast("string"))
+    """A row identity for a table without one (the CSV has only an implicit index).
+
+    The id depends on the partition layout, so the keyed table is checkpointed at once: a
+    recomputation after an executor loss must not renumber rows that later joins rely on."""
+    from ..session import cut_lineage
+    return cut_lineage(df.withColumn(key, F.monotonically_increasing_id().cast("string")))
