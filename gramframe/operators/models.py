@@ -188,16 +188,16 @@ def rbf_svm_cv(train: DataFrame, features: list[str], key: str, target: str, see
     from . import margin
     spark = train.sparkSession
     folded = cut_lineage(sampling.stratified_folds(train, target, key, seed, k))
-    train_parts, val_parts, gammas = [], [], {}
-    for f in range(k):
-        tr = folded.where(F.col("fold") != f)
-        va = folded.where(F.col("fold") == f)
-        pre = prep.fit_preprocessor(tr, features)
-        bal = sampling.undersample(pre.transform(tr), target, key, seed)
-        train_parts.append(bal.select(F.lit(f).alias("grp"), key, target, *features))
-        val_parts.append(pre.transform(va).select(F.lit(f).alias("grp"), key, target, *features))
-    tr_all = cut_lineage(_union(train_parts))
-    va_all = cut_lineage(_union(val_parts))
+    # every row trains the k - 1 folds it is not in: one grouped fit and one grouped
+    # undersampling for all folds (a Generate, no per-fold driver loop)
+    training = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp")) \
+        .where(F.col("grp") != F.col("fold"))
+    pre = prep.fit_preprocessor(training, features, ["grp"], max_groups=k)
+    pre.stats = cut_lineage(pre.stats)
+    bal = sampling.undersample(pre.transform(training), target, key, seed, ["grp"], max_groups=k)
+    tr_all = cut_lineage(bal.select("grp", key, target, *features))
+    va_all = cut_lineage(pre.transform(folded.withColumn("grp", F.col("fold"))).select("grp", key, target, *features))
+    gammas = {}
     for f in range(k):
         part = tr_all.where(F.col("grp") == f)
         for g in gamma_grid:

@@ -138,14 +138,19 @@ def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], chec
 
 
 # ------------------------------------------------------------------ D3 undersampling
-def undersample(df: DataFrame, target: str, key: str, seed: int) -> DataFrame:
-    """Every class down to the minority count, without replacement (exact, distributed)."""
-    counts = class_counts(df, target)
-    minority = counts.agg(F.min("n").alias("_m"))
+def undersample(df: DataFrame, target: str, key: str, seed: int, group_cols: list[str] | None = None,
+                max_groups: int = 1) -> DataFrame:
+    """Every class down to the minority count (per group), without replacement (exact, distributed)."""
+    g = group_cols or []
+    counts = df.groupBy(*g, target).agg(F.count(F.lit(1)).alias("n"))
     h = df.withColumn("_h", order_hash(seed, "undersample", key))
-    ranked = hash_rank(h, [target], "_h", key, max_groups=MAX_CLASSES)
-    m = minority.first()["_m"]  # one number
-    return ranked.where(F.col("rank") <= F.lit(m)).drop("_h", "rank")
+    ranked = hash_rank(h, [*g, target], "_h", key, max_groups=MAX_CLASSES * max_groups)
+    if not g:
+        m = counts.agg(F.min("n")).first()[0]  # one number
+        return ranked.where(F.col("rank") <= F.lit(m)).drop("_h", "rank")
+    minority = counts.groupBy(*g).agg(F.min("n").alias("_m"))
+    return (ranked.join(bounded_broadcast(minority, max_groups), g)
+            .where(F.col("rank") <= F.col("_m")).drop("_h", "rank", "_m"))
 
 
 # ------------------------------------------------------------------ D4 stratified folds
