@@ -194,3 +194,15 @@ def q_summary(spark, sf_dir):
     summary row."""
     from .study import run_study
     return run_study(spark, sf_dir)
+
+
+@query("q_compare_models")
+def q_compare_models(spark, sf_dir):
+    """M5 as in the study: the feature map chosen by the map study (A19), then both models over
+    sizes x repeats scoring the whole test split (rows-only; the pauli variant has an oracle)."""
+    runs, data = _study_data(spark, sf_dir)
+    st = models.map_study(data, runs, FEATURE_MAPS, CIRCUIT_REPETITIONS, N, CV_FOLDS, KEY, TARGET)
+    chosen = report.choose_by_mean(st, "feature_map", "cv_f1").where(F.col("rank") == 1).first()["feature_map"]
+    c = comparison(spark, sf_dir, chosen)
+    return c.select(F.lit(chosen).alias("feature_map"), "model", "subset_size", "repeat",
+                    *[r6(m).alias(m) for m in models.SIX])
