@@ -41,3 +41,19 @@ def test_choose_by_mean_ties(spark):
     t = spark.createDataFrame([("zz", 0.5), ("custom", 0.5), ("pauli", 0.4)], "feature_map string, cv_f1 double")
     ranked = {r["feature_map"]: r["rank"] for r in report.choose_by_mean(t, "feature_map", "cv_f1").collect()}
     assert ranked["custom"] == 1 and ranked["zz"] == 2 and ranked["pauli"] == 3
+
+
+def test_whole_study_quick_profile_with_sinks(spark, tmp_path):
+    """M7 end to end with the quick profile: every sink is written and the summary is whole."""
+    from conftest import SF001
+    from gramframe.plans.study import run_study
+    out = str(tmp_path / "results")
+    doc = run_study(spark, SF001, StudyConfig().quick(), output_dir=out).first().asDict(recursive=True)
+    assert doc["selected_feature_map"] == "custom" and doc["n_qubits"] == 9
+    assert doc["data"]["rows"] == 6000 and doc["data"]["features"] == 9
+    assert len(doc["comparison_mean"]) == 2            # two models x one size
+    assert spark.read.json(f"{out}/summary").count() == 1
+    assert spark.read.json(f"{out}/classical_metrics").count() == 1
+    assert spark.read.option("header", True).csv(f"{out}/feature_map_results").count() == 1
+    assert spark.read.option("header", True).csv(f"{out}/model_comparison").count() == 2
+    assert spark.read.parquet(f"{out}/kernel_matrix").count() == 16 * 17 // 2
