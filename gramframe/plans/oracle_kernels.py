@@ -579,3 +579,23 @@ SELECT feature_map AS params, {r6('avg(f1)')} AS mean_f1, {r6('stddev_pop(f1)')}
        CAST(row_number() OVER (ORDER BY avg(f1) DESC,
             CASE feature_map WHEN 'zz' THEN 1 WHEN 'pauli' THEN 2 ELSE 3 END) AS INTEGER) AS rank
 FROM FF WHERE run_id = 0 GROUP BY feature_map""")
+
+sql("q_rbf_expansion_metrics", with_(*BASE64, _GAMMA) + f""",
+RS AS (SELECT t.row_key, t.y,
+              round(sum(CASE WHEN s.y = 1 THEN 1.0 / (SELECT count(*) FROM SUBP WHERE y = 1)
+                             ELSE -1.0 / (SELECT count(*) FROM SUBP WHERE y = 0) END
+                        * exp(-(SELECT g FROM GAM) * ({' + '.join(f'pow(t.{c} - s.{c}, 2)' for c in FEATS)}))), 9) AS score
+       FROM WEP t, SUBP s GROUP BY t.row_key, t.y),
+SR AS (SELECT row_key, y, score, CAST(score > 0 AS INTEGER) AS pred FROM RS),
+CM AS (SELECT count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+              count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp FROM SR)
+SELECT tn, fp, fn, tp,
+  {r6('CAST(tp + tn AS DOUBLE) / (tn + fp + fn + tp)')} AS accuracy,
+  {r6('CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) ELSE 0 END')} AS balanced_accuracy,
+  {r6('CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END')} AS precision,
+  {r6('CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END')} AS recall,
+  {r6('CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END')} AS f1,
+  {r6('CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) ELSE 0 END')} AS specificity,
+  {r6('CASE WHEN tn + fp > 0 THEN CAST(fp AS DOUBLE) / (tn + fp) ELSE 0 END')} AS false_positive_rate,
+  {r6(_auc_sql('SR'))} AS roc_auc, {r6(_ap_sql('SR'))} AS average_precision
+FROM CM""")

@@ -206,3 +206,21 @@ def q_compare_models(spark, sf_dir):
     c = comparison(spark, sf_dir, chosen)
     return c.select(F.lit(chosen).alias("feature_map"), "model", "subset_size", "repeat",
                     *[r6(m).alias(m) for m in models.SIX])
+
+
+@query("q_rbf_expansion_metrics")
+def q_rbf_expansion_metrics(spark, sf_dir):
+    """J5 + J12 + A13-A16: the whole test split scored by RBF kernel expansion ('scale' gamma)
+    against the 64-row subset (class-mean weights), then the full metrics record."""
+    sub = subset_w(spark, sf_dir)
+    pre = prep.fit_preprocessor(sub, FEATURES, rows_per_group=SUBSET)
+    sub_s, test_s = pre.transform(sub), pre.transform(test_w(spark, sf_dir))
+    gamma = kernels.gamma_value(sub_s, FEATURES, "scale").first()["gamma"]
+    g = gamma ** 0.5
+    sub_g = sub_s.select(KEY, TARGET, "position", *[(F.col(c) * g).alias(c) for c in FEATURES])
+    test_g = test_s.select(KEY, TARGET, *[(F.col(c) * g).alias(c) for c in FEATURES])
+    s = ks.kernel_scores(test_g, ks.class_mean_coefficients(sub_g, TARGET), models.rbf_unit, FEATURES)
+    s = s.withColumn("score", F.round("score", 9)).withColumn("pred", (F.col("score") > 0).cast("int"))
+    m = metrics.metrics_record(s, TARGET, "pred", "score")
+    return m.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in metrics.METRIC_NAMES],
+                    r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
