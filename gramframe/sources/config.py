@@ -42,7 +42,7 @@ def from_mapping(config: dict, quick: bool = False, **overrides) -> StudyConfig:
             continue
         v = resolve(overrides.get(name), config, name, getattr(base, name))
         values[name] = tuple(v) if isinstance(v, list) else v
-    nested = config.get("nexus", {}) or {}
+    nested = config.get("remote", {}) or {}   # the remote-kernel section
     values["remote_subset_size"] = resolve(overrides.get("remote_subset_size"), nested, "subset_size",
                                            values["remote_subset_size"])
     values["remote_shots"] = resolve(overrides.get("remote_shots"), nested, "n_shots", values["remote_shots"])

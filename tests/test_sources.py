@@ -8,7 +8,7 @@ from gramframe.sources.config import StudyConfig, from_mapping, resolve
 
 
 def test_config_precedence_and_quick():
-    cfg = from_mapping({"seed": 5, "cv_folds": 3, "nexus": {"subset_size": 12}}, cv_folds=4)
+    cfg = from_mapping({"seed": 5, "cv_folds": 3, "remote": {"subset_size": 12}}, cv_folds=4)
     assert cfg.seed == 5 and cfg.cv_folds == 4 and cfg.remote_subset_size == 12
     q = StudyConfig().quick()
     assert q.feature_maps == ("custom",) and q.subset_sizes == (16,) and q.repeats == 1
