@@ -21,6 +21,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gra
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of materialised intermediates are removed once no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("GRAMFRAME_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
