@@ -93,7 +93,6 @@ def solve(sym, starts, nwin, doc, key, width) -> np.ndarray:
     base = np.cumsum(nwin) - nwin
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
-    words = sym.tolist()
     at, n = 0, len(order)
     while at < n:
         end = int(np.searchsorted(k, k[at], side="right"))
@@ -102,7 +101,7 @@ def solve(sym, starts, nwin, doc, key, width) -> np.ndarray:
             same = at
             while same < end and d[same] == d[at]:
                 same += 1
-            held = [(int(i), words[starts[i]:starts[i] + nwin[i] + width - 1]) for i in order[at:same]]
+            held = [(int(i), sym[starts[i]:starts[i] + nwin[i] + width - 1].tolist()) for i in order[at:same]]
             if len(reference.next) > 1:
                 for i, word in held:
                     stats = reference.matches(word)[width - 1:]

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 MESSAGE = "dest int, src int, blob binary"
 
 
@@ -29,14 +29,14 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int | None = N
     return max(1, -(-int(total) // (block_bytes or BLOCK_BYTES)))
 
 
-def bucket_count(n_blocks: int, share: int = 3) -> int:
+def bucket_count(n_blocks: int, share: int = 2) -> int:
     return max(1, -(-n_blocks // share))
 
 
 def to_blocks(docs: DataFrame, n_blocks: int, columns: list[str], by: str = "doc_id") -> DataFrame:
     """Rows (b, blob): ``columns`` of the documents, packed by block. A null id hashes like any value."""
     rows = docs.select(F.pmod(F.xxhash64(F.col(by)), F.lit(n_blocks)).cast("int").alias("b"), *[F.col(c) for c in columns])
-    return rows.mapInArrow(_pack, "b int, blob binary")
+    return rows.mapInArrow(_pack, "b int, blob binary").repartition(n_blocks, "b")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +133,20 @@ def per_block(blocks: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return blocks.groupBy("b").applyInArrow(run, schema)
 
 
-def per_block_with(blocks: DataFrame, messages: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn(block number, documents, [(src, blob)]) -> pa.Table; messages are addressed by ``dest``."""
+def per_block_with(blocks: DataFrame, n_blocks: int, messages: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """fn(block number, documents, [(src, blob)]) -> pa.Table; messages are addressed by ``dest``.
+
+    Partition counts are stated: messages are small beside the work they cause, so merging
+    partitions by their bytes would leave few tasks."""
+    messages = messages.repartition(n_blocks, "dest")
     def run(key, left, right):
         return fn(key[0].as_py(), unpack_docs(left), received(right))
     return blocks.groupBy("b").cogroup(messages.groupBy("dest")).applyInArrow(run, schema)
 
 
-def per_bucket(messages: DataFrame, fn: Callable, schema: str = MESSAGE) -> DataFrame:
+def per_bucket(messages: DataFrame, n: int, fn: Callable, schema: str = MESSAGE) -> DataFrame:
     """fn(bucket, [(src, blob)]) -> pa.Table."""
+    messages = messages.repartition(n, "dest")
     def run(key, table):
         return fn(key[0].as_py(), received(table))
     return messages.groupBy("dest").applyInArrow(run, schema)

@@ -142,7 +142,7 @@ def encode(docs: DataFrame, path: str | None = None, n_blocks: int | None = None
 
     schema = SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return B.per_block_with(blocks, B.per_bucket(B.per_block(blocks, send, B.MESSAGE), answer), finish, schema)
+    return B.per_block_with(blocks, nb, B.per_bucket(B.per_block(blocks, send, B.MESSAGE), ng, answer), finish, schema)
 
 
 _COLUMNS = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

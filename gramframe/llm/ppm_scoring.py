@@ -135,7 +135,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = H
                          "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)),
                          "base_score": pa.array(base), "score": pa.array(_sums(per_byte, n_bytes))})
 
-    return B.per_block_with(blocks, B.per_bucket(B.per_block(blocks, send, B.MESSAGE), answer), finish, SCHEMA)
+    return B.per_block_with(blocks, nb, B.per_bucket(B.per_block(blocks, send, B.MESSAGE), ng, answer), finish, SCHEMA)
 
 
 _COLUMNS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),

@@ -172,10 +172,10 @@ def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
         return spec.cut(table, state, starts, lens, np.cumsum(edge[:-1]) > 0)
 
     asked = B.per_block(blocks, send_contexts, B.MESSAGE)
-    coded = B.per_bucket(asked, answer)
-    opened = B.per_block_with(blocks, coded, send_open, B.MESSAGE)
-    solved = B.per_bucket(opened, solve)
-    return B.per_block_with(blocks, solved, finish, spec.schema)
+    coded = B.per_bucket(asked, ng, answer)
+    opened = B.per_block_with(blocks, nb, coded, send_open, B.MESSAGE)
+    solved = B.per_bucket(opened, ng + nb, solve)
+    return B.per_block_with(blocks, nb, solved, finish, spec.schema)
 
 
 def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _LOW = np.uint64(0xFFFFFF)
-PIECE = 1 << 20  # windows handled at once; bounds the memory of a long document
+PIECE = 1 << 17  # windows handled at once; bounds the memory of a long document
 
 
 def mix(x: np.ndarray) -> np.ndarray:
