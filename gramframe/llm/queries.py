@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 from ..sources.tables import read_table
+from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,12 +40,33 @@ def op3(spark, sf_dir):
     return remove_repeated_bytes(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op5_line_dedup", oracle.OP5)
+def op5(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .line_dedup import delete_repeated_runs
+    out = delete_repeated_runs(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_quality_rules", oracle.OP6)
+def op6(spark, sf_dir):
+    from .quality_rules import quality
+    return quality(documents(spark, sf_dir)).drop("text", "cleaned_text")
+
+
 @query("op7_bpe")
 def op7(spark, sf_dir):
     from .bpe import encode
     return encode(documents(spark, sf_dir))
 
 
+@query("op8_mix_sources")
+def op8(spark, sf_dir):
+    from .mixing import mix
+    return mix(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])).drop("text")
+
+
 @query("op9_automaton_dedup")
 def op9(spark, sf_dir):
     from .automaton_dedup import remove_repeated_words
