@@ -34,12 +34,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
+@query("op1_posting_lists")
+def op1(spark, sf_dir):
+    from .posting_lists import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+@query("op2_minhash_near_dup")
+def op2(spark, sf_dir):
+    from .near_dup import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
 @query("op3_suffix_array_dedup")
 def op3(spark, sf_dir):
     from .suffix_dedup import remove_repeated_bytes
     return remove_repeated_bytes(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    from .toxicity import score
+    return score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 @query("op5_line_dedup", oracle.OP5)
 def op5(spark, sf_dir):
     from pyspark.sql import functions as F
