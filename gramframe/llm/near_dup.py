@@ -13,8 +13,8 @@ Sharing an entry only makes a candidate; links are confirmed on the full shingle
 equal sets are folded first. Within an entry every member is paired with the least member, so
 groups of copies cost a star, not all pairs; components of the confirmed links follow, and then
 every remaining pair of members that still lie in different components is confirmed too, so no link
-is lost to the star. Hot entries are folded per partition before the shuffle, confirmation groups
-are salted to at most ``GROUP`` members.
+is lost to the star: pairs of small entries one by one, those of hot entries in blocks of documents
+(``hot_links``). Entries are folded per partition before the shuffle, groups are salted.
 
 Shingles are compared by 64-bit hashes. Defined results: documents without words or text have an empty
 set and no links; a null doc_id takes no part (component null, kept); rows with one doc_id are one
@@ -39,7 +39,8 @@ from .windows import mix, window_hash
 
 SHINGLE, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
-GROUP = 256
+GROUP = 256  # members of a confirmation group
+SMALL, BLOCK = 32, 512  # members of an entry whose pairs are listed; documents of a block of a hot cluster
 _CODES = CHUNKS * WIDTH
 _A = mix(np.arange(1, _CODES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _B = mix(np.arange(1, _CODES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -171,8 +172,9 @@ def star_pairs(reps: DataFrame, n_parts: int) -> DataFrame:
     return B.per_bucket(sent, n_parts, meet, PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def open_pairs(reps: DataFrame, pairs: DataFrame, label: DataFrame, tested: DataFrame, n_parts: int, percent: int) -> DataFrame:
-    """(a, b): members of one entry that lie in different components, sizes admitting a link, not yet tested."""
+def open_entries(reps: DataFrame, pairs: DataFrame, label: DataFrame, n_parts: int, percent: int) -> DataFrame:
+    """What the stars left open: (a, b, hot). Of entries with up to ``SMALL`` members, the pairs in different
+    components whose sizes admit a link (hot false); of larger ones a star of all members (hot true)."""
     touched = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     rows = reps.join(touched, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     rows = rows.select("rep", "n_shingles", "sig", F.coalesce("root", "rep").alias("root"))
@@ -198,32 +200,32 @@ def open_pairs(reps: DataFrame, pairs: DataFrame, label: DataFrame, tested: Data
         order = np.lexsort((ids, roots, k))
         k, ids, sizes, roots = k[order], ids[order], sizes[order], roots[order]
         new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        found: set[tuple[int, int]] = set()
+        near: set[tuple[int, int]] = set()
+        hot: set[tuple[int, int]] = set()
         for lo, hi in zip(new.tolist(), np.append(new[1:], len(k)).tolist()):
             if hi - lo < 2 or roots[lo] == roots[hi - 1]:
                 continue
             d, z, r = ids[lo:hi], sizes[lo:hi], roots[lo:hi]
+            if len(d) > SMALL:
+                least = int(d.min())
+                hot.update((least, x) for x in d.tolist() if x != least)
+                continue
             for i in range(len(d) - 1):
                 j = np.searchsorted(r, r[i], side="right")  # members of later components
-                fit = (100 * np.minimum(z[i], z[j:]) >= percent * np.maximum(z[i], z[j:]))
-                for other in d[j:][fit].tolist():
-                    found.add((min(int(d[i]), other), max(int(d[i]), other)))
-        both = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+                fit = 100 * np.minimum(z[i], z[j:]) >= percent * np.maximum(z[i], z[j:])
+                near.update((min(int(d[i]), x), max(int(d[i]), x)) for x in d[j:][fit].tolist())
+        both = np.array(sorted(near) + sorted(hot), np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1], "hot": pa.array([False] * len(near) + [True] * len(hot), pa.bool_())})
 
-    pairs = B.per_bucket(rows.mapInArrow(send, B.MESSAGE), n_parts, meet, "a long, b long").distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return B.per_bucket(rows.mapInArrow(send, B.MESSAGE), n_parts, meet, "a long, b long, hot boolean").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
-    pairs = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod("salt", "salts").cast("int"))
-    roles = salted.select(F.col("b").alias("node"), F.struct(F.col("a"), F.col("salt"), F.lit(False).alias("leads")).alias("r")).union(
-        counts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a"))
-        .select("node", F.struct(F.col("a"), F.col("salt"), F.lit(True).alias("leads")).alias("r")))
-    member = roles.groupBy("node").agg(F.collect_list("r").alias("roles"))
+GROUPED = "g long, k int, m int, asks boolean, root long, node long, set binary"
+
+
+def _sets(roles: DataFrame, docs: DataFrame, shingle: int, id_col: str, text: str) -> DataFrame:
+    """Rows of GROUPED: the shingle set of every (node, g, k, m, asks, root) of ``roles``, each text read once."""
+    member = roles.groupBy("node").agg(F.collect_list(F.struct("g", "k", "m", "asks", "root")).alias("roles"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,32 +234,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_
                 batch = whole.slice(lo, 500)
                 flat, sizes = shingle_sets(B.texts(batch), shingle)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                out = {"a": [], "salt": [], "leads": [], "node": [], "set": []}
-                for i, (node, roles_) in enumerate(zip(batch.column("node").to_pylist(), batch.column("roles").to_pylist())):
-                    blob = flat[at[i]:at[i + 1]].tobytes()
-                    for r in roles_:
-                        for c, v in zip(out, (r["a"], r["salt"], r["leads"], node, blob)):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["leads"], pa.bool_()),
-                                                  pa.array(out["node"], pa.int64()), pa.array(out["set"], pa.binary())], list(out))
+                n_roles = [len(r) for r in batch.column("roles").to_pylist()]
+                who = np.repeat(np.arange(batch.num_rows), n_roles)
+                blobs = pa.array([flat[at[i]:at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())
+                role = batch.column("roles").flatten().flatten()
+                yield pa.RecordBatch.from_arrays([*role, batch.column("node").take(pa.array(who)), blobs.take(pa.array(who))],
+                                                 ["g", "k", "m", "asks", "root", "node", "set"])
+
+    return texts.join(member, "node").select("node", "text", "roles").mapInArrow(sets, GROUPED)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity; a's partners in salted groups."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    members = pairs.select("a", "b").join(counts, "a").select(F.col("b").alias("node"), F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("k"),
+                                                zero.alias("m"), F.lit(False).alias("asks"), none.alias("root"))
+    leads = counts.select(F.col("a").alias("node"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("k"),
+                          zero.alias("m"), F.lit(True).alias("asks"), none.alias("root"))
 
     def compare(key, table):
-        leads = table.column("leads").to_pylist()
+        asks = table.column("asks").to_pylist()
         blobs = table.column("set").to_pylist()
-        lead = [np.frombuffer(x, np.uint64) for x, is_lead in zip(blobs, leads) if is_lead]
+        lead = [np.frombuffer(x, np.uint64) for x, one in zip(blobs, asks) if one]
         hit = []
-        for node, x, is_lead in zip(table.column("node").to_pylist(), blobs, leads):
-            if is_lead:
-                continue
+        for node, x, one in zip(table.column("node").to_pylist(), blobs, asks):
             own = np.frombuffer(x, np.uint64)
-            for one in lead:
-                common = len(np.intersect1d(one, own, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(own) - common):
+            for other in [] if one else lead:
+                common = len(np.intersect1d(other, own, assume_unique=True))
+                if 100 * common >= percent * (len(other) + len(own) - common):
                     hit.append(node)
         return pa.table({"a": pa.array([key[0].as_py()] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
 
-    rows = texts.join(member, "node").select("node", "text", "roles").mapInArrow(sets, "a long, salt int, leads boolean, node long, set binary")
-    return rows.groupBy("a", "salt").applyInArrow(compare, "a long, b long").distinct()
+    return _sets(members.union(leads), docs, shingle, id_col, text).groupBy("g", "k").applyInArrow(compare, "a long, b long").distinct()
+
+
+def hot_links(stars: DataFrame, label: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """Links (a, b) between different components inside clusters of hot entries.
+
+    Documents outside a cluster's largest component ask, all documents of the cluster answer; both
+    sides are dealt in blocks, so every pair that could still join two components meets in one bounded
+    group, where an inverted index counts common shingles. A group returns at most one link per asker and component."""
+    cluster = components(stars).select("node", F.col("root").alias("g")).join(label, "node", "left").select("node", "g", F.coalesce("root", "node").alias("root"))
+    cluster = cut_lineage(cluster)
+    parts = cluster.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    parts = parts.select("g", F.col("most.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ms"),
+                         F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("ks")).where("ks > 0")
+    rows = cluster.join(parts, "g")
+    answers = rows.select("node", "g", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("k"),
+                          F.pmod(F.xxhash64("node"), "ms").cast("int").alias("m"), F.lit(False).alias("asks"), "root")
+    asks = rows.where("root <> main").select("node", "g", F.pmod(F.xxhash64("node", F.lit("ask")), "ks").cast("int").alias("k"),
+                                             F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.lit(True).alias("asks"), "root")
+
+    def compare(key, table):
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        nodes, roots = np.array(table.column("node").to_pylist(), np.int64), np.array(table.column("root").to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        there = np.flatnonzero(~asks)
+        if not asks.any() or not len(there):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sizes = np.array([len(sets[i]) for i in there])
+        values = np.concatenate([sets[i] for i in there])
+        owner = np.repeat(np.arange(len(there)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        out = set()
+        for i in np.flatnonzero(asks):
+            lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(there))
+            fits = np.flatnonzero((100 * common >= percent * (sizes + len(sets[i]) - common)) & (roots[there] != roots[i]))
+            first: dict[int, int] = {}
+            for j in fits.tolist():
+                r = int(roots[there[j]])
+                first[r] = min(first.get(r, int(nodes[there[j]])), int(nodes[there[j]]))
+            out.update((min(int(nodes[i]), x), max(int(nodes[i]), x)) for x in first.values())
+        both = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    grouped = _sets(answers.union(asks), docs, shingle, id_col, text)
+    return grouped.groupBy("g", "k", "m").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,11 +330,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tested = cut_lineage(pairs.withColumn("k", F.row_number().over(best)).where("k <= 2").select("a", "b"))
     links = cut_lineage(confirmed(tested, docs, shingle, percent, id_col, text))
     label = components(links)
-    rest = cut_lineage(open_pairs(reps, pairs, label, tested, n_parts, percent))
-    if not rest.isEmpty():
-        late = cut_lineage(confirmed(rest, docs, shingle, percent, id_col, text))
-        if not late.isEmpty():
-            label = components(links.union(late))
+    rest = cut_lineage(open_entries(reps, pairs, label, n_parts, percent))
+    some = {r["hot"] for r in rest.select("hot").distinct().collect()}
+    late = []
+    if False in some:
+        untested = rest.where("not hot").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        late.append(confirmed(untested, docs, shingle, percent, id_col, text))
+    if True in some:
+        late.append(hot_links(rest.where("hot"), label, docs, shingle, percent, id_col, text))
+    for more in late:
+        links = links.union(cut_lineage(more))
+    if late:
+        label = components(links)
     rows = sig.join(reps.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
     # a doc_id with several different sets links its classes; the smallest of them stands for all
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
