@@ -65,7 +65,7 @@ def _words(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     flat = np.fromiter((number.setdefault(w, len(number)) for d in split for w in d), np.int64, sum(map(len, split)))
     words = list(number)
     h = np.array([xxh3_64_intdigest(w) for w in words], np.uint64)
-    order = sorted(range(len(words)), key=lambda i: (int(h[i]), words[i]))
+    order = np.argsort(h, kind="stable")  # ties keep the order of the block's documents
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     return rank[flat] if len(flat) else flat, np.array([len(d) for d in split], np.int64), [words[i] for i in order], h[order]
@@ -121,19 +121,28 @@ def encode(docs: DataFrame, path: str | None = None, n_blocks: int | None = None
         sizes = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         pool = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
         base = np.cumsum(sizes) - sizes
-        flat = pool[_expand(base[at], sizes[at])] if len(at) else pool[:0]
-        ends = np.cumsum(np.concatenate([[0], sizes[at]]))[np.cumsum(np.concatenate([[0], n_words]))] if len(at) else np.zeros(len(n_words) + 1, np.int64)
+        # the id-to-piece join, once per distinct word of the block
         pieces = _pieces(shared, tok)
         digits = _digits(len(pieces))
+        flat = pool.tolist()
+        spans = list(zip(base.tolist(), (base + sizes).tolist()))
+        word_ids = [" ".join([digits[i] for i in flat[a:z]]) for a, z in spans]
+        word_pieces = [" ".join([pieces[i] for i in flat[a:z]]) for a, z in spans]
         counts, id_sha, text_sha, id_lists, decoded = [], [], [], [], []
+        ends = np.cumsum(np.concatenate([[0], n_words]))
+        silent = bool((sizes == 0).any())
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            own = flat[lo:hi].tolist()
-            text = " ".join([pieces[i] for i in own])
-            counts.append(hi - lo)
-            id_sha.append(hashlib.sha256(" ".join([digits[i] for i in own]).encode()).hexdigest())
+            own = at[lo:hi]
+            if silent:
+                own = own[sizes[own] > 0]  # words without tokens take no separator
+            counts.append(int(sizes[own].sum()))
+            if keep_ids:
+                id_lists.append(pool[_expand(base[own], sizes[own])].tolist())
+            own = own.tolist()
+            text = " ".join([word_pieces[i] for i in own])
+            id_sha.append(hashlib.sha256(" ".join([word_ids[i] for i in own]).encode()).hexdigest())
             text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             if keep_ids:
-                id_lists.append(own)
                 decoded.append(text)
         cols = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
         if keep_ids:
