@@ -43,6 +43,7 @@ class Repeats:
     solve: Callable
     cut: Callable
     schema: str
+    block_bytes: int = 6 << 20
 
 
 def _distinct(sym, starts, lens, ids, spec):
@@ -72,7 +73,7 @@ def _distinct(sym, starts, lens, ids, spec):
 
 def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
     """Rows of ``spec.schema``, one per row of ``docs`` (doc_id, text)."""
-    nb = B.block_count(docs)
+    nb = B.block_count(docs, block_bytes=spec.block_bytes)
     ng = B.bucket_count(nb)
     blocks = B.to_blocks(docs, nb, ["doc_id", "text"])
 
