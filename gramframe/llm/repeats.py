@@ -44,6 +44,7 @@ class Repeats:
     cut: Callable
     schema: str
     block_bytes: int = 6 << 20
+    share: int = 2  # blocks per key bucket
 
 
 def _distinct(sym, starts, lens, ids, spec):
@@ -74,7 +75,7 @@ def _distinct(sym, starts, lens, ids, spec):
 def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
     """Rows of ``spec.schema``, one per row of ``docs`` (doc_id, text)."""
     nb = B.block_count(docs, block_bytes=spec.block_bytes)
-    ng = B.bucket_count(nb)
+    ng = B.bucket_count(nb, spec.share)
     blocks = B.to_blocks(docs, nb, ["doc_id", "text"])
 
     def send_contexts(b, table):
@@ -95,8 +96,11 @@ def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
         key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         ctx = np.concatenate([p[1].astype(np.uint64) | p[2].astype(np.uint64) << np.uint64(32) for p in parts])
         doc = np.concatenate([p[3] for p in parts])
+        ends = np.cumsum([len(p[0]) for p in parts])
+        parts = [len(p[0]) for p in parts]
         order = np.lexsort((ctx, key))
         k, x, d = key[order], ctx[order], doc[order]
+        del key, ctx, doc
         new_key = np.append(True, k[1:] != k[:-1])
         new_ctx = new_key | np.append(True, x[1:] != x[:-1])
         at = np.flatnonzero(new_ctx)
@@ -107,8 +111,7 @@ def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
         spread = np.minimum.reduceat(d, ka) != np.maximum.reduceat(d, ka)
         code = np.empty(len(order), np.uint8)
         code[order] = np.where(d > least, SEEN, np.where((several & spread)[ki], OPEN, OWN))
-        ends = np.cumsum([len(p[0]) for p in parts])
-        return B.message([(src, g, B.dump(code[e - len(p[0]):e])) for (src, _), p, e in zip(got, parts, ends)])
+        return B.message([(src, g, B.dump(code[e - n:e])) for (src, _), n, e in zip(got, parts, ends)])
 
     def send_open(b, table, got):
         if table is None:

@@ -23,7 +23,7 @@ from .repeats import Repeats, remove_repeats, runs_of
 from .windows import BYTE_CODES
 
 WIDTH, GRAM = 50, 20  # bytes of a removable string; bytes of the anchors that route windows
-BLOCK_BYTES = 4 << 20  # a byte is a 64-bit symbol inside a task
+BLOCK_BYTES = 3 << 20  # a byte is a 64-bit symbol inside a task
 DIVERSE = -1
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                     ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
@@ -150,4 +150,4 @@ def _cut(docs, raw, starts, lens, removed) -> pa.Table:
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: sizes, the removed spans (start and end byte of each, flattened) and
     the SHA-256 of the remaining bytes."""
-    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES))
+    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES, share=1))
