@@ -45,6 +45,7 @@ class Repeats:
     schema: str
     block_bytes: int = 6 << 20
     share: int = 2  # blocks per key bucket
+    wire: Callable | None = None  # state -> the symbols as they travel and reach ``solve``, if narrower
 
 
 def _distinct(sym, starts, lens, ids, spec):
@@ -117,7 +118,8 @@ def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
         if table is None:
             return B.message([])
         ids = B.doc_ids(table)
-        sym, starts, lens, _ = spec.symbols(table)
+        sym, starts, lens, state = spec.symbols(table)
+        wire = sym if spec.wire is None else spec.wire(state)
         c, own, cls, rep, least = _distinct(sym, starts, lens, ids, spec)
         code = np.concatenate([B.load(x)[0] for _, x in got]) if got else np.zeros(0, np.uint8)
         # an occurrence in a later document than the class's smallest is seen in any case
@@ -131,7 +133,7 @@ def remove_repeats(docs: DataFrame, spec: Repeats) -> DataFrame:
             if hi > lo:
                 n = size[lo:hi]
                 at = np.repeat(c["first"][rep[pick[lo:hi]]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((g, b, B.dump(key[lo:hi], least[pick[lo:hi]], nwin[lo:hi].astype(np.uint8), sym[at])))
+                rows.append((g, b, B.dump(key[lo:hi], least[pick[lo:hi]], nwin[lo:hi].astype(np.uint8), wire[at])))
         # what this block already knows travels through the same exchange, addressed to itself
         here = np.flatnonzero((code[cls] == OPEN) & ~seen) if len(cls) else np.zeros(0, np.int64)
         number = np.cumsum(code == OPEN) - 1

@@ -28,8 +28,6 @@ DIVERSE = -1
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                     ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 SPARK_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
-_BYTE_OF = np.argsort(BYTE_CODES).astype(np.uint8)
-_SORTED_CODES = np.sort(BYTE_CODES)
 
 
 def _symbols(docs: pa.Table):
@@ -100,9 +98,8 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, doc: np.ndarray) -> list[
     return found
 
 
-def solve(codes, starts, nwin, doc, key, width) -> np.ndarray:
+def solve(sym, starts, nwin, doc, key, width) -> np.ndarray:
     """Windows of the contexts that lie in a maximal repeat which a smaller document holds too."""
-    sym = _BYTE_OF[np.searchsorted(_SORTED_CODES, codes)]
     mark = np.zeros(int(nwin.sum()), bool)
     # keys in runs of bounded size: equal windows have equal keys, so no repeat spans two runs
     by_key = np.argsort(key, kind="stable")
@@ -150,4 +147,4 @@ def _cut(docs, raw, starts, lens, removed) -> pa.Table:
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: sizes, the removed spans (start and end byte of each, flattened) and
     the SHA-256 of the remaining bytes."""
-    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES, share=1))
+    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES, share=1, wire=lambda raw: raw))
