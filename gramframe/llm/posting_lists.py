@@ -6,7 +6,7 @@ order, the only part that reaches the driver) with a balance penalty on full lis
 the centroids (``DEGREE`` nearest of each, at most ``MAX_LISTS`` nodes, broadcast) is searched best-first in memory,
 both to post vectors and to choose a query's lists. A vector is posted to every list whose centroid is
 within ``REPLICATE`` times its smallest distance (boundary vectors go to several lists); a query reads the
-lists within ``PROBE`` times its smallest distance. Lists are split into parts of at most ``PART`` rows
+lists within ``PROBE`` times its smallest distance, and its nearest ones up to ``LEAST_ROWS`` rows in any case. Lists are split into parts of at most ``PART`` rows
 and a query visits every part, so no list is one task's burden.
 
 Equal vectors are folded first: a vector stands for its ``k`` + 1 smallest ids, more can never be
@@ -33,6 +33,7 @@ K = 20
 FIT_ROWS, MAX_LISTS, LIST_ROWS, PART = 8192, 1024, 1024, 4096
 DEGREE, BEAM = 12, 48
 REPLICATE, MAX_REPLICAS, PROBE = 1.04, 4, 1.2
+LEAST_ROWS = 1000  # a query's nearest lists are read in any case until they should hold so many rows
 
 
 def usable(vec: Column) -> Column:
@@ -43,8 +44,9 @@ def usable(vec: Column) -> Column:
 class CentroidGraph:
     """Centroids and the nearest centroids of each; best-first search from node 0."""
 
-    def __init__(self, centroids: np.ndarray) -> None:
+    def __init__(self, centroids: np.ndarray, rows: np.ndarray) -> None:
         self.centroids = centroids
+        self.rows = rows  # expected rows of each list
         d = _distances(centroids, centroids)
         np.fill_diagonal(d, np.inf)
         near = np.argsort(d, axis=1, kind="stable")[:, :max(1, min(DEGREE, len(centroids) - 1))] if len(centroids) > 1 else np.zeros((1, 1), np.int64)
@@ -84,8 +86,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def fit_centroids(sample: np.ndarray, n_lists: int, rounds: int = 12) -> np.ndarray:
-    """Balanced k-means: the distance to a list grows with the rows it already holds."""
+def fit_centroids(sample: np.ndarray, n_lists: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Balanced k-means (the distance to a list grows with the rows it already holds): centroids and list sizes."""
     n_lists = max(1, min(n_lists, len(sample)))
     picks = np.linspace(0, len(sample) - 1, n_lists).astype(np.int64)
     centroids = sample[picks].copy()
@@ -99,7 +101,7 @@ def fit_centroids(sample: np.ndarray, n_lists: int, rounds: int = 12) -> np.ndar
         np.add.at(sums, own, sample)
         some = sizes > 0
         centroids[some] = sums[some] / sizes[some, None]
-    return centroids
+    return centroids, sizes
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -136,8 +138,8 @@ def nearest(table: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
         return spark.createDataFrame([], schema)
     n, dims, largest = facts["n"], facts["dims"], float(np.sqrt(facts["norm"]))
     sample = distinct.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(FIT_ROWS).select("v").toArrow()
-    centroids = fit_centroids(_lifted(_matrix(sample.column("v"), dims), largest), min(MAX_LISTS, max(32, n // LIST_ROWS)))
-    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))  # MAX_LISTS vectors at most
+    centroids, held_rows = fit_centroids(_lifted(_matrix(sample.column("v"), dims), largest), min(MAX_LISTS, max(32, n // LIST_ROWS)))
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids, held_rows * (n / max(1, sample.num_rows))))  # MAX_LISTS vectors at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,8 +159,13 @@ def nearest(table: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
                 x = _matrix(batch.column("v"), dims)
                 # only the direction of a query matters: scale it to the sphere of the lifted vectors
                 x = np.concatenate([x * (largest / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
-                d = graph.value.search(x, beam=len(graph.value.centroids) // 2 + 1)
-                r, j = np.nonzero(np.isfinite(d) & (d <= d.min(axis=1, keepdims=True) * probe))
+                lists_ = len(graph.value.centroids)
+                d = graph.value.search(x, beam=lists_ if lists_ <= 64 else lists_ // 2 + 1)
+                near = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(graph.value.rows[near], axis=1) - graph.value.rows[near]
+                wanted = np.zeros(d.shape, bool)
+                np.put_along_axis(wanted, near, before < LEAST_ROWS, axis=1)
+                r, j = np.nonzero(np.isfinite(d) & (wanted | (d <= d.min(axis=1, keepdims=True) * probe)))
                 yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), batch.column("v").take(pa.array(r)), batch.column("vec_id").take(pa.array(r))], ["list", "v", "vec_id"])
 
     lists = cut_lineage(distinct.mapInArrow(post, "list int, v array<double>, ids array<long>"))

@@ -27,6 +27,7 @@ from .windows import mix
 
 ORDER = 5  # bytes of the longest context
 FOLDS, HELD_OUT = 5, 1
+BLOCK_BYTES = 3 << 20  # an n-gram is a 64-bit number inside a task
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -71,7 +72,7 @@ def _counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
     """One row per document: the split, token counts, the word-count base and the trie's log10 probability."""
-    nb = B.block_count(docs)
+    nb = B.block_count(docs, block_bytes=BLOCK_BYTES)
     ng = B.bucket_count(nb)
     blocks = B.to_blocks(docs, nb, ["doc_id", "text"])
 
