@@ -77,6 +77,8 @@ class Preprocessor:
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """(coalesce(x, median) - mean) / sd for every feature; other columns kept."""
         def scaled(c: str, med: Column, mu: Column, sd: Column) -> Column:
+            if self.group_cols:  # a feature that is missing throughout its group has no median
+                med = F.coalesce(med, F.raise_error(F.lit(f"{c}: no observed value in a group, cannot be imputed")).cast("double"))
             return ((F.coalesce(F.col(c), med) - mu) / sd).alias(c + suffix)
 
         keep = [c for c in df.columns if c not in self.features or suffix]
@@ -138,9 +140,3 @@ def fit_preprocessor(df: DataFrame, features: list[str], group_cols: list[str] |
     stats = moments.select(*out)
     return Preprocessor(stats, features, group_cols, max_groups)
 
-
-def check_no_empty_feature(stats: DataFrame, features: list[str]) -> None:
-    bad = stats.select(*[F.max(F.col(f"med_{c}").isNull().cast("int")).alias(c) for c in features]).first()
-    empty = [c for c in features if bad[c]]
-    if empty:
-        raise ValueError(f"features without any observed value cannot be imputed: {empty}")

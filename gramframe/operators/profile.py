@@ -52,9 +52,11 @@ def label_domain(df: DataFrame, target: str = "y") -> DataFrame:
         F.min(col(target)).cast("int").alias("min_label"),
         F.max(col(target)).cast("int").alias("max_label"),
         F.coalesce(F.sum(F.when(col(target).isNull(), F.col("_n"))), F.lit(0)).cast("long").alias("null_labels"),
-    ).withColumn(
-        "valid",
-        (F.col("n_labels") == 2) & (F.col("min_label") == 0) & (F.col("max_label") == 1),
+        # compared as given: 0.4 or 1.5 is no label, whatever it truncates to
+        F.count(F.when(~col(target).isin(0, 1), F.lit(1))).alias("_other"),
+    ).select(
+        "n_labels", "min_label", "max_label", "null_labels",
+        ((F.col("n_labels") == 2) & (F.col("_other") == 0)).alias("valid"),
     )
 
 

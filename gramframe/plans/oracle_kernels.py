@@ -312,11 +312,12 @@ SELECT i, j, {r6("CAST(coalesce(sum(n) FILTER (WHERE outcome = 'view'), 0) AS DO
 FROM C GROUP BY i, j""")
 
 sql("q_kernel_mirror", with_(C_FIX) + f"""
-, P AS (SELECT i, j, CAST(coalesce(sum(n) FILTER (WHERE outcome = 'view'), 0) AS DOUBLE) / sum(n) AS p FROM C GROUP BY i, j),
+, P AS (SELECT i, j, CAST(coalesce(sum(n) FILTER (WHERE outcome = 'view'), 0) AS DOUBLE) / sum(n) AS p
+      FROM (SELECT least(i, j) AS i, greatest(i, j) AS j, outcome, n FROM C) GROUP BY i, j),
 G AS (SELECT CAST(a.r AS INTEGER) AS i, CAST(b.r AS INTEGER) AS j
       FROM range(0, (SELECT greatest(max(i), max(j)) + 1 FROM P)) a(r), range(0, (SELECT greatest(max(i), max(j)) + 1 FROM P)) b(r))
 SELECT G.i, G.j, {r6('coalesce(P.p, 0)')} AS k, P.p IS NOT NULL AS present
-FROM G LEFT JOIN P ON P.i = least(G.i, G.j) AND P.j = greatest(G.i, G.j) AND P.i <= P.j""")
+FROM G LEFT JOIN P ON P.i = least(G.i, G.j) AND P.j = greatest(G.i, G.j)""")
 
 sql("q_kernel_compare", with_(*BASE64, FULL) + f"""
 , KP AS ({pauli_sql('PF', 1, False)}),
@@ -578,7 +579,7 @@ sql("q_cv_summary", _STUDY + f"""
 SELECT feature_map AS params, {r6('avg(f1)')} AS mean_f1, {r6('stddev_pop(f1)')} AS std_f1, count(*) AS folds,
        CAST(row_number() OVER (ORDER BY avg(f1) DESC,
             CASE feature_map WHEN 'zz' THEN 1 WHEN 'pauli' THEN 2 ELSE 3 END) AS INTEGER) AS rank
-FROM FF WHERE run_id = 0 GROUP BY feature_map""")
+FROM FF GROUP BY feature_map""")
 
 sql("q_rbf_expansion_metrics", with_(*BASE64, _GAMMA) + f""",
 RS AS (SELECT t.row_key, t.y,

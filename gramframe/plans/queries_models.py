@@ -78,7 +78,7 @@ def q_cv_summary(spark, sf_dir):
     runs, data = _study_data(spark, sf_dir)
     tables = []
     for m in FEATURE_MAPS:
-        fs = models.fold_scores(data, m, CIRCUIT_REPETITIONS, N, CV_FOLDS, KEY, TARGET).where(F.col("run_id") == 0)
+        fs = models.fold_scores(data, m, CIRCUIT_REPETITIONS, N, CV_FOLDS, KEY, TARGET)
         tables.append(fs.select(F.lit(m).alias("params"), F.lit(None).cast("double").alias("C"),
                                 F.lit(None).cast("string").alias("gamma"), "fold", "f1"))
     allf = tables[0].unionByName(tables[1]).unionByName(tables[2])

@@ -22,7 +22,7 @@ def q_outcome_probability(spark, sf_dir):
 
 @query("q_kernel_mirror")
 def q_kernel_mirror(spark, sf_dir):
-    p = ks.outcome_probability(fixture_c(spark, sf_dir), ZERO_OUTCOME)
+    p = ks.outcome_probability(ks.fold_cells(fixture_c(spark, sf_dir)), ZERO_OUTCOME)
     return ks.mirror_upper(p).select("i", "j", r6("k").alias("k"), "present")
 
 

@@ -257,3 +257,30 @@ def test_all_missing_feature_is_an_error(spark):
     df = spark.createDataFrame([(0, None, 1.0), (1, None, 2.0)], "y int, x double, z double")
     with pytest.raises(ValueError):
         prep.fit_preprocessor(df, ["x", "z"], rows_per_group=10).transform(df)
+
+
+def test_label_domain_compares_uncast(spark):
+    from gramframe.operators.profile import label_domain
+    for bad in ([0.0, 1.5], [0.4, 1.0], [0.0, 2.0], [1.0]):
+        assert not label_domain(spark.createDataFrame([(x,) for x in bad], "y double")).first()["valid"]
+    assert label_domain(spark.createDataFrame([(0.0,), (1.0,), (None,)], "y double")).first()["valid"]
+
+
+def test_grouped_fit_rejects_a_feature_missing_in_a_group(spark):
+    import pytest
+    from gramframe.operators.prep import fit_preprocessor
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 2.0, 3.0), (1, None, 1.0), (1, None, 4.0)], "g int, a double, b double")
+    for bound in (10, None):
+        fitted = fit_preprocessor(df, ["a", "b"], ["g"], max_groups=2, rows_per_group=bound)
+        with pytest.raises(Exception, match="no observed value"):
+            fitted.transform(df).collect()
+
+
+def test_mirror_rejects_lower_cells_and_folds_counts(spark):
+    import pytest
+    from gramframe.operators import kernel_stats as ks
+    counts = spark.createDataFrame([(1, 0, "view", 3), (0, 1, "click", 1)], "i int, j int, outcome string, n long")
+    with pytest.raises(Exception, match="below the diagonal"):
+        ks.mirror_upper(ks.outcome_probability(counts, "view")).collect()
+    full = {(r.i, r.j): r.k for r in ks.mirror_upper(ks.outcome_probability(ks.fold_cells(counts), "view")).collect()}
+    assert full[0, 1] == full[1, 0] == 0.75
