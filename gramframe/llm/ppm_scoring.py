@@ -36,25 +36,30 @@ def fold(doc_id: int | None, folds: int) -> int:
 
 
 def _read(docs: pa.Table, order: int, folds: int, held: int):
-    """Byte stream with padded starts, its n-grams, their documents; word codes, their documents."""
+    """(held-out flags, n-grams of all documents, their number per document; word numbers, words per
+    document, hashes of the distinct words in ascending order)."""
     out = [fold(x, folds) == held for x in docs.column("doc_id").to_pylist()]
     pad, end = bytes([END]) * order, bytes([END])
-    stream, words, sizes, code = [], [], [], {}
+    stream, numbers, sizes, number = [], [], [], {}
     for x in B.texts(docs):
         w = x.lower().split()
         body = b" ".join(w)
         stream += (pad, body, end)
         sizes.append((len(body) + 1, len(w)))
-        for y in w:
-            if y not in code:
-                code[y] = xxh3_64_intdigest(y)
-        words.append(np.array([code[y] for y in w], np.uint64))
+        numbers.append(np.array([number.setdefault(y, len(number)) for y in w], np.int32))
     data = np.frombuffer(b"".join(stream), np.uint8)
     n_bytes, n_words = np.array(sizes, np.int64).reshape(-1, 2).T
-    all_grams = grams(data, order)
-    first = np.cumsum(n_bytes + order) - (n_bytes + order)
-    at = np.repeat(first - (np.cumsum(n_bytes) - n_bytes), n_bytes) + np.arange(n_bytes.sum())
-    return np.array(out, bool), all_grams[at], n_bytes, np.concatenate(words) if words else np.zeros(0, np.uint64), n_words
+    # n-grams that end in a document's padding belong to none
+    own = np.ones(len(data) - order, bool) if len(data) else np.zeros(0, bool)
+    starts = np.cumsum(n_bytes + order) - (n_bytes + order)
+    for j in range(1, order + 1):
+        own[starts[1:] - j] = False
+    h = np.array([xxh3_64_intdigest(y) for y in number], np.uint64)
+    rank = np.argsort(h, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    words = place[np.concatenate(numbers)] if number else np.zeros(0, np.int64)
+    return np.array(out, bool), grams(data, order)[own], n_bytes, words, n_words, h[rank]
 
 
 def _bucket_of_gram(g: np.ndarray, ng: int) -> np.ndarray:
@@ -62,12 +67,12 @@ def _bucket_of_gram(g: np.ndarray, ng: int) -> np.ndarray:
 
 
 def _counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of the block and their counts among training positions."""
-    keys, counts = np.unique(values[train], return_counts=True)
-    extra = np.setdiff1d(np.unique(values[~train]), keys, assume_unique=True)
-    whole = np.concatenate([keys, extra])
-    order = np.argsort(whole, kind="stable")
-    return whole[order], np.concatenate([counts, np.zeros(len(extra), np.int64)])[order]
+    """Distinct values of the block and their counts among training positions, by one sort."""
+    both = np.sort(values << np.uint64(1) | train)
+    keys = both >> np.uint64(1)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.add.reduceat((both & np.uint64(1)).astype(np.int64), at) if len(keys) else at
+    return keys[at], counts
 
 
 def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
@@ -76,16 +81,12 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = H
     ng = B.bucket_count(nb)
     blocks = B.to_blocks(docs, nb, ["doc_id", "text"])
 
-    def keys_of(table):
-        out, gram, n_bytes, word, n_words = _read(table, order, folds, held)
-        return out, gram, n_bytes, word, n_words
-
     def send(b, table):
-        out, gram, n_bytes, word, n_words = keys_of(table)
+        out, gram, n_bytes, word, n_words, wk = _read(table, order, folds, held)
         train_gram = ~np.repeat(out, n_bytes)
         pairs = np.bincount((gram[train_gram] & np.uint64(0xFFFF)).astype(np.int64), minlength=65536).astype(np.uint32)
         gk, gc = _counted(gram, train_gram)
-        wk, wc = _counted(word, ~np.repeat(out, n_words))
+        wc = np.bincount(word[~np.repeat(out, n_words)], minlength=len(wk))
         totals = np.array([int(n_words[~out].sum()), int((~out).sum())], np.int64)
         gb, wb = _bucket_of_gram(gk, ng), B.bucket_of(wk, ng)
         go = np.argsort(gb, kind="stable")
@@ -116,9 +117,12 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = H
     def finish(b, table, got):
         if table is None:
             return pa.table({c: pa.array([], t) for c, t in _COLUMNS.items()})
-        out, gram, n_bytes, word, n_words = keys_of(table)
+        out, gram, n_bytes, word, n_words, wk = _read(table, order, folds, held)
         parts = [B.load(x) for _, x in got]
-        gk, wk = np.unique(gram), np.unique(word)
+        rank = np.argsort(gram)
+        ranked = gram[rank]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        gk = ranked[new]
         go = np.argsort(_bucket_of_gram(gk, ng), kind="stable")
         logs = np.empty(len(gk))
         logs[go] = np.concatenate([p[0] for p in parts])
@@ -126,8 +130,10 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = H
         corpus_words, corpus_docs = int(parts[0][2][0]), int(parts[0][2][1])
         kinds = sum(int(p[2][2]) for p in parts) + (corpus_docs > 0)
         total = corpus_words + corpus_docs
-        per_byte = logs[np.searchsorted(gk, gram)]
-        c = uses[np.searchsorted(wk, word)] if len(wk) else np.zeros(0)
+        per_byte = np.empty(len(gram))
+        per_byte[rank] = logs[np.cumsum(new) - 1]
+        del rank, ranked, new
+        c = uses[word]
         below = total + 0.5 * (kinds + 1)
         base = _sums(np.log10((c + 0.5) / below), n_words) + np.log10((corpus_docs + 0.5) / below)
         known = _sums((c > 0).astype(np.float64), n_words).astype(np.int64) + (corpus_docs > 0)
