@@ -1,8 +1,8 @@
 """Angle encoding (P4), the feature-map gate table (P5) and gate counts.
 
 The gate table replaces circuit construction: one row per gate of each row's feature map,
-in circuit order, with its angle in radians (NULL for H and CX). It is built with array
-expressions and ``explode`` on each row, so it needs no shuffle.
+in order, with its angle in radians (NULL for H and CX). A map is a short table of layers; the
+rows come from array functions over it and one ``posexplode``, so no shuffle is needed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_angle
-from ..functions.recursions import MAPS
 
 PI = math.pi
 
@@ -28,61 +27,73 @@ def encode_angles(df: DataFrame, features: list[str], prefix: str = "a", keep: b
     return df.select(*others, *[clip_angle(c).alias(f"{prefix}{q}") for q, c in enumerate(features)])
 
 
-def _gate(rep: int, gate: str, qubit: int, control: int | None, angle: Column | None) -> Column:
-    return F.struct(
-        F.lit(rep).alias("repetition"), F.lit(gate).alias("gate"), F.lit(qubit).alias("qubit"),
-        F.lit(control).cast("int").alias("control"),
-        (angle if angle is not None else F.lit(None)).cast("double").alias("angle"))
+# What one repetition of each map applies. A layer is (units, operations); units are
+# single features or neighbouring pairs, an operation is (gate, angle rule).
+LAYERS = {
+    "zz": [("feature", [("Rz", "own")]), ("pair", [("CX", None), ("Rz", "product"), ("CX", None)])],
+    "pauli": [("feature", [("Rz", "own"), ("Rx", "half")]), ("pair", [("CX", None), ("Rx", "pair mean"), ("CX", None)])],
+    "custom": [("feature", [("Ry", "own"), ("Rz", "square")]), ("pair", [("CX", None)])],
+}
+HADAMARD_MAPS = ("zz", "pauli")   # these put an H layer in front of every repetition
 
+ANGLE_RULES = {
+    "own": lambda x, y: x,
+    "half": lambda x, y: x / 2,
+    "square": lambda x, y: x * x / PI,
+    "product": lambda x, y: x * y / PI,
+    "pair mean": lambda x, y: (x + y) / 2,
+}
+GATE_TYPE = "array<struct<repetition:int,gate:string,qubit:int,control:int,angle:double>>"
 
-def gate_list(name: str, repetitions: int, n: int, prefix: str = "a") -> list[Column]:
-    """The map's gates in circuit order as struct columns (angles from the row's a_q)."""
-    if name not in MAPS:
+
+def _check_map_name(name: str) -> None:
+    if name not in LAYERS:
         raise ValueError(f"unknown feature map {name!r}")
-    a = [F.col(f"{prefix}{q}") for q in range(n)]
-    pairs = [(q, q + 1) for q in range(n - 1)]
-    gates: list[Column] = []
-    if name in ("zz", "pauli"):
-        gates += [_gate(0, "H", q, None, None) for q in range(n)]
-    for rep in range(1, repetitions + 1):
-        if name == "zz":
-            gates += [_gate(rep, "Rz", q, None, a[q]) for q in range(n)]
-            for l, r in pairs:
-                gates += [_gate(rep, "CX", r, l, None), _gate(rep, "Rz", r, None, a[l] * a[r] / PI),
-                          _gate(rep, "CX", r, l, None)]
-        elif name == "pauli":
-            for q in range(n):
-                gates += [_gate(rep, "Rz", q, None, a[q]), _gate(rep, "Rx", q, None, a[q] / 2)]
-            for l, r in pairs:
-                gates += [_gate(rep, "CX", r, l, None), _gate(rep, "Rx", r, None, (a[l] + a[r]) / 2),
-                          _gate(rep, "CX", r, l, None)]
-        else:  # custom
-            for q in range(n):
-                gates += [_gate(rep, "Ry", q, None, a[q]), _gate(rep, "Rz", q, None, a[q] * a[q] / PI)]
-            gates += [_gate(rep, "CX", r, l, None) for l, r in pairs]
-        if rep < repetitions and name in ("zz", "pauli"):
-            gates += [_gate(rep, "H", q, None, None) for q in range(n)]
-    return gates
+
+
+def _layer(angles: Column, repetition: Column, units: str, operations: list, n: int) -> Column:
+    """The gates of one layer: an array over its units, operations of a unit next to each other."""
+    count, ahead = (n - 1, 1) if units == "pair" else (n, 0)
+    if count < 1:
+        return F.array().cast(GATE_TYPE)
+
+    def gates(unit: Column) -> Column:
+        here, following = F.get(angles, unit), F.get(angles, unit + 1)
+        return F.array(*[
+            F.struct(repetition.alias("repetition"), F.lit(gate).alias("gate"), (unit + ahead).alias("qubit"),
+                     (unit if gate == "CX" else F.lit(None).cast("int")).alias("control"),
+                     (ANGLE_RULES[rule](here, following) if rule else F.lit(None).cast("double")).alias("angle"))
+            for gate, rule in operations]).cast(GATE_TYPE)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), gates))
 
 
 def map_parameters(encoded: DataFrame, key: str, name: str, repetitions: int, n: int,
                    prefix: str = "a") -> DataFrame:
-    """(key, feature_map, step, repetition, gate, qubit, control, angle): one row per gate."""
-    gates = F.array(*gate_list(name, repetitions, n, prefix))
+    """(key, feature_map, step, repetition, gate, qubit, control, angle): one row per gate.
+
+    Repetition r's layers, then the H layer in front of repetition r + 1; repetition 0 holds only
+    the opening H layer."""
+    _check_map_name(name)
+    angles = F.array(*angle_columns(n, prefix))
+    nothing = F.array().cast(GATE_TYPE)
+
+    def repetition_gates(r: Column) -> Column:
+        body = F.concat(*[_layer(angles, r, units, ops, n) for units, ops in LAYERS[name]])
+        front = _layer(angles, r, "feature", [("H", None)], n) if name in HADAMARD_MAPS else nothing
+        return F.concat(F.when(r > 0, body).otherwise(nothing), F.when(r < repetitions, front).otherwise(nothing))
+
+    gates = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(repetitions)), repetition_gates))
     return encoded.select(key, F.posexplode(gates).alias("step", "g")).select(
         key, F.lit(name).alias("feature_map"), F.col("step").cast("int"), "g.*")
 
 
 def expected_gate_count(name: str, repetitions: int, n: int) -> int:
     """Closed-form gate count of a map (used to check the table)."""
-    r = repetitions
-    if name == "zz":
-        return n + r * (n + 3 * (n - 1)) + (r - 1) * n
-    if name == "pauli":
-        return n + r * (2 * n + 3 * (n - 1)) + (r - 1) * n
-    if name == "custom":
-        return r * (2 * n + (n - 1))
-    raise ValueError(name)
+    _check_map_name(name)
+    sizes = {"feature": n, "pair": n - 1}
+    per_repetition = sum(sizes[units] * len(ops) for units, ops in LAYERS[name])
+    return repetitions * (per_repetition + (n if name in HADAMARD_MAPS else 0))
 
 
 def gate_counts(params: DataFrame) -> DataFrame:

@@ -215,40 +215,32 @@ RECT = pairs_wide("PR", "TENC16", "ENC16", False)
 sql("q_angle_encode", with_(*BASE64) + f"SELECT row_key, {', '.join(r6(f'a{q}') + f' AS a{q}' for q in range(N))} FROM TENC")
 
 
-def _gate_rows(name: str, reps: int) -> list[tuple]:
-    """(repetition, gate, qubit, control, angle-sql) in circuit order."""
-    rows = []
-    pairs = [(q, q + 1) for q in range(N - 1)]
-    if name in ("zz", "pauli"):
-        rows += [(0, "H", q, None, None) for q in range(N)]
-    for rep in range(1, reps + 1):
-        if name == "zz":
-            rows += [(rep, "Rz", q, None, f"a{q}") for q in range(N)]
-            for l, r in pairs:
-                rows += [(rep, "CX", r, l, None), (rep, "Rz", r, None, f"a{l} * a{r} / {PI}"), (rep, "CX", r, l, None)]
-        elif name == "pauli":
-            for q in range(N):
-                rows += [(rep, "Rz", q, None, f"a{q}"), (rep, "Rx", q, None, f"a{q} / 2")]
-            for l, r in pairs:
-                rows += [(rep, "CX", r, l, None), (rep, "Rx", r, None, f"(a{l} + a{r}) / 2"), (rep, "CX", r, l, None)]
-        else:
-            for q in range(N):
-                rows += [(rep, "Ry", q, None, f"a{q}"), (rep, "Rz", q, None, f"a{q} * a{q} / {PI}")]
-            rows += [(rep, "CX", r, l, None) for l, r in pairs]
-        if rep < reps and name in ("zz", "pauli"):
-            rows += [(rep, "H", q, None, None) for q in range(N)]
-    return rows
+# (stage inside a repetition, 1 for pairs, place, gate, angle SQL of x and its neighbour y)
+GATE_STAGES = {
+    "zz": [(1, 0, 1, "Rz", "x"), (2, 1, 1, "CX", None), (2, 1, 2, "Rz", f"x * y / {PI}"), (2, 1, 3, "CX", None), (3, 0, 1, "H", None)],
+    "pauli": [(1, 0, 1, "Rz", "x"), (1, 0, 2, "Rx", "x / 2"), (2, 1, 1, "CX", None), (2, 1, 2, "Rx", "(x + y) / 2"),
+              (2, 1, 3, "CX", None), (3, 0, 1, "H", None)],
+    "custom": [(1, 0, 1, "Ry", "x"), (1, 0, 2, "Rz", f"x * x / {PI}"), (2, 1, 1, "CX", None)],
+}
 
 
 def gate_table_sql(name: str, reps: int = 2) -> str:
-    items = []
-    for step, (rep, gate, qubit, control, angle) in enumerate(_gate_rows(name, reps)):
-        ctl = "CAST(NULL AS INTEGER)" if control is None else f"CAST({control} AS INTEGER)"
-        ang = "CAST(NULL AS DOUBLE)" if angle is None else f"CAST({r6(angle)} AS DOUBLE)"
-        items.append(f"{{'step': CAST({step} AS INTEGER), 'repetition': CAST({rep} AS INTEGER), 'gate': '{gate}', "
-                     f"'qubit': CAST({qubit} AS INTEGER), 'control': {ctl}, 'angle': {ang}}}")
-    return (f"SELECT row_key, '{name}' AS feature_map, g.step, g.repetition, g.gate, g.qubit, g.control, g.angle "
-            f"FROM (SELECT row_key, unnest([{', '.join(items)}]) AS g FROM ENC)")
+    """Stages x repetitions x units as a join, numbered by a window: H (stage 3) follows every repetition
+    but the last, counting a repetition 0 that holds nothing else."""
+    per_stage = " UNION ALL ".join(
+        f"SELECT row_key, rep, {stage} AS stage, {place} AS place, '{gate}' AS gate, unit, unit + {pair} AS qubit, "
+        f"{'unit' if gate == 'CX' else 'NULL'} AS control, {r6(angle) if angle else 'CAST(NULL AS DOUBLE)'} AS angle "
+        f"FROM UNITS WHERE unit < {N - pair} AND {f'rep < {reps}' if gate == 'H' else 'rep > 0'}"
+        for stage, pair, place, gate, angle in GATE_STAGES[name])
+    listed = ", ".join(f"a{q}" for q in range(N))
+    return f"""
+SELECT row_key, '{name}' AS feature_map,
+       CAST(row_number() OVER (PARTITION BY row_key ORDER BY rep, stage, unit, place) - 1 AS INTEGER) AS step,
+       CAST(rep AS INTEGER) AS repetition, gate, CAST(qubit AS INTEGER) AS qubit, CAST(control AS INTEGER) AS control,
+       CAST(angle AS DOUBLE) AS angle
+FROM (WITH UNITS AS (SELECT row_key, rep, unit, [{listed}][unit + 1] AS x, [{listed}][unit + 2] AS y
+                     FROM ENC, range(0, {reps + 1}) r(rep), range(0, {N}) u(unit))
+      {per_stage})"""
 
 
 for _m in ("zz", "pauli", "custom"):

@@ -3,7 +3,7 @@ reduced 'quick' profile (one map, size 16, one repeat, one map repeat, two folds
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -27,26 +27,15 @@ class StudyConfig:
         return replace(self, feature_maps=("custom",), subset_sizes=(16,), repeats=1, map_repeats=1, cv_folds=2)
 
 
-def resolve(cli_value, config: dict, key: str, default):
-    """Explicit value first, then the config mapping, then the default."""
-    if cli_value is not None:
-        return cli_value
-    return config.get(key, default)
+REMOTE_SECTION = {"subset_size": "remote_subset_size", "n_shots": "remote_shots", "feature_map": "remote_feature_map"}
 
 
 def from_mapping(config: dict, quick: bool = False, **overrides) -> StudyConfig:
-    base = StudyConfig()
-    values = {}
-    for name in StudyConfig.__dataclass_fields__:
-        if name == "extra":
-            continue
-        v = resolve(overrides.get(name), config, name, getattr(base, name))
-        values[name] = tuple(v) if isinstance(v, list) else v
-    nested = config.get("remote", {}) or {}   # the remote-kernel section
-    values["remote_subset_size"] = resolve(overrides.get("remote_subset_size"), nested, "subset_size",
-                                           values["remote_subset_size"])
-    values["remote_shots"] = resolve(overrides.get("remote_shots"), nested, "n_shots", values["remote_shots"])
-    values["remote_feature_map"] = resolve(overrides.get("remote_feature_map"), nested, "feature_map",
-                                           values["remote_feature_map"])
-    cfg = StudyConfig(**values)
+    """One merged mapping over the defaults: the file's values, its ``remote`` section, explicit values.
+    An override of None counts as not given; names that are no parameter are left out."""
+    section = config.get("remote") or {}
+    merged = {**config, **{REMOTE_SECTION[k]: v for k, v in section.items() if k in REMOTE_SECTION},
+              **{k: v for k, v in overrides.items() if v is not None}}
+    names = {f.name for f in fields(StudyConfig)} - {"extra"}
+    cfg = StudyConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in merged.items() if k in names})
     return cfg.quick() if quick else cfg

@@ -1,26 +1,67 @@
-"""Kernel forms against the dense statevector brute force (no Spark)."""
+"""Kernel forms against sums written from their definitions, and invariants (no Spark).
+
+zz: uniform amplitudes with phases that are quadratic in the signs, and a Hadamard sum between
+repetitions. pauli: its pair part only turns the right feature, so a row is a product of single
+features. custom: products of single features, their strings renamed by running parity.
+"""
+
+import itertools
 
 import numpy as np
 import pytest
 
-from dense_circuits import dense_kernel
 from gramframe.functions.recursions import check_map, fidelity_kernel
 
 CASES = [("pauli", 1), ("pauli", 2), ("pauli", 3), ("custom", 1), ("custom", 2), ("zz", 1), ("zz", 2)]
 
 
+def zz_amplitudes(a, reps):
+    bits = np.array(list(itertools.product([0, 1], repeat=len(a))))
+    s = 1 - 2 * bits
+    form = s @ a + (s[:, :-1] * s[:, 1:]) @ (a[:-1] * a[1:] / np.pi)
+    phase, signs = np.exp(-0.5j * form), (-1.0) ** (bits @ bits.T) / 2 ** (len(a) / 2)
+    amp = np.eye(1, len(bits))[0]
+    for _ in range(reps):
+        amp = phase * (signs @ amp)
+    return amp
+
+
+def spin(axis, angle):
+    """cos - i sin (axis . sigma): the turn of one feature."""
+    x, y, z = axis
+    return np.cos(angle / 2) * np.eye(2) - 1j * np.sin(angle / 2) * np.array([[z, x - 1j * y], [x + 1j * y, -z]])
+
+
+def pauli_amplitudes(a, reps):
+    turn = a / 2 + np.concatenate([[0], (a[:-1] + a[1:]) / 2])
+    mixed = np.array([[1, 1], [1, -1]]) / np.sqrt(2)
+    amp = np.ones(1)
+    for q in range(len(a)):
+        once = spin((1, 0, 0), turn[q]) @ spin((0, 0, 1), a[q]) @ mixed
+        amp = np.kron(amp, np.linalg.matrix_power(once, reps)[:, 0])
+    return amp
+
+
+def custom_amplitudes(a, reps):
+    strings = list(itertools.product([0, 1], repeat=len(a)))
+    single = [spin((0, 0, 1), v * v / np.pi) @ spin((0, 1, 0), v) for v in a]
+    amp = {s: float(not any(s)) for s in strings}
+    for _ in range(reps):
+        amp = {tuple(np.cumsum(out) % 2): sum(amp[s] * np.prod([u[o, i] for u, o, i in zip(single, out, s)]) for s in strings if amp[s])
+               for out in strings}
+    return np.array([amp[s] for s in strings])
+
+
+AMPLITUDES = {"zz": zz_amplitudes, "pauli": pauli_amplitudes, "custom": custom_amplitudes}
+
+
 @pytest.mark.parametrize("name,reps", CASES)
-@pytest.mark.parametrize("n", [1, 2, 4, 6])
-def test_matches_dense(name, reps, n):
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_matches_sums(name, reps, n):
     rng = np.random.default_rng(n * 10 + reps)
-    xl = rng.normal(size=(5, n)) * 1.7
-    xr = rng.normal(size=(4, n)) * 1.7
-    xl[0, 0] = 7.0  # clipped
-    dense = dense_kernel(xl, xr, name, reps)
-    al = np.clip(xl, -3, 3) / 3 * np.pi
-    ar = np.clip(xr, -3, 3) / 3 * np.pi
-    ours = fidelity_kernel(name, reps)(al[:, None, :], ar[None, :, :])
-    assert np.max(np.abs(dense - ours)) < 1e-12
+    left, right = (np.clip(rng.normal(size=(m, n)) * 1.7, -3, 3) / 3 * np.pi for m in (5, 4))
+    expected = [[abs(np.vdot(AMPLITUDES[name](x, reps), AMPLITUDES[name](y, reps))) ** 2 for y in right] for x in left]
+    assert np.max(np.abs(fidelity_kernel(name, reps)(left[:, None, :], right[None, :, :]) - expected)) < 1e-12
 
 
 @pytest.mark.parametrize("name,reps", CASES)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gramframe.operators import report
 from gramframe.sources import sinks
-from gramframe.sources.config import StudyConfig, from_mapping, resolve
+from gramframe.sources.config import StudyConfig, from_mapping
 
 
 def test_config_precedence_and_quick():
@@ -13,7 +13,7 @@ def test_config_precedence_and_quick():
     q = StudyConfig().quick()
     assert q.feature_maps == ("custom",) and q.subset_sizes == (16,) and q.repeats == 1
     assert q.map_repeats == 1 and q.cv_folds == 2 and q.output_dir == StudyConfig().output_dir
-    assert resolve(None, {}, "x", 7) == 7 and resolve(0, {"x": 1}, "x", 7) == 0
+    assert from_mapping({"seed": 5}, seed=0).seed == 0 and from_mapping({}, seed=None).seed == StudyConfig().seed
 
 
 def test_sinks_roundtrip(spark, tmp_path):
