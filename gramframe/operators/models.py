@@ -6,8 +6,8 @@ group of the same Spark job (landmarks per run, broadcast; rows streamed).
 
 Margin classifiers (Spark ML ``LinearSVC``, hinge loss): the RBF baseline on random Fourier
 features of the standardised rows, and the kernel classifier on kernel-to-landmark features.
-sklearn's C maps to regParam = 1 / (C * n_train). Cross-validation is our own fold loop,
-because the training part of each fold is undersampled and the evaluator cannot do that.
+The penalty C maps to regParam = 1 / (C * n_train). Cross-validation keeps one stored copy per
+training part, because each is undersampled for itself, which the evaluator cannot do.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from ..functions import recursions as rec
 from . import kernel_stats as ks
 from . import metrics as met
-from . import prep, sampling
+from . import margin, prep, sampling
 from .encode import encode_angles
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
+from .margin import RANDOM_FEATURES
 from .ranking import bounded_broadcast
 
+# The compared metrics, in report order
 SIX = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "false_positive_rate"]
 
 
@@ -138,39 +140,11 @@ def map_study(data: RunData, runs: list[sampling.Run], maps: list[str], repetiti
 
 
 # ---------------------------------------------------------------- margin classifiers (Spark ML)
-def random_fourier_features(df: DataFrame, features: list[str], gamma: float, dim: int, seed: int,
-                            out: str = "rff") -> DataFrame:
-    """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U[0, 2 pi): z.z' ~ exp(-gamma ||x-x'||^2).
-    The D x n weights are fixed by the seed (a small model, inlined as literals)."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, len(features)))
-    b = rng.uniform(0.0, 2 * math.pi, size=dim)
-    scale = math.sqrt(2.0 / dim)
-    comps = [F.cos(sum((F.col(c) * float(w[d, q]) for q, c in enumerate(features)), F.lit(float(b[d])))) * scale
-             for d in range(dim)]
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn(out, array_to_vector(F.array(*comps)))
-
-
 def rff_kernel(gamma: float, dim: int, seed: int, n: int):
-    """k(a, b) = z(a).z(b) with the same fixed random features as ``random_fourier_features``
-    (an unbiased estimate of exp(-gamma ||a - b||^2)), for Arrow-batch scoring."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, n))
-    b = rng.uniform(0.0, 2 * math.pi, size=dim)
-
-    def fn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        zx = np.cos(x @ w.T + b) * math.sqrt(2.0 / dim)
-        zy = np.cos(y @ w.T + b) * math.sqrt(2.0 / dim)
-        return np.sum(zx * zy, axis=-1)
-    return fn
-
-
-def _linear_svc(train: DataFrame, c: float, n_train: int, features_col: str, label: str, max_iter: int):
-    from pyspark.ml.classification import LinearSVC
-    svc = LinearSVC(featuresCol=features_col, labelCol=label, regParam=1.0 / (c * max(n_train, 1)),
-                    standardization=False, maxIter=max_iter)
-    return svc.fit(train.withColumn(label, F.col(label).cast("double")))
+    """k(a, b) = z(a).z(b) with fixed random features (an unbiased estimate of
+    exp(-gamma ||a - b||^2)), for Arrow-batch scoring."""
+    z = margin.random_features(gamma, margin.check_random_features(dim), seed, n)
+    return lambda x, y: np.sum(z(x) * z(y), axis=-1)
 
 
 @dataclass
@@ -180,14 +154,23 @@ class CVResult:
     best: dict
 
 
+def _cv_result(spark, specs: list, names: dict, models: dict, valid: DataFrame, cols: list[str], key: str, target: str,
+               seed: int, dim: int, order: list[str]) -> CVResult:
+    """F1 of every model on its validation fold (models x folds rows), and the summary over folds."""
+    from .report import cv_summary
+    pred = margin.score_grid(valid, "grp", cols, target, key, specs, models, seed, dim)
+    table = spark.createDataFrame([(m, *names[m]) for m in names], "model_id int, params string, C double, gamma string, fold int")
+    f1 = met.threshold_metrics(pred, target, "pred", ["model_id"]).select("model_id", "f1")
+    scores = cut_lineage(table.join(f1, "model_id").select("params", "C", "gamma", "fold", "f1"))
+    summary = cv_summary(scores, order)
+    return CVResult(scores, summary, summary.where(F.col("rank") == 1).first().asDict())
+
+
 def rbf_svm_cv(train: DataFrame, features: list[str], key: str, target: str, seed: int, k: int,
-               c_grid: list[float], gamma_grid: list, dim: int = 64, iters: int = 60) -> CVResult:
-    """Baseline: impute -> scale -> undersample -> RBF (random features) + linear margin model,
-    all fitted inside each fold's training part; scored by F1 on the untouched validation fold.
-    The 5 folds x 3 gamma x 3 C models train together (one pass over the data per step)."""
-    from . import margin
-    spark = train.sparkSession
-    folded = cut_lineage(sampling.stratified_folds(train, target, key, seed, k))
+               c_grid: list[float], gamma_grid: list, dim: int = RANDOM_FEATURES) -> CVResult:
+    """Baseline: impute -> scale -> undersample -> random Fourier features -> ``LinearSVC``, all fitted
+    inside each fold's training part; scored by F1 on the untouched validation fold."""
+    folded = stored(sampling.stratified_folds(train, target, key, seed, k))
     # every row trains the k - 1 folds it is not in: one grouped fit and one grouped
     # undersampling for all folds (a Generate, no per-fold driver loop)
     training = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp")) \
@@ -195,65 +178,44 @@ def rbf_svm_cv(train: DataFrame, features: list[str], key: str, target: str, see
     pre = prep.fit_preprocessor(training, features, ["grp"], max_groups=k)
     pre.stats = cut_lineage(pre.stats)
     bal = sampling.undersample(pre.transform(training), target, key, seed, ["grp"], max_groups=k)
-    tr_all = cut_lineage(bal.select("grp", key, target, *features))
-    va_all = cut_lineage(pre.transform(folded.withColumn("grp", F.col("fold"))).select("grp", key, target, *features))
-    gammas = {}
-    for f in range(k):
-        part = tr_all.where(F.col("grp") == f)
-        for g in gamma_grid:
-            gammas[(f, str(g))] = _gamma(part, features, g)
-    specs, names = [], {}
-    for f in range(k):
-        for c in c_grid:
-            for g in gamma_grid:
-                mid = len(specs)
-                fmap = margin.FeatureMap(gammas[(f, str(g))], dim, seed, len(features))
-                specs.append(margin.ModelSpec(mid, f, fmap, float(c)))
-                names[mid] = (f"C={c},gamma={g}", float(c), str(g), f)
-    weights = margin.train_grid(tr_all, "grp", features, target, specs, iters)
-    pred = margin.predict_grid(va_all, "grp", features, target, key, specs, weights)
-    f1 = met.threshold_metrics(pred, target, "pred", ["model_id"]).select("model_id", "f1").collect()
-    rows = [(*names[r["model_id"]], float(r["f1"])) for r in f1]
-    scores = spark.createDataFrame(rows, "params string, C double, gamma string, fold int, f1 double")
-    from .report import cv_summary
-    summary = cv_summary(scores, [f"C={c},gamma={g}" for c in c_grid for g in gamma_grid])
-    best = summary.where(F.col("rank") == 1).first().asDict()
-    return CVResult(scores, summary, best)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    fitted = stored(bal.select("grp", key, target, *features), "grp")
+    valid = pre.transform(folded.withColumn("grp", F.col("fold"))).select("grp", key, target, *features)
+    gammas = _gammas(fitted, "grp", features, gamma_grid)
+    grid = [(f, c, g) for f in range(k) for c in c_grid for g in gamma_grid]
+    specs = [margin.ModelSpec(i, f, gammas[f, g], float(c)) for i, (f, c, g) in enumerate(grid)]
+    names = {i: (f"C={c},gamma={g}", float(c), str(g), f) for i, (f, c, g) in enumerate(grid)}
+    models = margin.fit_grid(fitted, "grp", features, target, specs, seed, dim)
+    return _cv_result(train.sparkSession, specs, names, models, valid, features, key, target, seed, dim,
+                      [f"C={c},gamma={g}" for c in c_grid for g in gamma_grid])
+
+
+def _gammas(scaled: DataFrame, group_col: str, features: list[str], gamma_grid: list) -> dict:
+    """(group, grid value) -> kernel width; 'scale' is 1 / (features x variance of all values), one pass."""
+    n = len(features)
+    total = sum((F.col(c) for c in features), F.lit(0.0))
+    squares = sum((F.col(c) * F.col(c) for c in features), F.lit(0.0))
+    rows = scaled.groupBy(group_col).agg((F.avg(total) / n).alias("m"), (F.avg(squares) / n).alias("q")).collect()
+    out = {}
+    for r in rows:      # one row per group
+        variance = r["q"] - r["m"] ** 2
+        named = {"auto": 1.0 / n, "scale": 1.0 / (n * variance) if variance > 0 else 1.0}
+        out |= {(r[group_col], g): named[g] if g in named else float(g) for g in gamma_grid}
     return out
 
 
-def _gamma(scaled: DataFrame, features: list[str], gamma) -> float:
-    if gamma == "auto":
-        return 1.0 / len(features)
-    if gamma == "scale":
-        n = len(features)
-        pairs = ", ".join(f"`{c}`" for c in features)
-        var = scaled.selectExpr(f"stack({n}, {pairs}) as (v)").agg(F.var_pop("v")).first()[0]
-        return 1.0 / (n * var) if var else 1.0
-    return float(gamma)
-
-
 def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str], key: str, target: str,
-                         seed: int, cv: CVResult, dim: int = 64, iters: int = 60) -> DataFrame:
+                         seed: int, cv: CVResult, dim: int = RANDOM_FEATURES) -> DataFrame:
     """Refit the best parameters on the whole training split, score the test split: the metrics
     record with confusion matrix, AUC, AP, best parameters and the CV mean/std (M2)."""
-    from . import margin
     best = cv.best
     pre = prep.fit_preprocessor(train, features)
-    bal = cut_lineage(sampling.undersample(pre.transform(train), target, key, seed)
-                      .select(F.lit(0).alias("grp"), key, target, *features))
-    te = pre.transform(test).select(F.lit(0).alias("grp"), key, target, *features)
-    g = best["gamma"]
-    gamma = _gamma(bal, features, g if g in ("scale", "auto") else float(g))
-    spec = margin.ModelSpec(0, 0, margin.FeatureMap(gamma, dim, seed, len(features)), float(best["C"]))
-    weights = margin.train_grid(bal, "grp", features, target, [spec], iters)
-    pred = margin.predict_grid(te, "grp", features, target, key, [spec], weights)
+    bal = sampling.undersample(pre.transform(train), target, key, seed).select(F.lit(0).alias("grp"), key, target, *features)
+    bal = stored(bal)
+    gamma = _gammas(bal, "grp", features, [best["gamma"]])[0, best["gamma"]]
+    spec = margin.ModelSpec(0, 0, gamma, float(best["C"]))
+    model = margin.fit_grid(bal, "grp", features, target, [spec], seed, dim)[0]
+    mapped = margin.with_features(pre.transform(test).select(key, target, *features), features, target, gamma, dim, seed)
+    pred = stored(margin.score(model, mapped).select(key, target, "score", "pred"))   # read by confusion, AUC and AP
     rec_ = met.metrics_record(pred, target, "pred", "score")
     return rec_.select("*", F.struct(F.lit(best["C"]).alias("C"), F.lit(best["gamma"]).alias("gamma"))
                        .alias("best_parameters"),
@@ -261,39 +223,28 @@ def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str],
 
 
 def kernel_svm_cv(subset_enc: DataFrame, feature_map: str, repetitions: int, n: int, key: str, target: str,
-                  seed: int, k: int, c_grid: list[float], iters: int = 60) -> CVResult:
-    """M3: each subset row's kernel values against all subset landmarks as features
-    (Nystrom-style), linear margin model per C and fold, all trained together. Preprocessing
-    was fitted on the whole subset before CV, as in the study."""
-    from . import margin
+                  seed: int, k: int, c_grid: list[float]) -> CVResult:
+    """M3: each subset row's kernel values against all subset landmarks as features (Nystrom-style),
+    ``LinearSVC`` per C and fold. Preprocessing was fitted on the whole subset before CV, as in the
+    study. The subset is bounded by the landmark count, so its tables are kept in one partition."""
     spark = subset_enc.sparkSession
     angles = [f"a{q}" for q in range(n)]
     lsets = ks.collect_landmarks(subset_enc, key, angles, "position")
-    n_lm = len(lsets[None].keys)
     fn = rec.fidelity_kernel(feature_map, repetitions)
     bc = spark.sparkContext.broadcast(lsets[None].values)
-    from pyspark.sql import types as T
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @F.pandas_udf("array<double>")
     def feats(x: pd.DataFrame) -> pd.Series:
         return pd.Series(list(rec.rows_x_landmarks(fn, x.to_numpy(dtype=float), bc.value)))
 
     with_k = subset_enc.select(key, target, feats(F.struct(*angles)).alias("kf"))
-    folded = cut_lineage(sampling.stratified_folds(with_k, target, key, seed, k))
-    tr = cut_lineage(folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp"))
-                     .where(F.col("grp") != F.col("fold")))
-    va = folded.withColumn("grp", F.col("fold"))
-    specs, names = [], {}
-    for f in range(k):
-        for c in c_grid:
-            mid = len(specs)
-            specs.append(margin.ModelSpec(mid, f, margin.FeatureMap(None, n_lm, seed, n_lm), float(c)))
-            names[mid] = (f"C={c}", float(c), "precomputed", f)
-    weights = margin.train_grid(tr, "grp", ["kf"], target, specs, iters)
-    pred = margin.predict_grid(va, "grp", ["kf"], target, key, specs, weights)
-    f1 = met.threshold_metrics(pred, target, "pred", ["model_id"]).select("model_id", "f1").collect()
-    rows = [(*names[r["model_id"]], float(r["f1"])) for r in f1]
-    scores = spark.createDataFrame(rows, "params string, C double, gamma string, fold int, f1 double")
-    from .report import cv_summary
-    summary = cv_summary(scores, [f"C={c}" for c in c_grid])
-    return CVResult(scores, summary, summary.where(F.col("rank") == 1).first().asDict())
+    folded = stored(sampling.stratified_folds(with_k, target, key, seed, k).coalesce(1))
+    training = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp")) \
+        .where(F.col("grp") != F.col("fold"))
+    fitted = stored(training.select("grp", key, target, "kf"), "grp")
+    grid = [(f, c) for f in range(k) for c in c_grid]
+    specs = [margin.ModelSpec(i, f, None, float(c)) for i, (f, c) in enumerate(grid)]
+    names = {i: (f"C={c}", float(c), "precomputed", f) for i, (f, c) in enumerate(grid)}
+    models = margin.fit_grid(fitted, "grp", ["kf"], target, specs, seed)
+    valid = folded.withColumn("grp", F.col("fold"))
+    return _cv_result(spark, specs, names, models, valid, ["kf"], key, target, seed, RANDOM_FEATURES, [f"C={c}" for c in c_grid])

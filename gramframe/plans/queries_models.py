@@ -185,9 +185,6 @@ def q_bench_ranking_metrics(spark, sf_dir):
     return r.select(r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
 
 
-import numpy as np  # noqa: E402
-
-
 @query("q_summary")
 def q_summary(spark, sf_dir):
     """M7: the whole study (baseline, map study, comparison, kernel diagnostics) as one nested

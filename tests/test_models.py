@@ -32,9 +32,9 @@ def test_margin_grid_floor_planted(spark):
     df = planted(spark, 600, 1)
     split = sampling.stratified_split(df, "y", "row_key", 1, 0.2)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    cv = models.rbf_svm_cv(train, FEATURES, "row_key", "y", 3, 3, [1.0, 10.0], ["scale"], dim=64, iters=40)
+    cv = models.rbf_svm_cv(train, FEATURES, "row_key", "y", 3, 3, [1.0, 10.0], ["scale"], dim=64)
     assert cv.best["mean_f1"] > 0.75
-    ev = models.rbf_svm_fit_evaluate(train, test, FEATURES, "row_key", "y", 3, cv, dim=64, iters=40).first()
+    ev = models.rbf_svm_fit_evaluate(train, test, FEATURES, "row_key", "y", 3, cv, dim=64).first()
     assert ev["balanced_accuracy"] > 0.75 and ev["roc_auc"] > 0.8
 
 
@@ -46,3 +46,32 @@ def test_kernel_classifier_floor_documents(spark):
     out = {r["model"]: r for r in models.compare_models(data, runs, "custom", 1, FEATURES).collect()}
     assert out["SVM-RBF"]["balanced_accuracy"] > 0.7
     assert out["QSVM"]["balanced_accuracy"] > 0.6
+
+
+def test_margin_models_reach_the_optimum(spark):
+    """No nearby weights have a lower objective, and the penalty acts: C = 10 fits the rows closer than 0.1."""
+    from gramframe.operators import margin
+    df = planted(spark, 300, 2).withColumn("grp", F.lit(0)).repartition(2).cache()
+    rows = df.select("y", *FEATURES).toPandas()
+    x, y = rows[FEATURES].to_numpy(), 2.0 * rows["y"].to_numpy() - 1
+    z = margin.random_features(0.1, 32, 5, 9)(x)
+    specs = [margin.ModelSpec(i, 0, 0.1, c) for i, c in enumerate([0.1, 10.0])]
+    fits = margin.fit_grid(df, "grp", FEATURES, "y", specs, 5, 32)
+    rng, hinge = np.random.default_rng(0), []
+    for s in specs:
+        def objective(w, b):
+            return np.maximum(0, 1 - y * (z @ w + b)).mean() + w @ w / (2 * s.C * len(y))
+        w, b = fits[s.model_id].coefficients.toArray(), fits[s.model_id].intercept
+        best = objective(w, b)
+        near = [objective(w + d[:-1], b + d[-1]) for size in (0.5, 0.1, 0.02) for d in rng.normal(size=(50, 33)) * size * max(np.abs(w).max(), 0.1)]
+        assert best <= min(near) + 2e-3 * best
+        hinge.append(np.maximum(0, 1 - y * (z @ w + b)).mean())
+    assert hinge[1] < hinge[0] - 0.05
+    scores = margin.score_grid(df, "grp", FEATURES, "y", "row_key", specs, fits, 5, 32)
+    assert scores.count() == 600 and scores.where("pred = y").count() > 450
+
+
+def test_random_feature_count_is_checked():
+    from gramframe.operators import margin
+    with pytest.raises(ValueError):
+        margin.check_random_features(4)
