@@ -13,6 +13,8 @@ table into two tasks. The two helpers below keep every task small:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,14 @@ def bucket_digits(df: DataFrame, minimum: int = 3) -> int:
 
 
 def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, tie_col: str,
-              *, max_groups: int, prefix_hex: int | None = None, rank_col: str = "rank") -> DataFrame:
+              *, max_groups: int, prefix_hex: int | None = None, rank_col: str = "rank",
+              per_group: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``rank_col``: exact 1-based rank of each row within ``group_cols`` ordered by (hash, tie).
 
     ``hash_col`` must be a lowercase hex digest (uniform). ``max_groups`` bounds the number of
     groups (e.g. classes x runs); the offsets table has at most max_groups * 16**prefix_hex rows.
+    ``per_group`` maps (group_cols, n), the group sizes, to further columns per group; the sizes come
+    from the bucket counts, so the rows are read for the counts and for the ranks, not a third time.
     """
     prefix_hex = prefix_hex or bucket_digits(df)
     n_buckets = 16 ** prefix_hex
@@ -52,6 +57,9 @@ def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, tie_col: str,
     before = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *group_cols, "_bucket", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"))
+    if per_group:
+        sizes = counts.groupBy(*group_cols).agg(F.sum("_cnt").alias("n"))
+        offsets = offsets.join(bounded_broadcast(per_group(sizes), max_groups), group_cols)
     joined = bucketed.join(bounded_broadcast(offsets, max_groups * n_buckets), [*group_cols, "_bucket"])
     inner = Window.partitionBy(*group_cols, "_bucket").orderBy(hash_col, tie_col)
     return joined.withColumn(rank_col, (F.col("_offset") + F.row_number().over(inner)).cast("long")) \

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order_hash
-from .ranking import bounded_broadcast, first_k_by_hash, hash_rank
+from .ranking import first_k_by_hash, hash_rank
 
 MAX_CLASSES = 2
 
@@ -52,11 +52,10 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 def stratified_split(df: DataFrame, target: str, key: str, seed: int, test_size: float,
                      split_col: str = "split") -> DataFrame:
     """Add ``split`` ('test' / 'train'): the first n_test[class] rows of each class in hash order."""
-    alloc = split_allocation(class_counts(df, target), target, test_size)
     h = df.withColumn("_h", order_hash(seed, "split", key))
-    ranked = hash_rank(h, [target], "_h", key, max_groups=MAX_CLASSES)
-    return (ranked.join(bounded_broadcast(alloc.select(target, "n_test"), MAX_CLASSES), target)
-            .withColumn(split_col, F.when(F.col("rank") <= F.col("n_test"), "test").otherwise("train"))
+    ranked = hash_rank(h, [target], "_h", key, max_groups=MAX_CLASSES,
+                       per_group=lambda sizes: split_allocation(sizes, target, test_size).select(target, "n_test"))
+    return (ranked.withColumn(split_col, F.when(F.col("rank") <= F.col("n_test"), "test").otherwise("train"))
             .drop("_h", "rank", "n_test"))
 
 
@@ -142,15 +141,11 @@ def undersample(df: DataFrame, target: str, key: str, seed: int, group_cols: lis
                 max_groups: int = 1) -> DataFrame:
     """Every class down to the minority count (per group), without replacement (exact, distributed)."""
     g = group_cols or []
-    counts = df.groupBy(*g, target).agg(F.count(F.lit(1)).alias("n"))
     h = df.withColumn("_h", order_hash(seed, "undersample", key))
-    ranked = hash_rank(h, [*g, target], "_h", key, max_groups=MAX_CLASSES * max_groups)
-    if not g:
-        m = counts.agg(F.min("n")).first()[0]  # one number
-        return ranked.where(F.col("rank") <= F.lit(m)).drop("_h", "rank")
-    minority = counts.groupBy(*g).agg(F.min("n").alias("_m"))
-    return (ranked.join(bounded_broadcast(minority, max_groups), g)
-            .where(F.col("rank") <= F.col("_m")).drop("_h", "rank", "_m"))
+    minority = F.min("n").over(Window.partitionBy(*g))   # over classes x groups rows
+    ranked = hash_rank(h, [*g, target], "_h", key, max_groups=MAX_CLASSES * max_groups,
+                       per_group=lambda sizes: sizes.select(*g, target, minority.alias("_m")))
+    return ranked.where(F.col("rank") <= F.col("_m")).drop("_h", "rank", "_m")
 
 
 # ------------------------------------------------------------------ D4 stratified folds
@@ -163,14 +158,13 @@ def stratified_folds(df: DataFrame, target: str, key: str, seed: int, k: int,
     if k < 2:
         raise ValueError("at least 2 folds are required")
     group_cols = group_cols or []
-    counts = df.groupBy(*group_cols, target).agg(F.count(F.lit(1)).alias("n"))
     low = Window.partitionBy(*group_cols).orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, target, F.coalesce(F.sum("n").over(low), F.lit(0)).alias("_off"))
+    before = F.coalesce(F.sum("n").over(low), F.lit(0)).alias("_off")   # over classes x groups rows
     seed_c = F.col("seed") if "seed" in df.columns else F.lit(seed)
     h = df.withColumn("_h", order_hash(seed_c, "folds", key))
-    ranked = hash_rank(h, [*group_cols, target], "_h", key, max_groups=max_groups)
-    return (ranked.join(bounded_broadcast(offsets, max_groups), [*group_cols, target])
-            .withColumn("fold", F.pmod(F.col("_off") + F.col("rank") - 1, F.lit(k)).cast("int"))
+    ranked = hash_rank(h, [*group_cols, target], "_h", key, max_groups=max_groups,
+                       per_group=lambda sizes: sizes.select(*group_cols, target, before))
+    return (ranked.withColumn("fold", F.pmod(F.col("_off") + F.col("rank") - 1, F.lit(k)).cast("int"))
             .drop("_h", "rank", "_off"))
 
 
