@@ -12,8 +12,6 @@ training part, because each is undersampled for itself, which the evaluator cann
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np

@@ -9,7 +9,7 @@ from ..functions.columns import r6
 from ..operators import kernel_stats as ks
 from ..operators import kernels, metrics, models, prep, report, sampling
 from ..operators.encode import encode_angles
-from ..sources.fixtures import FEATURES, KEY, TARGET, fixture_w
+from ..sources.fixtures import FEATURES, KEY, TARGET
 from .params import (BASELINE_SEED, C_GRID, CIRCUIT_REPETITIONS, CV_FOLDS, FEATURE_MAPS, GAMMA_GRID,
                      MAP_REPEATS, MAP_STUDY_SEED_OFFSET, REPEATS, SEED, SUBSET_SIZES)
 from .queries_kernels import N, encoded
