@@ -160,3 +160,11 @@ def per_bucket(messages: DataFrame, n: int, fn: Callable, schema: str = MESSAGE)
     def run(key, table):
         return _trimmed(fn(key[0].as_py(), received(table)))
     return messages.groupBy("dest").applyInArrow(run, schema)
+
+
+def per_bucket_with(messages: DataFrame, n: int, answers: DataFrame, fn: Callable, schema: str = MESSAGE) -> DataFrame:
+    """fn(bucket, [(src, blob)], answers to the bucket as a table) -> pa.Table, for every bucket."""
+    messages, answers = messages.repartition(n, "dest"), answers.repartition(n, "dest")
+    def run(key, left, right):
+        return _trimmed(fn(key[0].as_py(), received(left), right))
+    return messages.groupBy("dest").cogroup(answers.groupBy("dest")).applyInArrow(run, schema)

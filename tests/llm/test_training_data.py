@@ -116,6 +116,25 @@ def test_ppm_is_a_distribution_and_base_is_exact(spark):
         assert r.train_tokens == total and abs(r.base_score - base) < 1e-6 and r.score < 0 and r.held_out == (fold(i) == 1)
 
 
+def test_ppm_hot_ending_is_split_and_levels_agree_with_one_trie(spark, monkeypatch):
+    from gramframe.llm import ppm_scoring
+    from gramframe.llm.ppm import Trie, grams
+    keys = np.arange(4096, dtype=np.uint64) << np.uint64(24) | np.uint64(0x6520FF)  # contexts that end in "e "
+    assert np.bincount(ppm_scoring._bucket_of_gram(keys, 16), minlength=16).max() < 512
+    monkeypatch.setattr(ppm_scoring, "BLOCK_BYTES", 500)
+    docs, rows = _docs(spark)
+    got = {(r.doc_id, r.n_tokens): r for r in ppm_scoring.score(docs).collect()}
+    streams = [np.frombuffer(b"\xff" * 5 + b" ".join((t or "").encode().lower().split()) + b"\xff", np.uint8) for _, t in rows]
+    trained = [x for x, (i, _) in zip(streams, rows) if ppm_scoring.fold(i, 5) != 1]
+    k, c = np.unique(np.concatenate([grams(x, 5) for x in trained]), return_counts=True)
+    pairs = np.zeros(65536, np.int64)
+    np.add.at(pairs, (k & np.uint64(0xFFFF)).astype(np.int64), c)
+    trie = Trie(k, c, 5, pairs)
+    for x, (i, t) in zip(streams, rows):
+        want = trie.log10(grams(x, 5)).sum()
+        assert abs(got[i, len((t or "").encode().lower().split()) + 1].score - want) < 1e-5 * max(1, -want)
+
+
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     from gramframe.llm import near_dup
