@@ -20,6 +20,7 @@ from gramframe.session import ensure_checkpoint_dir, ship_package
 from gramframe.sources.tables import read_table
 
 MAX_EPOCHS = 1.5
+MIN_WORDS = 50  # of a repeated run of fewer lines than the operator's own
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; documents of which no line is left go too."""
-    out = delete_repeated_runs(docs)
+    """Later copies of repeated runs of lines or of MIN_WORDS words go; documents of which no line is left go too."""
+    out = delete_repeated_runs(docs, min_words=MIN_WORDS)
     return _documents(out.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines"))), docs)
 
 

@@ -240,6 +240,20 @@ def test_lines_quality_mix_edges(spark):
         assert op(src.where("doc_id = -1")).count() == 0
 
 
+def test_line_stage_deletes_long_runs_of_one_or_two_lines(spark):
+    import corpus_pipeline
+    from gramframe.llm.line_dedup import delete_repeated_runs
+    long, half = " ".join(f"l{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    rest = " ".join(f"r{i}" for i in range(25))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, f"{half}\n\n{rest}\ne"), (4, f"f\n{half}\n{rest}\ng"),
+            (5, f"{half}\nh\n{rest}"), (6, long), (7, f"i\n{long}\nj\n{half}\n{rest}"), (8, "a\nk\nd"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == dict(rows[:1] + [(2, "c\nd"), rows[2], (4, "f\ng"), rows[4], (7, "i\nj"), rows[7], rows[8]])
+    runs = {r.doc_id: (r.n_deleted, r.n_runs) for r in delete_repeated_runs(docs, min_words=50).collect()}
+    assert runs[4] == (2, 1) and runs[6] == (1, 1) and runs[7] == (3, 2) and runs[1] == (0, 0)
+
+
 def test_exponent_meets_targets(spark):
     from gramframe.llm.mixing import exponent
     src = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "s string, tokens long")
