@@ -95,3 +95,9 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     from .ppm_scoring import score
     return score(documents(spark, sf_dir))
+
+
+@query("op11_simhash_near_dup")
+def op11(spark, sf_dir):
+    from .simhash_dup import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), shingle=3)
