@@ -51,3 +51,37 @@ SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted,
   coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+# crc32 by its table (built from the polynomial 0xEDB88320) over the bytes of every distinct feature
+OP12 = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (
+  SELECT side, id, array_to_string(ws[i:i + k - 1], ' ') AS feature
+  FROM (SELECT side, id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(ws)),
+held AS (SELECT side, id, feature, count(*) AS n FROM f GROUP BY ALL),
+hexed AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM held)),
+crc AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 10000 AS bucket
+  FROM hexed, tab),
+b AS (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM held JOIN crc USING (feature) GROUP BY ALL),
+tot AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM b GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS g
+  FROM tot, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM tot)),
+doc AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM b JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN doc ON doc.id = w.id WHERE side = 0),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""

@@ -101,3 +101,9 @@ def op10(spark, sf_dir):
 def op11(spark, sf_dir):
     from .simhash_dup import near_duplicates
     return near_duplicates(documents(spark, sf_dir), shingle=3)
+
+
+@query("op12_importance_resampling", oracle.OP12)
+def op12(spark, sf_dir):
+    from .resampling import resample
+    return resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
