@@ -107,3 +107,9 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     from .resampling import resample
     return resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+@query("op13_qdwh_whitening")
+def op13(spark, sf_dir):
+    from .whitening import whiten
+    return whiten(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
