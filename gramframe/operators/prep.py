@@ -6,8 +6,7 @@ The moments after imputation are merged algebraically from the non-missing momen
 median (Chan et al. parallel variance), so a fit is one scan plus the median job.
 
 Medians: groups of known small size (subsets) use Spark's exact ``median``; whole tables use
-a distributed exact median (value counts, ordered running counts) so no group of values is
-held by one task.
+radix selection (``selection.radix_medians``), so no group of values is held by one task.
 """
 
 from __future__ import annotations
@@ -16,53 +15,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import bounded_broadcast
+from .selection import radix_medians
 
 # Groups with at most this many rows use the in-memory exact median aggregate.
 SMALL_GROUP_ROWS = 100_000
 
 
-def _long(df: DataFrame, features: list[str], group_cols: list[str]) -> DataFrame:
-    pairs = ", ".join(f"'{c}', `{c}`" for c in features)
-    return df.selectExpr(*[f"`{g}`" for g in group_cols],
-                         f"stack({len(features)}, {pairs}) as (feature, value)")
-
-
 def exact_medians_distributed(df: DataFrame, features: list[str], group_cols: list[str],
                               max_groups: int = 1) -> DataFrame:
-    """(group..., feature, median) with the midpoint rule for even counts; nulls ignored.
-
-    Selection without a full sort: distinct values with counts are range-partitioned (and
-    checkpointed, fixing the partition ids); per-partition totals (a bounded table) locate the
-    one or two partitions holding the middle ranks, and only those rows are ordered.
-    """
-    from pyspark.sql import Window
-
-    from ..session import cut_lineage
-    g = [*group_cols, "feature"]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vc = (_long(df, features, group_cols).where(F.col("value").isNotNull())
-          .groupBy(*g, "value").agg(F.count(F.lit(1)).alias("cnt")))
-    ranged = cut_lineage(vc.repartitionByRange(parts, *[F.col(c) for c in g], F.col("value"))
-                         .withColumn("_part", F.spark_partition_id()))
-    ptot = ranged.groupBy(*g, "_part").agg(F.sum("cnt").alias("_pc"))
-    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ptot = ptot.select(*g, "_part", "_pc", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_before"),
-                       F.sum("_pc").over(Window.partitionBy(*g)).alias("n"))
-    lo = F.floor((F.col("n") + 1) / 2)
-    hi = F.floor(F.col("n") / 2) + 1
-    holds = lambda r: (F.col("_before") < r) & (r <= F.col("_before") + F.col("_pc"))
-    targets = ptot.where(holds(lo) | holds(hi)).select(*g, "_part", "_before", "n")   # <= 2 per group
-    sel = ranged.join(bounded_broadcast(targets, 2 * max_groups * len(features)), [*g, "_part"])
-    running = Window.partitionBy(*g, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sel.withColumn("cum_cnt", F.col("_before") + F.sum("cnt").over(running))
-    first = F.col("cum_cnt") - F.col("cnt") + 1
-    hit_lo = (first <= lo) & (lo <= F.col("cum_cnt"))
-    hit_hi = (first <= hi) & (hi <= F.col("cum_cnt"))
-    picked = cum.where(hit_lo | hit_hi)
-    return picked.groupBy(*g).agg(
-        ((F.min(F.when(hit_lo, F.col("value"))) + F.min(F.when(hit_hi, F.col("value")))) / 2).alias("median"))
+    """(group..., feature, median) with the midpoint rule for even counts; nulls ignored. Radix selection over the
+    values' bits: a few histogram passes over ``df``, nothing sorted or stored."""
+    fields = [df.schema[c] for c in group_cols] + [T.StructField("feature", T.StringType()), T.StructField("median", T.DoubleType())]
+    found = radix_medians(df, features, group_cols)
+    if len(found) > max_groups * len(features):
+        raise ValueError(f"more than {max_groups} groups")
+    return df.sparkSession.createDataFrame(found, T.StructType(fields))
 
 
 @dataclass

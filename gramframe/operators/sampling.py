@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import order_hash
 from .ranking import first_k_by_hash, hash_rank
+from .selection import hash_cuts, up_to_cut
 
 MAX_CLASSES = 2
 
@@ -51,12 +52,13 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 # ------------------------------------------------------------------ D1 stratified split
 def stratified_split(df: DataFrame, target: str, key: str, seed: int, test_size: float,
                      split_col: str = "split") -> DataFrame:
-    """Add ``split`` ('test' / 'train'): the first n_test[class] rows of each class in hash order."""
+    """Add ``split`` ('test' / 'train'): the first n_test[class] rows of each class in hash order. The cut of
+    each class is selected from histograms of the hash (jobs that read target and key only); the split is a
+    comparison with it, without window or shuffle."""
     h = df.withColumn("_h", order_hash(seed, "split", key))
-    ranked = hash_rank(h, [target], "_h", key, max_groups=MAX_CLASSES,
-                       per_group=lambda sizes: split_allocation(sizes, target, test_size).select(target, "n_test"))
-    return (ranked.withColumn(split_col, F.when(F.col("rank") <= F.col("n_test"), "test").otherwise("train"))
-            .drop("_h", "rank", "n_test"))
+    cuts = hash_cuts(h, [target], "_h", key, lambda sizes: split_allocation(sizes, target, test_size).select(target, F.col("n_test").alias("k")))
+    flagged = up_to_cut(h, cuts, [target], "_h", key, "_first")
+    return flagged.withColumn(split_col, F.when(F.col("_first"), "test").otherwise("train")).drop("_h", "_first")
 
 
 # ------------------------------------------------------------------ D2 balanced subsets
@@ -139,13 +141,15 @@ def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], chec
 # ------------------------------------------------------------------ D3 undersampling
 def undersample(df: DataFrame, target: str, key: str, seed: int, group_cols: list[str] | None = None,
                 max_groups: int = 1) -> DataFrame:
-    """Every class down to the minority count (per group), without replacement (exact, distributed)."""
+    """Every class down to the minority count (per group), without replacement: the rows up to the class's cut in
+    hash order (exact; a filter, as in ``stratified_split``)."""
     g = group_cols or []
     h = df.withColumn("_h", order_hash(seed, "undersample", key))
     minority = F.min("n").over(Window.partitionBy(*g))   # over classes x groups rows
-    ranked = hash_rank(h, [*g, target], "_h", key, max_groups=MAX_CLASSES * max_groups,
-                       per_group=lambda sizes: sizes.select(*g, target, minority.alias("_m")))
-    return ranked.where(F.col("rank") <= F.col("_m")).drop("_h", "rank", "_m")
+    cuts = hash_cuts(h, [*g, target], "_h", key, lambda sizes: sizes.select(*g, target, minority.alias("k")))
+    if len(cuts) > MAX_CLASSES * max_groups:
+        raise ValueError(f"more than {max_groups} groups of {MAX_CLASSES} classes")
+    return up_to_cut(h, cuts, [*g, target], "_h", key, "_first").where("_first").drop("_h", "_first")
 
 
 # ------------------------------------------------------------------ D4 stratified folds

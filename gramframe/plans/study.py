@@ -18,7 +18,7 @@ from ..operators.encode import encode_angles
 from ..sources import sinks
 from ..sources.config import StudyConfig
 from ..sources.fixtures import FEATURES, KEY, TARGET, fixture_w
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 
 def _row(df: DataFrame) -> dict:
@@ -29,8 +29,8 @@ def _row(df: DataFrame) -> dict:
 def run_study(spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None,
               output_dir: str | None = None) -> DataFrame:
     cfg = cfg or StudyConfig()
-    w = fixture_w(spark, sf_dir)
-    split = cut_lineage(sampling.stratified_split(w, TARGET, KEY, cfg.seed, cfg.test_size))
+    w = stored(fixture_w(spark, sf_dir))
+    split = sampling.stratified_split(w, TARGET, KEY, cfg.seed, cfg.test_size)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     n = len(FEATURES)
