@@ -170,17 +170,41 @@ def kernel_zz_r2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.broadcast_to(np.abs(total) ** 2, shape)
 
 
-CHUNK_ROWS = 1024   # rows per numpy call: keeps the (rows x landmarks) work arrays in cache
+WORK_BYTES = 32 << 20   # of a kernel block's work arrays
+PAIR_BYTES = 512        # work per (row, landmark) pair, the largest of the recursions
 
 
-def rows_x_landmarks(fn, x: np.ndarray, lm: np.ndarray, chunk: int = CHUNK_ROWS) -> np.ndarray:
+def chunk_rows(landmarks: int) -> int:
+    """Rows per numpy call that keep the (rows x landmarks) work arrays within WORK_BYTES."""
+    return max(1, WORK_BYTES // (PAIR_BYTES * max(1, landmarks)))
+
+
+def rows_x_landmarks(fn, x: np.ndarray, lm: np.ndarray, chunk: int | None = None) -> np.ndarray:
     """K (rows, landmarks) for row values x (R, n) and landmark values lm (L, n), in row chunks."""
     out = np.empty((x.shape[0], lm.shape[0]))
+    chunk = chunk or chunk_rows(lm.shape[0])
     for s in range(0, x.shape[0], chunk):
         out[s:s + chunk] = fn(x[s:s + chunk, None, :], lm[None, :, :])
     return out
 
 
+def pauli_matrix(a: np.ndarray, b: np.ndarray, repetitions: int) -> np.ndarray:
+    """K (rows, landmarks): one small product per feature, no (rows x landmarks x features) array."""
+    ra, rb = pauli_vectors(a, repetitions), pauli_vectors(b, repetitions)
+    out = np.ones((len(a), len(b)))
+    for q in range(a.shape[1]):
+        out *= (1.0 + ra[:, q] @ rb[:, q].T) / 2.0
+    return out
+
+
+def fidelity_matrix(name: str, repetitions: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """K (rows, landmarks) of a feature map for angles a (R, n) and b (L, n)."""
+    if name == "pauli":
+        check_map(name, repetitions)
+        return pauli_matrix(a, b, repetitions)
+    return rows_x_landmarks(fidelity_kernel(name, repetitions), a, b)
+
+
 KERNELS = {
     ("pauli", 1): lambda a, b: kernel_pauli(a, b, 1),
     ("pauli", 2): lambda a, b: kernel_pauli(a, b, 2),
