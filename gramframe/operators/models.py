@@ -4,9 +4,11 @@ Kernel-expansion classifier (deterministic): score(x) = sum_j c_j K(x, l_j), c =
 class-1 landmarks and -1/n0 for class 0; label = score > 0. Every run of a grid is one
 group of the same Spark job (landmarks per run, broadcast; rows streamed).
 
+Kernel machines (``kernel_machine``): support-vector machines on the subsets' kernels, for the feature-map study and the
+comparison.
+
 Margin classifiers (Spark ML ``LinearSVC``, hinge loss): the RBF baseline on random Fourier
-features of the standardised rows, and the kernel classifier on kernel-to-landmark features.
-The penalty C maps to regParam = 1 / (C * n_train). Cross-validation keeps one stored copy per
+features of the standardised rows of a whole training split. The penalty C maps to regParam = 1 / (C * n_train). Cross-validation keeps one stored copy per
 training part, because each is undersampled for itself, which the evaluator cannot do.
 """
 
@@ -15,11 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recursions as rec
+from . import kernel_machine as km
 from . import kernel_stats as ks
 from . import metrics as met
 from . import margin, prep, sampling
@@ -43,6 +45,7 @@ class RunData:
     subsets: DataFrame     # run_id, size, seed, repeat, key, y, position, scaled features, angles a0..
     test: DataFrame        # run_id, key, y, scaled features, angles (whole test split per run)
     gammas: DataFrame      # run_id, gamma ('scale' rule on the scaled subset)
+    stats: DataFrame       # run_id, fitted median, mean and spread of every feature
 
 
 def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.Run], features: list[str],
@@ -65,7 +68,7 @@ def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.R
     pairs = ", ".join(f"`{c}`" for c in features)
     cells = sub_s.selectExpr("run_id", f"stack({n}, {pairs}) as (v)")
     gammas = cut_lineage(cells.groupBy("run_id").agg((F.lit(1.0) / (F.lit(float(n)) * F.var_pop("v"))).alias("gamma")))
-    return RunData(cut_lineage(encode_angles(sub_s, features, keep=True)), test_s, gammas)
+    return RunData(cut_lineage(encode_angles(sub_s, features, keep=True)), test_s, gammas, pre.stats)
 
 
 def _scaled_by_gamma(df: DataFrame, gammas: DataFrame, features: list[str], n_runs: int) -> DataFrame:
@@ -137,6 +140,43 @@ def map_study(data: RunData, runs: list[sampling.Run], maps: list[str], repetiti
     return out.join(F.broadcast(rep), "run_id").select("feature_map", "repeat", "cv_f1")
 
 
+# ---------------------------------------------------------------- M3 to M5 with trained kernel machines
+@dataclass
+class Trained:
+    table: DataFrame         # cv_table: every parameter set of every run and machine
+    coefficients: DataFrame  # support vectors of the refitted best models
+    machines: list
+
+
+def train_machines(data: RunData, machines: list[km.Machine], features: list[str], k: int, key: str = "row_key", target: str = "y") -> Trained:
+    """Cross-validate every machine on every run's subset, refit the best parameters on the whole subset (M3)."""
+    table = cut_lineage(km.cv_table(km.cross_validated(data.subsets, machines, features, k, key, target), machines, target))
+    return Trained(table, cut_lineage(km.refit(data.subsets, table, machines, features, key, target)), machines)
+
+
+def compare_trained(train: DataFrame, test: DataFrame, runs: list[sampling.Run], feature_map: str, repetitions: int, features: list[str],
+                    k: int, c_grid: list[float], gamma_grid: list, key: str = "row_key", target: str = "y") -> DataFrame:
+    """(model, subset_size, repeat, 6 metrics): kernel SVM on the map's fidelity and RBF SVM, both tuned by cross-validation
+    on each run's subset; all runs and both models score the whole test split in one pass over it."""
+    data = prepare_runs(train, None, runs, features, key, target)
+    machines = [km.Machine("QSVM", feature_map, repetitions, tuple(c_grid)), km.rbf_machine(c_grid, gamma_grid)]
+    fitted = train_machines(data, machines, features, k, key, target)
+    m = km.MultiRunScorer(fitted.coefficients, data.stats, machines, features).metrics(test, target)
+    grid = train.sparkSession.createDataFrame([(x.run_id, x.size, x.repeat) for x in runs], "run_id int, subset_size int, repeat int")
+    return m.join(F.broadcast(grid), "run_id").select("model", "subset_size", "repeat", *SIX)
+
+
+def trained_map_study(data: RunData, runs: list[sampling.Run], maps: list[str], repetitions: int, features: list[str], k: int,
+                      c_grid: list[float], key: str = "row_key", target: str = "y") -> DataFrame:
+    """(feature_map, repeat, C, cv_f1): best mean validation F1 of a kernel SVM per map and subset; every fold's task
+    trains all maps on the same rows (M4)."""
+    machines = [km.Machine(m, m, repetitions, tuple(c_grid)) for m in maps]
+    table = km.cv_table(km.cross_validated(data.subsets, machines, features, k, key, target), machines, target)
+    rep = data.subsets.sparkSession.createDataFrame([(r.run_id, r.repeat) for r in runs], "run_id int, repeat int")
+    return table.where("rank = 1").join(F.broadcast(rep), "run_id").select(
+        F.col("model").alias("feature_map"), "repeat", "C", F.col("mean_f1").alias("cv_f1"))
+
+
 # ---------------------------------------------------------------- margin classifiers (Spark ML)
 def rff_kernel(gamma: float, dim: int, seed: int, n: int):
     """k(a, b) = z(a).z(b) with fixed random features (an unbiased estimate of
@@ -220,29 +260,14 @@ def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str],
                        F.lit(best["mean_f1"]).alias("cv_f1_mean"), F.lit(best["std_f1"]).alias("cv_f1_std"))
 
 
-def kernel_svm_cv(subset_enc: DataFrame, feature_map: str, repetitions: int, n: int, key: str, target: str,
-                  seed: int, k: int, c_grid: list[float]) -> CVResult:
-    """M3: each subset row's kernel values against all subset landmarks as features (Nystrom-style),
-    ``LinearSVC`` per C and fold. Preprocessing was fitted on the whole subset before CV, as in the
-    study. The subset is bounded by the landmark count, so its tables are kept in one partition."""
-    spark = subset_enc.sparkSession
-    angles = [f"a{q}" for q in range(n)]
-    lsets = ks.collect_landmarks(subset_enc, key, angles, "position")
-    fn = rec.fidelity_kernel(feature_map, repetitions)
-    bc = spark.sparkContext.broadcast(lsets[None].values)
-
-    @F.pandas_udf("array<double>")
-    def feats(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(rec.rows_x_landmarks(fn, x.to_numpy(dtype=float), bc.value)))
-
-    with_k = subset_enc.select(key, target, feats(F.struct(*angles)).alias("kf"))
-    folded = stored(sampling.stratified_folds(with_k, target, key, seed, k).coalesce(1))
-    training = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("grp")) \
-        .where(F.col("grp") != F.col("fold"))
-    fitted = stored(training.select("grp", key, target, "kf"), "grp")
-    grid = [(f, c) for f in range(k) for c in c_grid]
-    specs = [margin.ModelSpec(i, f, None, float(c)) for i, (f, c) in enumerate(grid)]
-    names = {i: (f"C={c}", float(c), "precomputed", f) for i, (f, c) in enumerate(grid)}
-    models = margin.fit_grid(fitted, "grp", ["kf"], target, specs, seed)
-    valid = folded.withColumn("grp", F.col("fold"))
-    return _cv_result(spark, specs, names, models, valid, ["kf"], key, target, seed, RANDOM_FEATURES, [f"C={c}" for c in c_grid])
+def kernel_svm_evaluate(train: DataFrame, test: DataFrame, run: sampling.Run, machine: km.Machine, features: list[str], k: int,
+                        key: str = "row_key", target: str = "y") -> DataFrame:
+    """M3 with refit and prediction: the metrics record of the whole test split, the chosen C and the CV mean and std."""
+    data = prepare_runs(train, None, [run], features, key, target)
+    fitted = train_machines(data, [machine], features, k, key, target)
+    best = fitted.table.where("rank = 1").first()
+    scorer = km.MultiRunScorer(fitted.coefficients, data.stats, [machine], features)
+    scored = test.select(key, target, scorer.score_column(test, run.run_id, machine.name).alias("score"))
+    scored = cut_lineage(scored.withColumn("pred", (F.col("score") > 0).cast("int")))  # read by confusion, AUC and AP
+    out = met.metrics_record(scored, target, "pred", "score")
+    return out.select("*", F.lit(best["C"]).alias("C"), F.lit(best["mean_f1"]).alias("cv_f1_mean"), F.lit(best["std_f1"]).alias("cv_f1_std"))

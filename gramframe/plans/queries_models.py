@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import recursions as rec
 from ..functions.columns import r6
+from ..operators import kernel_machine as km
 from ..operators import kernel_stats as ks
 from ..operators import kernels, metrics, models, prep, report, sampling
 from ..operators.encode import encode_angles
 from ..sources.fixtures import FEATURES, KEY, TARGET
 from .params import (BASELINE_SEED, C_GRID, CIRCUIT_REPETITIONS, CV_FOLDS, FEATURE_MAPS, GAMMA_GRID,
                      MAP_REPEATS, MAP_STUDY_SEED_OFFSET, REPEATS, SEED, SUBSET_SIZES)
-from .queries_kernels import N, encoded
+from .queries_kernels import N
 from .queries_sampling import SUBSET, subset_w, test_w, train_w, whole_w
 from .registry import query
 
@@ -103,12 +104,36 @@ def q_rbf_svm_eval(spark, sf_dir):
                                        BASELINE_SEED, cv)
 
 
+def _one_run(spark, sf_dir, feature_map):
+    """The 64-row subset as a run of its own, with a kernel SVM for the map."""
+    run = sampling.Run(0, SUBSET, SEED)
+    return run, km.Machine("QSVM", feature_map, CIRCUIT_REPETITIONS, tuple(C_GRID))
+
+
 @query("q_kernel_svm_cv")
 def q_kernel_svm_cv(spark, sf_dir):
-    """M3: kernel-to-landmark features + LinearSVC, C grid x 5 folds on the 64-row subset."""
-    sub_e, _ = encoded(spark, sf_dir)
-    cv = models.kernel_svm_cv(sub_e, "custom", CIRCUIT_REPETITIONS, N, KEY, TARGET, SEED, CV_FOLDS, C_GRID)
-    return cv.summary
+    """M3: kernel SVM on the custom map's Gram matrix, C grid x 5 folds on the 64-row subset."""
+    run, machine = _one_run(spark, sf_dir, "custom")
+    data = models.prepare_runs(train_w(spark, sf_dir), None, [run], FEATURES, KEY, TARGET)
+    table = km.cv_table(km.cross_validated(data.subsets, [machine], FEATURES, CV_FOLDS, KEY, TARGET), [machine], TARGET)
+    return table.select("params", "C", r6("mean_f1").alias("mean_f1"), r6("std_f1").alias("std_f1"), "folds", "rank")
+
+
+@query("q_kernel_svm_coefficients")
+def q_kernel_svm_coefficients(spark, sf_dir):
+    """M3: the refitted model as a table, one row per support vector."""
+    run, machine = _one_run(spark, sf_dir, "custom")
+    data = models.prepare_runs(train_w(spark, sf_dir), None, [run], FEATURES, KEY, TARGET)
+    c = models.train_machines(data, [machine], FEATURES, CV_FOLDS, KEY, TARGET).coefficients
+    return c.select(KEY, TARGET, "C", *[(F.round(x, 5) + F.lit(0.0)).alias(x) for x in ("coef", "intercept", "objective")])
+
+
+@query("q_kernel_svm_eval")
+def q_kernel_svm_eval(spark, sf_dir):
+    """The refitted kernel SVM (pauli map) on the whole test split."""
+    run, machine = _one_run(spark, sf_dir, "pauli")
+    m = models.kernel_svm_evaluate(train_w(spark, sf_dir), test_w(spark, sf_dir), run, machine, FEATURES, CV_FOLDS, KEY, TARGET)
+    return m.select("tn", "fp", "fn", "tp", "C", *[r6(c).alias(c) for c in [*metrics.METRIC_NAMES, "roc_auc", "average_precision", "cv_f1_mean", "cv_f1_std"]])
 
 
 @query("q_two_kernel_eval")
@@ -193,14 +218,36 @@ def q_summary(spark, sf_dir):
     return run_study(spark, sf_dir)
 
 
+def trained_study(spark, sf_dir):
+    runs, data = _study_data(spark, sf_dir)
+    return models.trained_map_study(data, runs, FEATURE_MAPS, CIRCUIT_REPETITIONS, FEATURES, CV_FOLDS, C_GRID, KEY, TARGET)
+
+
+def trained_comparison(spark, sf_dir, feature_map):
+    runs = sampling.comparison_runs(SUBSET_SIZES, REPEATS, SEED)
+    return models.compare_trained(train_w(spark, sf_dir), test_w(spark, sf_dir), runs, feature_map, CIRCUIT_REPETITIONS, FEATURES,
+                                  CV_FOLDS, C_GRID, GAMMA_GRID, KEY, TARGET)
+
+
+@query("q_map_study_svm")
+def q_map_study_svm(spark, sf_dir):
+    """M4: maps x repeats, best mean 5-fold F1 of a kernel SVM over the C grid on each 64-row subset."""
+    return trained_study(spark, sf_dir).select("feature_map", "repeat", "C", r6("cv_f1").alias("cv_f1"))
+
+
+@query("q_compare_svm_pauli")
+def q_compare_svm_pauli(spark, sf_dir):
+    """M5 for one map: 3 sizes x 5 repeats, both SVMs tuned per run, all runs scoring the whole test split."""
+    c = trained_comparison(spark, sf_dir, "pauli")
+    return c.select("model", "subset_size", "repeat", *[r6(m).alias(m) for m in models.SIX])
+
+
 @query("q_compare_models")
 def q_compare_models(spark, sf_dir):
-    """M5 as in the study: the feature map chosen by the map study (A19), then both models over
+    """M5 as in the study: the feature map chosen by the trained map study (A19), then both tuned SVMs over
     sizes x repeats scoring the whole test split (rows-only; the pauli variant has an oracle)."""
-    runs, data = _study_data(spark, sf_dir)
-    st = models.map_study(data, runs, FEATURE_MAPS, CIRCUIT_REPETITIONS, N, CV_FOLDS, KEY, TARGET)
-    chosen = report.choose_by_mean(st, "feature_map", "cv_f1").where(F.col("rank") == 1).first()["feature_map"]
-    c = comparison(spark, sf_dir, chosen)
+    chosen = report.choose_by_mean(trained_study(spark, sf_dir), "feature_map", "cv_f1").where(F.col("rank") == 1).first()["feature_map"]
+    c = trained_comparison(spark, sf_dir, chosen)
     return c.select(F.lit(chosen).alias("feature_map"), "model", "subset_size", "repeat",
                     *[r6(m).alias(m) for m in models.SIX])
 

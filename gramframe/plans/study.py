@@ -19,6 +19,7 @@ from ..sources import sinks
 from ..sources.config import StudyConfig
 from ..sources.fixtures import FEATURES, KEY, TARGET, fixture_w
 from ..session import cut_lineage, stored
+from .params import C_GRID, GAMMA_GRID
 
 
 def _row(df: DataFrame) -> dict:
@@ -36,23 +37,22 @@ def run_study(spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None,
     n = len(FEATURES)
 
     # 1. baseline (impute -> scale -> undersample -> RBF margin model, CV inside the folds)
-    cv = models.rbf_svm_cv(train, FEATURES, KEY, TARGET, cfg.seed, cfg.cv_folds, [0.1, 1.0, 10.0],
-                           ["scale", "auto", 0.01])
+    cv = models.rbf_svm_cv(train, FEATURES, KEY, TARGET, cfg.seed, cfg.cv_folds, C_GRID, GAMMA_GRID)
     classical = models.rbf_svm_fit_evaluate(train, test, FEATURES, KEY, TARGET, cfg.seed, cv)
 
     # 2. feature-map study on the largest subset size, one subset per repeat
     size = max(cfg.subset_sizes)
     study_runs = sampling.map_study_runs(size, cfg.map_repeats, cfg.seed + 1000)
     study_data = models.prepare_runs(train, None, study_runs, FEATURES, KEY, TARGET)
-    study = models.map_study(study_data, study_runs, list(cfg.feature_maps), cfg.circuit_repetitions, n,
-                             cfg.cv_folds, KEY, TARGET)
+    study = models.trained_map_study(study_data, study_runs, list(cfg.feature_maps), cfg.circuit_repetitions, FEATURES,
+                                     cfg.cv_folds, C_GRID, KEY, TARGET)
     chosen = report.choose_by_mean(study, "feature_map", "cv_f1")
     selected = chosen.where(F.col("rank") == 1).first()["feature_map"]
 
     # 3. comparison of both models with the selected map over sizes x repeats
     runs = sampling.comparison_runs(list(cfg.subset_sizes), cfg.repeats, cfg.seed)
-    data = models.prepare_runs(train, test, runs, FEATURES, KEY, TARGET)
-    comparison = models.compare_models(data, runs, selected, cfg.circuit_repetitions, FEATURES, KEY, TARGET)
+    comparison = models.compare_trained(train, test, runs, selected, cfg.circuit_repetitions, FEATURES, cfg.cv_folds,
+                                        C_GRID, GAMMA_GRID, KEY, TARGET)
     comparison_mean = report.comparison_mean(comparison)
 
     # 4. kernel of one more balanced subset, its diagnostics
