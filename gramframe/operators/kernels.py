@@ -11,7 +11,7 @@ Kernel families
   rbf       exp(-gamma * ||x - y||^2) on standardised features
   vectors   <u, v>^2 on given unit vectors
 Product forms (pauli, custom with 1 repetition, rbf, vectors) are native column expressions
-with the landmark terms as literals; recursions (custom 2, zz 1/2) run in Arrow batches
+over the landmark terms, which are joined as one array row per run; recursions (custom 2, zz 1/2) run in Arrow batches
 (pandas UDF), landmarks broadcast once per executor.
 """
 
@@ -32,6 +32,7 @@ from .ranking import bounded_broadcast
 
 MAX_LANDMARKS = 4096   # per run; larger landmark sets are refused (use blocks of runs instead)
 MAX_RUNS = 1024
+MODEL_BYTES = 256 << 20   # landmark model of all runs that may be sent to every task
 NATIVE = {("pauli", 1), ("pauli", 2), ("pauli", 3), ("custom", 1)}
 
 
@@ -84,21 +85,29 @@ def pauli_row_terms(n: int, repetitions: int, prefix: str = "a") -> list[list[Co
     return out
 
 
-def _landmark_literal(lsets: dict, fields, group_col: str | None) -> Column:
-    """The landmark model as one literal: array<struct> (or map run -> array<struct>).
+def _checked_bytes(lsets: dict, numbers: int) -> None:
+    size = sum(len(ls.keys) for ls in lsets.values()) * (8 * numbers + 64)
+    if size > MODEL_BYTES:
+        raise ValueError(f"a landmark model of {size} bytes; at most {MODEL_BYTES} are sent to every task")
 
-    ``fields``: list of (name, fn(LandmarkSet, j) -> value). Exploding it next to a row pairs
-    the row with every landmark of its run without a join.
-    """
-    def arr(ls: LandmarkSet) -> Column:
-        return F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(ls.keys[j]).alias("j_key"),
-                                  F.lit(ls.positions[j]).alias("j_pos"),
-                                  *[F.lit(fn(ls, j)).alias(nm) for nm, fn in fields])
-                         for j in range(len(ls.keys))])
-    if group_col is None:
-        return arr(lsets[None])
-    m = F.create_map(*[x for g, ls in lsets.items() for x in (F.lit(g), arr(ls))])
-    return F.element_at(m, F.col(group_col))
+
+def _landmark_model(spark, lsets: dict, fields, group_col: str | None) -> DataFrame:
+    """The landmark model as data: one row per run with an array of structs (``_model``), joined to the rows by run (a
+    single row without runs). ``fields``: list of (name, type, fn(LandmarkSet) -> values per landmark)."""
+    _checked_bytes(lsets, sum(1 if t == "double" else len(fn(next(iter(lsets.values())))[0]) for _, t, fn in fields) if lsets else 0)
+    names = ", ".join(f"{nm}: {t}" for nm, t, _ in fields)
+    schema = f"_group int, _model array<struct<_j: int, j_key: string, j_pos: int, {names}>>"
+    table = []
+    for g, ls in lsets.items():
+        values = [fn(ls) for _, _, fn in fields]
+        table.append((g, [(j, str(ls.keys[j]), ls.positions[j], *[v[j] for v in values]) for j in range(len(ls.keys))]))
+    model = F.broadcast(spark.createDataFrame(table, schema))   # bytes checked above
+    return model.withColumnRenamed("_group", group_col) if group_col else model.drop("_group")
+
+
+def _with_model(rows: DataFrame, model: DataFrame, group_col: str | None) -> DataFrame:
+    """Every row next to its run's model (one row a run)."""
+    return rows.join(model, group_col) if group_col else rows.crossJoin(model)
 
 
 def _native_terms(name: str, repetitions: int, n: int, prefix: str):
@@ -106,13 +115,7 @@ def _native_terms(name: str, repetitions: int, n: int, prefix: str):
     if name == "pauli":
         terms = pauli_row_terms(n, repetitions, prefix)
         pre = [t.alias(f"_p{q}{c}") for q, trio in enumerate(terms) for c, t in zip("xyz", trio)]
-        cache: dict = {}
-
-        def vec(ls: LandmarkSet):
-            if id(ls) not in cache:
-                cache[id(ls)] = rec.pauli_vectors(ls.values, repetitions)
-            return cache[id(ls)]
-        fields = [(f"l{q}{c}", (lambda ls, j, q=q, i=i: float(vec(ls)[j, q, i])))
+        fields = [(f"l{q}{c}", "double", (lambda ls, q=q, i=i: rec.pauli_vectors(ls.values, repetitions)[:, q, i].tolist()))
                   for q in range(n) for i, c in enumerate("xyz")]
         k = F.lit(1.0)
         for q in range(n):
@@ -128,10 +131,10 @@ def _native_terms(name: str, repetitions: int, n: int, prefix: str):
                     F.sin(a[q] * a[q] / (2 * math.pi)).alias(f"_sp{q}")]
         fields = []
         for q in range(n):
-            fields += [(f"lc{q}", lambda ls, j, q=q: math.cos(ls.values[j, q] / 2)),
-                       (f"ls{q}", lambda ls, j, q=q: math.sin(ls.values[j, q] / 2)),
-                       (f"lcp{q}", lambda ls, j, q=q: math.cos(ls.values[j, q] ** 2 / (2 * math.pi))),
-                       (f"lsp{q}", lambda ls, j, q=q: math.sin(ls.values[j, q] ** 2 / (2 * math.pi)))]
+            fields += [(f"lc{q}", "double", lambda ls, q=q: np.cos(ls.values[:, q] / 2).tolist()),
+                       (f"ls{q}", "double", lambda ls, q=q: np.sin(ls.values[:, q] / 2).tolist()),
+                       (f"lcp{q}", "double", lambda ls, q=q: np.cos(ls.values[:, q] ** 2 / (2 * math.pi)).tolist()),
+                       (f"lsp{q}", "double", lambda ls, q=q: np.sin(ls.values[:, q] ** 2 / (2 * math.pi)).tolist())]
         k = F.lit(1.0)
         for q in range(n):
             p = F.col(f"_c{q}") * F.col(f"lc{q}")
@@ -142,12 +145,11 @@ def _native_terms(name: str, repetitions: int, n: int, prefix: str):
     raise ValueError(f"no native form for {name} with {repetitions} repetitions")
 
 
-def _pair_stage(rows: DataFrame, head: list, pre: list, lit_model: Column, k: Column,
+def _pair_stage(rows: DataFrame, head: list, pre: list, model: DataFrame, k: Column,
                 group_col: str | None, symmetric: bool) -> DataFrame:
-    """rows -> (group?, i_key, j_key, [i_pos, j_pos], k): explode the landmark literal, one
-    small expression per pair."""
-    staged = rows.select(*head, *pre)
-    paired = staged.select("*", F.inline(lit_model))
+    """rows -> (group?, i_key, j_key, [i_pos, j_pos], k): explode the joined model, one small expression per pair."""
+    staged = _with_model(rows.select(*head, *pre), model, group_col)
+    paired = staged.select(*[c for c in staged.columns if c != "_model"], F.inline("_model"))
     if symmetric:
         paired = paired.where(F.col("i_pos") <= F.col("j_pos"))
     cols = ([group_col] if group_col else []) + ["i_key", "j_key"] + (["i_pos", "j_pos"] if symmetric else [])
@@ -156,21 +158,14 @@ def _pair_stage(rows: DataFrame, head: list, pre: list, lit_model: Column, k: Co
 
 def _long_form(scored: DataFrame, group_col: str | None, lsets: dict, symmetric: bool,
                i_pos: str | None) -> DataFrame:
-    """Explode a per-row kernel array into (group, i_key, j_key, k); keys from literals."""
+    """Explode a per-row kernel array into (group, i_key, j_key, k); keys from the joined model."""
+    model = _landmark_model(scored.sparkSession, lsets, [("one", "double", lambda ls: [1.0] * len(ls.keys))], group_col)
     base = ([group_col] if group_col else []) + ["i_key"] + (["i_pos"] if i_pos else [])
     # outer form: the arrays are never null or empty, and a non-outer generator makes the
     # optimizer infer a size(_k) > 0 filter that evaluates the Python UDF a second time
-    ex = scored.select(*base, F.posexplode_outer("_k").alias("_j", "k"))
-    if group_col is None:
-        ls = lsets[None]
-        keys, poss = F.lit(ls.keys), F.lit(ls.positions)
-    else:
-        keys = F.element_at(F.create_map(*[x for g, ls in lsets.items() for x in (F.lit(g), F.lit(ls.keys))]),
-                            F.col(group_col))
-        poss = F.element_at(F.create_map(*[x for g, ls in lsets.items() for x in (F.lit(g), F.lit(ls.positions))]),
-                            F.col(group_col))
-    ex = ex.withColumn("j_key", F.element_at(keys, F.col("_j") + 1)) \
-        .withColumn("j_pos", F.element_at(poss, F.col("_j") + 1))
+    ex = _with_model(scored, model, group_col).select(*base, "_model", F.posexplode_outer("_k").alias("_j", "k"))
+    at = F.element_at("_model", F.col("_j") + 1)
+    ex = ex.withColumn("j_key", at["j_key"]).withColumn("j_pos", at["j_pos"])
     if symmetric:
         ex = ex.where(F.col("i_pos") <= F.col("j_pos"))
     cols = ([group_col] if group_col else []) + ["i_key", "j_key"] + (["i_pos", "j_pos"] if i_pos else []) + ["k"]
@@ -192,20 +187,20 @@ def fidelity_kernel(rows: DataFrame, landmarks: DataFrame, name: str, repetition
     use_native = (name, repetitions) in NATIVE if native is None else native
     if use_native:
         pre, fields, k = _native_terms(name, repetitions, n, prefix)
-        return _pair_stage(rows, head, pre, _landmark_literal(lsets, fields, group_col), k, group_col, symmetric)
-    fn = rec.fidelity_kernel(name, repetitions)
-    scored = rows.select(*head, _arrow_rows_x_landmarks(rows, fn, lsets, group_col, angle_cols).alias("_k"))
+        return _pair_stage(rows, head, pre, _landmark_model(rows.sparkSession, lsets, fields, group_col), k, group_col, symmetric)
+    scored = rows.select(*head, _arrow_rows_x_landmarks(rows, name, repetitions, lsets, group_col, angle_cols).alias("_k"))
     return _long_form(scored, group_col, lsets, symmetric, "i_pos" if symmetric else None)
 
 
-def _arrow_rows_x_landmarks(rows: DataFrame, fn, lsets: dict, group_col: str | None, cols: list[str]) -> Column:
+def _arrow_rows_x_landmarks(rows: DataFrame, name: str, repetitions: int, lsets: dict, group_col: str | None, cols: list[str]) -> Column:
     """pandas UDF: each Arrow batch of rows against its run's landmarks -> array<double>."""
+    _checked_bytes(lsets, len(cols))
     bc = rows.sparkSession.sparkContext.broadcast({g: ls.values for g, ls in lsets.items()})
 
     if group_col is None:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def k_single(x: pd.DataFrame) -> pd.Series:
-            mat = rec.rows_x_landmarks(fn, x.to_numpy(dtype=float), bc.value[None])
+            mat = rec.fidelity_matrix(name, repetitions, x.to_numpy(dtype=float), bc.value[None])
             return pd.Series(list(mat))
         return k_single(F.struct(*cols))
 
@@ -216,7 +211,7 @@ def _arrow_rows_x_landmarks(rows: DataFrame, fn, lsets: dict, group_col: str | N
         out = np.empty(len(g), dtype=object)
         for gid in pd.unique(g):
             idx = np.flatnonzero(g.to_numpy() == gid)
-            mat = rec.rows_x_landmarks(fn, vals[idx], sets[int(gid)])
+            mat = rec.fidelity_matrix(name, repetitions, vals[idx], sets[int(gid)])
             for t, i in enumerate(idx):
                 out[i] = mat[t]
         return pd.Series(out)
@@ -243,14 +238,14 @@ def gamma_value(train_scaled: DataFrame, features: list[str], gamma, group_col:
 
 def rbf_kernel(rows: DataFrame, landmarks: DataFrame, features: list[str], gamma: float,
                key: str = "row_key", pos_col: str = "position", symmetric: bool = False) -> DataFrame:
-    """exp(-gamma * sum_q (x_q - y_q)^2) against literal landmark features (one run)."""
+    """exp(-gamma * sum_q (x_q - y_q)^2) against the landmark features (one run)."""
     lsets = collect_landmarks(landmarks, key, features, pos_col)
-    fields = [(f"l{q}", lambda ls, j, q=q: float(ls.values[j, q])) for q in range(len(features))]
+    fields = [(f"l{q}", "double", lambda ls, q=q: ls.values[:, q].tolist()) for q in range(len(features))]
     pre = [F.col(c).alias(f"_x{q}") for q, c in enumerate(features)]
     d2 = sum(((F.col(f"_x{q}") - F.col(f"l{q}")) * (F.col(f"_x{q}") - F.col(f"l{q}"))
               for q in range(len(features))), F.lit(0.0))
     head = [F.col(key).alias("i_key")] + ([F.col(pos_col).alias("i_pos")] if symmetric else [])
-    return _pair_stage(rows, head, pre, _landmark_literal(lsets, fields, None),
+    return _pair_stage(rows, head, pre, _landmark_model(rows.sparkSession, lsets, fields, None),
                        F.exp(d2 * (-float(gamma))), None, symmetric)
 
 
@@ -260,23 +255,15 @@ def vector_kernel(rows: DataFrame, landmarks: DataFrame, vec_col: str, dim: int,
     lsets = collect_landmarks(landmarks, key, vec_col, pos_col)
     if lsets[None].values.shape[1] != dim:
         raise ValueError(f"landmark vectors have length {lsets[None].values.shape[1]}, expected {dim}")
-    fields = [("lv", lambda ls, j: [float(v) for v in ls.values[j]])]
+    fields = [("lv", "array<double>", lambda ls: ls.values.tolist())]
     pre = [F.when(F.size(vec_col) == dim, F.col(vec_col))
            .otherwise(F.raise_error(F.lit(f"vector length differs from {dim}"))).alias("_u")]
     dot = sum((F.col("_u").getItem(i) * F.col("lv").getItem(i) for i in range(dim)), F.lit(0.0))
-    return _pair_stage(rows, [F.col(key).alias("i_key")], pre, _landmark_literal(lsets, fields, None),
+    return _pair_stage(rows, [F.col(key).alias("i_key")], pre, _landmark_model(rows.sparkSession, lsets, fields, None),
                        dot * dot, None, False)
 
 
 # ---------------------------------------------------------------- matrix helpers
-def mirror(kernel_upper: DataFrame, i: str = "i", j: str = "j", value: str = "k") -> DataFrame:
-    """Full matrix from the i <= j half: add (j, i) for every off-diagonal entry."""
-    other = [c for c in kernel_upper.columns if c not in (i, j)]
-    swapped = kernel_upper.where(F.col(i) != F.col(j)).select(
-        F.col(j).alias(i), F.col(i).alias(j), *other)
-    return kernel_upper.select(i, j, *other).unionByName(swapped)
-
-
 def pair_budget(subset_size: int, eval_rows: Column, shots: int) -> list[Column]:
     """Pairs of a symmetric n x n kernel (n(n+1)/2) plus m x n test pairs, and shots for them."""
     train_pairs = F.lit(subset_size * (subset_size + 1) // 2).cast("long")

@@ -165,7 +165,7 @@ sql("q_preprocess_fit_self", with_(W, *SPLIT_W, SUB64, _SUB_STATS) + _apply("SUB
 sql("q_preprocess_train_test", with_(W, *SPLIT_W, SUB64, _SUB_STATS) + _apply("WE", ""))
 
 SCORED_DOCS = """SD AS (
-  SELECT row_key, y, round(coalesce(f7, 0) - coalesce(f4, 0) - coalesce(f6, 0), 9) AS score FROM D
+  SELECT row_key, y, coalesce(f7, 0) - coalesce(f4, 0) - coalesce(f6, 0) AS score FROM D
 ), SDP AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM SD)"""
 
 sql("q_confusion", with_(D, SCORED_DOCS) + """

@@ -50,7 +50,6 @@ def prepared_ctes(size: int, tag: str = "") -> list[str]:
 
 
 BASE64 = [W, *SPLIT_W, *prepared_ctes(64)]
-BASE16 = [W, *SPLIT_W, *prepared_ctes(16, "16")]
 
 
 def r6(x: str) -> str:
@@ -210,7 +209,7 @@ def zz2_sql(src_pairs: str) -> str:
 
 # ---------------------------------------------------------------- registered oracles
 SYM = pairs_wide("PW", "ENC", "ENC", True)
-RECT = pairs_wide("PR", "TENC16", "ENC16", False)
+RECT = pairs_wide("PR", "TENC", "ENC", False)
 
 sql("q_angle_encode", with_(*BASE64) + f"SELECT row_key, {', '.join(r6(f'a{q}') + f' AS a{q}' for q in range(N))} FROM TENC")
 
@@ -256,15 +255,15 @@ sql("q_pairs_symmetric", with_(*BASE64) + """
 SELECT i.row_key AS i_key, j.row_key AS j_key, i.position AS i_pos, j.position AS j_pos
 FROM ENC i JOIN ENC j ON i.position <= j.position""")
 
-sql("q_pairs_rect", with_(*BASE16) + "SELECT i.row_key AS i_key, j.row_key AS j_key FROM TENC16 i, ENC16 j")
+sql("q_pairs_rect", with_(*BASE64) + "SELECT i.row_key AS i_key, j.row_key AS j_key FROM TENC i, ENC j")
 
 sql("q_kernel_pauli", with_(*BASE64, SYM) + pauli_sql("PW"))
 sql("q_kernel_custom_r1", with_(*BASE64, SYM) + custom1_sql("PW"))
 sql("q_kernel_zz_r1", with_(*BASE64, SYM) + zz1_sql("PW"))
 sql("q_kernel_custom_r2", with_(*BASE64, SYM) + custom2_sql("PW"))
 sql("q_kernel_zz_r2", with_(*BASE64, SYM) + zz2_sql("PW"))
-sql("q_kernel_pauli_test", with_(*BASE16, RECT) + pauli_sql("PR"))
-sql("q_kernel_custom_r2_test", with_(*BASE16, RECT) + custom2_sql("PR"))
+sql("q_kernel_pauli_test", with_(*BASE64, RECT) + pauli_sql("PR"))
+sql("q_kernel_custom_r2_test", with_(*BASE64, RECT) + custom2_sql("PR"))
 
 _GAMMA = f"""GAM AS (SELECT 1.0 / (9 * var_pop(v)) AS g FROM (
   {' UNION ALL '.join(f'SELECT {c} AS v FROM SUBP' for c in FEATS)}))"""
@@ -275,7 +274,7 @@ SELECT i.row_key AS i_key, j.row_key AS j_key,
        {r6('exp(-(SELECT g FROM GAM) * (' + ' + '.join(f'pow(i.{c} - j.{c}, 2)' for c in FEATS) + '))')} AS k
 FROM SUBP i JOIN SUBP j ON i.position <= j.position""")
 
-sql("q_kernel_vectors", with_(E_FIX, sub_cte("LM", 16, "E")) + f"""
+sql("q_kernel_vectors", with_(E_FIX, sub_cte("LM", 64, "E")) + f"""
 SELECT e.row_key AS i_key, l.row_key AS j_key, {r6('pow(list_inner_product(e.vec, l.vec), 2)')} AS k
 FROM E e, LM l""")
 
@@ -380,7 +379,7 @@ SELECT row_key, y, {r6('score')} AS score, CAST(score > 0 AS INTEGER) AS pred FR
 from .oracle import _ap_sql, _auc_sql  # noqa: E402
 
 sql("q_kernel_score_metrics", with_(*BASE64).rstrip() + SCORE + f""",
-SR AS (SELECT row_key, y, round(score, 9) AS score, CAST(round(score, 9) > 0 AS INTEGER) AS pred FROM S),
+SR AS (SELECT row_key, y, score, CAST(score > 0 AS INTEGER) AS pred FROM S),
 CM AS (SELECT count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
               count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp FROM SR)
 SELECT tn, fp, fn, tp,
@@ -492,7 +491,7 @@ SELECT count(*) AS entries, {r6('avg(k)')} AS mean_k, {r6('min(k)')} AS min_k, {
 FROM (SELECT {pauli_pair_expr()} AS k FROM WB i, LB j)""")
 
 sql("q_bench_ranking_metrics", with_(*BASE64, *WALL) + f""",
-SB AS (SELECT i.row_key, i.y, round(sum(c.coef * {pauli_pair_expr()}), 9) AS score
+SB AS (SELECT i.row_key, i.y, sum(c.coef * {pauli_pair_expr()}) AS score
        FROM WB i, LB j JOIN LC c ON c.row_key = j.row_key GROUP BY i.row_key, i.y)
 SELECT {r6(_auc_sql('SB'))} AS roc_auc, {r6(_ap_sql('SB'))} AS average_precision""")
 
@@ -575,9 +574,9 @@ FROM FF GROUP BY feature_map""")
 
 sql("q_rbf_expansion_metrics", with_(*BASE64, _GAMMA) + f""",
 RS AS (SELECT t.row_key, t.y,
-              round(sum(CASE WHEN s.y = 1 THEN 1.0 / (SELECT count(*) FROM SUBP WHERE y = 1)
-                             ELSE -1.0 / (SELECT count(*) FROM SUBP WHERE y = 0) END
-                        * exp(-(SELECT g FROM GAM) * ({' + '.join(f'pow(t.{c} - s.{c}, 2)' for c in FEATS)}))), 9) AS score
+              sum(CASE WHEN s.y = 1 THEN 1.0 / (SELECT count(*) FROM SUBP WHERE y = 1)
+                       ELSE -1.0 / (SELECT count(*) FROM SUBP WHERE y = 0) END
+                  * exp(-(SELECT g FROM GAM) * ({' + '.join(f'pow(t.{c} - s.{c}, 2)' for c in FEATS)}))) AS score
        FROM WEP t, SUBP s GROUP BY t.row_key, t.y),
 SR AS (SELECT row_key, y, score, CAST(score > 0 AS INTEGER) AS pred FROM RS),
 CM AS (SELECT count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,

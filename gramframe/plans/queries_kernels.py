@@ -12,7 +12,6 @@ from .queries_sampling import SUBSET, subset_w, test_w
 from .registry import query
 
 N = len(FEATURES)
-RECT_LANDMARKS = 16
 
 
 def prepared(spark, sf_dir, size=SUBSET, seed=SEED):
@@ -71,13 +70,9 @@ def q_pairs_symmetric(spark, sf_dir):
     return k.select("i_key", "j_key", "i_pos", "j_pos")
 
 
-def _rect(spark, sf_dir):
-    return encoded(spark, sf_dir, RECT_LANDMARKS)
-
-
 @query("q_pairs_rect")
 def q_pairs_rect(spark, sf_dir):
-    sub_e, test_e = _rect(spark, sf_dir)
+    sub_e, test_e = encoded(spark, sf_dir)
     return kernels.fidelity_kernel(test_e, sub_e, "pauli", 1, N).select("i_key", "j_key")
 
 
@@ -114,16 +109,16 @@ def q_kernel_zz_r2(spark, sf_dir):
 
 @query("q_kernel_pauli_test")
 def q_kernel_pauli_test(spark, sf_dir):
-    """Rectangular kernel: whole test split x 16 landmarks (native expressions)."""
-    sub_e, test_e = _rect(spark, sf_dir)
+    """Rectangular kernel: whole test split x the 64-row subset (native expressions)."""
+    sub_e, test_e = encoded(spark, sf_dir)
     k = kernels.fidelity_kernel(test_e, sub_e, "pauli", CIRCUIT_REPETITIONS, N)
     return k.select("i_key", "j_key", r6("k").alias("k"))
 
 
 @query("q_kernel_custom_r2_test")
 def q_kernel_custom_r2_test(spark, sf_dir):
-    """Rectangular kernel: whole test split x 16 landmarks (Arrow batches)."""
-    sub_e, test_e = _rect(spark, sf_dir)
+    """Rectangular kernel: whole test split x the 64-row subset (Arrow batches)."""
+    sub_e, test_e = encoded(spark, sf_dir)
     k = kernels.fidelity_kernel(test_e, sub_e, "custom", 2, N)
     return k.select("i_key", "j_key", r6("k").alias("k"))
 
@@ -145,9 +140,9 @@ def q_kernel_rbf(spark, sf_dir):
 
 @query("q_kernel_vectors")
 def q_kernel_vectors(spark, sf_dir):
-    """Every embedding against a balanced subset of 16 embeddings: <u, v>^2."""
+    """Every embedding against a balanced subset of 64 embeddings: <u, v>^2."""
     e = fixture_e(spark, sf_dir)
-    lm = sampling.balanced_subset(e, TARGET, KEY, RECT_LANDMARKS, SEED)
+    lm = sampling.balanced_subset(e, TARGET, KEY, SUBSET, SEED)
     k = kernels.vector_kernel(e, lm, "vec", 64)
     return k.select("i_key", "j_key", r6("k").alias("k"))
 

@@ -154,7 +154,7 @@ def q_two_kernel_eval(spark, sf_dir):
                               models.rff_kernel(gamma, dim, SEED, N), FEATURES)
     both = exact.select(TARGET, "score", F.lit("exact").alias("kernel")).unionByName(
         approx.select(TARGET, "score", F.lit("random_features").alias("kernel")))
-    both = both.withColumn("pred", (F.col("score") > 0).cast("int")).withColumn("score", F.round("score", 9))
+    both = both.withColumn("pred", (F.col("score") > 0).cast("int"))
     m = metrics.metrics_record(both, TARGET, "pred", "score", ["kernel"], max_groups=2)
     return m.select("kernel", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in metrics.METRIC_NAMES],
                     r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
@@ -205,7 +205,7 @@ def q_bench_ranking_metrics(spark, sf_dir):
     sub_e, all_e = _whole_w_encoded(spark, sf_dir)
     lm = ks.class_mean_coefficients(sub_e, TARGET)
     s = ks.kernel_scores(all_e, lm, rec.fidelity_kernel("pauli", CIRCUIT_REPETITIONS), ANGLES)
-    s = s.withColumn("score", F.round("score", 9))
+    s = s
     r = metrics.ranking_metrics(s, TARGET, "score")
     return r.select(r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
 
@@ -264,7 +264,7 @@ def q_rbf_expansion_metrics(spark, sf_dir):
     sub_g = sub_s.select(KEY, TARGET, "position", *[(F.col(c) * g).alias(c) for c in FEATURES])
     test_g = test_s.select(KEY, TARGET, *[(F.col(c) * g).alias(c) for c in FEATURES])
     s = ks.kernel_scores(test_g, ks.class_mean_coefficients(sub_g, TARGET), models.rbf_unit, FEATURES)
-    s = s.withColumn("score", F.round("score", 9)).withColumn("pred", (F.col("score") > 0).cast("int"))
+    s = s.withColumn("pred", (F.col("score") > 0).cast("int"))
     m = metrics.metrics_record(s, TARGET, "pred", "score")
     return m.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in metrics.METRIC_NAMES],
                     r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))

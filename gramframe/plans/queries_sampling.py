@@ -170,7 +170,7 @@ def _scored_docs(spark, sf_dir):
     d = fixture_d(spark, sf_dir)
     score = F.coalesce(F.col("f7"), F.lit(0.0)) - F.coalesce(F.col("f4"), F.lit(0.0)) \
         - F.coalesce(F.col("f6"), F.lit(0.0))
-    return d.select(KEY, TARGET, F.round(score, 9).alias("score")) \
+    return d.select(KEY, TARGET, score.alias("score")) \
         .withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
 
