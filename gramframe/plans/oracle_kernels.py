@@ -278,6 +278,13 @@ sql("q_kernel_vectors", with_(E_FIX, sub_cte("LM", 64, "E")) + f"""
 SELECT e.row_key AS i_key, l.row_key AS j_key, {r6('pow(list_inner_product(e.vec, l.vec), 2)')} AS k
 FROM E e, LM l""")
 
+sql("q_vectors_diagnostics", with_(E_FIX) + f"""
+, P AS (SELECT i.row_key = j.row_key AS diag, i.y = j.y AS same, pow(list_dot_product(i.vec, j.vec), 2) AS k FROM E i, E j),
+A AS (SELECT (SELECT count(*) FROM E) AS n, coalesce(avg(k) FILTER (WHERE NOT diag AND same), 0) AS w, coalesce(avg(k) FILTER (WHERE NOT diag AND NOT same), 0) AS b,
+        avg(k) FILTER (WHERE NOT diag) AS o, sum(CASE WHEN same THEN k ELSE -k END) AS kt, sum(k * k) AS kk, sum(k) FILTER (WHERE diag) AS t FROM P)
+SELECT n, {r6('w')} AS within_class_mean, {r6('b')} AS between_class_mean, {r6('w - b')} AS separation, {r6('o')} AS off_diagonal_mean,
+  {r6('kt / (sqrt(kk) * n)')} AS kernel_target_alignment, {r6('t')} AS trace, {r6('kk')} AS frobenius2, {r6('t * t / kk')} AS participation_ratio FROM A""")
+
 sql("q_pair_budget", with_(W, *SPLIT_W) + """
 SELECT CAST(8 AS INTEGER) AS subset_size, least(m, 8) AS eval_size, CAST(36 AS BIGINT) AS train_pairs,
        least(m, 8) * 8 AS test_pairs, 36 + least(m, 8) * 8 AS circuits, (36 + least(m, 8) * 8) * 200 AS total_shots

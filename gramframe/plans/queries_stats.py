@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import recursions as rec
 from ..functions.columns import r6
 from ..operators import kernel_stats as ks
-from ..operators import kernels, metrics, sampling
-from ..sources.fixtures import FEATURES, KEY, TARGET, ZERO_OUTCOME, fixture_c
+from ..operators import kernels, metrics, sampling, whole_kernel
+from ..sources.fixtures import KEY, TARGET, ZERO_OUTCOME, fixture_c, fixture_e
 from .params import CIRCUIT_REPETITIONS, CV_FOLDS, SEED
 from .queries_kernels import N, encoded
 from .registry import query
@@ -109,4 +109,8 @@ def q_kernel_score_metrics(spark, sf_dir):
     return m.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in metrics.METRIC_NAMES + ["roc_auc", "average_precision"]])
 
 
-_ = FEATURES
+@query("q_vectors_diagnostics")
+def q_vectors_diagnostics(spark, sf_dir):
+    """A9, A10, A12 over all pairs of the whole embeddings table, from second and fourth moments (no pair is formed)."""
+    d = whole_kernel.vector_kernel_diagnostics(fixture_e(spark, sf_dir), "vec", TARGET, 64)
+    return d.select("n", *[r6(c).alias(c) for c in d.columns[1:]])
