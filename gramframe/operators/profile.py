@@ -6,8 +6,9 @@ Every function is one aggregate job whose partial aggregation runs map-side, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 
@@ -33,14 +34,28 @@ def missing_counts(df: DataFrame, features: list[str]) -> DataFrame:
         .select("feature", F.col("position").cast("int"), F.col("n_missing").cast("long"))
 
 
+def digested(df: DataFrame, c: str) -> Column:
+    """A column as group key: text and binary values as (length, 256-bit digest), null as null, others as given."""
+    if not isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType)):
+        return F.col(f"`{c}`").alias(c)
+    x = F.col(f"`{c}`")
+    return F.when(x.isNotNull(), F.struct(F.octet_length(x).alias("n"), F.unhex(F.sha2(x.cast("binary"), 256)).alias("d"))).alias(c)
+
+
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """A4: rows that repeat an earlier row (missing equals missing): sum over groups of (count - 1).
 
-    ``groupBy`` treats NULLs as equal, unlike a multi-column ``count(distinct ...)``.
+    ``groupBy`` treats NULLs as equal, unlike a multi-column ``count(distinct ...)``. Long values never
+    enter the shuffle: their digests are the keys. Equal digests are checked by a second one of 512 bits over
+    all columns: a group with two of them is an error, not a wrong count.
     """
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_c"))
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
+    second = F.xxhash64(*[F.sha2(F.col(f"`{c}`").cast("binary"), 512) for c in texts]) if texts else F.lit(0).cast("long")
+    keyed = df.select(*[digested(df, c) for c in columns], second.alias("_second"))
+    groups = keyed.groupBy(*[f"`{c}`" for c in columns]).agg(F.count(F.lit(1)).alias("_c"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi"))
+    once = F.when(F.col("_lo") == F.col("_hi"), F.col("_c")).otherwise(F.raise_error(F.lit("two texts share a 256-bit digest")).cast("long"))
     return groups.agg(
-        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates"),
+        F.coalesce(F.sum(once - 1), F.lit(0)).cast("long").alias("duplicates"),
         F.count(F.lit(1)).alias("distinct_rows"))
 
 

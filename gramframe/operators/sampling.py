@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order_hash
+from ..session import cut_lineage
 from .ranking import first_k_by_hash, hash_rank
-from .selection import hash_cuts, up_to_cut
+from .selection import ALL_ROWS, hash_cuts, up_to_cut
 
 MAX_CLASSES = 2
+CANDIDATES = 4   # hits per wanted row that the first bound of a run grid aims at
 
 
 # ------------------------------------------------------------------ allocation rules
@@ -112,27 +114,36 @@ def map_study_runs(size: int, repeats: int, seed: int) -> list[Run]:
     return [Run(rep, size, seed + rep, rep, "map_study") for rep in range(repeats)]
 
 
-def runs_column(runs: list[Run]):
-    """The run grid as an array literal, to ``explode`` next to each row (no join)."""
-    return F.array(*[F.struct(F.lit(r.run_id).alias("run_id"), F.lit(r.size).alias("size"),
-                              F.lit(r.seed).alias("seed"), F.lit(r.repeat).alias("repeat"))
-                     for r in runs])
-
-
 def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], check: bool = True) -> DataFrame:
     """Balanced subset for every run in one job: adds (run_id, size, seed, repeat, position).
 
-    Each row is repeated once per run (a Generate, streamed), ranked by its run's hash inside
-    (run_id, class); the literal bound max(size)/2 lets Spark keep only the first rows per
-    task before the shuffle.
-    """
+    A row is read once: its hashes for all runs are compared, inside one array expression, with a bound below which
+    about ``CANDIDATES`` times the wanted rows of its class fall, and only hits become rows. The counts of
+    the hits prove that the wanted rows are among them; a (run, class) that fell short widens the bound."""
     halves = [check_subset_size(r.size) for r in runs]
-    if check:
-        check_class_sizes(df, target, max(halves))
-    exploded = df.select("*", F.explode(runs_column(runs)).alias("_run")).select(
-        *df.columns, "_run.*")
-    h = exploded.withColumn("_h", order_hash(F.col("seed"), "subset", key))
-    picked = first_k_by_hash(h, ["run_id", target], "_h", key, max(halves),
+    counts = {r[target]: r["n"] for r in class_counts(df, target).collect()}  # <= 2 rows
+    for label in (0, 1):
+        if check and counts.get(label, 0) < max(halves):
+            raise ValueError(f"class {label} has {counts.get(label, 0)} rows, {max(halves)} requested")
+    factor = CANDIDATES
+    while True:
+        def bound(half: int, n: int) -> str:
+            share = factor * (half + 16) / max(n, 1)
+            return ALL_ROWS if share >= 1 else format(int(share * 16 ** 8), "08x")
+
+        grid = F.array(*[F.struct(
+            F.lit(r.run_id).alias("run_id"), F.lit(r.size).alias("size"), F.lit(r.seed).alias("seed"), F.lit(r.repeat).alias("repeat"),
+            F.lit(bound(h, counts.get(0, 0))).alias("_b0"), F.lit(bound(h, counts.get(1, 0))).alias("_b1")) for r, h in zip(runs, halves)])
+        hashed = F.transform(grid, lambda r: F.struct(r["run_id"].alias("run_id"), r["size"].alias("size"), r["seed"].alias("seed"),
+                                                      r["repeat"].alias("repeat"), order_hash(r["seed"], "subset", key).alias("_h"),
+                                                      F.when(F.col(target) == 1, r["_b1"]).otherwise(r["_b0"]).alias("_b")))
+        hits = df.where(F.col(target).isin(0, 1)).select(*df.columns, F.inline(F.filter(hashed, lambda r: r["_h"] < r["_b"]))).drop("_b")
+        hits = cut_lineage(hits)   # about factor x sum of sizes rows
+        found = {(r["run_id"], r[target]): r["n"] for r in hits.groupBy("run_id", target).agg(F.count(F.lit(1)).alias("n")).collect()}  # runs x 2
+        if all(found.get((r.run_id, c), 0) >= min(h, counts.get(c, 0)) for r, h in zip(runs, halves) for c in (0, 1)):
+            break
+        factor *= 16
+    picked = first_k_by_hash(hits, ["run_id", target], "_h", key, max(halves),
                              k_col=F.col("size") / 2).drop("rank", "_h")
     shuffle = Window.partitionBy("run_id").orderBy(order_hash(F.col("seed"), "shuffle", key), key)
     return picked.withColumn("position", (F.row_number().over(shuffle) - 1).cast("int"))

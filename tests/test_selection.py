@@ -82,3 +82,35 @@ def test_radix_medians(spark):
     whole = {r[0]: r[1] for r in radix_medians(df, names, [])}
     assert whole == {c: _median([x for x in cols[c] if x is not None]) for c in names if c != "none"}
     assert radix_medians(df.where("false"), names, ["g"]) == [] and radix_medians(df.where("false"), names, []) == []
+
+
+def test_run_grid_reads_rows_once_and_widens_its_bound(spark, monkeypatch):
+    from gramframe.operators import sampling
+    rows = [(f"k{i}", int(i % 9 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, y int").repartition(4)
+    runs = sampling.comparison_runs([8, 40], 3, 5)
+    expected = {}
+    for r in runs:
+        for y in (0, 1):
+            own = sorted((hashlib.md5(f"{r.seed}~subset~{k}".encode()).hexdigest(), k) for k, c in rows if c == y)
+            expected[r.run_id, y] = {k for _, k in own[:r.size // 2]}
+    for first in (sampling.CANDIDATES, 0.01):  # the second misses rows and must widen
+        monkeypatch.setattr(sampling, "CANDIDATES", first)
+        got = sampling.balanced_subsets(df, "y", "key", runs).collect()
+        found = {}
+        for r in got:
+            found.setdefault((r.run_id, r.y), set()).add(r.key)
+        assert found == expected
+        for run in runs:
+            assert sorted(r.position for r in got if r.run_id == run.run_id) == list(range(run.size))
+
+
+def test_duplicates_of_long_texts(spark):
+    from gramframe.operators.profile import duplicate_rows
+    rows = [("x" * 100_000, 1), ("x" * 100_000, 1), ("x" * 99_999, 1), (None, 1), (None, 1), ("", 1), ("", 2), ("x" * 100_000, None)]
+    df = spark.createDataFrame(rows, "`a text` string, b int")
+    out = duplicate_rows(df, ["a text", "b"])
+    assert tuple(out.first()) == (2, 6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and all("a text" in line for line in keys) and "sha2" in plan
