@@ -229,6 +229,41 @@ def refit(subsets: DataFrame, best: DataFrame, machines: list[Machine], features
     return rows.groupBy("run_id", "model").applyInPandas(whole_fit, schema)
 
 
+# ------------------------------------------------------------------ given matrices
+def kernel_rows(kernel: DataFrame, landmarks: DataFrame, key: str = "row_key") -> DataFrame:
+    """(i_key, row): each row's kernel values against all landmarks by their position (MAX_LANDMARKS values at most)."""
+    at = landmarks.select(F.col(key).alias("j_key"), F.col("position").alias("_p"))
+    cells = kernel.join(F.broadcast(at), "j_key")   # a subset
+    return cells.groupBy("i_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "k"))), lambda s: s["k"]).alias("row"))
+
+
+def precomputed_predictions(train: DataFrame, rows: DataFrame, k: int, c_grid: list[float], key: str = "row_key", target: str = "y") -> DataFrame:
+    """(model, C, cv_f1, key, target, score, pred) of ``rows`` by a kernel SVM on given matrices (M6), one task per matrix.
+
+    ``train``: model, position, fold, key, target, row (the Gram row by position); ``rows``: model, key, target, row."""
+    grid = tuple(float(c) for c in c_grid)
+
+    def fit_predict(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = _checked(left)
+        gram, sign = np.stack(left["row"].to_numpy()), 2.0 * left[target].to_numpy(float) - 1.0
+        fold = left["fold"].to_numpy()
+        f1 = {c: [] for c in grid}
+        for f in range(k):
+            held = fold == f
+            for c, fit in _path(gram[np.ix_(~held, ~held)], sign[~held], grid):
+                yes = gram[np.ix_(held, ~held)] @ (fit.alpha * sign[~held]) + fit.intercept > 0
+                both, either = (yes & (sign[held] > 0)).sum(), yes.sum() + (sign[held] > 0).sum()
+                f1[c].append(2.0 * both / either if either else 0.0)
+        mean = {c: float(np.mean(v)) for c, v in f1.items()}
+        best = max(grid, key=lambda c: (round(mean[c], 12), -grid.index(c)))
+        fit = solve_dual(gram, sign, best)
+        score = np.stack(right["row"].to_numpy()) @ (fit.alpha * sign) + fit.intercept if len(right) else np.zeros(0)
+        return pd.DataFrame({"model": left["model"].iloc[0], "C": best, "cv_f1": mean[best], key: right[key], target: right[target],
+                             "score": score, "pred": (score > 0).astype("int32")})
+    return train.groupBy("model").cogroup(rows.groupBy("model")).applyInPandas(
+        fit_predict, f"model string, C double, cv_f1 double, {key} string, {target} int, score double, pred int")
+
+
 # ------------------------------------------------------------------ one pass over all runs
 @dataclass
 class _Run:

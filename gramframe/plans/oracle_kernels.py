@@ -10,8 +10,6 @@ Complex numbers are (re, im) pairs of SQL expressions.
 
 from __future__ import annotations
 
-import math
-
 from .oracle import FEATS, SPLIT_W, _h, _stats_sql, sql
 from .oracle_fixtures import E as E_FIX
 from .oracle_fixtures import W, with_
@@ -291,15 +289,12 @@ SELECT CAST(8 AS INTEGER) AS subset_size, least(m, 8) AS eval_size, CAST(36 AS B
 FROM (SELECT count(*) AS m FROM WE)""")
 
 FULL = pairs_wide("PF", "ENC", "ENC", False)
-sql("q_kernel_sanity", with_(*BASE64, FULL, "KF AS (" + pauli_sql("PF").replace(r6(""), "") + ")") if False else
-    with_(*BASE64, FULL) + f"""
-, KF AS ({pauli_sql('PF')})
-SELECT {r6('max(abs(a.k - b.k))')} AS max_asymmetry,
-       {r6('max(CASE WHEN a.i_key = a.j_key THEN abs(a.k - 1) END)')} AS max_diagonal_error,
-       {r6('min(a.k)')} AS min_k, {r6('max(a.k)')} AS max_k, count(*) AS entries
-FROM KF a JOIN KF b ON a.i_key = b.j_key AND a.j_key = b.i_key""")
-
-_ = math
+sql("q_kernel_sanity", with_(*BASE64, FULL) + f"""
+, KF AS ({pauli_sql('PF', 2, False)}),
+M AS (SELECT max(abs(a.k - b.k)) AS asym, max(CASE WHEN a.i_key = a.j_key THEN abs(a.k - 1) END) AS diag, min(a.k) AS lo, max(a.k) AS hi, count(*) AS entries
+      FROM KF a JOIN KF b ON a.i_key = b.j_key AND a.j_key = b.i_key)
+SELECT {r6('asym')} AS max_asymmetry, {r6('diag')} AS max_diagonal_error, {r6('lo')} AS min_k, {r6('hi')} AS max_k, entries,
+  asym <= 1e-8 AS symmetric, diag <= 1e-8 + 1e-5 AS unit_diagonal, lo >= -1e-8 AND hi <= 1 + 1e-8 + 1e-5 AS in_range FROM M""")
 
 # ---------------------------------------------------------------- phase 4
 from .oracle_fixtures import C as C_FIX  # noqa: E402

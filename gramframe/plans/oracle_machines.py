@@ -12,7 +12,7 @@ import re
 
 from .oracle import SPLIT_W, _ap_sql, _auc_sql, _h, sql
 from .oracle_fixtures import W
-from .oracle_kernels import (BASE64, GRID_CTES, N, STUDY_CTES, bloch_select, custom2_sql, pauli_pair_expr, pauli_sql,
+from .oracle_kernels import (BASE64, GRID_CTES, N, STUDY_CTES, SYM, bloch_select, custom2_sql, pauli_pair_expr, pauli_sql,
                              r6, zz2_sql)
 from .params import CV_FOLDS, SEED
 
@@ -137,6 +137,40 @@ SELECT tn, fp, fn, tp, (SELECT c FROM CVT WHERE rank = 1) AS "C",{_METRIC_SQL},
   (SELECT {r6('mean_f1')} FROM CVT WHERE rank = 1) AS cv_f1_mean, (SELECT {r6('std_f1')} FROM CVT WHERE rank = 1) AS cv_f1_std
 FROM CM""")
 
+# ---------------------------------------------------------------- J7 / M6 on estimates from counts
+def _estimate(src: str) -> str:
+    return f"""len(list_filter(range(200), lambda s: ('0x' || substr(md5(concat_ws('~', '{SEED}', 'shot', {src}.i_key, {src}.j_key, s)), 1, 8))::BIGINT::DOUBLE
+      / 4294967296 < {src}.k)) / 200::DOUBLE"""
+
+
+_UPPER = [SYM, f"KU AS ({pauli_sql('PW', 2, False)})", f"KE AS MATERIALIZED (SELECT i_key, j_key, k, {_estimate('KU')} AS e FROM KU)",
+          "KA AS MATERIALIZED (SELECT i_key, j_key, k, e FROM KE UNION ALL SELECT j_key, i_key, k, e FROM KE WHERE i_key <> j_key)"]
+sql("q_kernel_compare_counts", _with(*BASE64, *_UPPER) + f"""
+SELECT count(*) AS entries, {r6('avg(abs(k - e))')} AS mean_abs_diff, {r6('max(abs(k - e))')} AS max_abs_diff,
+  {r6('avg(abs(e - 1)) FILTER (WHERE i_key = j_key)')} AS diagonal_deviation, 0::BIGINT AS only_first, 0::BIGINT AS only_second FROM KA""")
+
+_CROSS = f"""TS AS (SELECT * FROM TENC ORDER BY {_h('sample')}, row_key LIMIT 64),
+PT AS (SELECT i.row_key AS i_key, j.row_key AS j_key, {', '.join(f'i.a{q} AS x{q}' for q in range(N))}, {', '.join(f'j.a{q} AS z{q}' for q in range(N))} FROM TS i, ENC j),
+KT AS ({pauli_sql('PT', 2, False)}),
+KX AS MATERIALIZED (SELECT i_key, j_key, k, {_estimate('KT')} AS e FROM KT)"""
+sql("q_two_kernel_svm", _with(
+    *BASE64, *_UPPER, *_ONE[:2], _CROSS,
+    """KM AS MATERIALIZED (SELECT kid, i.idx AS row_at, list(v ORDER BY j.idx) AS ks FROM (
+      SELECT 'exact' AS kid, i_key, j_key, k AS v FROM KA UNION ALL SELECT 'counts', i_key, j_key, e FROM KA) a
+      JOIN R i ON i.row_key = a.i_key JOIN R j ON j.row_key = a.j_key GROUP BY ALL)""",
+    f"""FITS AS MATERIALIZED (SELECT concat(m, '|', held, '|', c) AS fit, 0 AS run_id, m AS kid, CAST(held AS INTEGER) AS held, c, m AS model, concat('C=', c) AS params,
+      c_place AS place FROM (VALUES ('exact'), ('counts')) ms(m), range(-1, {CV_FOLDS}) h(held), {C_VALUES})""", *SOLVER,
+    """SC AS (SELECT x.kernel, t.row_key, t.y, sum(c.coef * x.v) + any_value(c.b) AS score
+      FROM (SELECT 'exact' AS kernel, i_key, j_key, k AS v FROM KX UNION ALL SELECT 'counts', i_key, j_key, e FROM KX) x
+      JOIN COEFS c ON c.model = x.kernel AND c.row_key = x.j_key JOIN TS t ON t.row_key = x.i_key GROUP BY ALL)""",
+    f"CM AS (SELECT kernel, {_COUNTS} FROM SC GROUP BY kernel)",
+    "SE AS (SELECT * FROM SC WHERE kernel = 'exact')", "SS2 AS (SELECT * FROM SC WHERE kernel = 'counts')") + f"""
+SELECT CM.kernel, c AS "C", {r6('mean_f1')} AS cv_f1, tn, fp, fn, tp,{_METRIC_SQL},
+  {r6('CAST(tn AS DOUBLE) / (tn + fp)')} AS specificity, {r6('CAST(fp AS DOUBLE) / (tn + fp)')} AS false_positive_rate,
+  CASE kernel WHEN 'exact' THEN {r6(_auc_sql('SE'))} ELSE {r6(_auc_sql('SS2'))} END AS roc_auc,
+  CASE kernel WHEN 'exact' THEN {r6(_ap_sql('SE'))} ELSE {r6(_ap_sql('SS2'))} END AS average_precision
+FROM CM JOIN CVT ON CVT.model = CM.kernel AND rank = 1""")
+
 # ---------------------------------------------------------------- M4: maps x repeats
 _MAPS = [("zz", "zz"), ("pauli", "pauli"), ("custom", "custom")]
 _MSUBSET = STUDY_CTES[:6]

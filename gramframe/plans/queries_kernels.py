@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import encode, kernels, prep, sampling
+from ..operators import kernel_stats as ks
 from ..sources.fixtures import FEATURES, KEY, TARGET, fixture_e
 from .params import CIRCUIT_REPETITIONS, REMOTE_SHOTS, REMOTE_SUBSET, SEED
 from .queries_sampling import SUBSET, subset_w, test_w
@@ -155,13 +156,15 @@ def q_pair_budget(spark, sf_dir):
 
 @query("q_kernel_sanity")
 def q_kernel_sanity(spark, sf_dir):
-    """Both halves computed independently, then: max |K_ij - K_ji|, max |K_ii - 1|, range."""
+    """Both halves computed independently, then: max |K_ij - K_ji|, max |K_ii - 1|, range, and the verdict within the
+    tolerances."""
     sub_e, _ = encoded(spark, sf_dir)
     k = kernels.fidelity_kernel(sub_e, sub_e, "pauli", CIRCUIT_REPETITIONS, N)
     t = k.select(F.col("j_key").alias("i_key"), F.col("i_key").alias("j_key"), F.col("k").alias("kt"))
     both = k.join(t, ["i_key", "j_key"])
-    return both.agg(
-        r6(F.max(F.abs(F.col("k") - F.col("kt")))).alias("max_asymmetry"),
-        r6(F.max(F.when(F.col("i_key") == F.col("j_key"), F.abs(F.col("k") - 1)))).alias("max_diagonal_error"),
-        r6(F.min("k")).alias("min_k"), r6(F.max("k")).alias("max_k"),
-        F.count(F.lit(1)).alias("entries"))
+    checked = ks.within_tolerance(both.agg(
+        F.max(F.abs(F.col("k") - F.col("kt"))).alias("max_asymmetry"),
+        F.max(F.when(F.col("i_key") == F.col("j_key"), F.abs(F.col("k") - 1))).alias("max_diagonal_error"),
+        F.min("k").alias("min_k"), F.max("k").alias("max_k"), F.count(F.lit(1)).alias("entries")))
+    return checked.select(*[r6(c).alias(c) for c in ("max_asymmetry", "max_diagonal_error", "min_k", "max_k")], "entries",
+                          "symmetric", "unit_diagonal", "in_range")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import recursions as rec
 from ..functions.columns import r6
 from ..operators import kernel_stats as ks
+from ..operators import kernel_machine as km
 from ..operators import kernels, metrics, sampling, whole_kernel
+from ..session import cut_lineage
 from ..sources.fixtures import KEY, TARGET, ZERO_OUTCOME, fixture_c, fixture_e
-from .params import CIRCUIT_REPETITIONS, CV_FOLDS, SEED
+from .params import C_GRID, CIRCUIT_REPETITIONS, CV_FOLDS, REMOTE_SHOTS, SEED
 from .queries_kernels import N, encoded
+from .queries_sampling import SUBSET
 from .registry import query
 
 
@@ -41,6 +44,41 @@ def q_kernel_compare(spark, sf_dir):
                     "only_first", "only_second")
 
 
+def _estimates(spark, sf_dir):
+    """The 64-row subset, 64 evaluation rows of the test split, and both of their kernels exact and from counts."""
+    sub_e, test_e = encoded(spark, sf_dir)
+    eval_e = cut_lineage(sampling.uniform_sample(test_e, KEY, SEED, SUBSET))
+    upper = kernels.fidelity_kernel(sub_e, sub_e, "pauli", CIRCUIT_REPETITIONS, N, symmetric=True).select("i_key", "j_key", "k")
+    cross = kernels.fidelity_kernel(eval_e, sub_e, "pauli", CIRCUIT_REPETITIONS, N)
+    return sub_e, eval_e, {"exact": (ks.mirrored(upper), cross),
+                           "counts": (ks.mirrored(ks.estimated_kernel(upper, REMOTE_SHOTS, SEED)), ks.estimated_kernel(cross, REMOTE_SHOTS, SEED))}
+
+
+@query("q_kernel_compare_counts")
+def q_kernel_compare_counts(spark, sf_dir):
+    """The exact subset matrix against its estimate from outcome counts."""
+    _, _, both = _estimates(spark, sf_dir)
+    c = ks.compare_kernels(both["exact"][0], both["counts"][0])
+    return c.select("entries", *[r6(x).alias(x) for x in ("mean_abs_diff", "max_abs_diff", "diagonal_deviation")], "only_first", "only_second")
+
+
+@query("q_two_kernel_svm")
+def q_two_kernel_svm(spark, sf_dir):
+    """M6: kernel SVMs tuned and trained on the exact matrix and on its estimate from counts, each predicting with its own
+    test matrix; one metrics row per kernel."""
+    sub_e, eval_e, both = _estimates(spark, sf_dir)
+    folds = cut_lineage(sampling.stratified_folds(sub_e.select(KEY, TARGET, "position"), TARGET, KEY, SEED, CV_FOLDS))
+    train = rows = None
+    for name, (gram, cross) in both.items():
+        own = km.kernel_rows(gram, sub_e).withColumnRenamed("i_key", KEY).join(F.broadcast(folds), KEY).withColumn("model", F.lit(name))
+        held = km.kernel_rows(cross, sub_e).withColumnRenamed("i_key", KEY).join(F.broadcast(eval_e.select(KEY, TARGET)), KEY).withColumn("model", F.lit(name))
+        train, rows = (own, held) if train is None else (train.unionByName(own), rows.unionByName(held))
+    pred = cut_lineage(km.precomputed_predictions(train, rows, CV_FOLDS, C_GRID, KEY, TARGET))
+    m = metrics.metrics_record(pred, TARGET, "pred", "score", ["model", "C", "cv_f1"], max_groups=2)
+    return m.select(F.col("model").alias("kernel"), "C", r6("cv_f1").alias("cv_f1"), "tn", "fp", "fn", "tp",
+                    *[r6(c).alias(c) for c in metrics.METRIC_NAMES + ["roc_auc", "average_precision"]])
+
+
 @query("q_kernel_fold_slice")
 def q_kernel_fold_slice(spark, sf_dir):
     sub_e, k = _full(spark, sf_dir, "pauli", CIRCUIT_REPETITIONS)
