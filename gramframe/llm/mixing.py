@@ -10,9 +10,11 @@ prefix of a block permutation: documents fall into blocks by a hash of (id, sour
 and their rows follow hash order, and the prefix ends where the tokens run out. Block sums
 locate the end, so only the one block in which it lies is ordered; the selection itself is a filter.
 
+Texts are never shuffled: the plan, a row per source, goes to the documents.
+
 Defined results: a null source is one source of its own; documents without words take no tokens;
-a source without tokens is read once; rows with equal id and source tie and go together; an
-empty table gives no rows.
+a source without tokens is read once; rows with equal id and source tie and go together; other
+columns may have any names (own names start with two underscores until the end); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .quality_rules import words
 BITS, LEVELS = 42, 6
 BLOCK_ROWS = 16384
 MAX_EPOCHS = 2.0
+PLACE_BITS = 60
+BROADCAST_SOURCES, SALTS = 100_000, 16
 
 
 def exponent(sources: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, budget_share: float | None = None) -> float:
@@ -90,35 +94,48 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
         "rest", F.floor((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).cast("long"))
     # 2^bits blocks of about BLOCK_ROWS rows; a place's block is its leading bits
     plan = cut_lineage(plan.withColumn("bits", F.ceil(F.log2(F.greatest(F.col("rows") / BLOCK_ROWS, F.lit(1.0)))).cast("int")))
-    ends = prefix_ends(narrow, plan, seed)
-    chosen = plan.join(ends, "s", "left").select("s", "full", "end")
+    n_sources = plan.count()
+    ends = prefix_ends(narrow, plan, seed, n_sources)
+    chosen = plan.join(ends, "s", "left").select(F.col("s").alias("__s"), F.col("full").alias("__full"), F.col("end").alias("__end"))
 
     own = ["n_tokens", "epoch"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], src.alias("__s"),
-                       F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(tokens).cast("long").alias("n_tokens"))
-    rows = rows.join(chosen.withColumnRenamed("s", "__s"), "__s")
-    extra = F.coalesce(_permuted(F.col(f"`{id_col}`").cast("long"), F.col("__s"), F.col("full"), seed) <= F.col("end"), F.lit(False))
-    last = F.col("full") - 1 + F.when(extra, F.lit(1)).otherwise(F.lit(0))
-    rows = rows.withColumn("__last", last).where("__last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__last"))))
-    return rows.select(*[c for c in docs.columns if c not in own], "n_tokens", "epoch")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    rows = docs.select(*kept, src.alias("__s"), F.col(f"`{id_col}`").cast("long").alias("__id"),
+                       F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(tokens).cast("long").alias("__tokens"))
+    rows = _with_plan(rows, chosen, n_sources, "__s", "__id")
+    extra = F.coalesce(_permuted(F.col("__id"), F.col("__s"), F.col("__full"), seed) <= F.col("__end"), F.lit(False))
+    last = F.col("__full") - 1 + F.when(extra, F.lit(1)).otherwise(F.lit(0))
+    rows = rows.withColumn("__last", last).where("__last >= 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last"))))
+    return rows.select(*kept, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, n_sources: int, s: str, id_: str) -> DataFrame:
+    """Rows next to their source's plan. A plan of up to ``BROADCAST_SOURCES`` rows (counted) goes to the rows; a larger one
+    meets them in ``SALTS`` copies, so that a hot source is no single task."""
+    if n_sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), s)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int"))
+    return salted.join(plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [s, "__salt"]).drop("__salt")
 
 
 def _permuted(id_: Column, s: Column, epoch: Column, seed: str) -> Column:
-    """Place in the source's permutation of that epoch, from 0 to 2^62."""
-    return F.shiftrightunsigned(F.xxhash64(id_, s["none"], s["name"], epoch, F.lit(seed)), 2)
+    """Place in the source's permutation of that epoch, from 0 to 2^60: leading digits of an md5."""
+    text = F.concat_ws("~", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("none")), epoch.cast("string"), s["none"].cast("string"), s["name"])
+    return F.conv(F.substring(F.md5(text), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
-def prefix_ends(narrow: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+def prefix_ends(narrow: DataFrame, plan: DataFrame, seed: str, n_sources: int) -> DataFrame:
     """(s, end): the last place of the permutation that the rest of the source's budget reaches."""
-    rows = narrow.join(plan.where("rest > 0").select("s", "full", "rest", "bits"), "s")
+    rows = _with_plan(narrow, plan.where("rest > 0").select("s", "full", "rest", "bits"), n_sources, "s", "id")
     rows = rows.withColumn("at", _permuted(F.col("id"), F.col("s"), F.col("full"), seed))
-    rows = rows.withColumn("block", F.expr("shiftright(at, 62 - bits)"))
+    rows = rows.withColumn("block", F.expr(f"shiftright(at, {PLACE_BITS} - bits)"))
     sums = rows.groupBy("s", "block", "rest").agg(F.sum("tokens").alias("t"))
     run = W.partitionBy("s").orderBy("block")
     sums = sums.withColumn("upto", F.sum("t").over(run)).withColumn("before", F.col("upto") - F.col("t"))
-    edge = sums.where("before <= rest and upto > rest").select("s", "block", "before")
-    inside = rows.join(edge, ["s", "block"]).withColumn("upto", F.col("before") + F.sum("tokens").over(W.partitionBy("s").orderBy("at")))
+    edge = sums.where("before <= rest and upto > rest").select("s", "block", "before")   # one block a source
+    at_edge = F.broadcast(edge) if n_sources <= BROADCAST_SOURCES else edge
+    inside = rows.join(at_edge, ["s", "block"]).withColumn("upto", F.col("before") + F.sum("tokens").over(W.partitionBy("s").orderBy("at")))
     last = inside.where("upto <= rest").groupBy("s").agg(F.max("at").alias("within"))
     # nothing of the edge block fits: the end is the block's lower bound
-    bound = edge.join(plan.select("s", "bits"), "s").select("s", (F.expr("shiftleft(block, 62 - bits)") - 1).alias("bound"))
+    bound = edge.join(plan.select("s", "bits"), "s").select("s", (F.expr(f"shiftleft(block, {PLACE_BITS} - bits)") - 1).alias("bound"))
     return bound.join(last, "s", "left").select("s", F.coalesce("within", "bound").alias("end"))

@@ -85,3 +85,27 @@ ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r,
 SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
+
+# The exponent by the same 42 halvings; the ratio of the extreme sources decides how often the smallest share is read.
+OP8 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, source IS NULL AS none, coalesce(source, '') AS name, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS n_tokens FROM documents),
+s AS (SELECT none, name, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY none, name),
+tot AS (SELECT sum(tokens) AS total, min(tokens) FILTER (tokens > 0) AS least, max(tokens) AS most FROM s),
+halving AS (
+  SELECT 0 AS k, 0::DOUBLE AS lo, 1::DOUBLE AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END
+  FROM (SELECT *, pow(least / total, (lo + hi) / 2 - 1) / pow(most / total, (lo + hi) / 2 - 1) <= 2 AS ok FROM halving, tot WHERE k < 42)),
+alpha AS (SELECT CASE WHEN pow(least / total, -1) / pow(most / total, -1) <= 2 THEN 0 ELSE hi END AS a FROM halving, tot WHERE k = 42),
+plan AS (
+  SELECT none, name, tokens, floor(epochs)::BIGINT AS whole, floor((epochs - floor(epochs)) * tokens)::BIGINT AS rest
+  FROM (SELECT *, CASE WHEN tokens > 0 THEN round(pow(tokens / total, a - 1) / pow(most / total, a - 1), 9) ELSE 1 END AS epochs FROM s, tot, alpha)),
+placed AS (
+  SELECT d.*, whole, rest, ('0x' || substr(md5(concat_ws('~', 'mix', coalesce(doc_id::VARCHAR, 'none'), whole, none, name)), 1, 15))::BIGINT AS place
+  FROM d JOIN plan USING (none, name)),
+upto AS (SELECT *, sum(n_tokens) OVER (PARTITION BY none, name ORDER BY place) AS run FROM placed),
+ends AS (SELECT none, name, max(place) AS last FROM upto WHERE rest > 0 AND run <= rest GROUP BY none, name)
+SELECT doc_id, source, n_tokens, unnest(range(0, whole + CASE WHEN rest > 0 AND place <= coalesce(last, -1) THEN 1 ELSE 0 END))::INTEGER AS epoch
+FROM placed LEFT JOIN ends USING (none, name)
+"""

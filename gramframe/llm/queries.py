@@ -79,7 +79,7 @@ def op7(spark, sf_dir):
     return encode(documents(spark, sf_dir))
 
 
-@query("op8_mix_sources")
+@query("op8_mix_sources", oracle.OP8)
 def op8(spark, sf_dir):
     from .mixing import mix
     return mix(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])).drop("text")
