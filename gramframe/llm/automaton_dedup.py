@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 from . import blocks as B
+from .names import with_long_id
 from .repeats import Repeats, remove_repeats, runs_of
 
 WIDTH, GRAM = 50, 25  # words of a removable span; words of the anchors that route windows
@@ -141,4 +142,4 @@ def _cut(docs, words, starts, lens, removed) -> pa.Table:
 
 def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: word counts and the SHA-256 of the kept words joined by a space."""
-    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA))
+    return remove_repeats(with_long_id(docs.select("doc_id", "text")), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA))

@@ -18,9 +18,11 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import blocks as B
+from .names import with_long_id
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _LOADED: dict = {}
@@ -77,10 +79,16 @@ def encode(docs: DataFrame, path: str | None = None, n_blocks: int | None = None
     spark = docs.sparkSession
     with open(path or tokenizer_path(), encoding="utf-8") as f:  # the driver's own copy of a public file
         shared = _Shared(spark, f.read())
-    extra = extra or []
+    docs = with_long_id(docs)
+    # carried under names of their own; a column named like a result is replaced by the result
+    own = {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids", "decoded"} if keep_ids else set())
+    extra = [c for c in extra or [] if c not in own]
+    types = [docs.schema[c].dataType.simpleString() for c in extra]
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__x{i}") for i, c in enumerate(extra)])
+    carried = [f"__x{i}" for i in range(len(extra))]
     nb = n_blocks or B.block_count(docs)
     ng = B.bucket_count(nb)
-    blocks = B.to_blocks(docs, nb, ["doc_id", "text", *extra])
+    blocks = B.to_blocks(docs, nb, ["doc_id", "text", *carried])
 
     def send(b, table):
         _, _, words, h = _words(table)
@@ -147,10 +155,10 @@ def encode(docs: DataFrame, path: str | None = None, n_blocks: int | None = None
         cols = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
         if keep_ids:
             cols |= {"ids": pa.array(id_lists, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
-        return pa.table(cols | {c: table.column(c) for c in extra})
+        return pa.table(cols | {c: table.column(f"__x{i}") for i, c in enumerate(extra)})
 
     schema = SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
-    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    schema += "".join(f", `{c}` {t}" for c, t in zip(extra, types))
     return B.per_block_with(blocks, nb, B.per_bucket(B.per_block(blocks, send, B.MESSAGE), ng, answer), finish, schema)
 
 

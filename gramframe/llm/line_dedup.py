@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .names import set_aside
 from .quality_rules import let
 
 MIN_RUN = 3
@@ -97,6 +98,7 @@ def later_copies(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id"
 def delete_repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """``docs`` with the text less its later copies of line runs, and ``n_lines`` (lines with a word),
     ``n_deleted``, ``n_runs`` (maximal deleted runs). Own columns replace columns of the same names."""
+    docs, names_back = set_aside(docs)
     starts = later_copies(docs, min_run, id_col, text, min_words)
     deleted = starts.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("seq", "len"))).alias("__starts"))
     own = ["n_lines", "n_deleted", "n_runs"]
@@ -121,4 +123,5 @@ def delete_repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str =
         "__text": F.when(F.col("__starts").isNull(), body).otherwise(let(lines, rest)),
     })
     names = [c for c in docs.columns if c not in own]
-    return rows.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in names], *own)
+    out = rows.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in names], *own)
+    return out.withColumnsRenamed(names_back)

@@ -14,7 +14,7 @@ Texts are never shuffled: the plan, a row per source, goes to the documents.
 
 Defined results: a null source is one source of its own; documents without words take no tokens;
 a source without tokens is read once; rows with equal id and source tie and go together; other
-columns may have any names (own names start with two underscores until the end); an empty table gives no rows.
+columns may have any names (``names.set_aside``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import set_aside
 from .quality_rules import words
 
 BITS, LEVELS = 42, 6
@@ -76,6 +77,7 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
         id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """``docs`` once per epoch in which the mix reads them, with ``n_tokens`` and ``epoch`` (from 0).
     Own columns replace columns of the same names."""
+    docs, names_back = set_aside(docs)
     src = F.struct(F.col(f"`{source}`").isNull().alias("none"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("name"))
     tokens = F.coalesce(F.size(words(F.col(f"`{text}`"))), F.lit(0)).cast("long")
     narrow = cut_lineage(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), src.alias("s"),
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
     extra = F.coalesce(_permuted(F.col("__id"), F.col("__s"), F.col("__full"), seed) <= F.col("__end"), F.lit(False))
     last = F.col("__full") - 1 + F.when(extra, F.lit(1)).otherwise(F.lit(0))
     rows = rows.withColumn("__last", last).where("__last >= 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last"))))
-    return rows.select(*kept, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    return rows.select(*kept, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch")).withColumnsRenamed(names_back)
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, n_sources: int, s: str, id_: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import blocks as B
+from .names import with_long_id
 from .ppm import END, SYMBOLS, _groups, grams
 from .windows import mix
 
@@ -141,6 +142,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held: int = H
     """One row per document: the split, token counts, the word-count base and the trie's log10 probability."""
     if not 2 <= order <= 6:
         raise ValueError("order must be 2 to 6")
+    docs = with_long_id(docs.select("doc_id", "text"))
     nb = B.block_count(docs, block_bytes=BLOCK_BYTES)
     ng = B.bucket_count(nb)
     nl = B.bucket_count(ng)  # of each level under the longest contexts

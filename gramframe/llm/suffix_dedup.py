@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
+from .names import with_long_id
 from .repeats import Repeats, remove_repeats, runs_of
 from .windows import BYTE_CODES
 
@@ -147,4 +148,4 @@ def _cut(docs, raw, starts, lens, removed) -> pa.Table:
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: sizes, the removed spans (start and end byte of each, flattened) and
     the SHA-256 of the remaining bytes."""
-    return remove_repeats(docs.select("doc_id", "text"), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES, share=1, wire=lambda raw: raw))
+    return remove_repeats(with_long_id(docs.select("doc_id", "text")), Repeats(width, gram, _symbols, solve, _cut, SPARK_SCHEMA, block_bytes=BLOCK_BYTES, share=1, wire=lambda raw: raw))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import blocks as B
+from .names import with_long_id
 from .windows import mix
 
 BITS, FIT_ROWS, SHARDS, EPOCHS = 18, 6000, 1, 8
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``."""
+    docs, labels = with_long_id(docs), with_long_id(labels)
     w, bias = fit(docs, labels, fit_rows)
     at = np.flatnonzero(w)
     shared = docs.sparkSession.sparkContext.broadcast((at, w[at], bias))
