@@ -43,15 +43,14 @@ def rbf_unit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass
 class RunData:
     subsets: DataFrame     # run_id, size, seed, repeat, key, y, position, scaled features, angles a0..
-    test: DataFrame        # run_id, key, y, scaled features, angles (whole test split per run)
     gammas: DataFrame      # run_id, gamma ('scale' rule on the scaled subset)
     stats: DataFrame       # run_id, fitted median, mean and spread of every feature
 
 
-def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.Run], features: list[str],
+def prepare_runs(train: DataFrame, runs: list[sampling.Run], features: list[str],
                  key: str = "row_key", target: str = "y") -> RunData:
-    """Subsets for every run, preprocessing fitted on each subset, applied to the subset and
-    to the whole test split (one copy per run), angles for the fidelity kernels."""
+    """Subsets for every run, preprocessing fitted on each subset and applied to it, angles for the fidelity kernels.
+    Other tables are prepared where they are scored (``kernel_machine.MultiRunScorer``)."""
     # small derived tables (sum of subset sizes rows, one stats row per run) are materialised
     # once: the fits, landmark collections and both models read them
     subsets = cut_lineage(sampling.balanced_subsets(train, target, key, runs))
@@ -59,22 +58,11 @@ def prepare_runs(train: DataFrame, test: DataFrame | None, runs: list[sampling.R
                                 rows_per_group=max(r.size for r in runs))
     pre.stats = cut_lineage(pre.stats)
     sub_s = pre.transform(subsets)
-    test_s = None
-    if test is not None:
-        ids = F.array(*[F.lit(r.run_id) for r in runs])
-        test_runs = test.select(key, target, *features, F.explode(ids).alias("run_id"))
-        test_s = encode_angles(pre.transform(test_runs), features, keep=True)
     n = len(features)
     pairs = ", ".join(f"`{c}`" for c in features)
     cells = sub_s.selectExpr("run_id", f"stack({n}, {pairs}) as (v)")
     gammas = cut_lineage(cells.groupBy("run_id").agg((F.lit(1.0) / (F.lit(float(n)) * F.var_pop("v"))).alias("gamma")))
-    return RunData(cut_lineage(encode_angles(sub_s, features, keep=True)), test_s, gammas, pre.stats)
-
-
-def _scaled_by_gamma(df: DataFrame, gammas: DataFrame, features: list[str], n_runs: int) -> DataFrame:
-    g = df.join(bounded_broadcast(gammas, n_runs), "run_id")
-    return g.select(*[c for c in df.columns if c not in features],
-                    *[(F.col(c) * F.sqrt("gamma")).alias(c) for c in features])
+    return RunData(cut_lineage(encode_angles(sub_s, features, keep=True)), gammas, pre.stats)
 
 
 def kernel_expansion_predictions(rows: DataFrame, landmarks: DataFrame, kernel_fn, cols: list[str],
@@ -86,22 +74,23 @@ def kernel_expansion_predictions(rows: DataFrame, landmarks: DataFrame, kernel_f
 
 
 # ---------------------------------------------------------------- M5: comparison grid
-def compare_models(data: RunData, runs: list[sampling.Run], feature_map: str, repetitions: int,
-                   features: list[str], key: str = "row_key", target: str = "y") -> DataFrame:
-    """(model, subset_size, repeat, 6 metrics): kernel classifier vs RBF classifier, every run
-    scoring the entire test split, all runs and both models in one metrics aggregation."""
-    n = len(features)
-    angles = [f"a{q}" for q in range(n)]
-    q = kernel_expansion_predictions(data.test, data.subsets, rec.fidelity_kernel(feature_map, repetitions),
-                                     angles, "run_id", key, target)
-    test_g = _scaled_by_gamma(data.test, data.gammas, features, len(runs))
-    sub_g = _scaled_by_gamma(data.subsets, data.gammas, features, len(runs))
-    r = kernel_expansion_predictions(test_g, sub_g, rbf_unit, features, "run_id", key, target)
-    both = q.select("run_id", target, "pred", F.lit("QSVM").alias("model")).unionByName(
-        r.select("run_id", target, "pred", F.lit("SVM-RBF").alias("model")))
-    m = met.threshold_metrics(both, target, "pred", ["model", "run_id"])
-    grid = data.subsets.sparkSession.createDataFrame(
-        [(x.run_id, x.size, x.repeat) for x in runs], "run_id int, subset_size int, repeat int")
+def class_mean_machines(data: RunData, feature_map: str, repetitions: int, features: list[str], n_runs: int, target: str = "y") -> tuple[DataFrame, list[km.Machine]]:
+    """The coefficient table of the deterministic classifiers: every subset row with its class-mean weight."""
+    machines = [km.Machine("QSVM", feature_map, repetitions), km.rbf_machine([1.0], ["scale"])]
+    rows = ks.class_mean_coefficients(data.subsets, target, ["run_id"]).join(bounded_broadcast(data.gammas, n_runs), "run_id")
+    rows = rows.select("run_id", "coef", F.lit(0.0).alias("intercept"), "gamma", *features)
+    width = F.when(F.col("model") == "SVM-RBF", F.col("gamma"))
+    both = rows.withColumn("model", F.explode(F.array(*[F.lit(m.name) for m in machines]))).withColumn("width", width).drop("gamma")
+    return both, machines
+
+
+def compare_models(data: RunData, test: DataFrame, runs: list[sampling.Run], feature_map: str, repetitions: int,
+                   features: list[str], target: str = "y") -> DataFrame:
+    """(model, subset_size, repeat, 6 metrics): kernel-expansion classifiers with class-mean weights on the map's fidelity and
+    on RBF; all runs and both models score the whole test split in one pass over its rows."""
+    table, machines = class_mean_machines(data, feature_map, repetitions, features, len(runs), target)
+    m = km.MultiRunScorer(table, data.stats, machines, features).metrics(test, target)
+    grid = test.sparkSession.createDataFrame([(x.run_id, x.size, x.repeat) for x in runs], "run_id int, subset_size int, repeat int")
     return m.join(F.broadcast(grid), "run_id").select("model", "subset_size", "repeat", *SIX)
 
 
@@ -158,7 +147,7 @@ def compare_trained(train: DataFrame, test: DataFrame, runs: list[sampling.Run],
                     k: int, c_grid: list[float], gamma_grid: list, key: str = "row_key", target: str = "y") -> DataFrame:
     """(model, subset_size, repeat, 6 metrics): kernel SVM on the map's fidelity and RBF SVM, both tuned by cross-validation
     on each run's subset; all runs and both models score the whole test split in one pass over it."""
-    data = prepare_runs(train, None, runs, features, key, target)
+    data = prepare_runs(train, runs, features, key, target)
     machines = [km.Machine("QSVM", feature_map, repetitions, tuple(c_grid)), km.rbf_machine(c_grid, gamma_grid)]
     fitted = train_machines(data, machines, features, k, key, target)
     m = km.MultiRunScorer(fitted.coefficients, data.stats, machines, features).metrics(test, target)
@@ -263,7 +252,7 @@ def rbf_svm_fit_evaluate(train: DataFrame, test: DataFrame, features: list[str],
 def kernel_svm_evaluate(train: DataFrame, test: DataFrame, run: sampling.Run, machine: km.Machine, features: list[str], k: int,
                         key: str = "row_key", target: str = "y") -> DataFrame:
     """M3 with refit and prediction: the metrics record of the whole test split, the chosen C and the CV mean and std."""
-    data = prepare_runs(train, None, [run], features, key, target)
+    data = prepare_runs(train, [run], features, key, target)
     fitted = train_machines(data, [machine], features, k, key, target)
     best = fitted.table.where("rank = 1").first()
     scorer = km.MultiRunScorer(fitted.coefficients, data.stats, [machine], features)

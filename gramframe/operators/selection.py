@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from .ranking import bounded_broadcast
 
 DIGITS, HASH_DIGITS = 3, 32      # hex digits of one pass and of the hash
@@ -56,20 +55,28 @@ def hash_cuts(rows: DataFrame, group_cols: list[str], hash_col: str, tie_col: st
     (classes x runs): their ranges live on the driver. (hash, tie) must be unique inside a group."""
     g = list(group_cols)
     rows = rows.select(*g, F.col(hash_col).alias("_h"), F.col(tie_col).alias("_t"))
-    by_digit = cut_lineage(rows.groupBy(*g, F.substring("_h", 1, DIGITS).alias("_d")).agg(F.count(F.lit(1)).alias("_n")))
-    sizes = cut_lineage(by_digit.groupBy(*g).agg(F.sum("_n").alias("n")))
-    wanted = quota(sizes).select(*[F.col(c).alias(f"__{c}") for c in g], F.col("k").cast("long").alias("k"))
-    state = [r.asDict() | {"prefix": "", "count": r["n"]} for r in sizes.join(F.broadcast(wanted), _same(g)).select(*g, "n", "k").where("k > 0").collect()]
-    done = [{c: r[c] for c in g} | {"hash": ALL_ROWS, "tie": None} for r in state if r["k"] >= r["n"]]
-    state = [r for r in state if r["k"] < r["n"]]
-
-    def narrowed(counts: DataFrame) -> list[dict]:
-        """The counter of every group that holds its k-th row."""
-        run = Window.partitionBy(*g).orderBy("_d")
-        upto = _in_groups(counts, state, g, RANGE).withColumn("_upto", F.sum("_n").over(run))
-        hit = upto.where((F.col("_upto") - F.col("_n") < F.col("k")) & (F.col("k") <= F.col("_upto")))
-        hit = hit.select(*g, F.concat("prefix", "_d").alias("prefix"), (F.col("k") - F.col("_upto") + F.col("_n")).alias("k"), F.col("_n").alias("count"))
-        return [r.asDict() for r in hit.collect()]  # one row per group
+
+    def counted(own: DataFrame, depth: int) -> dict[tuple, list[tuple[str, int]]]:
+        """Rows per group and next digits, in digit order: 4,096 counters a group at most."""
+        out: dict[tuple, list[tuple[str, int]]] = {}
+        by_digit = own.groupBy(*g, F.substring("_h", depth + 1, DIGITS).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+        for r in by_digit.collect():
+            out.setdefault(tuple(r[c] for c in g), []).append((r["_d"], r["_n"]))
+        return {group: sorted(v) for group, v in out.items()}
+
+    counts = counted(rows, 0)
+    sizes = [(*group, sum(n for _, n in v)) for group, v in counts.items()]
+    if not sizes:
+        return []
+    table = rows.sparkSession.createDataFrame(sizes, T.StructType([*[rows.schema[c] for c in g], T.StructField("n", T.LongType())]))
+    wanted = {tuple(r[c] for c in g): r["k"] for r in quota(table).collect()}   # a row per group
+    state, done = [], []
+    for *group, n in sizes:
+        k = wanted.get(tuple(group)) or 0
+        if k >= n:
+            done.append(dict(zip(g, group)) | {"hash": ALL_ROWS, "tie": None})
+        elif k > 0:
+            state.append(dict(zip(g, group)) | {"prefix": "", "k": k, "count": n})
 
     def inside() -> DataFrame:
         own = _in_groups(rows, state, g, RANGE)
@@ -79,8 +86,14 @@ def hash_cuts(rows: DataFrame, group_cols: list[str], hash_col: str, tie_col: st
     while state and (depth == 0 or max(r["count"] for r in state) > FINISH):
         if depth + DIGITS > HASH_DIGITS:
             raise ValueError(f"{tie_col} is not unique: more than {FINISH} rows share one order hash")
-        counts = by_digit if depth == 0 else inside().drop("prefix", "k").groupBy(*g, F.substring("_h", depth + 1, DIGITS).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-        state = narrowed(counts)
+        if depth:
+            counts = counted(inside().drop("prefix", "k"), depth)
+        for r in state:   # the counter that holds the k-th row
+            for digit, n in counts[tuple(r[c] for c in g)]:
+                if r["k"] <= n:
+                    r["prefix"], r["count"] = r["prefix"] + digit, n
+                    break
+                r["k"] -= n
         depth += DIGITS
     if state:
         order = Window.partitionBy(*g).orderBy("_h", "_t")

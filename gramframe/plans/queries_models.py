@@ -22,8 +22,8 @@ ANGLES = [f"a{q}" for q in range(N)]
 
 def comparison(spark, sf_dir, feature_map):
     runs = sampling.comparison_runs(SUBSET_SIZES, REPEATS, SEED)
-    data = models.prepare_runs(train_w(spark, sf_dir), test_w(spark, sf_dir), runs, FEATURES, KEY, TARGET)
-    return models.compare_models(data, runs, feature_map, CIRCUIT_REPETITIONS, FEATURES, KEY, TARGET)
+    data = models.prepare_runs(train_w(spark, sf_dir), runs, FEATURES, KEY, TARGET)
+    return models.compare_models(data, test_w(spark, sf_dir), runs, feature_map, CIRCUIT_REPETITIONS, FEATURES, TARGET)
 
 
 @query("q_compare_models_pauli")
@@ -54,7 +54,7 @@ def q_comparison_spread(spark, sf_dir):
 
 def _study_data(spark, sf_dir):
     runs = sampling.map_study_runs(SUBSET, MAP_REPEATS, SEED + MAP_STUDY_SEED_OFFSET)
-    return runs, models.prepare_runs(train_w(spark, sf_dir), None, runs, FEATURES, KEY, TARGET)
+    return runs, models.prepare_runs(train_w(spark, sf_dir), runs, FEATURES, KEY, TARGET)
 
 
 @query("q_map_study")
@@ -114,7 +114,7 @@ def _one_run(spark, sf_dir, feature_map):
 def q_kernel_svm_cv(spark, sf_dir):
     """M3: kernel SVM on the custom map's Gram matrix, C grid x 5 folds on the 64-row subset."""
     run, machine = _one_run(spark, sf_dir, "custom")
-    data = models.prepare_runs(train_w(spark, sf_dir), None, [run], FEATURES, KEY, TARGET)
+    data = models.prepare_runs(train_w(spark, sf_dir), [run], FEATURES, KEY, TARGET)
     table = km.cv_table(km.cross_validated(data.subsets, [machine], FEATURES, CV_FOLDS, KEY, TARGET), [machine], TARGET)
     return table.select("params", "C", r6("mean_f1").alias("mean_f1"), r6("std_f1").alias("std_f1"), "folds", "rank")
 
@@ -123,7 +123,7 @@ def q_kernel_svm_cv(spark, sf_dir):
 def q_kernel_svm_coefficients(spark, sf_dir):
     """M3: the refitted model as a table, one row per support vector."""
     run, machine = _one_run(spark, sf_dir, "custom")
-    data = models.prepare_runs(train_w(spark, sf_dir), None, [run], FEATURES, KEY, TARGET)
+    data = models.prepare_runs(train_w(spark, sf_dir), [run], FEATURES, KEY, TARGET)
     c = models.train_machines(data, [machine], FEATURES, CV_FOLDS, KEY, TARGET).coefficients
     return c.select(KEY, TARGET, "C", *[(F.round(x, 5) + F.lit(0.0)).alias(x) for x in ("coef", "intercept", "objective")])
 

@@ -62,7 +62,7 @@ def run_study(spark: SparkSession, data: str | DataFrame, cfg: StudyConfig | Non
     # 2. feature-map study on the largest subset size, one subset per repeat
     size = max(cfg.subset_sizes)
     study_runs = sampling.map_study_runs(size, cfg.map_repeats, cfg.seed + 1000)
-    study_data = models.prepare_runs(train, None, study_runs, features, KEY, target)
+    study_data = models.prepare_runs(train, study_runs, features, KEY, target)
     study = models.trained_map_study(study_data, study_runs, list(cfg.feature_maps), cfg.circuit_repetitions, features,
                                      cfg.cv_folds, C_GRID, KEY, target)
     chosen = report.choose_by_mean(study, "feature_map", "cv_f1")

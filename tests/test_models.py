@@ -22,8 +22,8 @@ def test_kernel_expansion_floor_planted(spark):
     df = planted(spark)
     split = sampling.stratified_split(df, "y", "row_key", 1, 0.2)
     runs = sampling.comparison_runs([64], 1, 11)
-    data = models.prepare_runs(split.where("split = 'train'"), split.where("split = 'test'"), runs, FEATURES)
-    out = {r["model"]: r for r in models.compare_models(data, runs, "pauli", 1, FEATURES).collect()}
+    data = models.prepare_runs(split.where("split = 'train'"), runs, FEATURES)
+    out = {r["model"]: r for r in models.compare_models(data, split.where("split = 'test'"), runs, "pauli", 1, FEATURES).collect()}
     assert out["SVM-RBF"]["balanced_accuracy"] > 0.75
     assert out["QSVM"]["balanced_accuracy"] > 0.6
 
@@ -42,8 +42,8 @@ def test_kernel_classifier_floor_documents(spark):
     d = fixture_d(spark, SF01)
     split = sampling.stratified_split(d, "y", "row_key", 2, 0.2)
     runs = sampling.comparison_runs([64], 1, 5)
-    data = models.prepare_runs(split.where("split = 'train'"), split.where("split = 'test'"), runs, FEATURES)
-    out = {r["model"]: r for r in models.compare_models(data, runs, "custom", 1, FEATURES).collect()}
+    data = models.prepare_runs(split.where("split = 'train'"), runs, FEATURES)
+    out = {r["model"]: r for r in models.compare_models(data, split.where("split = 'test'"), runs, "custom", 1, FEATURES).collect()}
     assert out["SVM-RBF"]["balanced_accuracy"] > 0.7
     assert out["QSVM"]["balanced_accuracy"] > 0.6
 
