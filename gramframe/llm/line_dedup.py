@@ -6,8 +6,8 @@ being the first place (document, line) of the class, so names are exact and need
 Each round is one window (the name some lines further on) and one aggregation; only suffixes that
 still share their name go on, so rounds shrink. The suffixes that share a name at depth ``min_run`` are an LCP
 interval of that depth; every occurrence but the interval's first is a later copy, and its lines
-are deleted. Overlapping copies join into maximal runs. With ``min_words`` a shorter run of that many words
-qualifies too: rounds then add one line each, so that names of every depth exist.
+are deleted. A shorter run that holds ``min_words`` words qualifies too: rounds then add one line each, so that
+names of every depth exist (without ``min_words`` they double). Overlapping copies join into maximal runs.
 
 Order of documents: by id (null last), then by a hash of the text. Defined results: blank lines (no
 word) are never compared or deleted and do not interrupt a run; null texts stay null; rows with equal
@@ -25,6 +25,7 @@ from .names import set_aside
 from .quality_rules import let
 
 MIN_RUN = 3
+MIN_WORDS = 50  # of a repeated run of fewer lines
 HAS_WORD = r"[^\x20\x09-\x0D]"
 DOC = ["__d0", "__d1", "__d2"]
 
@@ -71,7 +72,7 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id
     return rows
 
 
-def later_copies(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
+def later_copies(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text: str = "text", min_words: int | None = MIN_WORDS) -> DataFrame:
     """(document, seq, len): every start of a later copy of ``min_run`` lines, or of fewer lines that
     hold ``min_words`` words."""
     place = F.struct(*[F.col(c) for c in (*DOC, "seq")])
@@ -95,7 +96,7 @@ def later_copies(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id"
     return out
 
 
-def delete_repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
+def delete_repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text: str = "text", min_words: int | None = MIN_WORDS) -> DataFrame:
     """``docs`` with the text less its later copies of line runs, and ``n_lines`` (lines with a word),
     ``n_deleted``, ``n_runs`` (maximal deleted runs). Own columns replace columns of the same names."""
     docs, names_back = set_aside(docs)

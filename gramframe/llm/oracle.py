@@ -38,10 +38,12 @@ FROM r
 
 OP5 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-t AS (SELECT doc_id, seq, line, lead(line, 1) OVER p AS l2, lead(line, 2) OVER p AS l3 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY seq)),
-f AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, seq) AS k FROM t WHERE l3 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, seq + o AS seq FROM f, (VALUES (0), (1), (2)) v(o) WHERE k > 1),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, seq, line, n, lead(line, 1) OVER p AS l2, lead(line, 2) OVER p AS l3, n + lead(n, 1) OVER p AS n2 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY seq)),
+f AS (SELECT doc_id, seq, 3 AS len, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, seq) AS k FROM t WHERE l3 IS NOT NULL
+      UNION ALL SELECT doc_id, seq, 2, row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, seq) FROM t WHERE l2 IS NOT NULL AND n2 >= 50
+      UNION ALL SELECT doc_id, seq, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) FROM t WHERE n >= 50),
+g AS (SELECT DISTINCT doc_id, seq + o AS seq FROM f, (VALUES (0), (1), (2)) v(o) WHERE k > 1 AND o < len),
 n AS (SELECT doc_id, count(*) AS n_deleted, count(*) FILTER (new) AS n_runs
       FROM (SELECT doc_id, coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) < seq - 1, true) AS new FROM g) GROUP BY doc_id),
 r AS (SELECT l.doc_id, l.pos, l.line, w.seq, g.seq IS NOT NULL AS gone FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.pos = w.pos
