@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .names import set_aside
 from .quality_rules import let
 
@@ -83,13 +84,15 @@ def later_copies(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id"
     if min_words is None:
         return later(repeated_runs(docs, min_run, id_col, text), min_run)
     n, words = F.col("n"), F.col("words")  # of the first line, of all lines
-    rows = _renamed(line_ids(docs, id_col, text, words=True), F.col("id"), n, n.alias("words"))
+    # every round is read by the aggregation, the join and the copies found: texts are split once, rounds are stored
+    rows = cut_lineage(_renamed(cut_lineage(line_ids(docs, id_col, text, words=True)), F.col("id"), n, n.alias("words")))
     there = W.partitionBy(*DOC).orderBy("seq").rangeBetween(1, 1)
     found = []
     for depth in range(1, min_run):
         found.append(later(rows.where(words >= min_words), depth))
         paired = rows.withColumns({"then": F.first("name").over(there), "more": F.first("words").over(there)}).where(F.col("then").isNotNull())
         rows = _renamed(paired, F.struct(F.col("name").alias("x"), F.col("then").alias("y")), n, (n + F.col("more")).alias("words"))
+        rows = rows if depth + 1 == min_run else cut_lineage(rows)
     out = later(rows, min_run)
     for more in found:
         out = out.unionByName(more)
