@@ -6,23 +6,34 @@ packed numpy arrays from blocks to *key buckets* (hash ranges of keys) and back,
 pre-aggregated in the block before any shuffle and a key that occurs in a third of all rows costs
 one entry per block, not one per row. All exchanges are Spark's (``groupBy().applyInArrow`` and
 ``cogroup``); the block exchange of one query is planned once and reused by its later steps.
+
+Where n destinations are more than ``DIRECT``, messages travel in two hops (``relayed``): a sender writes one
+bundle for each of about sqrt(n) groups of destinations, and a relay turns the bundles of many senders into one row per
+destination. Blocks x buckets rows become about 2 n sqrt(n), and the rows for one hot destination come through
+sqrt(n) relays. An exchange has ``PARTITIONS`` partitions at most; a partition then takes its blocks or
+buckets one after the other, so the memory of a task stays that of one.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6 << 20
 MESSAGE = "dest int, src int, blob binary"
+DIRECT = 1 << 10      # destinations that senders write to one by one
+PARTITIONS = 1 << 15  # of one exchange, at most
+RELAYED = -2          # as src: the blob holds messages of many senders
 
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:
@@ -38,33 +49,47 @@ def bucket_count(n_blocks: int, share: int = 2) -> int:
 def to_blocks(docs: DataFrame, n_blocks: int, columns: list[str], by: str = "doc_id") -> DataFrame:
     """Rows (b, blob): ``columns`` of the documents, packed by block. A null id hashes like any value."""
     rows = docs.select(F.pmod(F.xxhash64(F.col(by)), F.lit(n_blocks)).cast("int").alias("b"), *[F.col(c) for c in columns])
-    return rows.mapInArrow(_pack, "b int, blob binary").repartition(n_blocks, "b")
+    return _dealt(rows.mapInArrow(_pack, "b int, blob binary"), n_blocks, "b")
+
+
+def _dealt(rows: DataFrame, n: int, by: str) -> DataFrame:
+    return rows.repartition(min(n, PARTITIONS), by)
+
+
+def _packed(rows: pa.RecordBatch | pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blobs: pa.ChunkedArray | pa.Array) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in blobs]).combine_chunks()
+
+
+def _by_first(rows: pa.RecordBatch | pa.Table, keys: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch | pa.Table]]:
+    """(key, its rows) in ascending keys."""
+    order = np.argsort(keys, kind="stable")
+    rows, keys = rows.take(pa.array(order)), keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for lo, hi in zip(at.tolist(), np.append(at[1:], len(keys)).tolist()):
+        yield int(keys[lo]), rows.slice(lo, hi - lo)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        batch = batch.take(pc.sort_indices(batch, sort_keys=[("b", "ascending")]))
         b = batch.column(0).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        rest = batch.select(batch.schema.names[1:])
-        ids, blobs = [], []
-        for lo, hi in zip(at, np.append(at[1:], len(b))):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(rest.slice(lo, hi - lo))
-            ids.append(int(b[lo]))
-            blobs.append(sink.getvalue().to_pybytes())
+        ids, blobs = zip(*[(i, _packed(own)) for i, own in _by_first(batch.select(batch.schema.names[1:]), b)])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["b", "blob"])
 
 
 def unpack_docs(table: pa.Table) -> pa.Table | None:
     """The documents of one block, in an order that depends on the rows alone."""
-    parts = [pa.ipc.open_stream(x.as_py()).read_all() for x in table.column("blob")]
-    if not parts:
+    if not table.num_rows:
         return None
-    whole = pa.concat_tables(parts).combine_chunks()
+    whole = _unpacked(table.column("blob"))
     keys = [(c, "ascending") for c in whole.schema.names if pa.types.is_integer(whole.schema.field(c).type)]
     keys += [(c, "ascending") for c in whole.schema.names if pa.types.is_string(whole.schema.field(c).type)]
     return whole.take(pc.sort_indices(whole, sort_keys=keys))
@@ -113,8 +138,38 @@ def message(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def received(table: pa.Table) -> list[tuple[int, bytes]]:
-    """(src, blob) by sender: the order of arrival never matters."""
-    return sorted(zip(table.column("src").to_pylist(), table.column("blob").to_pylist()))
+    """(src, blob) by sender: neither the order of arrival nor the way matters."""
+    relay = pc.equal(table.column("src"), RELAYED)
+    tables = [table.filter(pc.invert(relay))]
+    if pc.any(relay).as_py():
+        tables.append(_unpacked(table.filter(relay).column("blob")))
+    return sorted((src, blob) for t in tables for src, blob in zip(t.column("src").to_pylist(), t.column("blob").to_pylist()))
+
+
+def relayed(messages: DataFrame, n: int) -> DataFrame:
+    """Messages to ``n`` destinations, bundled and sent through relays where the destinations are many."""
+    if n <= DIRECT:
+        return messages
+    side = math.isqrt(n - 1) + 1
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = TaskContext.get().partitionId() % side
+        for batch in batches:
+            if batch.num_rows:
+                group = batch.column(0).to_numpy(zero_copy_only=False) // side
+                yield from message([(g * side + sender, RELAYED, _packed(own)) for g, own in _by_first(batch, group)]).to_batches()
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        whole = _unpacked(table.column("blob"))
+        return _trimmed(message([(d, RELAYED, _packed(own)) for d, own in _by_first(whole, whole.column("dest").to_numpy())]))
+
+    return _dealt(messages.mapInArrow(bundle, MESSAGE), side * side, "dest").groupBy("dest").applyInArrow(pass_on, MESSAGE)
+
+
+def _arriving(messages: DataFrame, n: int) -> DataFrame:
+    """Rows at their destinations; rows that are no messages (one a destination) need no relay."""
+    rows = relayed(messages, n) if messages.columns == ["dest", "src", "blob"] else messages
+    return _dealt(rows, n, "dest")
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -148,7 +203,7 @@ def per_block_with(blocks: DataFrame, n_blocks: int, messages: DataFrame, fn: Ca
 
     Partition counts are stated: messages are small beside the work they cause, so merging
     partitions by their bytes would leave few tasks."""
-    messages = messages.repartition(n_blocks, "dest")
+    messages = _arriving(messages, n_blocks)
     def run(key, left, right):
         return _trimmed(fn(key[0].as_py(), unpack_docs(left), received(right)))
     return blocks.groupBy("b").cogroup(messages.groupBy("dest")).applyInArrow(run, schema)
@@ -156,7 +211,7 @@ def per_block_with(blocks: DataFrame, n_blocks: int, messages: DataFrame, fn: Ca
 
 def per_bucket(messages: DataFrame, n: int, fn: Callable, schema: str = MESSAGE) -> DataFrame:
     """fn(bucket, [(src, blob)]) -> pa.Table."""
-    messages = messages.repartition(n, "dest")
+    messages = _arriving(messages, n)
     def run(key, table):
         return _trimmed(fn(key[0].as_py(), received(table)))
     return messages.groupBy("dest").applyInArrow(run, schema)
@@ -164,7 +219,7 @@ def per_bucket(messages: DataFrame, n: int, fn: Callable, schema: str = MESSAGE)
 
 def per_bucket_with(messages: DataFrame, n: int, answers: DataFrame, fn: Callable, schema: str = MESSAGE) -> DataFrame:
     """fn(bucket, [(src, blob)], answers to the bucket as a table) -> pa.Table, for every bucket."""
-    messages, answers = messages.repartition(n, "dest"), answers.repartition(n, "dest")
+    messages, answers = _arriving(messages, n), _arriving(answers, n)
     def run(key, left, right):
         return _trimmed(fn(key[0].as_py(), received(left), right))
     return messages.groupBy("dest").cogroup(answers.groupBy("dest")).applyInArrow(run, schema)
