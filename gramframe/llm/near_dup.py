@@ -152,12 +152,14 @@ def star_pairs(reps: DataFrame, n_parts: int) -> DataFrame:
             keys = entries(codes)
             ids = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), keys.shape[1])
             a, b, k, d = _stars(keys.reshape(-1), ids)
-            pa_, pb, pn = _counted_pairs(a, b, np.ones(len(a), np.int64))
+            pairs = _counted_pairs(a, b, np.ones(len(a), np.int64))
+            # pairs found here travel along with the entries; those of one hot least member go to all buckets
+            to = B.bucket_of(mix(mix(pairs[0].view(np.uint64)) ^ pairs[1].view(np.uint64)), n_parts)
+            go = np.argsort(to, kind="stable")
             rows = []
-            for g, (lo, hi) in enumerate(B.slices(B.bucket_of(k, n_parts), n_parts)):
-                own = pa_ % n_parts == g  # pairs found here travel along with the entries
-                if hi > lo or own.any():
-                    rows.append((g, src, B.dump(np.diff(k[lo:hi], prepend=np.uint64(0)), d[lo:hi], pa_[own], pb[own], pn[own])))
+            for g, ((lo, hi), (p, q)) in enumerate(zip(B.slices(B.bucket_of(k, n_parts), n_parts), B.slices(to[go], n_parts))):
+                if hi > lo or q > p:
+                    rows.append((g, src, B.dump(np.diff(k[lo:hi], prepend=np.uint64(0)), d[lo:hi], *[x[go[p:q]] for x in pairs])))
             yield from B.message(rows).to_batches()
 
     def meet(g, got):
