@@ -283,6 +283,24 @@ A AS (SELECT (SELECT count(*) FROM E) AS n, coalesce(avg(k) FILTER (WHERE NOT di
 SELECT n, {r6('w')} AS within_class_mean, {r6('b')} AS between_class_mean, {r6('w - b')} AS separation, {r6('o')} AS off_diagonal_mean,
   {r6('kt / (sqrt(kk) * n)')} AS kernel_target_alignment, {r6('t')} AS trace, {r6('kk')} AS frobenius2, {r6('t * t / kk')} AS participation_ratio FROM A""")
 
+# pivoted incomplete Cholesky of <u, v>^2, a step a recursion: K - sum of the factor products so far
+_CHOL = "WITH RECURSIVE " + E_FIX + """,
+S AS (
+  SELECT 0 AS step, row_key, vec, pow(list_inner_product(vec, vec), 2) AS d, []::DOUBLE[] AS l, NULL::VARCHAR AS taken, NULL::DOUBLE AS pd FROM E
+  UNION ALL
+  SELECT step + 1, row_key, vec, greatest(d - f * f, 0), list_append(l, f), pk, pres
+  FROM (SELECT s.*, p.row_key AS pk, p.d AS pres,
+          (pow(list_inner_product(s.vec, p.vec), 2) - CASE WHEN s.step = 0 THEN 0 ELSE list_inner_product(s.l, p.l) END) / sqrt(p.d) AS f
+        FROM S s, (SELECT * FROM S ORDER BY round(d, 10) DESC, row_key LIMIT 1) p
+        WHERE s.step < 24 AND round(p.d, 10) > 1e-9))
+"""
+sql("q_kernel_low_rank", _CHOL + f"""
+SELECT step, taken AS row_key, {r6('pd')} AS pivot_residual, {r6('(SELECT sum(d) FROM S WHERE step = 0)')} AS trace, {r6('sum(d)')} AS residual_trace
+FROM S WHERE step > 0 GROUP BY step, taken, pd""")
+sql("q_kernel_low_rank_factors", _CHOL + """
+SELECT row_key, unnest(range(1, step + 1))::INTEGER AS step, round(unnest(l), 5) + 0.0::DOUBLE AS factor, round(d, 5) + 0.0::DOUBLE AS residual
+FROM S WHERE step = (SELECT max(step) FROM S)""")
+
 sql("q_pair_budget", with_(W, *SPLIT_W) + """
 SELECT CAST(8 AS INTEGER) AS subset_size, least(m, 8) AS eval_size, CAST(36 AS BIGINT) AS train_pairs,
        least(m, 8) * 8 AS test_pairs, 36 + least(m, 8) * 8 AS circuits, (36 + least(m, 8) * 8) * 200 AS total_shots

@@ -8,8 +8,8 @@ from ..functions import recursions as rec
 from ..functions.columns import r6
 from ..operators import kernel_stats as ks
 from ..operators import kernel_machine as km
-from ..operators import kernels, metrics, sampling, whole_kernel
-from ..session import cut_lineage
+from ..operators import kernels, low_rank, metrics, sampling, whole_kernel
+from ..session import cut_lineage, stored
 from ..sources.fixtures import KEY, TARGET, ZERO_OUTCOME, fixture_c, fixture_e
 from .params import C_GRID, CIRCUIT_REPETITIONS, CV_FOLDS, REMOTE_SHOTS, SEED
 from .queries_kernels import N, encoded
@@ -152,3 +152,28 @@ def q_vectors_diagnostics(spark, sf_dir):
     """A9, A10, A12 over all pairs of the whole embeddings table, from second and fourth moments (no pair is formed)."""
     d = whole_kernel.vector_kernel_diagnostics(fixture_e(spark, sf_dir), "vec", TARGET, 64)
     return d.select("n", *[r6(c).alias(c) for c in d.columns[1:]])
+
+
+LOW_RANK = 24
+
+
+def _low_rank(spark, sf_dir):
+    rows = stored(fixture_e(spark, sf_dir).select(KEY, "vec"))  # read once a pass
+    return rows, low_rank.fit(rows, KEY, "vec", 64, low_rank.SquaredProduct(), LOW_RANK)
+
+
+@query("q_kernel_low_rank")
+def q_kernel_low_rank(spark, sf_dir):
+    """J9 re-aimed: pivots of the kernel over the whole embeddings table and the trace that each step leaves."""
+    rows, model = _low_rank(spark, sf_dir)
+    s = low_rank.steps(rows, KEY, "vec", model)
+    return s.select("step", KEY, *[r6(c).alias(c) for c in ("pivot_residual", "trace", "residual_trace")])
+
+
+@query("q_kernel_low_rank_factors")
+def q_kernel_low_rank_factors(spark, sf_dir):
+    """J9 re-aimed: the factors of every embeddings row, one row per table row."""
+    rows, model = _low_rank(spark, sf_dir)
+    f = low_rank.factors(rows, KEY, "vec", model)
+    return f.select(KEY, F.posexplode("factors").alias("i", "v"), "residual").select(
+        KEY, (F.col("i") + 1).alias("step"), (F.round("v", 5) + 0.0).alias("factor"), (F.round("residual", 5) + 0.0).alias("residual"))
