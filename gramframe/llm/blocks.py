@@ -139,11 +139,9 @@ def message(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def received(table: pa.Table) -> list[tuple[int, bytes]]:
     """(src, blob) by sender: neither the order of arrival nor the way matters."""
-    relay = pc.equal(table.column("src"), RELAYED)
-    tables = [table.filter(pc.invert(relay))]
-    if pc.any(relay).as_py():
-        tables.append(_unpacked(table.filter(relay).column("blob")))
-    return sorted((src, blob) for t in tables for src, blob in zip(t.column("src").to_pylist(), t.column("blob").to_pylist()))
+    if table.num_rows and table.column("src")[0].as_py() == RELAYED:  # then all are
+        table = _unpacked(table.column("blob"))
+    return sorted(zip(table.column("src").to_pylist(), table.column("blob").to_pylist()))
 
 
 def relayed(messages: DataFrame, n: int) -> DataFrame:
