@@ -7,7 +7,8 @@ size alone fixes the cost of the fit, in ``SHARDS`` shards (1: averaging shards
 passes of per-coordinate FTRL with L1 and L2 terms and the shards' weights are averaged. L1 leaves few non-zero weights, at most ``2 ** BITS``, which are broadcast.
 
 Defined results: null and empty texts score by the intercept alone; labels other than 0 and 1, null
-labels and ids do not train; a document with contradictory labels trains as toxic; without both classes the
+labels and ids do not train; a document with contradictory labels trains as toxic; of several texts under one
+id one (by a hash) trains; without both classes the
 score is 0.5 everywhere (nothing learnt). Neither label, language, source nor id enters a score.
 """
 
@@ -85,19 +86,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.withColumn("k", F.row_number().over(by)).where(F.col("k") <= fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * fit_rows rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                own = pa.array([np.unique(f) for f in features(B.texts(batch))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), own], ["doc_id", "toxic", "at"])
+
+    # texts become coordinates (2 ** BITS at most) before they meet, one text an id: 2 * fit_rows rows at most
+    rows = rows.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id long, toxic int, at array<int>")
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("at", F.struct(F.xxhash64("at"), "at")).alias("at"))
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int")
 
     def train(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by("doc_id")
         y = np.array(table.column("toxic").to_pylist(), np.float64)
         if len(set(y.tolist())) < 2:
             return pa.table({"i": pa.array([], pa.int32()), "w": pa.array([], pa.float64()), "one": pa.array([], pa.int32())})
-        w, bias = ftrl(features(B.texts(table)), y)
+        w, bias = ftrl([x.values.to_numpy() for x in table.column("at")], y)
         at = np.flatnonzero(w)
         return pa.table({"i": pa.array(np.append(at, -1).astype(np.int32)), "w": pa.array(np.append(w[at], bias)), "one": pa.array(np.append(np.zeros(len(at)), 1).astype(np.int32))})
 
-    found = rows.withColumn("shard", shard).select("shard", "doc_id", "text", "toxic").groupBy("shard").applyInArrow(train, "i int, w double, one int")
+    found = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(train, "i int, w double, one int")
     got = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum("one").alias("shards")).toArrow()
     w, bias, shards = np.zeros(1 << BITS), 0.0, 0
     for i, v, one in zip(*[got.column(c).to_pylist() for c in ("i", "w", "shards")]):
