@@ -33,16 +33,15 @@ def check_map(name: str, repetitions: int) -> None:
 # ---------------------------------------------------------------- per-row quantities
 def pauli_vectors(a: np.ndarray, repetitions: int) -> np.ndarray:
     """Bloch vector per feature after the map: shape a.shape + (3,)."""
-    theta = a / 2.0
-    theta = theta.copy()
-    theta[..., 1:] += (a[..., :-1] + a[..., 1:]) / 2.0
-    x = np.ones_like(a)
-    y = np.zeros_like(a)
-    z = np.zeros_like(a)
+    ch, sh = np.cos(a / 2.0), np.sin(a / 2.0)
+    ca, sa = ch * ch - sh * sh, 2.0 * sh * ch
+    # theta_q = a_q + a_{q-1} / 2, theta_0 = a_0 / 2
+    ct, st = ch.copy(), sh.copy()
+    ct[..., 1:] = ca[..., 1:] * ch[..., :-1] - sa[..., 1:] * sh[..., :-1]
+    st[..., 1:] = sa[..., 1:] * ch[..., :-1] + ca[..., 1:] * sh[..., :-1]
+    x, y, z = np.ones_like(a), np.zeros_like(a), np.zeros_like(a)
     for rep in range(repetitions):
-        ca, sa = np.cos(a), np.sin(a)
         x, y = x * ca - y * sa, x * sa + y * ca
-        ct, st = np.cos(theta), np.sin(theta)
         y, z = y * ct - z * st, y * st + z * ct
         if rep + 1 < repetitions:
             x, y, z = z, -y, x
@@ -180,29 +179,139 @@ def chunk_rows(landmarks: int) -> int:
 
 
 def rows_x_landmarks(fn, x: np.ndarray, lm: np.ndarray, chunk: int | None = None) -> np.ndarray:
-    """K (rows, landmarks) for row values x (R, n) and landmark values lm (L, n), in row chunks."""
+    """K (rows, landmarks) for row values x (R, n) and landmark values lm (L, n), in row chunks; by the kernel's
+    block form where it has one (``with_matrix``)."""
     out = np.empty((x.shape[0], lm.shape[0]))
     chunk = chunk or chunk_rows(lm.shape[0])
+    if hasattr(fn, "matrix"):
+        for s in range(0, x.shape[0], chunk):
+            out[s:s + chunk] = fn.matrix(x[s:s + chunk], lm)
+        return out
     for s in range(0, x.shape[0], chunk):
         out[s:s + chunk] = fn(x[s:s + chunk, None, :], lm[None, :, :])
     return out
 
 
+PAULI_GROUP = 2         # features whose Bloch vectors meet in one product: 4 ** 2 numbers a row
+HALF_ROWS = 512         # rows whose amplitudes stay in cache
+MAX_HALF = 8            # features of one half, 2 ** 8 amplitudes; beyond that pairs run the recursion
+
+
+def _pauli_terms(a: np.ndarray, repetitions: int) -> list[np.ndarray]:
+    """Per group of features the outer product of their (1, x, y, z) / sqrt(2): arrays (rows, 4 ** group). The
+    inner product of two rows' terms is the product of (1 + r.r') / 2 over the group."""
+    r = np.concatenate([np.ones((*a.shape, 1)), pauli_vectors(a, repetitions)], axis=-1) * np.sqrt(0.5)
+    out = []
+    for lo in range(0, a.shape[1], PAULI_GROUP):
+        term = r[:, lo]
+        for q in range(lo + 1, min(lo + PAULI_GROUP, a.shape[1])):
+            term = (term[:, :, None] * r[:, q, None, :]).reshape(len(a), 4 * term.shape[1])
+        out.append(term)
+    return out
+
+
 def pauli_matrix(a: np.ndarray, b: np.ndarray, repetitions: int) -> np.ndarray:
-    """K (rows, landmarks): one small product per feature, no (rows x landmarks x features) array."""
-    ra, rb = pauli_vectors(a, repetitions), pauli_vectors(b, repetitions)
-    out = np.ones((len(a), len(b)))
-    for q in range(a.shape[1]):
-        out *= (1.0 + ra[:, q] @ rb[:, q].T) / 2.0
+    """K (rows, landmarks): one matrix product per group of features, no (rows x landmarks x features) array."""
+    out = None
+    for left, right in zip(_pauli_terms(a, repetitions), _pauli_terms(b, repetitions)):
+        part = left @ right.T
+        out = part if out is None else np.multiply(out, part, out=out)
+    return out
+
+
+# A row's amplitudes split between two features: phi[l, r] = sum over the bond o of left[t, o, l] right[t, o, r], t being
+# the last sign of the left half where both halves need it (zz). Then <phi(x)|phi(y)> is, for each t, o and o', a product
+# of two short inner products, so a block of rows x landmarks is a few matrix products instead of a recursion per pair.
+def _cis(x: np.ndarray) -> np.ndarray:
+    return np.cos(x) + 1j * np.sin(x)
+
+
+def _custom_halves(a: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """custom, two repetitions: arrays (1, 2, amplitudes of the half, rows)."""
+    rows, n = a.shape
+    half, phase = a.T / 2.0, _cis(a.T * a.T / (2.0 * np.pi))
+    c, s = np.cos(half), np.sin(half)
+    u = np.empty((n, 2, 2, rows), dtype=complex)     # u[q, r, p]: Rz(a^2/pi) Ry(a)
+    u[:, 0, 0], u[:, 0, 1] = phase.conj() * c, -phase.conj() * s
+    u[:, 1, 0], u[:, 1, 1] = phase * s, phase * c
+    first = u[:, :, 0]                               # f[p] = u[p, 0]
+    left = (u[0] * first[0]).transpose(1, 0, 2)      # [p, r0]
+    for q in range(1, cut):
+        f0, f1 = first[q]
+        carried = np.stack([left[0] * f0 + left[1] * f1, left[0] * f1 + left[1] * f0])
+        left = (carried[:, :, None] * u[q].transpose(1, 0, 2)[:, None]).reshape(2, 2 * left.shape[1], rows)
+    right = np.ones((2, 1, rows), dtype=complex)
+    for q in range(n - 1, cut - 1, -1):
+        f0, f1 = first[q]
+        here = u[q].transpose(1, 0, 2)[:, :, None] * right[:, None]     # [p, r, rest]
+        right = np.stack([here[0] * f0 + here[1] * f1, here[0] * f1 + here[1] * f0]).reshape(2, 2 * right.shape[1], rows)
+    return left[None], right[None]
+
+
+def _zz_halves(a: np.ndarray, cut: int, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """zz: arrays (2, bond, amplitudes of the half, rows), the first axis the last sign t of the left half. With two
+    repetitions the bond is the sign s of the first layer at that feature; with one there is none."""
+    rows, n = a.shape
+    turn = _cis(a.T / 2.0)                                   # e^{i a/2}
+    turn = np.stack([turn, turn.conj()], axis=1)             # [q, sign]
+    mixed = _cis(a.T[:-1] * a.T[1:] / (2.0 * np.pi))
+    mixed = np.stack([np.stack([mixed, mixed.conj()], 1), np.stack([mixed.conj(), mixed], 1)], 1)     # [q, sign, next sign]
+    if repetitions == 1:
+        site = turn[:, :, None] * np.sqrt(0.5)               # [q, t, s = one value]
+        chain = np.ones((n - 1, 1, 1, rows))
+    else:
+        hadamard = np.array([[0.5, 0.5], [0.5, -0.5]])
+        site = turn[:, :, None] * turn[:, None, :] * hadamard[None, :, :, None]
+        chain = mixed
+    left = site[0][:, :, None]                               # [t, s, amplitudes]
+    for q in range(1, cut):
+        # over the earlier s; the earlier t becomes an amplitude
+        carried = sum(left[:, o, None] * chain[q - 1][o][None, :, None] for o in range(left.shape[1]))   # [t', s, a]
+        carried = carried[:, None] * mixed[q - 1][:, :, None, None]          # [t', t, s, a]
+        carried = carried.transpose(1, 2, 3, 0, 4) * site[q][:, :, None, None]
+        left = carried.reshape(2, site.shape[2], 2 * left.shape[2], rows)
+    right = np.ones((2, site.shape[2], 1, rows))
+    for q in range(n - 1, cut - 1, -1):
+        here = site[q][:, :, None] * right                                               # [t, s, a]
+        before = sum(here[:, o, None] * chain[q - 1][:, o][None, :, None] for o in range(here.shape[1]))   # [t, s', a]
+        right = (mixed[q - 1][:, :, None, None] * before[None]).transpose(0, 2, 1, 3, 4).reshape(2, site.shape[2], 2 * right.shape[2], rows)
+    return left, right
+
+
+def _halves(name: str, repetitions: int, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = (a.shape[1] + (name == "zz")) // 2
+    return _custom_halves(a, cut) if name == "custom" else _zz_halves(a, cut, repetitions)
+
+
+def amplitude_matrix(name: str, repetitions: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """K (rows, landmarks) of the custom (two repetitions) and zz maps from the halves' products."""
+    left_b, right_b = (h.conj() for h in _halves(name, repetitions, b))
+    signs, bond, count = left_b.shape[0], left_b.shape[1], len(b)
+    # landmarks side by side for every bond value: (sign, amplitudes, bond x landmarks)
+    left_b, right_b = (np.ascontiguousarray(h.transpose(0, 2, 1, 3)).reshape(signs, h.shape[2], bond * count) for h in (left_b, right_b))
+    out = np.empty((len(a), count))
+    step = min(chunk_rows(count), HALF_ROWS)
+    for lo in range(0, len(a), step):
+        left, right = _halves(name, repetitions, a[lo:lo + step])
+        total = None
+        for t in range(signs):
+            for o in range(bond):
+                part = left[t, o].T @ left_b[t]
+                part *= right[t, o].T @ right_b[t]
+                total = part if total is None else np.add(total, part, out=total)
+        total = total.reshape(-1, bond, count).sum(axis=1) if bond > 1 else total
+        out[lo:lo + step] = total.real ** 2 + total.imag ** 2
     return out
 
 
 def fidelity_matrix(name: str, repetitions: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """K (rows, landmarks) of a feature map for angles a (R, n) and b (L, n)."""
+    check_map(name, repetitions)
     if name == "pauli":
-        check_map(name, repetitions)
         return pauli_matrix(a, b, repetitions)
-    return rows_x_landmarks(fidelity_kernel(name, repetitions), a, b)
+    if (name, repetitions) != ("custom", 1) and 2 <= a.shape[1] <= 2 * MAX_HALF:
+        return amplitude_matrix(name, repetitions, a, b)
+    return rows_x_landmarks(KERNELS[(name, repetitions)], a, b)
 
 
 KERNELS = {
@@ -215,8 +324,15 @@ KERNELS = {
 }
 
 
+def with_matrix(fn, matrix):
+    """``fn`` (pairs) that also knows its whole-block form ``matrix(rows, landmarks)``."""
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return fn(a, b)
+    pairs.matrix = matrix
+    return pairs
+
+
 def fidelity_kernel(name: str, repetitions: int):
     check_map(name, repetitions)
-    if name == "pauli":
-        return lambda a, b: kernel_pauli(a, b, repetitions)
-    return KERNELS[(name, repetitions)]
+    pairs = (lambda a, b: kernel_pauli(a, b, repetitions)) if name == "pauli" else KERNELS[(name, repetitions)]
+    return with_matrix(pairs, lambda x, lm: fidelity_matrix(name, repetitions, x, lm))

@@ -76,9 +76,12 @@ def angles(scaled: np.ndarray) -> np.ndarray:
 
 
 def rbf_matrix(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    """exp(-gamma |a - b|^2) from norms and one product."""
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    return np.exp(-gamma * np.maximum(d, 0.0))
+    """exp(-gamma |a - b|^2) from norms and one product; the block is worked on in place."""
+    d = (a * (2.0 * gamma)) @ b.T
+    d -= gamma * (a * a).sum(axis=1)[:, None]
+    d -= gamma * (b * b).sum(axis=1)[None, :]
+    np.minimum(d, 0.0, out=d)
+    return np.exp(d, out=d)
 
 
 def width(gamma, rows: np.ndarray) -> float | None:

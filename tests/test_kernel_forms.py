@@ -80,3 +80,19 @@ def test_bad_maps():
         check_map("nope", 1)
     with pytest.raises(ValueError):
         check_map("zz", 3)
+
+
+@pytest.mark.parametrize("name,reps", CASES)
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 9])
+def test_block_form_equals_pairs(name, reps, n, monkeypatch):
+    """Blocks of rows x landmarks come from products of halves or groups, not from the pair recursion."""
+    from gramframe.functions import recursions as rec
+    rng = np.random.default_rng(n + reps)
+    x, lm = (np.clip(rng.normal(size=(m, n)) * 1.7, -3, 3) / 3 * np.pi for m in (1100, 6))
+    pairs = rec.fidelity_kernel(name, reps)
+    expected = pairs(x[:, None, :], lm[None, :, :])
+    if n > 1 and (name, reps) in (("custom", 2), ("zz", 1), ("zz", 2)):
+        monkeypatch.setitem(rec.KERNELS, (name, reps), None)     # the recursion is not called
+    assert np.max(np.abs(rec.fidelity_matrix(name, reps, x, lm) - expected)) < 1e-12
+    assert np.max(np.abs(rec.rows_x_landmarks(pairs, x, lm) - expected)) < 1e-12
+    assert rec.fidelity_matrix(name, reps, x[:0], lm).shape == (0, 6)
