@@ -1,32 +1,41 @@
-"""Linear margin classifiers for a parameter grid: Spark ML's ``LinearSVC``, fitted to its tolerance.
+"""Linear margin classifiers for a parameter grid, all models of the grid fitted together, a few passes over the rows.
 
 Objective: 1/n sum_i max(0, 1 - y_i (w . z_i + b)) + regParam/2 ||w||^2 with regParam = 1 / (C n), the
 hinge-loss SVM with penalty C. z = phi(x) is a fixed feature map: random Fourier features for the
-RBF baseline, given arrays for kernel-to-landmark features. The gradient sums stay on the executors
-(tree aggregation inside ``LinearSVC``); models of a grid are fitted a few at a time from driver
-threads, as ``CrossValidator`` does. A fit that uses up ``MAX_ITER`` steps is an error, never a result.
+RBF baseline, given arrays for kernel-to-landmark features.
+
+Solver: Newton steps on the hinge, its corner rounded over a width that falls from pass to pass. A pass is one Spark job over
+all rows: a task maps a batch once per kernel width and adds up, for every model still open, losses at a few step lengths, the
+gradient and the curvature (features x features numbers); executors add the tasks' sums by blocks of rows, and the driver gets
+one sum per model. The features are never stored and the rows never shuffled. The first point comes from about ``START_ROWS`` rows a group, solved in one task: a group
+of no more rows is done with them (certified by its duality gap), for others it decides how many passes are needed, not the
+result: a fit ends when, over all rows, its objective is within ``TOLERANCE`` of the optimum. The excess is the smaller of two bounds: the duality gap, and what
+the next Newton step would gain plus what rounding the corner can hide. A fit that uses up ``MAX_PASSES`` is an error,
+never a result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TOLERANCE = 1e-4
-MAX_ITER = 1000
-PARALLEL_FITS = 8
-ROWS_PER_TASK = 50_000   # a step is one short job: its tasks follow the rows, not the files
+TOLERANCE = 1e-4          # excess over the objective
+FLOOR = 1e-7              # excess that always ends a fit (an objective near zero)
+MAX_PASSES = 100
+STEPS = (1.0, 0.5, 0.2, 0.05)    # step lengths whose losses a pass adds up
+WIDTHS = (0.05, 0.01, 0.002, 0.0004, 0.00008)   # of the rounded corner
+START_ROWS = 32_768
+START_STEPS = 100         # interior-point steps on the first rows
+TASKS_PER_CORE = 3        # a task holds the sums of its models: their number follows the cores, not the files
+BLOCK = 32                # rows of the curvature that are added up together
 # Random features per model: the mean error of a kernel value falls as 1 / sqrt(features), about 0.1 at
 # 64 and 0.046 at 256 (largest 0.25) on nine scaled columns.
 RANDOM_FEATURES = 256
@@ -41,87 +50,336 @@ class ModelSpec:
     C: float
 
 
+@dataclass(frozen=True)
+class MarginModel:
+    coefficients: DenseVector
+    intercept: float
+    objective: float        # primal over all rows of the group
+    excess: float           # over the optimum, at most
+    passes: int
+
+
 def check_random_features(dim: int) -> int:
     if not MIN_RANDOM_FEATURES <= dim <= MAX_RANDOM_FEATURES:
         raise ValueError(f"random features must number {MIN_RANDOM_FEATURES} to {MAX_RANDOM_FEATURES}, got {dim}")
     return dim
 
 
-def random_features(gamma: float, dim: int, seed: int, n_in: int) -> Callable[[np.ndarray], np.ndarray]:
-    """z with E[z(a) . z(b)] = exp(-gamma ||a - b||^2)."""
+def _draw(gamma: float, dim: int, seed: int, n_in: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_in, dim))
-    shift = rng.uniform(0.0, 2 * math.pi, size=dim)
+    return w, rng.uniform(0.0, 2 * math.pi, size=dim)
+
+
+def random_features(gamma: float, dim: int, seed: int, n_in: int) -> Callable[[np.ndarray], np.ndarray]:
+    """z with E[z(a) . z(b)] = exp(-gamma ||a - b||^2)."""
+    w, shift = _draw(gamma, dim, seed, n_in)
     return lambda x: np.cos(x @ w + shift) * math.sqrt(2.0 / dim)
 
 
-def _mapped(cols: list[str], gamma: float | None, dim: int, seed: int) -> Column:
+def _training_features(gamma: float, dim: int, seed: int, n_in: int) -> Callable[[np.ndarray], np.ndarray]:
+    """``random_features`` in single precision (errors of some 1e-7); the angle is reduced in double precision."""
+    w, shift = _draw(gamma, dim, seed, n_in)
+    w, shift, scale = w / (2 * math.pi), shift / (2 * math.pi), np.float32(math.sqrt(2.0 / dim))
+
+    def z(x: np.ndarray) -> np.ndarray:
+        turns = x @ w
+        turns += shift
+        turns -= np.rint(turns)
+        angle = turns.astype(np.float32)
+        angle *= np.float32(2 * math.pi)
+        np.cos(angle, out=angle)
+        angle *= scale
+        return angle
+    return z
+
+
+# ------------------------------------------------------------------ sums over rows
+def _sums(z: np.ndarray, sign: np.ndarray, points: np.ndarray, width: float, following: float) -> tuple[np.ndarray, np.ndarray]:
+    """Over rows z with signs +-1: (losses at every point, loss at the first point with the ``following`` width, hinge,
+    slopes, pull on the weights and on the intercept, features and number of the rows in the corner) and the features' products
+    over the corner, all but the losses at the first point. Points are (weights, intercept)."""
+    margin = (z @ points[:, :-1].T.astype(z.dtype)).astype(float) + points[:, -1]
+    short = 1.0 - sign[:, None] * margin
+    slope = np.clip((short + width) / (2 * width), 0.0, 1.0)
+    loss = np.where(slope < 1.0, width * slope * slope, short).sum(axis=0)
+    short, slope = short[:, 0], slope[:, 0]
+    nxt = np.clip((short + following) / (2 * following), 0.0, 1.0)
+    pull = slope * sign
+    corner = z[(slope > 0.0) & (slope < 1.0)]
+    scalars = [np.where(nxt < 1.0, following * nxt * nxt, short).sum(), np.maximum(short, 0.0).sum(), slope.sum()]
+    flat = np.concatenate([loss, scalars, (z.T @ pull.astype(z.dtype)).astype(float), [pull.sum()], corner.sum(axis=0, dtype=float), [len(corner)]])
+    return flat, corner.T @ corner
+
+
+@dataclass
+class _Fit:
+    """One model between passes: the point reached, the step to try, the width of the corner."""
+
+    reg: float
+    n: int
+    point: np.ndarray               # weights and intercept
+    at: int = 0                     # place in WIDTHS
+    step: np.ndarray | None = None
+    value: float = math.inf         # rounded objective at the point
+    objective: float = 0.0
+    excess: float = math.inf
+    decrement: float = math.inf
+    passes: int = 0
+
+    @property
+    def width(self) -> float:
+        return WIDTHS[self.at]
+
+    @property
+    def following(self) -> float:
+        return WIDTHS[min(self.at + 1, len(WIDTHS) - 1)]
+
+    def points(self) -> np.ndarray:
+        step = np.zeros_like(self.point) if self.step is None else self.step
+        return np.stack([self.point + t * step for t in STEPS])
+
+    def _penalty(self, points: np.ndarray) -> np.ndarray:
+        return self.reg / 2 * (points[..., :-1] ** 2).sum(axis=-1)
+
+    def update(self, flat: np.ndarray, curvature: np.ndarray) -> None:
+        """Take what a pass added up at ``points()``."""
+        self.passes += 1
+        points, d, t = self.points(), len(self.point) - 1, len(STEPS)
+        values = flat[:t] / self.n + self._penalty(points)
+        if self.step is not None and values[0] > self.value + 1e-12 * abs(self.value):
+            best = int(np.argmin(values))
+            if values[best] < self.value:   # the gradient there comes with the next pass
+                self.point, self.value, self.step = points[best], values[best], None
+            else:
+                self.step = self.step * STEPS[-1] / 5
+            return
+        following, hinge, slopes = flat[t:t + 3] / self.n
+        loss_gradient = -flat[t + 3:t + 4 + d] / self.n
+        row, corner = flat[t + 4 + d:t + 4 + 2 * d], flat[-1]
+        self.point, self.value = points[0], values[0]
+        w = self.point[:-1]
+        # the slopes are a dual point; an unbalanced sum of them costs at most the intercept's bound
+        self.objective = hinge + float(self._penalty(self.point))
+        dual = slopes - (loss_gradient[:-1] ** 2).sum() / (2 * self.reg) - (2 + 2 * abs(self.point[-1])) * abs(loss_gradient[-1])
+        gradient = loss_gradient.copy()
+        gradient[:-1] += self.reg * w
+        h = np.zeros((d + 1, d + 1))
+        h[:-1, :-1], h[:-1, -1], h[-1, :-1], h[-1, -1] = curvature, row, row, corner
+        h /= 2 * self.width * self.n
+        h[np.arange(d), np.arange(d)] += self.reg
+        h[np.arange(d + 1), np.arange(d + 1)] += 1e-12 * max(h.trace() / (d + 1), 1e-12)
+        self.step = -np.linalg.solve(h, gradient)
+        self.decrement = float(-self.step @ gradient) / 2
+        # the rounded loss is at most width / 4 above the hinge, on the rows of the corner
+        self.excess = min(max(self.objective - dual, 0.0), self.decrement + self.width / 4 * corner / self.n)
+        if self.decrement <= TOLERANCE / 5 * self.value + FLOOR and self.at + 1 < len(WIDTHS):
+            self.at += 1
+            self.value = following + float(self._penalty(self.point))
+
+    def done(self) -> bool:
+        return self.excess <= TOLERANCE * self.objective + FLOOR
+
+
+def _solve_rows(z: np.ndarray, sign: np.ndarray, reg: float) -> tuple[np.ndarray, float, float]:
+    """Point, objective and duality gap on rows in memory, by a primal-dual interior-point method: a are the dual
+    values (0 to 1 a row), s and t the slacks of their bounds, and w follows from a."""
+    n, d = z.shape
+    if abs(sign.sum()) == n:     # one class: the intercept is that class
+        return np.append(np.zeros(d), sign[0]), 0.0, 0.0
+    x, a, s, t, b = z * sign[:, None], np.full(n, 0.5), np.ones(n), np.ones(n), 0.0
+    best = (np.zeros(d + 1), math.inf, math.inf)
+    for _ in range(START_STEPS):
+        w = x.T @ a / (n * reg)
+        margin = x @ w + sign * b
+        objective = np.maximum(1.0 - margin, 0.0).mean() + reg / 2 * (w @ w)
+        dual = a.mean() - reg / 2 * (w @ w) - (1 + abs(b)) * abs((sign * a).mean())
+        if objective - dual < best[2]:
+            best = (np.append(w, b), float(objective), float(max(objective - dual, 0.0)))
+        if best[2] <= TOLERANCE / 100 * best[1] + FLOOR:
+            break
+        room = 1.0 - a
+        mu = 0.1 * (a @ s + room @ t) / (2 * n)
+        weight = 1.0 / (s / a + t / room)
+        rest = weight * (1.0 - margin + mu / a - mu / room)
+        weighted = x * weight[:, None]
+        h = np.empty((d + 1, d + 1))
+        h[:-1, :-1] = weighted.T @ x
+        h[np.arange(d), np.arange(d)] += n * reg
+        h[:-1, -1] = h[-1, :-1] = weighted.T @ sign
+        h[-1, -1] = weight.sum()
+        move = np.linalg.solve(h, np.append(x.T @ rest, sign @ rest + sign @ a))
+        da = rest - weight * (x @ move[:-1] + sign * move[-1])
+        ds, dt = (mu - s * da) / a - s, (mu + t * da) / room - t
+        step = min(1.0, 0.99 / max(np.max(-da / a), np.max(da / room), np.max(-ds / s), np.max(-dt / t), 1e-300))
+        a, s, t, b = a + step * da, s + step * ds, t + step * dt, b + step * move[-1]
+    return best
+
+
+# ------------------------------------------------------------------ the grid
+def _map_of(gamma: float | None, cols: list[str], dim: int, seed: int) -> Callable[[pd.DataFrame], np.ndarray]:
     if gamma is None:
-        return array_to_vector(F.col(cols[0]))
-    z = random_features(gamma, check_random_features(dim), seed, len(cols))
+        return lambda rows: np.stack(rows[cols[0]].to_numpy())
+    z = _training_features(gamma, check_random_features(dim), seed, len(cols))
+    return lambda rows: z(rows[cols].to_numpy(dtype=float))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def arrays(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(z(x.to_numpy(dtype=float))))
 
-    return array_to_vector(arrays(F.struct(*cols)))
+def _first_points(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], sizes: dict, seed: int, dim: int) -> dict[int, tuple[np.ndarray, float, float]]:
+    """(point, objective, gap) of every model on a few rows of its group, all of them in a small group: one task per (group, width)."""
+    check_random_features(dim)
+    widths = sorted({s.gamma for s in specs}, key=str)
+    share, own_widths = F.lit(0.0), F.array().cast("array<int>")
+    for g in sorted({s.group for s in specs}):
+        here = F.col(group_col) == g
+        share = F.when(here, F.lit(min(1.0, START_ROWS / sizes[g]))).otherwise(share)
+        own_widths = F.when(here, F.array(*[F.lit(i) for i in sorted({widths.index(s.gamma) for s in specs if s.group == g})])).otherwise(own_widths)
+    few = train.where(F.rand(seed) < share).select(group_col, label, *cols, F.explode(own_widths).alias("_width"))
 
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        group, i = rows[group_col].iloc[0], int(rows["_width"].iloc[0])
+        own = [s for s in specs if s.group == group and s.gamma == widths[i]]
+        x = np.stack(rows[cols[0]].to_numpy()) if widths[i] is None else random_features(widths[i], dim, seed, len(cols))(rows[cols].to_numpy(dtype=float))
+        sign = 2.0 * rows[label].to_numpy(float) - 1.0
+        solved = [_solve_rows(x, sign, 1.0 / (s.C * sizes[group])) for s in own]
+        return pd.DataFrame({"model_id": [s.model_id for s in own], "point": [p for p, _, _ in solved],
+                             "objective": [v for _, v, _ in solved], "gap": [g for _, _, g in solved]})
 
-def with_features(data: DataFrame, cols: list[str], label: str, gamma: float | None, dim: int, seed: int) -> DataFrame:
-    return data.withColumn("_z", _mapped(cols, gamma, dim, seed)).withColumn("_y", F.col(label).cast("double"))
+    found = few.groupBy(group_col, "_width").applyInPandas(solve, "model_id int, point array<double>, objective double, gap double")
+    return {r["model_id"]: (np.array(r["point"]), r["objective"], r["gap"]) for r in found.collect()}   # a row per model
 
 
-def fit(mapped: DataFrame, c: float, n: int) -> LinearSVCModel:
-    """One converged model on ``n`` rows of ``with_features``."""
-    model = LinearSVC(featuresCol="_z", labelCol="_y", regParam=1.0 / (c * max(n, 1)), standardization=False,
-                      maxIter=MAX_ITER, tol=TOLERANCE).fit(mapped.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))))
-    if model.summary().totalIterations >= MAX_ITER:
-        raise RuntimeError(f"margin model with C={c} did not reach tolerance {TOLERANCE} in {MAX_ITER} steps")
-    return model
+def _pass(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], fits: dict[int, _Fit], seed: int, dim: int) -> None:
+    """One job over all rows of the open models' groups; every open model takes its sums."""
+    shared = train.sparkSession.sparkContext.broadcast({
+        s.model_id: (s.group, s.gamma, fits[s.model_id].points(), fits[s.model_id].width, fits[s.model_id].following) for s in specs})
 
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_group: dict = {}
+        for m, (group, gamma, *rest) in shared.value.items():
+            by_group.setdefault(group, {}).setdefault(gamma, []).append((m, *rest))
+        maps, total = {}, {}
+        for batch in batches:
+            for group, rows in batch.groupby(group_col):
+                sign = 2.0 * rows[label].to_numpy(float) - 1.0
+                for gamma, models in by_group.get(group, {}).items():
+                    if gamma not in maps:
+                        maps[gamma] = _map_of(gamma, cols, dim, seed)
+                    z = maps[gamma](rows)
+                    for m, points, width, following in models:
+                        flat, curvature = _sums(z, sign, points, width, following)
+                        if m in total:
+                            total[m][0] += flat
+                            total[m][1] += curvature
+                        else:
+                            total[m] = [flat, curvature.astype(float)]
+        for m, (flat, curvature) in total.items():
+            blocks = [flat, *(curvature[lo:lo + BLOCK].ravel() for lo in range(0, len(curvature), BLOCK))]
+            yield pd.DataFrame({"model_id": m, "block": range(len(blocks)), "sums": blocks})
 
-def score(model: LinearSVCModel, mapped: DataFrame) -> DataFrame:
-    """``score`` (signed margin) and ``pred`` per row."""
-    scored = model.transform(mapped).withColumn("score", vector_to_array("rawPrediction")[1])
-    return scored.withColumn("pred", F.col("prediction").cast("int")).drop("_z", "_y", "rawPrediction", "prediction")
+    def together(table: pa.Table) -> pa.Table:
+        sums = table.column("sums").combine_chunks()
+        whole = sums.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).sum(axis=0)
+        return pa.table({"model_id": table.column("model_id")[:1], "block": table.column("block")[:1], "sums": pa.array([whole], pa.list_(pa.float64()))})
+
+    groups = sorted({s.group for s in specs})
+    tasks = TASKS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism
+    rows = train.where(F.col(group_col).isin(groups)).select(group_col, label, *cols).coalesce(tasks)
+    schema = "model_id int, block int, sums array<double>"
+    summed = rows.mapInPandas(added, schema).groupBy("model_id", "block").applyInArrow(together, schema).toPandas()
+    for m, own in summed.sort_values("block").groupby("model_id"):
+        flat, *blocks = own["sums"].to_list()
+        fits[m].update(np.asarray(flat), np.concatenate(blocks).reshape(-1, len(fits[m].point) - 1))
+    shared.unpersist()
 
 
 def fit_grid(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], seed: int,
-             dim: int = RANDOM_FEATURES) -> dict[int, LinearSVCModel]:
-    """One model per spec. ``train`` should be stored by ``group_col``, so that a fit reads its group only."""
+             dim: int = RANDOM_FEATURES) -> dict[int, MarginModel]:
+    """One model per spec. ``train`` is read once per pass: store it first, by ``group_col`` if there are several."""
     sizes = {r[group_col]: r["n"] for r in train.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    missing = sorted({s.group for s in specs if s.group not in sizes})
+    if missing:
+        raise ValueError(f"no rows to train on in groups {missing}")
+    first = _first_points(train, group_col, cols, label, specs, sizes, seed, dim)
+    given = len(train.select(cols[0]).first()[0]) if any(s.gamma is None for s in specs) else 0
+    fits = {}
+    for s in specs:
+        point, objective, gap = first.get(s.model_id, (np.zeros((given if s.gamma is None else dim) + 1), 0.0, math.inf))
+        fits[s.model_id] = _Fit(1.0 / (s.C * sizes[s.group]), sizes[s.group], point)
+        if sizes[s.group] <= START_ROWS:   # these were all rows
+            fits[s.model_id].objective, fits[s.model_id].excess = objective, gap
+    open_ = [s for s in specs if not fits[s.model_id].done()]
+    for _ in range(MAX_PASSES):
+        if not open_:
+            break
+        _pass(train, group_col, cols, label, open_, fits, seed, dim)
+        open_ = [s for s in open_ if not fits[s.model_id].done()]
+    if open_:
+        worst = max((fits[s.model_id] for s in open_), key=lambda f: f.excess)
+        raise RuntimeError(f"{len(open_)} margin models did not reach tolerance {TOLERANCE} in {MAX_PASSES} passes (excess {worst.excess}, objective {worst.objective})")
+    return {m: MarginModel(Vectors.dense(f.point[:-1]), float(f.point[-1]), f.objective, f.excess, f.passes) for m, f in fits.items()}
 
-    def one(spec: ModelSpec) -> tuple[int, LinearSVCModel]:
-        rows = train.where(F.col(group_col) == spec.group)
-        return spec.model_id, fit(with_features(rows, cols, label, spec.gamma, dim, seed), spec.C, sizes.get(spec.group, 0))
 
-    with ThreadPool(PARALLEL_FITS) as pool:
-        return dict(pool.map(inheritable_thread_target(train.sparkSession)(one), specs, chunksize=1))
+def score(data: DataFrame, cols: list[str], gamma: float | None, model: MarginModel, dim: int, seed: int) -> DataFrame:
+    """``score`` (signed margin) and ``pred`` per row."""
+    w, b = model.coefficients.toArray(), model.intercept
+    z = None if gamma is None else random_features(gamma, check_random_features(dim), seed, len(cols))
 
+    @F.pandas_udf("double")
+    def margins(x: pd.DataFrame) -> pd.Series:
+        return pd.Series((np.stack(x[cols[0]].to_numpy()) if z is None else z(x.to_numpy(dtype=float))) @ w + b)
 
-def score_grid(data: DataFrame, group_col: str, cols: list[str], label: str, key: str, specs: list[ModelSpec],
-               models: dict[int, LinearSVCModel], seed: int, dim: int = RANDOM_FEATURES) -> DataFrame:
-    """(model_id, key, y, score, pred): every row of a group scored by the group's models in one pass.
+    return data.withColumn("score", margins(F.struct(*cols))).withColumn("pred", (F.col("score") > 0).cast("int"))
 
-    The weights of a group's models form one bounded matrix (models x features) inside the closure."""
-    weights = {s.model_id: (models[s.model_id].coefficients.toArray(), models[s.model_id].intercept) for s in specs}
+
+def _margins(rows: pd.DataFrame, group_col: str, cols: list[str], by_group: dict, weights: dict, maps: dict):
+    """(model_id, rows, margins) of a batch, every group's rows by the group's models."""
+    for group, own in rows.groupby(group_col):
+        models = by_group.get(group, [])
+        z = {g: np.stack(own[cols[0]].to_numpy()) if g is None else maps[g](own[cols].to_numpy(dtype=float)) for g in {s.gamma for s in models}}
+        for s in models:
+            w, b = weights[s.model_id]
+            yield s.model_id, own, z[s.gamma] @ w + b
+
+
+def _model_tables(specs: list[ModelSpec], models: dict[int, MarginModel]) -> tuple[dict, dict]:
     by_group: dict[int, list[ModelSpec]] = {}
     for s in specs:
         by_group.setdefault(s.group, []).append(s)
+    return by_group, {s.model_id: (models[s.model_id].coefficients.toArray(), models[s.model_id].intercept) for s in specs}
+
+
+def score_grid(data: DataFrame, group_col: str, cols: list[str], label: str, key: str, specs: list[ModelSpec],
+               models: dict[int, MarginModel], seed: int, dim: int = RANDOM_FEATURES) -> DataFrame:
+    """(model_id, key, y, score, pred): every row of a group scored by the group's models in one pass.
+
+    The weights of a group's models form one bounded matrix (models x features) inside the closure."""
+    by_group, weights = _model_tables(specs, models)
 
     def scored(batches):
         maps = {s.gamma: random_features(s.gamma, dim, seed, len(cols)) for s in specs if s.gamma is not None}
         for batch in batches:
-            for group, rows in batch.groupby(group_col):
-                given = None
-                if any(s.gamma is None for s in by_group[group]):
-                    given = np.stack(rows[cols[0]].to_numpy())
-                z = {g: given if g is None else maps[g](rows[cols].to_numpy(dtype=float)) for g in {s.gamma for s in by_group[group]}}
-                for s in by_group[group]:
-                    w, b = weights[s.model_id]
-                    margin = z[s.gamma] @ w + b
-                    yield pd.DataFrame({"model_id": s.model_id, key: rows[key], label: rows[label], "score": margin,
-                                        "pred": (margin > 0).astype("int32")})
+            for m, rows, margin in _margins(batch, group_col, cols, by_group, weights, maps):
+                yield pd.DataFrame({"model_id": m, key: rows[key], label: rows[label], "score": margin, "pred": (margin > 0).astype("int32")})
 
     return data.select(group_col, key, label, *cols).mapInPandas(
         scored, f"model_id int, {key} string, {label} int, score double, pred int")
+
+
+def confusion_grid(data: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec],
+                   models: dict[int, MarginModel], seed: int, dim: int = RANDOM_FEATURES) -> DataFrame:
+    """(model_id, tn, fp, fn, tp) of ``score_grid``'s predictions, added up inside the tasks: no row per row and model."""
+    by_group, weights = _model_tables(specs, models)
+
+    def counted(batches):
+        maps = {s.gamma: random_features(s.gamma, dim, seed, len(cols)) for s in specs if s.gamma is not None}
+        total = {s.model_id: np.zeros(4, np.int64) for s in specs}
+        for batch in batches:
+            for m, rows, margin in _margins(batch, group_col, cols, by_group, weights, maps):
+                y = rows[label].to_numpy(float)   # a missing label is in no cell
+                hit = margin > 0
+                total[m] += [int((c & (y == v)).sum()) for v, c in ((0, ~hit), (0, hit), (1, ~hit), (1, hit))]
+        table = np.array(list(total.values())).reshape(-1, 4)
+        yield pd.DataFrame({"model_id": list(total), "tn": table[:, 0], "fp": table[:, 1], "fn": table[:, 2], "tp": table[:, 3]})
+
+    per_task = data.select(group_col, label, *cols).mapInPandas(counted, "model_id int, tn long, fp long, fn long, tp long")
+    return per_task.groupBy("model_id").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])

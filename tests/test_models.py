@@ -75,3 +75,38 @@ def test_random_feature_count_is_checked():
     from gramframe.operators import margin
     with pytest.raises(ValueError):
         margin.check_random_features(4)
+
+
+def test_margin_passes_are_few_and_reach_the_optimum(spark, monkeypatch):
+    """Groups too large for one task: all models of the grid share a handful of passes over the rows, and end at the
+    objective that a solver holding all rows finds."""
+    from gramframe.operators import margin
+    df = planted(spark, 3000, 4).withColumn("grp", F.when(F.col("f2") > 1, 1).otherwise(0)).repartition(3).cache()
+    rows = df.select("grp", "y", *FEATURES).toPandas()
+    specs = [margin.ModelSpec(i, g, 0.1, c) for i, (g, c) in enumerate([(0, 0.1), (0, 1.0), (1, 0.1)])]
+    passes = []
+    one_pass = margin._pass
+    monkeypatch.setattr(margin, "_pass", lambda *a: passes.append(1) or one_pass(*a))
+    monkeypatch.setattr(margin, "START_ROWS", 300)
+    fits = margin.fit_grid(df, "grp", FEATURES, "y", specs, 5, 32)
+    assert 1 <= len(passes) <= 30
+    for s in specs:
+        own = rows[rows["grp"] == s.group]
+        z = margin.random_features(0.1, 32, 5, 9)(own[FEATURES].to_numpy())
+        sign, reg = 2.0 * own["y"].to_numpy() - 1, 1 / (s.C * len(own))
+        w, b = fits[s.model_id].coefficients.toArray(), fits[s.model_id].intercept
+        found = np.maximum(0, 1 - sign * (z @ w + b)).mean() + reg / 2 * (w @ w)
+        _, best, gap = margin._solve_rows(z, sign, reg)
+        assert gap <= 1e-5 and best - gap <= found <= best + 3e-4 * best
+        assert abs(found - fits[s.model_id].objective) < 1e-5
+    counts = {r["model_id"]: r for r in margin.confusion_grid(df, "grp", FEATURES, "y", specs, fits, 5, 32).collect()}
+    scores = margin.score_grid(df, "grp", FEATURES, "y", "row_key", specs, fits, 5, 32)
+    plain = metrics.confusion_counts(scores, "y", "pred", ["model_id"]).collect()
+    assert {r["model_id"]: r.asDict() for r in plain} == {m: r.asDict() for m, r in counts.items()} and len(plain) == 3
+
+
+def test_margin_models_of_one_class(spark):
+    from gramframe.operators import margin
+    df = planted(spark, 50, 1).where("y = 1").withColumn("grp", F.lit(0))
+    fit = margin.fit_grid(df, "grp", FEATURES, "y", [margin.ModelSpec(0, 0, 0.1, 1.0)], 5, 16)[0]
+    assert fit.intercept == 1.0 and not fit.coefficients.toArray().any()
