@@ -29,8 +29,15 @@ def order_hash(seed: int | Column, purpose: str, key: str | Column) -> Column:
 
 
 def r6(c: str | Column) -> Column:
-    """Round to 6 decimals and normalise -0.0 (used on both sides of an oracle comparison)."""
-    return F.round(col(c), 6) + F.lit(0.0)
+    """Round to 6 decimals and normalise -0.0 (used on both sides of an oracle comparison).
+
+    Spark rounds a double by way of its decimal digits, a microsecond a value. Where the millionths are clear of one half
+    and small enough to be exact, the nearest integer over 10^6 is the same double; only the others take Spark's way."""
+    x = col(c)
+    millionths = x * F.lit(1e6)
+    nearest = F.rint(millionths)
+    clear = (F.abs(x) < 1e6) & (F.abs(millionths - nearest) < 0.499)
+    return F.when(clear, nearest / F.lit(1e6)).otherwise(F.round(x, 6)) + F.lit(0.0)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
