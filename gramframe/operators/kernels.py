@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,10 +199,11 @@ def _arrow_rows_x_landmarks(rows: DataFrame, name: str, repetitions: int, lsets:
     bc = rows.sparkSession.sparkContext.broadcast({g: ls.values for g, ls in lsets.items()})
 
     if group_col is None:
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def k_single(x: pd.DataFrame) -> pd.Series:
-            mat = rec.fidelity_matrix(name, repetitions, x.to_numpy(dtype=float), bc.value[None])
-            return pd.Series(list(mat))
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def k_single(x: pa.Array) -> pa.Array:
+            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in x.flatten()]
+            mat = rec.fidelity_matrix(name, repetitions, np.stack(values, axis=1), bc.value[None])
+            return pa.ListArray.from_arrays(np.arange(0, mat.size + 1, mat.shape[1], dtype=np.int32), mat.ravel())
         return k_single(F.struct(*cols))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
