@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import order_hash
 from ..session import cut_lineage
 from .ranking import first_k_by_hash, hash_rank
-from .selection import ALL_ROWS, hash_cuts, up_to_cut
+from .selection import ALL_ROWS, MAX_LITERAL_GROUPS, hash_cuts, up_to_cut
 
 MAX_CLASSES = 2
 CANDIDATES = 4   # hits per wanted row that the first bound of a run grid aims at
@@ -72,7 +72,10 @@ def check_subset_size(size: int) -> int:
 
 def check_class_sizes(df: DataFrame, target: str, per_class: int) -> None:
     """A class with fewer rows than requested is an error (sampling is without replacement)."""
-    counts = {r[target]: r["n"] for r in class_counts(df, target).collect()}  # <= 2 rows
+    _check_counts({r[target]: r["n"] for r in class_counts(df, target).collect()}, per_class)  # <= 2 rows
+
+
+def _check_counts(counts: dict, per_class: int) -> None:
     for label in (0, 1):
         if counts.get(label, 0) < per_class:
             raise ValueError(f"class {label} has {counts.get(label, 0)} rows, {per_class} requested")
@@ -80,16 +83,36 @@ def check_class_sizes(df: DataFrame, target: str, per_class: int) -> None:
 
 def balanced_subset(df: DataFrame, target: str, key: str, size: int, seed: int,
                     check: bool = True) -> DataFrame:
-    """size/2 rows per class without replacement, then shuffled: adds ``position`` (0-based)."""
+    """size/2 rows per class without replacement, then shuffled: adds ``position`` (0-based).
+
+    Only rows below a bound of their class's hashes are ranked, about ``CANDIDATES`` times the wanted ones; their counts
+    prove that the wanted rows are among them, else the bound is widened."""
     half = check_subset_size(size)
+    counts = {r[target]: r["n"] for r in class_counts(df, target).collect()}  # classes
     if check:
-        check_class_sizes(df, target, half)
-    h = df.withColumn("_h", order_hash(seed, "subset", key))
-    picked = first_k_by_hash(h, [target], "_h", key, half).drop("rank", "_h")
+        _check_counts(counts, half)
+    h, factor = df.withColumn("_h", order_hash(seed, "subset", key)), CANDIDATES
+    while True:
+        below = F.lit(ALL_ROWS)
+        if len(counts) <= MAX_LITERAL_GROUPS:
+            for label, n in counts.items():
+                below = F.when(F.col(target).eqNullSafe(F.lit(label)), F.lit(_hash_bound(factor, half, n))).otherwise(below)
+        hits = cut_lineage(h.where(F.col("_h") < below))   # about factor x size rows
+        found = {r[target]: r["n"] for r in class_counts(hits, target).collect()}
+        if all(found.get(label, 0) >= min(half, n) for label, n in counts.items()):
+            break
+        factor *= 16
+    picked = first_k_by_hash(hits, [target], "_h", key, half).drop("rank", "_h")
     shuffle = Window.orderBy(order_hash(seed, "shuffle", key), key)  # over `size` rows only
     return picked.withColumn("position", (F.row_number().over(shuffle) - 1).cast("int"))
 
 
+def _hash_bound(factor: int, half: int, n: int) -> str:
+    """A hash below which about ``factor`` times ``half`` of a class's n rows fall."""
+    share = factor * (half + 16) / max(n, 1)
+    return ALL_ROWS if share >= 1 else format(int(share * 16 ** 8), "08x")
+
+
 @dataclass(frozen=True)
 class Run:
     run_id: int
@@ -127,13 +150,9 @@ def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], chec
             raise ValueError(f"class {label} has {counts.get(label, 0)} rows, {max(halves)} requested")
     factor = CANDIDATES
     while True:
-        def bound(half: int, n: int) -> str:
-            share = factor * (half + 16) / max(n, 1)
-            return ALL_ROWS if share >= 1 else format(int(share * 16 ** 8), "08x")
-
         grid = F.array(*[F.struct(
             F.lit(r.run_id).alias("run_id"), F.lit(r.size).alias("size"), F.lit(r.seed).alias("seed"), F.lit(r.repeat).alias("repeat"),
-            F.lit(bound(h, counts.get(0, 0))).alias("_b0"), F.lit(bound(h, counts.get(1, 0))).alias("_b1")) for r, h in zip(runs, halves)])
+            F.lit(_hash_bound(factor, h, counts.get(0, 0))).alias("_b0"), F.lit(_hash_bound(factor, h, counts.get(1, 0))).alias("_b1")) for r, h in zip(runs, halves)])
         hashed = F.transform(grid, lambda r: F.struct(r["run_id"].alias("run_id"), r["size"].alias("size"), r["seed"].alias("seed"),
                                                       r["repeat"].alias("repeat"), order_hash(r["seed"], "subset", key).alias("_h"),
                                                       F.when(F.col(target) == 1, r["_b1"]).otherwise(r["_b0"]).alias("_b")))

@@ -31,11 +31,12 @@ def fixture_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice", "p_size"])
     supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_acctbal"])
 
+    # orders meet their customers before the lines; the lines move by order last, where the window finds them
+    orders = orders.join(cust, orders.o_custkey == cust.c_custkey)
     joined = (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(cust, F.col("o_custkey") == cust.c_custkey)
-        .join(part, li.l_partkey == part.p_partkey)
+        li.join(part, li.l_partkey == part.p_partkey)
         .join(supp, li.l_suppkey == supp.s_suppkey)
+        .join(orders, li.l_orderkey == orders.o_orderkey)
     )
     line_key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     dup = Window.partitionBy(*line_key).orderBy(

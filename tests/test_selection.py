@@ -114,3 +114,30 @@ def test_duplicates_of_long_texts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert keys and all("a text" in line for line in keys) and "sha2" in plan
+
+
+def test_balanced_subset_ranks_few_rows(spark, monkeypatch):
+    """The window sees the rows below the bound only, and picks what ranking all rows picks; a bound that is too low is widened."""
+    from gramframe.operators import sampling
+    df = spark.range(20_000).selectExpr("concat('k', id) as row_key", "if(id % 50 = 0, 1, 0) as y").cache()
+    ranked = []
+    plain = sampling.first_k_by_hash
+    monkeypatch.setattr(sampling, "first_k_by_hash", lambda hits, *a, **k: ranked.append(hits.count()) or plain(hits, *a, **k))
+    got = {tuple(r) for r in sampling.balanced_subset(df, "y", "row_key", 16, 5).select("row_key", "y").collect()}
+    assert ranked[0] < 1000
+    monkeypatch.setattr(sampling, "_hash_bound", lambda factor, half, n: "0001" if factor == sampling.CANDIDATES else "g")
+    again = {tuple(r) for r in sampling.balanced_subset(df, "y", "row_key", 16, 5).select("row_key", "y").collect()}
+    from gramframe.functions.columns import order_hash
+    rows = df.select("row_key", "y", order_hash(5, "subset", "row_key").alias("h")).collect()
+    want = {(r["row_key"], y) for y in (0, 1) for r in sorted((r for r in rows if r["y"] == y), key=lambda r: r["h"])[:8]}
+    assert got == want == again
+
+
+def test_six_decimals_are_spark_rounding(spark):
+    from gramframe.functions.columns import r6
+    from pyspark.sql import functions as F
+    values = [0.0, -0.0, 5e-7, -5e-7, 2.5e-6, 0.1234565, 1234.5678905, -7.0000005, 1e15 / 7, 1e300, float("inf"), float("nan"), None, 999999.9999995] + [i / 7e6 for i in range(-50, 50)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("got", r6("x")).withColumn("want", F.round("x", 6) + 0.0)
+    assert df.where("not (got <=> want)").count() == 0
+    plan = df.select("got")._jdf.queryExecution().toString()
+    assert "rint" in plan.lower()   # most values never become decimals
