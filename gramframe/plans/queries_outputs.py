@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import kernels, metrics, models, profile, report, sampling
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sources.config import from_mapping
 from ..sources.csv_io import CONTRACT_FEATURES, CONTRACT_TARGET
 from ..sources.dataset import Contract, load, rejection_counts
@@ -37,7 +37,8 @@ def q_sink_csv(spark, sf_dir):
 @query("q_sink_json")
 def q_sink_json(spark, sf_dir):
     """The nested metrics record of the whole test split published as JSON, read back and flattened."""
-    m = metrics.metrics_record(scored_test(spark, sf_dir), TARGET, "pred", "score")
+    scored = stored(scored_test(spark, sf_dir).select(TARGET, "score", "pred"))   # read by confusion, AUC and AP
+    m = metrics.metrics_record(scored, TARGET, "pred", "score")
     back = _outputs(spark).publish(m.select("confusion_matrix", F.struct(*[r6(c).alias(c) for c in [*metrics.METRIC_NAMES, "roc_auc", "average_precision"]])
                                             .alias("metrics")), "metrics", "json")
     cell = F.col("confusion_matrix")
