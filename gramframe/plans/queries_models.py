@@ -10,6 +10,7 @@ from ..operators import kernel_machine as km
 from ..operators import kernel_stats as ks
 from ..operators import kernels, metrics, models, prep, report, sampling
 from ..operators.encode import encode_angles
+from ..session import stored
 from ..sources.fixtures import FEATURES, KEY, TARGET
 from .params import (BASELINE_SEED, C_GRID, CIRCUIT_REPETITIONS, CV_FOLDS, FEATURE_MAPS, GAMMA_GRID,
                      MAP_REPEATS, MAP_STUDY_SEED_OFFSET, REPEATS, SEED, SUBSET_SIZES)
@@ -154,7 +155,7 @@ def q_two_kernel_eval(spark, sf_dir):
                               models.rff_kernel(gamma, dim, SEED, N), FEATURES)
     both = exact.select(TARGET, "score", F.lit("exact").alias("kernel")).unionByName(
         approx.select(TARGET, "score", F.lit("random_features").alias("kernel")))
-    both = both.withColumn("pred", (F.col("score") > 0).cast("int"))
+    both = stored(both.withColumn("pred", (F.col("score") > 0).cast("int")))   # read by confusion, AUC and AP
     m = metrics.metrics_record(both, TARGET, "pred", "score", ["kernel"], max_groups=2)
     return m.select("kernel", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in metrics.METRIC_NAMES],
                     r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
