@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order_hash
@@ -20,6 +20,7 @@ from .selection import ALL_ROWS, MAX_LITERAL_GROUPS, hash_cuts, up_to_cut
 
 MAX_CLASSES = 2
 CANDIDATES = 4   # hits per wanted row that the first bound of a run grid aims at
+MAX_FILTER_RUNS = 32   # runs whose hashes are compared in one filter
 
 
 # ------------------------------------------------------------------ allocation rules
@@ -137,12 +138,23 @@ def map_study_runs(size: int, repeats: int, seed: int) -> list[Run]:
     return [Run(rep, size, seed + rep, rep, "map_study") for rep in range(repeats)]
 
 
+def _hit_by_any(runs: list[Run], bounds: list[tuple[str, str]], target: str, key: str) -> Column:
+    """The row's hash for some run is below that run's bound for its class. Spark compiles this comparison, but not the array
+    expression that names the runs, so that one sees the few hits only. Grids beyond ``MAX_FILTER_RUNS`` go without."""
+    if len(runs) > MAX_FILTER_RUNS:
+        return F.lit(True)
+    out = F.lit(False)
+    for r, (low, high) in zip(runs, bounds):
+        out = out | (order_hash(r.seed, "subset", key) < F.when(F.col(target) == 1, high).otherwise(low))
+    return out
+
+
 def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], check: bool = True) -> DataFrame:
     """Balanced subset for every run in one job: adds (run_id, size, seed, repeat, position).
 
-    A row is read once: its hashes for all runs are compared, inside one array expression, with a bound below which
-    about ``CANDIDATES`` times the wanted rows of its class fall, and only hits become rows. The counts of
-    the hits prove that the wanted rows are among them; a (run, class) that fell short widens the bound."""
+    A row is read once: its hashes for all runs are compared, in one compiled filter, with a bound below which
+    about ``CANDIDATES`` times the wanted rows of its class fall, and only hits become rows, one per run hit. The counts
+    of the hits prove that the wanted rows are among them; a (run, class) that fell short widens the bound."""
     halves = [check_subset_size(r.size) for r in runs]
     counts = {r[target]: r["n"] for r in class_counts(df, target).collect()}  # <= 2 rows
     for label in (0, 1):
@@ -156,7 +168,8 @@ def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], chec
         hashed = F.transform(grid, lambda r: F.struct(r["run_id"].alias("run_id"), r["size"].alias("size"), r["seed"].alias("seed"),
                                                       r["repeat"].alias("repeat"), order_hash(r["seed"], "subset", key).alias("_h"),
                                                       F.when(F.col(target) == 1, r["_b1"]).otherwise(r["_b0"]).alias("_b")))
-        hits = df.where(F.col(target).isin(0, 1)).select(*df.columns, F.inline(F.filter(hashed, lambda r: r["_h"] < r["_b"]))).drop("_b")
+        some = _hit_by_any(runs, [(_hash_bound(factor, h, counts.get(0, 0)), _hash_bound(factor, h, counts.get(1, 0))) for h in halves], target, key)
+        hits = df.where(F.col(target).isin(0, 1)).where(some).select(*df.columns, F.inline(F.filter(hashed, lambda r: r["_h"] < r["_b"]))).drop("_b")
         hits = cut_lineage(hits)   # about factor x sum of sizes rows
         found = {(r["run_id"], r[target]): r["n"] for r in hits.groupBy("run_id", target).agg(F.count(F.lit(1)).alias("n")).collect()}  # runs x 2
         if all(found.get((r.run_id, c), 0) >= min(h, counts.get(c, 0)) for r, h in zip(runs, halves) for c in (0, 1)):

@@ -284,3 +284,21 @@ def test_mirror_rejects_lower_cells_and_folds_counts(spark):
         ks.mirror_upper(ks.outcome_probability(counts, "view")).collect()
     full = {(r.i, r.j): r.k for r in ks.mirror_upper(ks.outcome_probability(ks.fold_cells(counts), "view")).collect()}
     assert full[0, 1] == full[1, 0] == 0.75
+
+
+def test_run_grid_rows_are_filtered_before_runs_are_named(spark):
+    """The array expression over the runs is not compiled by Spark: it may see the few rows that some run hits only."""
+    from gramframe.operators import sampling
+    runs = sampling.comparison_runs([4, 8], 3, 5)
+    bounds = [("2", "4")] * len(runs)
+    rows = spark.createDataFrame([(f"k{i}", i % 2) for i in range(400)] + [(None, 0), (None, 1)], "row_key string, y int")
+    h = {r.run_id: sampling.order_hash(r.seed, "subset", "row_key") for r in runs}
+    flagged = rows.select("row_key", "y", sampling._hit_by_any(runs, bounds, "y", "row_key").alias("some"), *[c.alias(f"h{i}") for i, c in h.items()]).collect()
+    for r in flagged:
+        assert r["some"] == any(r[f"h{i}"] < ("4" if r["y"] == 1 else "2") for i in h)
+    assert 0 < sum(r["some"] for r in flagged) < len(flagged)
+    many = [sampling.Run(i, 4, i) for i in range(sampling.MAX_FILTER_RUNS + 1)]
+    out = sampling.balanced_subsets(rows.where("row_key is not null"), "y", "row_key", many)
+    few = sampling.balanced_subsets(rows.where("row_key is not null"), "y", "row_key", many[:6])
+    key = lambda r: (r["run_id"], r["position"], r["row_key"], r["y"])
+    assert sorted(map(key, out.where("run_id < 6").collect())) == sorted(map(key, few.collect()))
