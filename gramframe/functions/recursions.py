@@ -16,6 +16,8 @@ forms also exist as native column expressions there.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 MAPS = ("zz", "pauli", "custom")
@@ -200,7 +202,7 @@ MAX_HALF = 8            # features of one half, 2 ** 8 amplitudes; beyond that p
 def _pauli_terms(a: np.ndarray, repetitions: int) -> list[np.ndarray]:
     """Per group of features the outer product of their (1, x, y, z) / sqrt(2): arrays (rows, 4 ** group). The
     inner product of two rows' terms is the product of (1 + r.r') / 2 over the group."""
-    r = np.concatenate([np.ones((*a.shape, 1)), pauli_vectors(a, repetitions)], axis=-1) * np.sqrt(0.5)
+    r = np.concatenate([np.ones((*a.shape, 1), a.dtype), pauli_vectors(a, repetitions)], axis=-1) * math.sqrt(0.5)
     out = []
     for lo in range(0, a.shape[1], PAULI_GROUP):
         term = r[:, lo]
@@ -231,7 +233,7 @@ def _custom_halves(a: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
     rows, n = a.shape
     half, phase = a.T / 2.0, _cis(a.T * a.T / (2.0 * np.pi))
     c, s = np.cos(half), np.sin(half)
-    u = np.empty((n, 2, 2, rows), dtype=complex)     # u[q, r, p]: Rz(a^2/pi) Ry(a)
+    u = np.empty((n, 2, 2, rows), dtype=phase.dtype)     # u[q, r, p]: Rz(a^2/pi) Ry(a)
     u[:, 0, 0], u[:, 0, 1] = phase.conj() * c, -phase.conj() * s
     u[:, 1, 0], u[:, 1, 1] = phase * s, phase * c
     first = u[:, :, 0]                               # f[p] = u[p, 0]
@@ -240,7 +242,7 @@ def _custom_halves(a: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
         f0, f1 = first[q]
         carried = np.stack([left[0] * f0 + left[1] * f1, left[0] * f1 + left[1] * f0])
         left = (carried[:, :, None] * u[q].transpose(1, 0, 2)[:, None]).reshape(2, 2 * left.shape[1], rows)
-    right = np.ones((2, 1, rows), dtype=complex)
+    right = np.ones((2, 1, rows), dtype=u.dtype)
     for q in range(n - 1, cut - 1, -1):
         f0, f1 = first[q]
         here = u[q].transpose(1, 0, 2)[:, :, None] * right[:, None]     # [p, r, rest]
@@ -254,27 +256,38 @@ def _zz_halves(a: np.ndarray, cut: int, repetitions: int) -> tuple[np.ndarray, n
     rows, n = a.shape
     turn = _cis(a.T / 2.0)                                   # e^{i a/2}
     turn = np.stack([turn, turn.conj()], axis=1)             # [q, sign]
-    mixed = _cis(a.T[:-1] * a.T[1:] / (2.0 * np.pi))
-    mixed = np.stack([np.stack([mixed, mixed.conj()], 1), np.stack([mixed.conj(), mixed], 1)], 1)     # [q, sign, next sign]
+    mixed = _cis(a.T[:-1] * a.T[1:] / (2.0 * np.pi))         # m for equal signs of neighbours, its conjugate for unequal
+    square, back = mixed * mixed, mixed.conj() * mixed.conj()
     if repetitions == 1:
-        site = turn[:, :, None] * np.sqrt(0.5)               # [q, t, s = one value]
-        chain = np.ones((n - 1, 1, 1, rows))
+        site = turn[:, :, None] * math.sqrt(0.5)             # [q, t, s = one value]
     else:
-        hadamard = np.array([[0.5, 0.5], [0.5, -0.5]])
+        hadamard = np.array([[0.5, 0.5], [0.5, -0.5]], a.dtype)
         site = turn[:, :, None] * turn[:, None, :] * hadamard[None, :, :, None]
-        chain = mixed
+    bond = site.shape[2]
+
+    def over_s(state: np.ndarray, q: int) -> np.ndarray:
+        """[t, s, amplitudes] summed with the chain of s between features q - 1 and q, over m* (put back by ``across``)."""
+        if bond == 1:
+            return state
+        out = state * square[q - 1]
+        out[:, 0] += state[:, 1]
+        out[:, 1] += state[:, 0]
+        return out
+
+    def across(q: int) -> np.ndarray:
+        """[t, t']: the chain of t between features q - 1 and q; with two repetitions times the m* of ``over_s``."""
+        equal, unequal = (mixed[q - 1], mixed[q - 1].conj()) if bond == 1 else (np.ones_like(mixed[0]), back[q - 1])
+        return np.stack([np.stack([equal, unequal]), np.stack([unequal, equal])])
+
     left = site[0][:, :, None]                               # [t, s, amplitudes]
     for q in range(1, cut):
-        # over the earlier s; the earlier t becomes an amplitude
-        carried = sum(left[:, o, None] * chain[q - 1][o][None, :, None] for o in range(left.shape[1]))   # [t', s, a]
-        carried = carried[:, None] * mixed[q - 1][:, :, None, None]          # [t', t, s, a]
-        carried = carried.transpose(1, 2, 3, 0, 4) * site[q][:, :, None, None]
-        left = carried.reshape(2, site.shape[2], 2 * left.shape[2], rows)
-    right = np.ones((2, site.shape[2], 1, rows))
+        # the earlier t becomes an amplitude: [t', s', t, a]
+        step = site[q][:, :, None] * across(q)[:, None]
+        left = (step[:, :, :, None] * over_s(left, q).transpose(1, 0, 2, 3)[None]).reshape(2, bond, 2 * left.shape[2], rows)
+    right = np.ones((2, bond, 1, rows), a.dtype)
     for q in range(n - 1, cut - 1, -1):
-        here = site[q][:, :, None] * right                                               # [t, s, a]
-        before = sum(here[:, o, None] * chain[q - 1][:, o][None, :, None] for o in range(here.shape[1]))   # [t, s', a]
-        right = (mixed[q - 1][:, :, None, None] * before[None]).transpose(0, 2, 1, 3, 4).reshape(2, site.shape[2], 2 * right.shape[2], rows)
+        before = over_s(site[q][:, :, None] * right, q).transpose(1, 0, 2, 3)                # [s', t, a]
+        right = (across(q)[:, None, :, None] * before[None]).reshape(2, bond, 2 * right.shape[2], rows)
     return left, right
 
 
@@ -289,7 +302,7 @@ def amplitude_matrix(name: str, repetitions: int, a: np.ndarray, b: np.ndarray)
     signs, bond, count = left_b.shape[0], left_b.shape[1], len(b)
     # landmarks side by side for every bond value: (sign, amplitudes, bond x landmarks)
     left_b, right_b = (np.ascontiguousarray(h.transpose(0, 2, 1, 3)).reshape(signs, h.shape[2], bond * count) for h in (left_b, right_b))
-    out = np.empty((len(a), count))
+    out = np.empty((len(a), count), a.dtype)
     step = min(chunk_rows(count), HALF_ROWS)
     for lo in range(0, len(a), step):
         left, right = _halves(name, repetitions, a[lo:lo + step])

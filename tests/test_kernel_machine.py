@@ -130,3 +130,36 @@ def test_grid_fits_predicts_and_counts(spark):
     assert np.allclose(one[held["row_key"]].to_numpy(), scorer.scores(raw)[:, scorer.names.index((0, "QSVM"))])
     plan = scorer.confusion(test)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("feature_map, repetitions", [("pauli", 1), ("pauli", 2), ("custom", 1), ("custom", 2), ("zz", 1), ("zz", 2)])
+@pytest.mark.parametrize("size", [1.0, 50.0])
+def test_signs_of_single_precision_are_those_of_double(feature_map, repetitions, size, monkeypatch):
+    """Also for rows whose decision value is zero to many digits; few rows need the second look."""
+    rng = np.random.default_rng(11)
+    machine = km.Machine("QSVM", feature_map, repetitions)
+    x, vectors = rng.standard_normal((4000, 9)), rng.standard_normal((24, 9))
+    weights = size * rng.standard_normal(24)
+    plain = machine.matrix(x, vectors, None) @ weights
+    twice = []
+    full = km.Machine.matrix
+    monkeypatch.setattr(km.Machine, "matrix", lambda self, a, b, g: twice.append(len(a)) or full(self, a, b, g))
+    assert (machine.signs(x, vectors, weights, 0.0, None) == (plain > 0)).all()
+    assert sum(twice) < len(x) / 4       # the rest is decided in single precision
+    for at in (0, 17, 99):               # the intercept puts this row's value just above and just below zero
+        for shift in (1e-9 * size, -1e-9 * size):
+            assert (machine.signs(x, vectors, weights, shift - plain[at], None) == (plain + (shift - plain[at]) > 0)).all()
+
+
+def test_single_precision_error_is_far_below_its_bound():
+    rng = np.random.default_rng(12)
+    a, b = (km.angles(2.0 * rng.standard_normal((n, 9))) for n in (600, 40))
+    for feature_map, repetitions in [("custom", 2), ("zz", 1), ("zz", 2)]:
+        k = rec.fidelity_matrix(feature_map, repetitions, a, b)
+        single = rec.fidelity_matrix(feature_map, repetitions, a.astype(np.float32), b.astype(np.float32))
+        assert single.dtype == np.float32
+        assert np.abs(np.sqrt(single) - np.sqrt(k)).max() < km.SINGLE_ERROR * 9 * repetitions / 5
+    for repetitions in (1, 2, 3):
+        single = rec.fidelity_matrix("pauli", repetitions, a.astype(np.float32), b.astype(np.float32))
+        assert single.dtype == np.float32
+        assert np.abs(single - rec.fidelity_matrix("pauli", repetitions, a, b)).max() < km.SINGLE_ERROR * 9 * repetitions / 5
