@@ -8,10 +8,14 @@ Solver: Newton steps on the hinge, its corner rounded over a width that falls fr
 all rows: a task maps a batch once per kernel width and adds up, for every model still open, losses at a few step lengths, the
 gradient and the curvature (features x features numbers); executors add the tasks' sums by blocks of rows, and the driver gets
 one sum per model. The features are never stored and the rows never shuffled. The first point comes from about ``START_ROWS`` rows a group, solved in one task: a group
-of no more rows is done with them (certified by its duality gap), for others it decides how many passes are needed, not the
+of no more rows is done with them (certified by its duality gap). For others it only decides how many passes are needed, as do the passes over
+a sample (``SAMPLE_SHARE`` of the rows) that large groups take next; neither decides the
 result: a fit ends when, over all rows, its objective is within ``TOLERANCE`` of the optimum. The excess is the smaller of two bounds: the duality gap, and what
 the next Newton step would gain plus what rounding the corner can hide. A fit that uses up ``MAX_PASSES`` is an error,
 never a result.
+
+Rows: a row trains the model group named by ``group_col``, or (``Members``) every group whose boolean column is true, prepared with each
+group's statistics inside the task, so that the parts of a cross-validation share one stored copy.
 """
 
 from __future__ import annotations
@@ -27,13 +31,22 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 TOLERANCE = 1e-4          # excess over the objective
 FLOOR = 1e-7              # excess that always ends a fit (an objective near zero)
 MAX_PASSES = 100
-STEPS = (1.0, 0.5, 0.2, 0.05)    # step lengths whose losses a pass adds up
-WIDTHS = (0.05, 0.01, 0.002, 0.0004, 0.00008)   # of the rounded corner
+STEPS = (1.0, 0.4, 0.1)   # step lengths whose losses a pass adds up
+WIDTHS = (0.05, 0.02, 0.01, 0.005, 0.002, 0.0005, 0.0001)   # of the rounded corner
+HIDDEN = 0.1              # of TOLERANCE: what rounding may hide at the width that a fit aims at
+PLENTY = 50               # rows in the corner per feature: with fewer, widths fall one by one and only near the optimum
 START_ROWS = 32_768
 START_STEPS = 100         # interior-point steps on the first rows
+PART_ROWS, PART_TOLERANCE = 8192, 2e-3    # first rows of a larger group, and the gap that is enough for a first point
+SAMPLE_SHARE, SAMPLE_ROWS, SAMPLE_PASSES = 0.125, 65_536, 15   # passes over a share come first where it has so many rows
+SAMPLE_TOLERANCE = 3e-4   # what a sample misses is more
+NOISE = 5e-7              # of sums of single-precision losses
+MAX_ANGLE = 128.0         # radians: larger angles are reduced in double precision
 TASKS_PER_CORE = 3        # a task holds the sums of its models: their number follows the cores, not the files
 BLOCK = 32                # rows of the curvature that are added up together
 # Random features per model: the mean error of a kernel value falls as 1 / sqrt(features), about 0.1 at
@@ -77,39 +90,129 @@ def random_features(gamma: float, dim: int, seed: int, n_in: int) -> Callable[[n
     return lambda x: np.cos(x @ w + shift) * math.sqrt(2.0 / dim)
 
 
-def _training_features(gamma: float, dim: int, seed: int, n_in: int) -> Callable[[np.ndarray], np.ndarray]:
-    """``random_features`` in single precision (errors of some 1e-7); the angle is reduced in double precision."""
-    w, shift = _draw(gamma, dim, seed, n_in)
-    w, shift, scale = w / (2 * math.pi), shift / (2 * math.pi), np.float32(math.sqrt(2.0 / dim))
+class _Cosines:
+    """``random_features`` without their scale, in single precision (errors of some 1e-6): rows -> (rows, features) cosines."""
+
+    def __init__(self, gamma: float, dim: int, seed: int, n_in: int) -> None:
+        w, shift = _draw(gamma, dim, seed, n_in)
+        self.map, self.scale = np.vstack([w, shift]), math.sqrt(2.0 / dim)
+        self.single, self.reach = self.map.astype(np.float32), np.abs(w).sum(axis=0).max()
+
+    def angle_bound(self, x: np.ndarray) -> np.ndarray:
+        """Per row, no angle is larger."""
+        return np.abs(x).max(axis=1) * self.reach + 2 * math.pi
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        rows = np.ones((len(x), len(self.map)))
+        rows[:, :-1] = x
+        if len(x) and self.angle_bound(x).max() <= MAX_ANGLE:
+            angle = rows.astype(np.float32) @ self.single
+        else:
+            turns = rows @ (self.map / (2 * math.pi))
+            turns -= np.rint(turns)
+            angle = turns.astype(np.float32)
+            angle *= np.float32(2 * math.pi)
+        return np.cos(angle, out=angle)
+
+
+class _Given:
+    """Features that come as an array column."""
+
+    scale = 1.0
 
-    def z(x: np.ndarray) -> np.ndarray:
-        turns = x @ w
-        turns += shift
-        turns -= np.rint(turns)
-        angle = turns.astype(np.float32)
-        angle *= np.float32(2 * math.pi)
-        np.cos(angle, out=angle)
-        angle *= scale
-        return angle
-    return z
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x
+
+
+def _map_of(gamma: float | None, n_in: int, dim: int, seed: int) -> _Cosines | _Given:
+    return _Given() if gamma is None else _Cosines(gamma, check_random_features(dim), seed, n_in)
+
+
+# ------------------------------------------------------------------ rows of a batch
+@dataclass(frozen=True)
+class Members:
+    """Groups that share rows: ``columns`` has each group's boolean column, ``stats`` its (medians, means, spreads)."""
+
+    columns: dict[int, str]
+    stats: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _needed(group_col: str, label: str, cols: list[str], members: Members | None) -> list[str]:
+    return [*(members.columns.values() if members else [group_col]), label, *cols]
+
+
+def _own_rows(batch: pa.RecordBatch, group_col: str, cols: list[str], label: str, members: Members | None, groups, given: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, its rows' features, labels) of a batch, for the wanted groups."""
+    y = _column(batch, label).astype(float)
+    if given:
+        x = np.stack(_column(batch, cols[0])) if batch.num_rows else np.zeros((0, 0))
+    else:
+        x = np.stack([_column(batch, c).astype(float) for c in cols], axis=1)
+    if members is None:
+        group = _column(batch, group_col)
+        for g in groups:
+            own = group == g
+            if own.any():
+                yield (g, x, y) if own.all() else (g, x[own], y[own])
+        return
+    missing = np.stack([batch.column(batch.schema.get_field_index(c)).is_null().to_numpy(zero_copy_only=False) for c in cols], axis=1)
+    for g in groups:
+        own = np.flatnonzero(_column(batch, members.columns[g]))
+        if len(own):
+            median, mean, spread = members.stats[g]
+            yield g, (np.where(missing[own], median, x[own]) - mean) / spread, y[own]
+
+
+def scaled_sums(rows: DataFrame, cols: list[str], members: Members) -> dict[int, tuple[int, float, float]]:
+    """Group -> (rows, sum of all scaled values, sum of their squares)."""
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {g: np.zeros(3) for g in members.columns}
+        for batch in batches:
+            for g, x, _ in _own_rows(batch, "", cols, cols[0], members, members.columns):
+                total[g] += [len(x), x.sum(), (x * x).sum()]
+        table = np.array(list(total.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array(table[:, i]) for i in range(3)]], ["g", "n", "m", "q"])
+
+    per_task = rows.select(*members.columns.values(), *cols).mapInArrow(added, "g int, n double, m double, q double")
+    sums = per_task.groupBy("g").agg(*[F.sum(c).alias(c) for c in "nmq"]).collect()   # a row per group
+    return {r["g"]: (int(r["n"]), r["m"], r["q"]) for r in sums if r["n"]}
 
 
 # ------------------------------------------------------------------ sums over rows
-def _sums(z: np.ndarray, sign: np.ndarray, points: np.ndarray, width: float, following: float) -> tuple[np.ndarray, np.ndarray]:
-    """Over rows z with signs +-1: (losses at every point, loss at the first point with the ``following`` width, hinge,
+def _sums(z: np.ndarray, scale: float, sign: np.ndarray, models: list[tuple], add: Callable[[int, np.ndarray, np.ndarray], None]) -> None:
+    """For each model (id, points, width, following), over rows ``scale`` z with signs +-1: (losses at every point, loss at the first point with the ``following`` width, hinge,
     slopes, pull on the weights and on the intercept, features and number of the rows in the corner) and the features' products
     over the corner, all but the losses at the first point. Points are (weights, intercept)."""
-    margin = (z @ points[:, :-1].T.astype(z.dtype)).astype(float) + points[:, -1]
-    short = 1.0 - sign[:, None] * margin
-    slope = np.clip((short + width) / (2 * width), 0.0, 1.0)
-    loss = np.where(slope < 1.0, width * slope * slope, short).sum(axis=0)
-    short, slope = short[:, 0], slope[:, 0]
-    nxt = np.clip((short + following) / (2 * following), 0.0, 1.0)
-    pull = slope * sign
-    corner = z[(slope > 0.0) & (slope < 1.0)]
-    scalars = [np.where(nxt < 1.0, following * nxt * nxt, short).sum(), np.maximum(short, 0.0).sum(), slope.sum()]
-    flat = np.concatenate([loss, scalars, (z.T @ pull.astype(z.dtype)).astype(float), [pull.sum()], corner.sum(axis=0, dtype=float), [len(corner)]])
-    return flat, corner.T @ corner
+    stacked = np.concatenate([points for _, points, _, _ in models])
+    margins = (scale * stacked[:, :-1]).astype(z.dtype) @ z.T
+    short = 1 - sign.astype(z.dtype) * (margins + stacked[:, -1:].astype(z.dtype))   # a row per point
+    pulls, parts, at = np.empty((len(models), len(z)), z.dtype), [], 0
+    for i, (_, points, width, following) in enumerate(models):
+        own = short[at:at + len(points)]
+        at += len(points)
+        loss = _rounded(own, width).sum(axis=1, dtype=float)
+        own = own[0]
+        slope = np.clip((own + width) / (2 * width), 0, 1)
+        np.multiply(slope, sign, out=pulls[i], casting="same_kind")
+        corner = z[np.flatnonzero(np.abs(own) < width)]
+        parts.append((np.append(loss, [_rounded(own, following).sum(dtype=float), np.maximum(own, 0).sum(dtype=float), slope.sum(dtype=float)]), corner))
+    towards = scale * (pulls @ z).astype(float)
+    for (m, *_), pull, row, (scalars, corner) in zip(models, pulls, towards, parts):
+        add(m, np.concatenate([scalars, row, [pull.sum(dtype=float)], scale * corner.sum(axis=0, dtype=float), [len(corner)]]), corner.T @ corner)
+
+
+def _rounded(short: np.ndarray, width: float) -> np.ndarray:
+    """max(0, short) with its corner rounded: (short + width)^2 / (4 width) inside +-width."""
+    bent = np.clip(short, -width, width)
+    bent += width
+    bent *= bent
+    bent /= 4 * width
+    bent += np.maximum(short - width, 0)
+    return bent
 
 
 @dataclass
@@ -120,6 +223,9 @@ class _Fit:
     n: int
     point: np.ndarray               # weights and intercept
     at: int = 0                     # place in WIDTHS
+    aim: int = 0                    # the place to go to, by the last pass
+    hidden: float = math.inf        # what the rounding may hide, and rows in the corner
+    corner: float = 0.0
     step: np.ndarray | None = None
     value: float = math.inf         # rounded objective at the point
     objective: float = 0.0
@@ -133,11 +239,18 @@ class _Fit:
 
     @property
     def following(self) -> float:
-        return WIDTHS[min(self.at + 1, len(WIDTHS) - 1)]
+        return WIDTHS[max(self.aim, min(self.at + 1, len(WIDTHS) - 1))]
+
+    def widest(self, more: float = 1.0) -> int:
+        """The widest width that hides little enough and, with ``more`` times the rows, has plenty in its corner."""
+        enough = HIDDEN * TOLERANCE * self.objective + FLOOR
+        place = next((i for i, w in enumerate(WIDTHS) if self.hidden * (w / self.width) ** 2 <= enough), len(WIDTHS) - 1)
+        while place and self.corner * more * WIDTHS[place] / self.width < PLENTY * len(self.point):
+            place -= 1
+        return place
 
     def points(self) -> np.ndarray:
-        step = np.zeros_like(self.point) if self.step is None else self.step
-        return np.stack([self.point + t * step for t in STEPS])
+        return self.point[None] if self.step is None else np.stack([self.point + t * self.step for t in STEPS])
 
     def _penalty(self, points: np.ndarray) -> np.ndarray:
         return self.reg / 2 * (points[..., :-1] ** 2).sum(axis=-1)
@@ -145,9 +258,10 @@ class _Fit:
     def update(self, flat: np.ndarray, curvature: np.ndarray) -> None:
         """Take what a pass added up at ``points()``."""
         self.passes += 1
-        points, d, t = self.points(), len(self.point) - 1, len(STEPS)
+        points, d = self.points(), len(self.point) - 1
+        t = len(points)
         values = flat[:t] / self.n + self._penalty(points)
-        if self.step is not None and values[0] > self.value + 1e-12 * abs(self.value):
+        if self.step is not None and values[0] > self.value + NOISE * abs(self.value):
             best = int(np.argmin(values))
             if values[best] < self.value:   # the gradient there comes with the next pass
                 self.point, self.value, self.step = points[best], values[best], None
@@ -172,16 +286,21 @@ class _Fit:
         self.step = -np.linalg.solve(h, gradient)
         self.decrement = float(-self.step @ gradient) / 2
         # the rounded loss is at most width / 4 above the hinge, on the rows of the corner
-        self.excess = min(max(self.objective - dual, 0.0), self.decrement + self.width / 4 * corner / self.n)
-        if self.decrement <= TOLERANCE / 5 * self.value + FLOOR and self.at + 1 < len(WIDTHS):
-            self.at += 1
+        self.hidden, self.corner = self.width / 4 * corner / self.n, corner
+        self.excess = min(max(self.objective - dual, 0.0), self.decrement + self.hidden)
+        near = max(TOLERANCE / 5 * self.value, self.hidden / 4 if corner >= PLENTY * (d + 1) else 0.0)
+        if self.decrement <= near + FLOOR and self.at + 1 < len(WIDTHS):
+            ratio = self.following / self.width     # as many rows per width
+            self.hidden, self.corner = self.hidden * ratio ** 2, self.corner * ratio
+            self.at = WIDTHS.index(self.following)
             self.value = following + float(self._penalty(self.point))
+        self.aim = max(self.at, self.widest())
 
-    def done(self) -> bool:
-        return self.excess <= TOLERANCE * self.objective + FLOOR
+    def done(self, tolerance: float = TOLERANCE) -> bool:
+        return self.excess <= tolerance * self.objective + FLOOR
 
 
-def _solve_rows(z: np.ndarray, sign: np.ndarray, reg: float) -> tuple[np.ndarray, float, float]:
+def _solve_rows(z: np.ndarray, sign: np.ndarray, reg: float, tolerance: float = TOLERANCE / 100) -> tuple[np.ndarray, float, float]:
     """Point, objective and duality gap on rows in memory, by a primal-dual interior-point method: a are the dual
     values (0 to 1 a row), s and t the slacks of their bounds, and w follows from a."""
     n, d = z.shape
@@ -196,7 +315,7 @@ def _solve_rows(z: np.ndarray, sign: np.ndarray, reg: float) -> tuple[np.ndarray
         dual = a.mean() - reg / 2 * (w @ w) - (1 + abs(b)) * abs((sign * a).mean())
         if objective - dual < best[2]:
             best = (np.append(w, b), float(objective), float(max(objective - dual, 0.0)))
-        if best[2] <= TOLERANCE / 100 * best[1] + FLOOR:
+        if best[2] <= tolerance * best[1] + FLOOR:
             break
         room = 1.0 - a
         mu = 0.1 * (a @ s + room @ t) / (2 * n)
@@ -217,64 +336,67 @@ def _solve_rows(z: np.ndarray, sign: np.ndarray, reg: float) -> tuple[np.ndarray
 
 
 # ------------------------------------------------------------------ the grid
-def _map_of(gamma: float | None, cols: list[str], dim: int, seed: int) -> Callable[[pd.DataFrame], np.ndarray]:
-    if gamma is None:
-        return lambda rows: np.stack(rows[cols[0]].to_numpy())
-    z = _training_features(gamma, check_random_features(dim), seed, len(cols))
-    return lambda rows: z(rows[cols].to_numpy(dtype=float))
-
-
-def _first_points(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], sizes: dict, seed: int, dim: int) -> dict[int, tuple[np.ndarray, float, float]]:
-    """(point, objective, gap) of every model on a few rows of its group, all of them in a small group: one task per (group, width)."""
+def _first_points(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], sizes: dict, seed: int, dim: int,
+                  members: Members | None = None) -> dict[int, tuple[np.ndarray, float, float]]:
+    """(point, objective, gap) of every model on a few rows of its group, all of them in a small group: one task per model."""
     check_random_features(dim)
-    widths = sorted({s.gamma for s in specs}, key=str)
-    share, own_widths = F.lit(0.0), F.array().cast("array<int>")
-    for g in sorted({s.group for s in specs}):
-        here = F.col(group_col) == g
-        share = F.when(here, F.lit(min(1.0, START_ROWS / sizes[g]))).otherwise(share)
-        own_widths = F.when(here, F.array(*[F.lit(i) for i in sorted({widths.index(s.gamma) for s in specs if s.group == g})])).otherwise(own_widths)
-    few = train.where(F.rand(seed) < share).select(group_col, label, *cols, F.explode(own_widths).alias("_width"))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        group, i = rows[group_col].iloc[0], int(rows["_width"].iloc[0])
-        own = [s for s in specs if s.group == group and s.gamma == widths[i]]
-        x = np.stack(rows[cols[0]].to_numpy()) if widths[i] is None else random_features(widths[i], dim, seed, len(cols))(rows[cols].to_numpy(dtype=float))
-        sign = 2.0 * rows[label].to_numpy(float) - 1.0
-        solved = [_solve_rows(x, sign, 1.0 / (s.C * sizes[group])) for s in own]
-        return pd.DataFrame({"model_id": [s.model_id for s in own], "point": [p for p, _, _ in solved],
-                             "objective": [v for _, v, _ in solved], "gap": [g for _, _, g in solved]})
-
-    found = few.groupBy(group_col, "_width").applyInPandas(solve, "model_id int, point array<double>, objective double, gap double")
+    groups = sorted({s.group for s in specs})
+    by_id, given = {s.model_id: s for s in specs}, specs[0].gamma is None
+    first = {g: sizes[g] if sizes[g] <= START_ROWS else min(PART_ROWS, START_ROWS) for g in groups}
+    luck, trained = F.col("_luck"), []
+    for g in groups:
+        here = F.col(members.columns[g]) if members else F.col(group_col) == g
+        here = here if first[g] == sizes[g] else here & (luck < F.lit(first[g] / sizes[g]))
+        trained.append(F.when(here, F.array(*[F.lit(s.model_id) for s in specs if s.group == g])).otherwise(F.array().cast("array<int>")))
+    names = _needed(group_col, label, cols, members)
+    few = train.select(*names).withColumn("_luck", F.rand(seed)).withColumn("_models", F.concat(*trained)).where(F.size("_models") > 0)
+    few = few.select(*names, F.explode("_models").alias("_model"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        spec = by_id[table.column("_model")[0].as_py()]
+        batch = table.combine_chunks().to_batches()[0]
+        (_, x, y), = _own_rows(batch, group_col, cols, label, members, [spec.group], given)
+        z = x if spec.gamma is None else random_features(spec.gamma, dim, seed, len(cols))(x)
+        whole = first[spec.group] == sizes[spec.group]
+        point, objective, gap = _solve_rows(z, 2.0 * y - 1.0, 1.0 / (spec.C * sizes[spec.group]), TOLERANCE / 100 if whole else PART_TOLERANCE)
+        return pa.table({"model_id": pa.array([spec.model_id], pa.int32()), "point": pa.array([point], pa.list_(pa.float64())), "objective": [float(objective)], "gap": [float(gap)]})
+
+    found = few.groupBy("_model").applyInArrow(solve, "model_id int, point array<double>, objective double, gap double")
     return {r["model_id"]: (np.array(r["point"]), r["objective"], r["gap"]) for r in found.collect()}   # a row per model
 
 
-def _pass(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], fits: dict[int, _Fit], seed: int, dim: int) -> None:
+def _pass(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], fits: dict[int, _Fit], seed: int, dim: int,
+          members: Members | None = None) -> None:
     """One job over all rows of the open models' groups; every open model takes its sums."""
     shared = train.sparkSession.sparkContext.broadcast({
         s.model_id: (s.group, s.gamma, fits[s.model_id].points(), fits[s.model_id].width, fits[s.model_id].following) for s in specs})
+    given = specs[0].gamma is None
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_group: dict = {}
         for m, (group, gamma, *rest) in shared.value.items():
             by_group.setdefault(group, {}).setdefault(gamma, []).append((m, *rest))
         maps, total = {}, {}
+
+        def add(m: int, flat: np.ndarray, curvature: np.ndarray) -> None:
+            if m in total:
+                total[m][0] += flat
+                total[m][1] += curvature
+            else:
+                total[m] = [flat, curvature.astype(float)]
+
         for batch in batches:
-            for group, rows in batch.groupby(group_col):
-                sign = 2.0 * rows[label].to_numpy(float) - 1.0
-                for gamma, models in by_group.get(group, {}).items():
+            for group, x, y in _own_rows(batch, group_col, cols, label, members, by_group, given):
+                sign = 2.0 * y - 1.0
+                for gamma, models in by_group[group].items():
                     if gamma not in maps:
-                        maps[gamma] = _map_of(gamma, cols, dim, seed)
-                    z = maps[gamma](rows)
-                    for m, points, width, following in models:
-                        flat, curvature = _sums(z, sign, points, width, following)
-                        if m in total:
-                            total[m][0] += flat
-                            total[m][1] += curvature
-                        else:
-                            total[m] = [flat, curvature.astype(float)]
+                        maps[gamma] = _map_of(gamma, len(cols), dim, seed)
+                    _sums(maps[gamma](x), maps[gamma].scale, sign, models, add)
         for m, (flat, curvature) in total.items():
+            curvature *= maps[shared.value[m][1]].scale ** 2
             blocks = [flat, *(curvature[lo:lo + BLOCK].ravel() for lo in range(0, len(curvature), BLOCK))]
-            yield pd.DataFrame({"model_id": m, "block": range(len(blocks)), "sums": blocks})
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()),
+                                              pa.array(blocks, pa.list_(pa.float64()))], ["model_id", "block", "sums"])
 
     def together(table: pa.Table) -> pa.Table:
         sums = table.column("sums").combine_chunks()
@@ -283,23 +405,52 @@ def _pass(train: DataFrame, group_col: str, cols: list[str], label: str, specs:
 
     groups = sorted({s.group for s in specs})
     tasks = TASKS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism
-    rows = train.where(F.col(group_col).isin(groups)).select(group_col, label, *cols).coalesce(tasks)
+    rows = train if members else train.where(F.col(group_col).isin(groups))
+    rows = rows.select(*_needed(group_col, label, cols, members)).coalesce(tasks)
     schema = "model_id int, block int, sums array<double>"
-    summed = rows.mapInPandas(added, schema).groupBy("model_id", "block").applyInArrow(together, schema).toPandas()
+    summed = rows.mapInArrow(added, schema).groupBy("model_id", "block").applyInArrow(together, schema).toPandas()
     for m, own in summed.sort_values("block").groupby("model_id"):
         flat, *blocks = own["sums"].to_list()
         fits[m].update(np.asarray(flat), np.concatenate(blocks).reshape(-1, len(fits[m].point) - 1))
     shared.unpersist()
 
 
+def _group_sizes(train: DataFrame, group_col: str, members: Members | None) -> dict[int, int]:
+    """Rows of every group that has some."""
+    if members:
+        r = train.agg(*[F.count_if(F.col(c)).alias(c) for c in members.columns.values()]).first()
+        return {g: r[c] for g, c in members.columns.items() if r[c]}
+    return {r[group_col]: r["n"] for r in train.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _from_sample(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], fits: dict[int, _Fit], seed: int, dim: int,
+                 members: Members | None) -> None:
+    """Passes over a share of the rows bring the points of large groups near the optimum; the passes over all rows go on from there."""
+    few = stored(train.where(F.rand(seed + 1) < SAMPLE_SHARE).select(*_needed(group_col, label, cols, members)))
+    sizes = _group_sizes(few, group_col, members)
+    near = {s.model_id: _Fit(fits[s.model_id].reg, sizes[s.group], fits[s.model_id].point) for s in specs if sizes.get(s.group)}
+    open_ = [s for s in specs if s.model_id in near]
+    for _ in range(SAMPLE_PASSES):
+        if not open_:
+            break
+        _pass(few, group_col, cols, label, open_, near, seed, dim, members)
+        open_ = [s for s in open_ if not near[s.model_id].done(SAMPLE_TOLERANCE)]
+    for m, fit in near.items():
+        if math.isfinite(fit.value):
+            fits[m].point, fits[m].at = fit.point, fit.widest(fits[m].n / fit.n)
+
+
 def fit_grid(train: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec], seed: int,
-             dim: int = RANDOM_FEATURES) -> dict[int, MarginModel]:
-    """One model per spec. ``train`` is read once per pass: store it first, by ``group_col`` if there are several."""
-    sizes = {r[group_col]: r["n"] for r in train.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+             dim: int = RANDOM_FEATURES, members: Members | None = None) -> dict[int, MarginModel]:
+    """One model per spec. ``train`` is read once per pass: store it first, by ``group_col`` if there are several groups
+    without ``members``."""
+    if len({s.gamma is None for s in specs}) > 1:
+        raise ValueError("models on given features and on kernel widths are separate grids")
+    sizes = _group_sizes(train, group_col, members)
     missing = sorted({s.group for s in specs if s.group not in sizes})
     if missing:
         raise ValueError(f"no rows to train on in groups {missing}")
-    first = _first_points(train, group_col, cols, label, specs, sizes, seed, dim)
+    first = _first_points(train, group_col, cols, label, specs, sizes, seed, dim, members)
     given = len(train.select(cols[0]).first()[0]) if any(s.gamma is None for s in specs) else 0
     fits = {}
     for s in specs:
@@ -308,10 +459,13 @@ def fit_grid(train: DataFrame, group_col: str, cols: list[str], label: str, spec
         if sizes[s.group] <= START_ROWS:   # these were all rows
             fits[s.model_id].objective, fits[s.model_id].excess = objective, gap
     open_ = [s for s in specs if not fits[s.model_id].done()]
+    large = [s for s in open_ if sizes[s.group] * SAMPLE_SHARE >= SAMPLE_ROWS]
+    if large:
+        _from_sample(train, group_col, cols, label, large, fits, seed, dim, members)
     for _ in range(MAX_PASSES):
         if not open_:
             break
-        _pass(train, group_col, cols, label, open_, fits, seed, dim)
+        _pass(train, group_col, cols, label, open_, fits, seed, dim, members)
         open_ = [s for s in open_ if not fits[s.model_id].done()]
     if open_:
         worst = max((fits[s.model_id] for s in open_), key=lambda f: f.excess)
@@ -365,21 +519,47 @@ def score_grid(data: DataFrame, group_col: str, cols: list[str], label: str, key
         scored, f"model_id int, {key} string, {label} int, score double, pred int")
 
 
+def _hits(x: np.ndarray, maps: dict, gamma: float | None, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """(rows, models): margin > 0, as in double precision. Margins come from single precision; rows nearer to zero than a
+    bound of the error are taken again in double."""
+    if gamma is None:
+        return x @ weights.T + intercepts > 0
+    cosines, exact = maps[gamma]
+    total = cosines.scale * np.abs(weights).sum(axis=1)
+    margin = (cosines(x) @ (cosines.scale * weights).T.astype(np.float32)).astype(float) + intercepts
+    # rounded inputs, products and sums of an angle below the bound, the cosine, and the sum over the features
+    error = 2.0 ** -24 * ((x.shape[1] + 4) * np.minimum(cosines.angle_bound(x), MAX_ANGLE)[:, None] + weights.shape[1] + 8) * total
+    hit = margin > 0
+    near = np.flatnonzero(~(np.abs(margin) > error).all(axis=1))
+    if len(near):
+        hit[near] = exact(x[near]) @ weights.T + intercepts > 0
+    return hit
+
+
 def confusion_grid(data: DataFrame, group_col: str, cols: list[str], label: str, specs: list[ModelSpec],
                    models: dict[int, MarginModel], seed: int, dim: int = RANDOM_FEATURES) -> DataFrame:
     """(model_id, tn, fp, fn, tp) of ``score_grid``'s predictions, added up inside the tasks: no row per row and model."""
     by_group, weights = _model_tables(specs, models)
-
-    def counted(batches):
-        maps = {s.gamma: random_features(s.gamma, dim, seed, len(cols)) for s in specs if s.gamma is not None}
+    given = specs[0].gamma is None
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = {s.gamma: (_map_of(s.gamma, len(cols), dim, seed), random_features(s.gamma, dim, seed, len(cols))) for s in specs if s.gamma is not None}
+        stacks: dict = {}
+        for group, own in by_group.items():
+            for gamma in {s.gamma for s in own}:
+                ids = [s.model_id for s in own if s.gamma == gamma]
+                stacks.setdefault(group, []).append((gamma, ids, np.stack([weights[m][0] for m in ids]), np.array([weights[m][1] for m in ids])))
         total = {s.model_id: np.zeros(4, np.int64) for s in specs}
         for batch in batches:
-            for m, rows, margin in _margins(batch, group_col, cols, by_group, weights, maps):
-                y = rows[label].to_numpy(float)   # a missing label is in no cell
-                hit = margin > 0
-                total[m] += [int((c & (y == v)).sum()) for v, c in ((0, ~hit), (0, hit), (1, ~hit), (1, hit))]
+            for group, x, y in _own_rows(batch, group_col, cols, label, None, stacks, given):
+                no, yes = y == 0, y == 1   # a missing label is in no cell
+                for gamma, ids, w, b in stacks[group]:
+                    hit = _hits(x, maps, gamma, w, b)
+                    for i, m in enumerate(ids):
+                        fp, tp = int((hit[:, i] & no).sum()), int((hit[:, i] & yes).sum())
+                        total[m] += [int(no.sum()) - fp, fp, int(yes.sum()) - tp, tp]
         table = np.array(list(total.values())).reshape(-1, 4)
-        yield pd.DataFrame({"model_id": list(total), "tn": table[:, 0], "fp": table[:, 1], "fn": table[:, 2], "tp": table[:, 3]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array(table[:, i]) for i in range(4)]], ["model_id", "tn", "fp", "fn", "tp"])
 
-    per_task = data.select(group_col, label, *cols).mapInPandas(counted, "model_id int, tn long, fp long, fn long, tp long")
+    per_task = data.select(group_col, label, *cols).mapInArrow(counted, "model_id int, tn long, fp long, fn long, tp long")
     return per_task.groupBy("model_id").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])

@@ -13,23 +13,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import bounded_broadcast
-from .selection import radix_medians
+from .selection import HeldOut, radix_medians
 
 # Groups with at most this many rows use the in-memory exact median aggregate.
 SMALL_GROUP_ROWS = 100_000
 
 
 def exact_medians_distributed(df: DataFrame, features: list[str], group_cols: list[str],
-                              max_groups: int = 1) -> DataFrame:
+                              max_groups: int = 1, held_out: HeldOut | None = None) -> DataFrame:
     """(group..., feature, median) with the midpoint rule for even counts; nulls ignored. Radix selection over the
     values' bits: a few histogram passes over ``df``, nothing sorted or stored."""
-    fields = [df.schema[c] for c in group_cols] + [T.StructField("feature", T.StringType()), T.StructField("median", T.DoubleType())]
-    found = radix_medians(df, features, group_cols)
+    fields = [T.StructField(c, T.IntegerType()) if held_out and c == held_out.group else df.schema[c] for c in group_cols] + [T.StructField("feature", T.StringType()), T.StructField("median", T.DoubleType())]
+    found = radix_medians(df, features, group_cols, held_out)
     if len(found) > max_groups * len(features):
         raise ValueError(f"more than {max_groups} groups")
     return df.sparkSession.createDataFrame(found, T.StructType(fields))
@@ -44,6 +45,17 @@ class Preprocessor:
     group_cols: list[str]
     max_groups: int
 
+    def by_group(self) -> dict:
+        """Group -> (medians, means, spreads) as arrays: the fitted groups (few, of one group column) for tasks that transform
+        their batches themselves."""
+        out = {}
+        for r in self.stats.collect():
+            empty = [c for c in self.features if r[f"med_{c}"] is None]
+            if empty:
+                raise ValueError(f"{empty}: no observed value in a group, cannot be imputed")
+            out[r[self.group_cols[0]]] = tuple(np.array([r[f"{part}_{c}"] for c in self.features], float) for part in ("med", "mu", "sd"))
+        return out
+
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """(coalesce(x, median) - mean) / sd for every feature; other columns kept."""
         def scaled(c: str, med: Column, mu: Column, sd: Column) -> Column:
@@ -68,25 +80,42 @@ class Preprocessor:
         return df.select(*[F.col(c) for c in keep], *cols)
 
 
+def _of_other_folds(moments: DataFrame, features: list[str], held_out: HeldOut) -> DataFrame:
+    """Per-fold moments (a row per fold) merged into those of every group, by the parallel formula."""
+    of = Window.partitionBy(held_out.group)
+    parts = moments.select("*", F.explode(F.sequence(F.lit(0), F.lit(held_out.k - 1))).alias(held_out.group)).where(F.col(held_out.fold) != F.col(held_out.group))
+    for c in features:
+        total = F.nullif(F.sum(f"_n_{c}").over(of), F.lit(0))   # no value in the group: no mean
+        parts = parts.withColumn(f"_all_{c}", F.sum(F.col(f"_n_{c}") * F.col(f"_m_{c}")).over(of) / total)
+    aggs = [F.sum("_rows").alias("_rows")]
+    for c in features:
+        n, off = F.col(f"_n_{c}"), F.col(f"_m_{c}") - F.col(f"_all_{c}")
+        aggs += [F.sum(n).alias(f"_n_{c}"), F.first(f"_all_{c}").alias(f"_m_{c}"),
+                 (F.sum(n * (F.col(f"_v_{c}") + off * off)) / F.nullif(F.sum(n), F.lit(0))).alias(f"_v_{c}")]
+    return parts.groupBy(held_out.group).agg(*aggs)
+
+
 def fit_preprocessor(df: DataFrame, features: list[str], group_cols: list[str] | None = None,
-                     *, max_groups: int = 1, rows_per_group: int | None = None) -> Preprocessor:
+                     *, max_groups: int = 1, rows_per_group: int | None = None, held_out: HeldOut | None = None) -> Preprocessor:
     """Fit median imputation + standardisation per group.
 
     ``rows_per_group``: a proven bound on rows per group (e.g. the subset size); when small
     the exact in-memory median aggregate is used, else the distributed exact median.
-    An all-missing feature is an error.
+    An all-missing feature is an error. ``held_out``: the groups are complements of folds, read once by fold.
     """
-    group_cols = group_cols or []
-    small = rows_per_group is not None and rows_per_group <= SMALL_GROUP_ROWS
-    moments = df.groupBy(*group_cols).agg(
+    group_cols = [held_out.group] if held_out else group_cols or []
+    small = rows_per_group is not None and rows_per_group <= SMALL_GROUP_ROWS and not held_out
+    moments = df.groupBy(*([held_out.fold] if held_out else group_cols)).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count(c).alias(f"_n_{c}") for c in features],
         *[F.avg(c).alias(f"_m_{c}") for c in features],
         *[F.var_pop(c).alias(f"_v_{c}") for c in features],
         *([F.median(c).alias(f"med_{c}") for c in features] if small else []),
     )
+    if held_out:
+        moments = _of_other_folds(moments, features, held_out)
     if not small:
-        med_long = exact_medians_distributed(df, features, group_cols, max_groups)
+        med_long = exact_medians_distributed(df, features, group_cols, max_groups, held_out)
         med_wide = med_long.groupBy(*group_cols).pivot("feature", features).agg(F.first("median"))
         med_wide = med_wide.select(*group_cols, *[F.col(c).alias(f"med_{c}") for c in features])
         if group_cols:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import order_hash
 from ..session import cut_lineage
 from .ranking import first_k_by_hash, hash_rank
-from .selection import ALL_ROWS, MAX_LITERAL_GROUPS, hash_cuts, up_to_cut
+from .selection import ALL_ROWS, MAX_LITERAL_GROUPS, HeldOut, hash_cuts, up_to_cut
 
 MAX_CLASSES = 2
 CANDIDATES = 4   # hits per wanted row that the first bound of a run grid aims at
@@ -182,16 +182,33 @@ def balanced_subsets(df: DataFrame, target: str, key: str, runs: list[Run], chec
 
 
 # ------------------------------------------------------------------ D3 undersampling
+def member_column(group: int) -> str:
+    """The column of ``undersample`` that says whether a row is in a held-out group."""
+    return f"__in_{group}"
+
+
 def undersample(df: DataFrame, target: str, key: str, seed: int, group_cols: list[str] | None = None,
-                max_groups: int = 1) -> DataFrame:
+                max_groups: int = 1, held_out: HeldOut | None = None) -> DataFrame:
     """Every class down to the minority count (per group), without replacement: the rows up to the class's cut in
-    hash order (exact; a filter, as in ``stratified_split``)."""
-    g = group_cols or []
+    hash order (exact; a filter, as in ``stratified_split``). With ``held_out``, rows that some group may take come once each, with
+    a boolean ``member_column`` per group."""
+    g = [held_out.group] if held_out else group_cols or []
     h = df.withColumn("_h", order_hash(seed, "undersample", key))
     minority = F.min("n").over(Window.partitionBy(*g))   # over classes x groups rows
-    cuts = hash_cuts(h, [*g, target], "_h", key, lambda sizes: sizes.select(*g, target, minority.alias("k")))
+    cuts = hash_cuts(h, [*g, target], "_h", key, lambda sizes: sizes.select(*g, target, minority.alias("k")), held_out)
     if len(cuts) > MAX_CLASSES * max_groups:
         raise ValueError(f"more than {max_groups} groups of {MAX_CLASSES} classes")
+    if held_out:
+        # first the rows up to the last cut of their class, then each group's
+        last = {}
+        for c in cuts:
+            if c[target] not in last or (last[c[target]]["hash"], last[c[target]]["tie"] or "") < (c["hash"], c["tie"] or ""):
+                last[c[target]] = c
+        flagged = up_to_cut(h, list(last.values()), [target], "_h", key, "_first").where("_first")
+        for group in range(held_out.k):
+            own = up_to_cut(flagged, [c for c in cuts if c[held_out.group] == group], [target], "_h", key, "_first")
+            flagged = own.withColumn(member_column(group), F.col("_first") & (F.col(held_out.fold) != group))
+        return flagged.drop("_h", "_first")
     return up_to_cut(h, cuts, [*g, target], "_h", key, "_first").where("_first").drop("_h", "_first")
 
 
