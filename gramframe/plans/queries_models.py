@@ -99,10 +99,9 @@ def q_rbf_svm_cv(spark, sf_dir):
 @query("q_rbf_svm_eval")
 def q_rbf_svm_eval(spark, sf_dir):
     """M2: refit of the best parameters, test-split metrics record."""
-    cv = models.rbf_svm_cv(train_w(spark, sf_dir), FEATURES, KEY, TARGET, BASELINE_SEED, CV_FOLDS,
-                           C_GRID, GAMMA_GRID)
-    return models.rbf_svm_fit_evaluate(train_w(spark, sf_dir), test_w(spark, sf_dir), FEATURES, KEY, TARGET,
-                                       BASELINE_SEED, cv)
+    train = stored(train_w(spark, sf_dir))   # read by the passes of both
+    cv = models.rbf_svm_cv(train, FEATURES, KEY, TARGET, BASELINE_SEED, CV_FOLDS, C_GRID, GAMMA_GRID)
+    return models.rbf_svm_fit_evaluate(train, test_w(spark, sf_dir), FEATURES, KEY, TARGET, BASELINE_SEED, cv)
 
 
 def _one_run(spark, sf_dir, feature_map):
