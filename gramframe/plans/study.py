@@ -51,7 +51,7 @@ def run_study(spark: SparkSession, data: str | DataFrame, cfg: StudyConfig | Non
         profile.validate_labels(w, target)
     w = stored(w)
     split = sampling.stratified_split(w, target, KEY, cfg.seed, cfg.test_size)
-    train = split.where(F.col("split") == "train").drop("split")
+    train = stored(split.where(F.col("split") == "train").drop("split"))   # read by the passes of every step
     test = split.where(F.col("split") == "test").drop("split")
     n = len(features)
 
